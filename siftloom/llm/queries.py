@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import format_copies, ranking, repetition
+from siftloom.llm import defects, format_copies, ranking, repetition
 from siftloom.session import shared_dir, ship_package, table
 
 #: Tables with generated texts and the column that holds them.
@@ -57,6 +57,66 @@ def p4_strengths(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d).select("rank_no", F.col("item").alias("model_version"), "games", F.round("strength", 6).alias("strength"))
 
 
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """One text for each prompt_id."""
+    return table(spark, d, "prompts").groupBy("prompt_id").agg(F.min("text").alias("question"))
+
+
+def _pairs(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """(row_id, question, answer, source) of one table; a response whose prompt is unknown has no question."""
+    if name == "model_outputs":
+        return table(spark, d, name).join(_prompts(spark, d), "prompt_id", "left").select("row_id", "question", F.col("response").alias("answer"), "source")
+    return table(spark, d, name).select("row_id", "question", "answer", "source")
+
+
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, row_id, source, truncated) of every text."""
+    _start(spark)
+    ends = defects.broadcast(spark, defects.end_model([(table(spark, d, t), "row_id", c) for t, c in TEXTS]))
+    parts = []
+    for t, c in TEXTS:
+        limits = defects.limits_by_source(table(spark, d, t), c, "source")
+        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, None).select(F.lit(t).alias("table_name"), "row_id", F.array_contains("defects", "truncated").alias("truncated")))
+    return parts[0].unionAll(parts[1])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).where("truncated").select("table_name", "row_id")
+
+
+def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    sources = [table(spark, d, t).select(F.lit(t).alias("table_name"), "row_id", "source") for t, _ in TEXTS]
+    rows = _p5(spark, d).join(sources[0].unionAll(sources[1]), ["table_name", "row_id"])
+    return rows.groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("truncated").alias("n_truncated"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("share"))
+
+
+def p5_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The hidden storage limits found, by source and encoding."""
+    from siftloom.llm import truncation
+
+    _start(spark)
+    parts = [truncation.hidden_limits(truncation.length_counts(table(spark, d, t), c, "source")).withColumn("table_name", F.lit(t)) for t, c in TEXTS]
+    names = F.array(*[F.lit(e) for e in truncation.ENCODINGS])
+    return parts[0].unionAll(parts[1]).select("table_name", "source", F.element_at(names, F.col("encoding") + 1).alias("encoding"), "length", "n", F.round("usual", 4).alias("usual"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _start(spark)
+    ends = defects.broadcast(spark, defects.end_model([(table(spark, d, "corpus"), "row_id", "answer"), (table(spark, d, "model_outputs"), "row_id", "response")]))
+    languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    parts = []
+    for t, c in (("corpus", "answer"), ("model_outputs", "response")):
+        limits = defects.limits_by_source(table(spark, d, t), c, "source")
+        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, languages).select(F.lit(t).alias("table_name"), "row_id", F.explode("defects").alias("defect")))
+    return parts[0].unionAll(parts[1])
+
+
+def p6_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs by table and type."""
+    return p6_found(spark, d).groupBy("table_name", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
