@@ -25,7 +25,7 @@ _SPOKEN = re.compile(r"[，。！？；,;!?…：:]|\.\s|\.$")
 
 
 #: How a repeated question may be marked.
-COPY_MARK = re.compile(r"[（(]\s*(?:以上为题目|以上是题目|原题|题目如上)\s*[）)]\s*$")
+COPY_MARK = re.compile(r"[（(]\s*(?:以上为题目|以上是题目|原题|题目如上|end of (?:the )?question|fin de la pregunta|ende der frage)\s*[）)]\s*$", re.I)
 
 
 def letters(text: str) -> str:
