@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import defects, format_copies, ranking, repetition
+from siftloom.llm import defects, format_copies, leaks, near_duplicates, ranking, repetition
 from siftloom.session import shared_dir, ship_package, table
 
 #: Tables with generated texts and the column that holds them.
@@ -32,6 +32,21 @@ def p1_repetition_share(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).select("table_name", "row_id", F.round("share", 6).alias("share"), F.round("longest", 6).alias("longest"), "is_case")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    _start(spark)
+    return near_duplicates.similar_rows(table(spark, d, "corpus"), "row_id", ["question", "answer"]).toDF("row_id_a", "row_id_b")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each row of the corpus: its class of equal texts, and the number of other classes that are similar."""
+    _start(spark)
+    df = table(spark, d, "corpus")
+    classes, pairs = near_duplicates.similar_classes(df, "row_id", ["question", "answer"])
+    links = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    who = near_duplicates.members(df, classes, "row_id", ["question", "answer"])
+    return who.join(links, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
     return format_copies.format_copies(table(spark, d, "corpus"), "row_id", "question").select(F.col("first_key").alias("first_row_id"), "row_id")
@@ -117,6 +132,16 @@ def p6_by_type(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("table_name", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    _start(spark)
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
