@@ -41,10 +41,12 @@ def is_empty(text: str | None) -> bool:
 
 def is_refusal(text: str) -> bool:
     """A phrase that declines, early in a text too short to answer anyway."""
-    m = _REFUSAL.search(text[:400])
+    if len(text) > REFUSAL_OTHER:
+        return False
+    m = _REFUSAL.search(text)
     if not m:
         return False
-    cjk = sum("㐀" <= c <= "鿿" for c in text[:400])
+    cjk = sum("㐀" <= c <= "鿿" for c in text)
     limit = REFUSAL_CJK if cjk * 3 > len(text) else REFUSAL_OTHER
     return len(text) <= limit and len(_SENTENCE.findall(text[: m.start()])) <= 2
 
@@ -57,9 +59,14 @@ def short_answer(text: str) -> bool:
     return cjk <= 12 if cjk else len(text.split()) <= 3 or not re.search(r"[^\W\d_]{4,}", re.sub(r"\\\w+", "", text))
 
 
+def _long_copy(answer: str, question: str) -> bool:
+    """Whether an answer much longer than the question could still be a copy: only if most of it is no letter."""
+    return sum(map(str.isalnum, answer)) <= 1.3 * len(question) + 12
+
+
 def copies_question(answer: str, question: str | None) -> bool:
     """Hardly more than the question again: most of the answer's 4-letter pieces are the question's, and most of the question is there."""
-    if not question:
+    if not question or len(answer) > 3 * len(question) + 60 and not _long_copy(answer, question):
         return False
     a, q = letters(answer), letters(question)
     if not q or not a or len(a) > 1.3 * len(q) + 12 or len(a) < 0.5 * len(q):

@@ -63,9 +63,9 @@ def language_model(labelled: DataFrame, key: str, text: str, label: str) -> Lang
 
 
 def limits_by_source(df: DataFrame, column: str, source: str) -> DataFrame:
-    """(source, limits: array of (encoding, length)), written once so that its size is known to the planner."""
+    """(source, limits: "encoding:length" pairs), written once so that its size is known to the planner."""
     peaks = truncation.hidden_limits(truncation.length_counts(df, column, source))
-    return work_table(peaks.groupBy("source").agg(F.collect_list(F.struct("encoding", "length")).alias("limits")), "limits")
+    return work_table(peaks.groupBy("source").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.concat_ws(":", "encoding", "length")))).alias("limits")), "limits")
 
 
 def _spoken(answer: str, question: str | None) -> str:
@@ -92,12 +92,29 @@ def wrong_language(questions: list[str | None], answers: list[str | None], model
     return sure
 
 
+def near_limits(answers: pa.Array, limits: list[str | None]) -> np.ndarray:
+    """Which answers have exactly a length that is a hidden limit of their source."""
+    out = np.zeros(len(limits), bool)
+    if any(limits):
+        lengths = truncation.lengths(answers)
+        groups: dict[str, list[int]] = {}
+        for i, x in enumerate(limits):
+            if x:
+                groups.setdefault(x, []).append(i)
+        for x, rows in groups.items():
+            at = np.array(rows)
+            for pair in x.split():
+                encoding, length = map(int, pair.split(":"))
+                out[at] |= lengths[at, encoding] == length
+    return out
+
+
 def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None) -> DataFrame:
     """(key, defects array) from (key, question, answer, source); truncated is left out for copies, refusals and empty answers."""
     kind = pairs.schema[key].dataType.simpleString()
     rows = pairs.select(key, "question", "answer", F.col("source").cast("string").alias("source"))
     if limits is None:
-        rows = rows.withColumn("limits", F.lit(None).cast("array<struct<encoding:int,length:bigint>>"))
+        rows = rows.withColumn("limits", F.lit(None).cast("string"))
     else:
         rows = rows.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
     rows = rows.select(key, "question", "answer", "limits")
@@ -108,7 +125,7 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
             for at, to in chunks(whole.column(2)):
                 b = whole.slice(at, to - at)
                 questions, answers, limit = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-                lengths = truncation.lengths(b.column(2)) if any(limit) else None
+                at_limit = near_limits(b.column(2), limit)
                 wrong = wrong_language(questions, answers, lang) if lang else np.zeros(len(answers), bool)
                 out = []
                 for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
@@ -122,8 +139,7 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
                     elif rules.is_refusal(a):
                         found.append("refusal")
                     elif not copied:
-                        at_limit = bool(limit[i]) and any(lengths[i, x["encoding"]] == x["length"] for x in limit[i])
-                        if truncation.breaks_off(a, model, at_limit):
+                        if truncation.breaks_off(a, model, bool(at_limit[i])):
                             found.append("truncated")
                     out.append(found)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [key, "defects"])

@@ -14,6 +14,7 @@ as one source. Texts of any length: lengths cover the whole text, code marks and
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -40,20 +41,46 @@ _ENTRY = re.compile(r"^\s*(?:[-*•·+]\s|[(（]?\d{1,4}[.、)）:：]|第\s*\d+
 _OPENERS, _CLOSERS = "（(「『“【《[{", "）)」』”】》]}"
 
 
-def lengths(texts: pa.Array) -> np.ndarray:
+#: Classes of code points that are rare enough to be counted one by one.
+_QUOTE, _AMP, _ANGLE, _APOS, _SHORT_ESCAPE, _LINE_END, _CONTROL, _TWO_BYTES, _ASTRAL, _FOUR_GB = range(1, 11)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    out = np.zeros(0x110000, np.uint8)
+    out[0x2E00:0x10000] = 0
+    out[0x800:0x10000] = _FOUR_GB
+    for lo, hi in ((0x4E00, 0x9FA6), (0x3000, 0x3040), (0x2010, 0x2027), (0xFF01, 0xFF5F)):
+        out[lo:hi] = 0
+    out[0x80:0x800], out[0x10000:] = _TWO_BYTES, _ASTRAL
+    out[:32] = _CONTROL
+    for c, k in ((34, _QUOTE), (38, _AMP), (60, _ANGLE), (62, _ANGLE), (39, _APOS), (92, _SHORT_ESCAPE), (8, _SHORT_ESCAPE), (9, _SHORT_ESCAPE), (12, _SHORT_ESCAPE), (13, _SHORT_ESCAPE), (10, _LINE_END)):
+        out[c] = k
+    return out
+
+
+def lengths(texts: pa.Array, batch: TextBatch | None = None) -> np.ndarray:
     """Length of each text under every one of ENCODINGS."""
-    b = TextBatch.of(texts)
-    c = b.cps
-    n = np.diff(b.off)
-    utf8 = b.sums(1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000))
-    utf16 = n + b.sums(c >= 0x10000)
-    gb = b.sums(np.where(c < 0x80, 1, np.where((c >= 0x4E00) & (c <= 0x9FA5) | (c >= 0x3000) & (c <= 0x303F) | (c >= 0xFF01) & (c <= 0xFF5E) | (c >= 0x2010) & (c <= 0x2026), 2, 4)))
-    html = b.sums(4 * (c == 38) + 3 * ((c == 60) | (c == 62)) + 5 * (c == 34) + 4 * (c == 39))
-    short = (c == 34) | (c == 92) | (c == 8) | (c == 9) | (c == 10) | (c == 12) | (c == 13)
-    json = b.sums(short + 5 * ((c < 32) & ~short))
-    ascii_ = b.sums(5 * ((c >= 0x7F) & (c < 0x10000)) + 11 * (c >= 0x10000))
-    line = b.sums(c == 10) - b.sums((c == 10) & np.concatenate(([False], c[:-1] == 13))) if len(c) else np.zeros(len(b), np.int64)
-    return np.stack([n, utf8, utf16, gb, n + html, utf8 + html, n + json, utf8 + json, n + json + ascii_, n + line, utf8 + line], axis=1)
+    b = batch or TextBatch.of(texts)
+    n, m = np.diff(b.off), len(b)
+    cls = _classes()[b.cps]
+    at = np.flatnonzero(cls)
+    k = cls[at]
+    own = np.searchsorted(b.off, at, "right") - 1
+    # empty texts share their start with the next one: searchsorted on the right gives the text that holds the place
+    count = np.bincount(own * 11 + k, minlength=m * 11).reshape(m, 11) if m else np.zeros((0, 11), np.int64)
+    utf8 = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    two, astral, four = count[:, _TWO_BYTES], count[:, _ASTRAL], count[:, _FOUR_GB]
+    three = (utf8 - n - two - 3 * astral) // 2
+    gb = n + two + three + astral + 2 * (astral + four)
+    html = 5 * count[:, _QUOTE] + 4 * count[:, _AMP] + 3 * count[:, _ANGLE] + 5 * count[:, _APOS]
+    json = count[:, _QUOTE] + count[:, _SHORT_ESCAPE] + count[:, _LINE_END] + 5 * count[:, _CONTROL]
+    line = count[:, _LINE_END]
+    if len(at) and (carriage := at[(b.cps[at] == 13)]).size:  # line ends that are CRLF already
+        done = carriage[(carriage + 1 < len(b.cps)) & (b.cps[np.minimum(carriage + 1, len(b.cps) - 1)] == 10)]
+        line = line - np.bincount(np.searchsorted(b.off, done, "right") - 1, minlength=m)
+    ascii_ = 5 * (two + three) + 11 * astral
+    return np.stack([n, utf8, n + astral, gb, n + html, utf8 + html, n + json, utf8 + json, n + json + ascii_, n + line, utf8 + line], axis=1)
 
 
 def length_counts(df: DataFrame, column: str, source: str) -> DataFrame:
