@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import defects, format_copies, leaks, near_duplicates, ranking, repetition
+from siftloom.llm import defects, format_copies, leaks, near_duplicates, personal, ranking, repetition
 from siftloom.session import shared_dir, ship_package, table
 
 #: Tables with generated texts and the column that holds them.
@@ -142,6 +142,17 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    _start(spark)
+    return personal.personal(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders in place of what was found."""
+    _start(spark)
+    return personal.redacted(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
