@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import defects, format_copies, leaks, near_duplicates, personal, ranking, repetition
+from siftloom.llm import defects, format_copies, leaks, near_duplicates, packing, personal, ranking, repetition
 from siftloom.session import shared_dir, ship_package, table
 
 #: Tables with generated texts and the column that holds them.
@@ -132,6 +132,18 @@ def p6_by_type(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("table_name", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's containers, for each specification."""
+    _start(spark)
+    items = table(spark, d, "documents").select("doc_id", packing.byte_size("text").alias("size"))
+    return packing.pack(items, "doc_id", table(spark, d, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each specification are."""
+    return packing.fill(p7_packing(spark, d), table(spark, d, "pack_specs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question")
