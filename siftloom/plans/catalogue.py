@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from siftloom.plans import text_queries
+
+MODULES = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= m.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= m.SQL
+    return out
