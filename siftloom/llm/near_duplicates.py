@@ -35,7 +35,9 @@ DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 24
 POOL = 1 << 13
 #: Added to the inverse document frequency, so that pieces found everywhere keep some weight; its power: shared phrases
 #: of otherwise different texts then hardly draw samples, while small edits change few of the rare pieces.
-FLOOR_IDF, POWER_IDF = 0.05, 2.0
+FLOOR_IDF, POWER_IDF = 0.05, 1.5
+#: Pieces of more than this share of all texts have weight 0 in the sampling, except in texts with fewer than so many other pieces.
+COMMON, FEW = 0.05, 16
 #: Ids of candidates up to which the class texts are filtered by a broadcast set before they are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -142,6 +144,12 @@ def bands() -> list[np.ndarray]:
     return [rng.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)]
 
 
+def drawn_from(pieces: np.ndarray, texts: np.ndarray, idf: np.ndarray, count: int) -> np.ndarray:
+    """Mask of the pieces that the sampling draws from."""
+    rare = idf[bucket_of(pieces)] > (-math.log(COMMON) + FLOOR_IDF) ** POWER_IDF
+    return rare | (np.bincount(texts[rare], minlength=count) < FEW)[texts]
+
+
 def band_keys(classes: DataFrame, idf: np.ndarray) -> DataFrame:
     """(rep, k, pieces) for every class and band; the band is part of the key k."""
     sent = classes.sparkSession.sparkContext.broadcast(idf)
@@ -152,8 +160,10 @@ def band_keys(classes: DataFrame, idf: np.ndarray) -> DataFrame:
             for at, to in chunks(b.column(1)):
                 ids, count = b.column(0).slice(at, to - at), to - at
                 pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, count)))
-                drawn = samples(pieces, texts, (1 + np.log(times)) * sent.value[bucket_of(pieces)], count)
                 size = np.bincount(texts, minlength=count).astype(np.int32)
+                keep = drawn_from(pieces, texts, sent.value, count)
+                pieces, texts, times = pieces[keep], texts[keep], times[keep]
+                drawn = samples(pieces, texts, (1 + np.log(times)) * sent.value[bucket_of(pieces)], count)
                 some = np.flatnonzero(size)
                 for band, chosen in enumerate(bands()):
                     key = np.full(len(some), band, np.uint64)
