@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from siftloom.functions import constants as k
 
 
+def let(value: Column, body) -> Column:
+    """body applied to a value that is computed once: a lambda variable holds it, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -57,9 +62,13 @@ def tokenize(c: Column | str) -> Column:
 
 def grams(chars: Column, n: int, joiner: str = "") -> Column:
     """All windows of n tokens, joined (I4, I5); none if there are fewer."""
-    parts = lambda i: [chars[i + j] for j in range(n)]
-    windows = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat_ws(joiner, *parts(i)) if joiner else F.concat(*parts(i)))
-    return F.when(F.size(chars) >= n, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(a: Column) -> Column:
+        part = lambda i: [F.get(a, i + j) for j in range(n)]
+        all_of = F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.concat_ws(joiner, *part(i)) if joiner else F.concat(*part(i)))
+        return F.when(F.size(a) >= n, all_of).otherwise(F.array().cast("array<string>"))
+
+    return let(chars, windows)
 
 
 def char_array(c: Column | str) -> Column:
@@ -68,7 +77,7 @@ def char_array(c: Column | str) -> Column:
 
 def repetition_rate(gram: Column) -> Column:
     """1 - distinct / all, 0 without grams."""
-    return F.when(F.size(gram) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(gram)) / F.size(gram))
+    return let(gram, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def char_repetition(c: Column | str, n: int) -> Column:

@@ -69,7 +69,7 @@ def coverage(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
     known = have.join(ids.withColumn("known", F.lit(True)), "prompt_id", "left").groupBy("model_version").agg(F.count_if("known").alias("covered"), F.count_if(F.col("known").isNull()).alias("extra"))
     total = F.broadcast(n)
     rows = known.join(gone, "model_version", "left").join(total)
-    return rows.select("model_version", "covered", F.coalesce("missing", F.lit(0)).alias("missing"), "extra", F.when(F.col("n") == 0, F.lit("0.0%")).otherwise(F.format_string("%.1f%%", F.col("covered") * 100.0 / F.col("n"))).alias("rate"), F.array_join(F.coalesce("first_missing", F.array().cast("array<string>")), ",").alias("first_missing"))
+    return rows.select("model_version", "covered", F.coalesce("missing", F.lit(0)).alias("missing"), "extra", F.when(F.col("n") == 0, F.lit("0.0%")).otherwise(F.format_string("%.1f%%", F.col("covered") * 100.0 / F.col("n") + 1e-9)).alias("rate"), F.array_join(F.coalesce("first_missing", F.array().cast("array<string>")), ",").alias("first_missing"))
 
 
 def missing_ids(outputs: DataFrame, prompts: DataFrame) -> DataFrame:

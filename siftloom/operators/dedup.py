@@ -47,7 +47,7 @@ def similar_pairs(df: DataFrame, pos: str, column: str, threshold: float = SIMIL
     Pieces are hashed to 64 bits, ordered by document frequency; two similar sets share a piece among the first
     |A| - ceil(t |A|) + 1 of each. Candidates carry their sets' sizes for the length filter.
     """
-    sets = cut(df.select(F.col(pos).alias("pos"), F.transform(gram_set(column), F.xxhash64).alias("pieces")).withColumn("n", F.size("pieces")))
+    sets = cut(df.select(F.col(pos).alias("pos"), F.transform(gram_set(column), lambda g: F.xxhash64(g)).alias("pieces")).withColumn("n", F.size("pieces")))
     long = sets.select("pos", "n", F.explode("pieces").alias("g"))
     counts = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = long.join(counts, "g").where("df > 1").groupBy("pos", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))

@@ -23,7 +23,7 @@ def repetition_profile(df: DataFrame, column: str) -> DataFrame:
     chars = df.withColumn("_chars", t.char_array(column))
     out = chars
     for n in SIZES:
-        out = out.withColumn(f"char_{n}", F.round(t.repetition_rate(t.grams(F.col("_chars"), n)), 4))
+        out = out.withColumn(f"char_{n}", F.round(t.repetition_rate(t.grams(F.col("_chars"), n)) + 1e-12, 4))
     for n in SIZES:
         out = out.withColumn(f"word_{n}", F.col(f"char_{n}"))
     return out.withColumn("half_split_repeat", F.when(F.char_length(t.text(column)) > 1, F.col("char_4")).otherwise(0.0)).withColumn("total_chars", F.size("_chars").cast("bigint")).drop("_chars")

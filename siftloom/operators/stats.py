@@ -86,7 +86,7 @@ def wilcoxon(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     z = F.when(n == 0, 0.0).otherwise((stat - n * (n + 1) / 4.0) / F.nullif(sigma, F.lit(0.0)))
     p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * normal_cdf(-F.abs(z))))
     out = everyone.join(w, keys, "left").select(*keys, n.alias("n"), stat.alias("statistic"), z.alias("z"), p.alias("p"))
-    return out.select(*keys, "n", "statistic", F.round("z", 4).alias("z"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant_005"))
+    return out.select(*keys, "n", "statistic", F.round(F.col("z") + 1e-9, 4).alias("z"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant_005"))
 
 
 def log_factorial(n: Column) -> Column:
@@ -108,7 +108,7 @@ def cohens_d(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, mean_x, mean_y, diff, cohens_d): pooled by the mean of both sample variances, 0 without any spread."""
     g = df.groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("vx"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("vy"))
     pooled = F.sqrt((F.col("vx") + F.col("vy")) / 2)
-    return g.select(*keys, F.round("mx", 4).alias("mean_x"), F.round("my", 4).alias("mean_y"), F.round(F.col("mx") - F.col("my"), 4).alias("diff"), F.round(F.when(pooled < 1e-12, 0.0).otherwise((F.col("mx") - F.col("my")) / F.nullif(pooled, F.lit(0.0))), 4).alias("cohens_d"))
+    return g.select(*keys, F.round(F.col("mx") + 1e-9, 4).alias("mean_x"), F.round(F.col("my") + 1e-9, 4).alias("mean_y"), F.round(F.col("mx") - F.col("my") + 1e-9, 4).alias("diff"), F.round(F.when(pooled < 1e-12, 0.0).otherwise((F.col("mx") - F.col("my")) / F.nullif(pooled, F.lit(0.0))) + 1e-9, 4).alias("cohens_d"))
 
 
 def nearest_rank_bounds(df: DataFrame, keys: list[str], value: str, low: float = 5, high: float = 95) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
 from siftloom.functions import text as t
-from siftloom.operators import align
+from siftloom.operators import align, votes
 
 
 
@@ -64,14 +64,14 @@ def single_summary(results: DataFrame, keys: list[str]) -> DataFrame:
     m = results.withColumn("_m", mean_of(*k.DIMENSIONS))
     return m.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
-        F.round(F.avg("_m"), 3).alias("mean_score"),
-        *[F.round(F.avg(d), 3).alias(d) for d in k.DIMENSIONS],
+        F.round(F.avg("_m") + votes.NUDGE, 3).alias("mean_score"),
+        *[F.round(F.avg(d) + votes.NUDGE, 3).alias(d) for d in k.DIMENSIONS],
         F.count_if(F.round("_m", 9) < 2.5).alias("low"),
         F.count_if((F.round("_m", 9) >= 2.5) & (F.round("_m", 9) < 3.5)).alias("mid"),
         F.count_if(F.round("_m", 9) >= 3.5).alias("high"),
         F.count_if("uncertain").alias("uncertain_count"),
-        F.round(F.avg(F.col("uncertain").cast("double")), 3).alias("uncertain_rate"),
-        F.round(F.avg("max_std"), 3).alias("avg_max_std"),
+        F.round(F.avg(F.col("uncertain").cast("double")) + votes.NUDGE, 3).alias("uncertain_rate"),
+        F.round(F.avg("max_std") + votes.NUDGE, 3).alias("avg_max_std"),
     )
 
 
@@ -83,7 +83,7 @@ def pairwise_summary(results: DataFrame, keys: list[str]) -> DataFrame:
         F.round(F.count_if(F.col("winner") == "A") / n, 6).alias("win_rate_a"),
         F.round(F.count_if(F.col("winner") == "B") / n, 6).alias("win_rate_b"),
         F.round(F.count_if(F.col("winner") == "tie") / n, 6).alias("tie_rate"),
-        F.round(F.avg("agreement"), 3).alias("avg_agreement"),
+        F.round(F.avg("agreement") + votes.NUDGE, 3).alias("avg_agreement"),
     )
 
 
@@ -95,7 +95,7 @@ def by_category(results: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def version_table(results: DataFrame) -> DataFrame:
     """(model_version, total, mean, one mean for each dimension)."""
-    return results.groupBy("model_version").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(mean_of(*k.DIMENSIONS)), 3).alias("mean"), *[F.round(F.avg(d), 3).alias(d) for d in k.DIMENSIONS])
+    return results.groupBy("model_version").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg(mean_of(*k.DIMENSIONS)) + votes.NUDGE, 3).alias("mean"), *[F.round(F.avg(d) + votes.NUDGE, 3).alias(d) for d in k.DIMENSIONS])
 
 
 def dimension_diff(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,19 +103,19 @@ def dimension_diff(results: DataFrame, keys: list[str]) -> DataFrame:
     a = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(f"a_{d}").alias("a"), F.col(f"b_{d}").alias("b")) for d in k.DIMENSIONS]))
     g = results.select(*keys, a.alias("_s")).select(*keys, "_s.*").groupBy(*keys, "dim").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
     diff = F.round(F.col("a") - F.col("b"), 9)
-    return g.select(*keys, "dim", F.round("a", 3).alias("mean_a"), F.round("b", 3).alias("mean_b"), F.round(F.col("a") - F.col("b"), 3).alias("diff"), F.when(diff > 0.1, "↑").when(diff < -0.1, "↓").otherwise("≈").alias("arrow"))
+    return g.select(*keys, "dim", F.round(F.col("a") + votes.NUDGE, 3).alias("mean_a"), F.round(F.col("b") + votes.NUDGE, 3).alias("mean_b"), F.round(F.col("a") - F.col("b") + votes.NUDGE, 3).alias("diff"), F.when(diff > 0.1, "↑").when(diff < -0.1, "↓").otherwise("≈").alias("arrow"))
 
 
 def pairwise_sheet(results: DataFrame) -> DataFrame:
     """The 21 columns of the pairwise table (B6), from pairwise_rounds joined with one judged row's judge and reasoning."""
-    mean = lambda s: F.round(mean_of(*[f"{s}_{d}" for d in k.DIMENSIONS]), 3)
+    mean = lambda s: F.round(mean_of(*[f"{s}_{d}" for d in k.DIMENSIONS]) + votes.NUDGE, 3)
     return results.select("prompt_id", "model_a", "model_b", "winner", *[f"a_{d}" for d in k.DIMENSIONS], mean("a").alias("a_mean"), *[f"b_{d}" for d in k.DIMENSIONS], mean("b").alias("b_mean"), F.col("agreement").alias("winner_agreement"), "judge_id", F.substring(t.text("reasoning"), 1, 200).alias("reasoning"))
 
 
 def single_sheet(results: DataFrame) -> DataFrame:
     """The columns of the single table (B7), from single_rounds joined with full_profile."""
     worst = F.greatest("char_3", "char_4", "char_5")
-    return results.select("prompt_id", "model_version", *k.DIMENSIONS, F.round(mean_of(*k.DIMENSIONS), 3).alias("mean"), "uncertain", "max_std", F.round(worst, 4).alias("repetition_worst"), F.col("template_ending_count").alias("template_count"), F.col("assistant_phrase_count").alias("assistant_count"), "paragraph_count", "sentence_count")
+    return results.select("prompt_id", "model_version", *k.DIMENSIONS, F.round(mean_of(*k.DIMENSIONS) + votes.NUDGE, 3).alias("mean"), "uncertain", "max_std", F.round(worst, 4).alias("repetition_worst"), F.col("template_ending_count").alias("template_count"), F.col("assistant_phrase_count").alias("assistant_count"), "paragraph_count", "sentence_count")
 
 
 def wide_scores(long: DataFrame, key: str, label: str, count: int, columns: dict[str, str]) -> DataFrame:
@@ -125,7 +125,7 @@ def wide_scores(long: DataFrame, key: str, label: str, count: int, columns: dict
 
 def long_answer_summary(classes: DataFrame, score: str) -> DataFrame:
     """One row: mean, population std, issue rate of long answers (F18), from long_answer_classes."""
-    return classes.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 3).alias("score_mean"), F.round(F.stddev_pop(score), 3).alias("score_std"), F.round(F.avg((F.size("issues") > 0).cast("double")), 3).alias("issue_rate"))
+    return classes.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score) + votes.NUDGE, 3).alias("score_mean"), F.round(F.stddev_pop(score), 3).alias("score_std"), F.round(F.avg((F.size("issues") > 0).cast("double")), 3).alias("issue_rate"))
 
 
 def class_distribution(classes: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
 
+#: Added before rounding, so that halves are rounded up whatever their binary form.
+NUDGE = 1e-9
+
 
 def long_scores(df: DataFrame, keys: list[str], scores: str) -> DataFrame:
     """(keys, dim, score) of a score struct; a missing struct or score counts as 0."""
@@ -25,7 +28,7 @@ def single_rounds(df: DataFrame, keys: list[str], scores: str, uncertain: float
     """(keys, one median for each dimension, num_rounds, max_std, uncertain) of repeated single judgements."""
     value = lambda d: F.coalesce(F.col(f"{scores}.{d}"), F.lit(0.0))
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_rounds"), *[F.median(value(d)).alias(d) for d in k.DIMENSIONS], F.greatest(*[F.stddev_pop(value(d)) for d in k.DIMENSIONS]).alias("_std"))
-    return out.select(*keys, *[F.round(d, 1).alias(d) for d in k.DIMENSIONS], "num_rounds", F.round("_std", 3).alias("max_std"), (F.round("_std", 9) > uncertain).alias("uncertain"))
+    return out.select(*keys, *[F.round(F.col(d) + NUDGE, 1).alias(d) for d in k.DIMENSIONS], "num_rounds", F.round(F.col("_std") + NUDGE, 3).alias("max_std"), (F.round("_std", 9) > uncertain).alias("uncertain"))
 
 
 def vote_counts(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
@@ -36,13 +39,13 @@ def plurality(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame
     """(keys, winner, agreement, num_rounds): the value with most votes, tie if two lead (F8)."""
     best = vote_counts(df, keys, value, pos).groupBy(*keys).agg(F.max("n").alias("top"), F.sum("n").alias("num_rounds"), F.max_by(value, F.struct("n", -F.col("first"))).alias("best"), F.array_sort(F.collect_list(-F.col("n"))).alias("ns"))
     alone = (F.size("ns") == 1) | (F.col("ns")[0] < F.get("ns", F.lit(1)))
-    return best.select(*keys, F.when(alone, F.col("best")).otherwise("tie").alias("winner"), F.round(F.col("top") / F.col("num_rounds"), 3).alias("agreement"), "num_rounds")
+    return best.select(*keys, F.when(alone, F.col("best")).otherwise("tie").alias("winner"), F.round(F.col("top") / F.col("num_rounds") + NUDGE, 3).alias("agreement"), "num_rounds")
 
 
 def pairwise_rounds(df: DataFrame, keys: list[str]) -> DataFrame:
     """Plurality winner with the medians of both sides (F8), from decoded rows with winner, scores_a, scores_b."""
     value = lambda s, d: F.coalesce(F.col(f"scores_{s}.{d}"), F.lit(0.0))
-    medians = df.groupBy(*keys).agg(*[F.round(F.median(value(s, d)), 1).alias(f"{s}_{d}") for s in "ab" for d in k.DIMENSIONS], F.count_if(F.coalesce("position_swapped", F.lit(False))).alias("position_swaps"))
+    medians = df.groupBy(*keys).agg(*[F.round(F.median(value(s, d)) + NUDGE, 1).alias(f"{s}_{d}") for s in "ab" for d in k.DIMENSIONS], F.count_if(F.coalesce("position_swapped", F.lit(False))).alias("position_swaps"))
     return plurality(df, keys, "winner", "row_id").join(medians, keys)
 
 
@@ -104,7 +107,7 @@ def unanimous_rate(df: DataFrame, keys: list[str]) -> DataFrame:
 def self_consistency(df: DataFrame, keys: list[str], answer: str, pos: str, least: float = 0.6) -> DataFrame:
     """(keys, best_answer, confidence, is_consistent, paths): the most frequent answer, the first seen of equals."""
     c = vote_counts(df, keys, answer, pos).groupBy(*keys).agg(F.max_by(answer, F.struct("n", -F.col("first"))).alias("best_answer"), F.max("n").alias("top"), F.sum("n").alias("paths"))
-    return c.select(*keys, "best_answer", F.round(F.col("top") / F.col("paths"), 2).alias("confidence"), (F.col("top") / F.col("paths") >= least).alias("is_consistent"), "paths")
+    return c.select(*keys, "best_answer", F.round(F.col("top") / F.col("paths") + NUDGE, 2).alias("confidence"), (F.col("top") / F.col("paths") >= least).alias("is_consistent"), "paths")
 
 
 def weighted_total(dimensions: Column | str) -> Column:

@@ -45,7 +45,7 @@ def profile(table: str, column: str, keep: str) -> str:
 WITH base AS (SELECT {keep}, {t} AS t, {compact(column)} AS c FROM {table}),
 chars AS (SELECT *, string_split(c, '') AS ch, length(c) AS cn,
   list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n+'), lambda p: {strip('p')}), lambda p: p <> ''), lambda p: length(regexp_replace(p, '{WS}+', '', 'g'))::DOUBLE) AS pl FROM base),
-rates AS (SELECT *, round({rate(3)}, 4) AS char_3, round({rate(4)}, 4) AS char_4, round({rate(5)}, 4) AS char_5,
+rates AS (SELECT *, round({rate(3)} + 1e-12, 4) AS char_3, round({rate(4)} + 1e-12, 4) AS char_4, round({rate(5)} + 1e-12, 4) AS char_5,
   len(pl) AS paragraph_count, {sentence_count('t')} AS sentence_count,
   CASE WHEN len(pl) = 0 THEN 0.0 ELSE list_sum(pl) / len(pl) END AS pm FROM chars),
 prof AS (SELECT *, char_3 AS word_3, char_4 AS word_4, char_5 AS word_5, CASE WHEN length(t) > 1 THEN char_4 ELSE 0.0 END AS half_split_repeat, cn AS total_chars,
@@ -81,11 +81,11 @@ def mean_side(s: str) -> str:
 
 PLURALITY = f"""votes AS (SELECT {KEYS}, winner, count(*) AS n, min(row_id) AS first FROM judged GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY n DESC, first) AS rn, lead(n) OVER (PARTITION BY {KEYS} ORDER BY n DESC, first) AS second, sum(n) OVER (PARTITION BY {KEYS}) AS total FROM votes),
-plural AS (SELECT {KEYS}, CASE WHEN second IS NULL OR n > second THEN winner ELSE 'tie' END AS winner, round(n::DOUBLE / total, 3) AS agreement, total::BIGINT AS num_rounds FROM ranked WHERE rn = 1)"""
-MEDIANS = f"""medians AS (SELECT {KEYS}, {", ".join(f"round(median({side(s, d)}), 1) AS {s}_{d}" for s in "ab" for d in k.DIMENSIONS)}, count_if(sw) AS position_swaps FROM judged GROUP BY ALL)"""
+plural AS (SELECT {KEYS}, CASE WHEN second IS NULL OR n > second THEN winner ELSE 'tie' END AS winner, round(n::DOUBLE / total + 1e-9, 3) AS agreement, total::BIGINT AS num_rounds FROM ranked WHERE rn = 1)"""
+MEDIANS = f"""medians AS (SELECT {KEYS}, {", ".join(f"round(median({side(s, d)}) + 1e-9, 1) AS {s}_{d}" for s in "ab" for d in k.DIMENSIONS)}, count_if(sw) AS position_swaps FROM judged GROUP BY ALL)"""
 
 #: Both sides of every comparison as single judgements of a version.
 SINGLES = f"""singles AS (SELECT prompt_id, model_a AS model_version, sa AS s FROM judged UNION ALL SELECT prompt_id, model_b, sb FROM judged),
-rounds AS (SELECT prompt_id, model_version, count(*) AS num_rounds, {", ".join(f"round(median(coalesce(s.{d}, 0.0)), 1) AS {d}" for d in k.DIMENSIONS)},
+rounds AS (SELECT prompt_id, model_version, count(*) AS num_rounds, {", ".join(f"round(median(coalesce(s.{d}, 0.0)) + 1e-9, 1) AS {d}" for d in k.DIMENSIONS)},
   greatest({", ".join(f"stddev_pop(coalesce(s.{d}, 0.0))" for d in k.DIMENSIONS)}) AS std FROM singles GROUP BY ALL),
-single_rounds AS (SELECT * EXCLUDE (std), round(std, 3) AS max_std, round(std, 9) > 1.5 AS uncertain FROM rounds)"""
+single_rounds AS (SELECT * EXCLUDE (std), round(std + 1e-9, 3) AS max_std, round(std, 9) > 1.5 AS uncertain FROM rounds)"""
