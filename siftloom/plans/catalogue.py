@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftloom.plans import eval_queries, text_queries
+from siftloom.plans import eval_queries, io_queries, text_queries
 
-MODULES = (text_queries, eval_queries)
+MODULES = (text_queries, eval_queries, io_queries)
 
 
 def queries() -> dict:
