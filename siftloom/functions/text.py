@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
+from siftloom.functions import ngrams
 
 
 def let(value: Column, body) -> Column:
@@ -46,7 +47,7 @@ def sentences(c: Column | str) -> Column:
 
 def sentence_count(c: Column | str) -> Column:
     """Number of sentences without building them: every mark ends one, and a remainder that isn't blank is one more."""
-    rest = F.regexp_replace(F.regexp_extract(text(c), f"[^{k.SENTENCE_MARKS}]*$", 0), k.WS_JAVA + "+", "")
+    rest = F.regexp_replace(F.regexp_replace(text(c), f"(?s)^.*[{k.SENTENCE_MARKS}]", ""), k.WS_JAVA + "+", "")
     return (F.regexp_count(text(c), F.lit(f"[{k.SENTENCE_MARKS}]")) + (rest != "").cast("int")).cast("bigint")
 
 
@@ -81,9 +82,18 @@ def repetition_rate(gram: Column) -> Column:
 
 
 def char_repetition(c: Column | str, n: int) -> Column:
+    """The rate of n-grams of characters: sizes 3 to 5 by whole batches, others by arrays."""
+    if n in ngrams.SIZES:
+        return ngrams.repetition(text(c))[f"char_{n}"]
     return repetition_rate(grams(char_array(c), n))
 
 
+def paragraph_lengths(c: Column | str) -> Column:
+    """Characters without white space of each paragraph that is not blank."""
+    plain = F.regexp_replace(text(c), f"[{k.WS_JAVA}&&[^\\n]]+", "")
+    return F.filter(F.transform(F.split(plain, "\n+"), lambda p: F.char_length(p).cast("double")), lambda x: x > 0)
+
+
 def present(c: Column, phrases: list[str]) -> Column:
     """The phrases that a text holds, in list order."""
     return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(c, p))

@@ -1,7 +1,7 @@
 """Text profiles of generated answers, rule judge, rule corrections, long-answer classes, difficulty.
 
 Every operator adds columns to its input, keeps all rows, and treats a null text as empty. The
-character array of a text is built once and shared by all n-gram rates of the row.
+n-gram rates of a text come from one pass over whole Arrow batches; all else stays in the JVM.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
+from siftloom.functions import ngrams
 from siftloom.functions import text as t
 
-SIZES = (3, 4, 5)
+SIZES = ngrams.SIZES
 
 
 def repetition_profile(df: DataFrame, column: str) -> DataFrame:
@@ -20,13 +21,11 @@ def repetition_profile(df: DataFrame, column: str) -> DataFrame:
 
     half_split_repeat is the 4-gram rate of the whole text, whatever its name suggests.
     """
-    chars = df.withColumn("_chars", t.char_array(column))
-    out = chars
-    for n in SIZES:
-        out = out.withColumn(f"char_{n}", F.round(t.repetition_rate(t.grams(F.col("_chars"), n)) + 1e-12, 4))
-    for n in SIZES:
-        out = out.withColumn(f"word_{n}", F.col(f"char_{n}"))
-    return out.withColumn("half_split_repeat", F.when(F.char_length(t.text(column)) > 1, F.col("char_4")).otherwise(0.0)).withColumn("total_chars", F.size("_chars").cast("bigint")).drop("_chars")
+    out = df.withColumn("_r", ngrams.repetition(t.text(column)))
+    for name in ("char", "word"):
+        for n in SIZES:
+            out = out.withColumn(f"{name}_{n}", F.round(F.col(f"_r.char_{n}") + 1e-12, 4))
+    return out.withColumn("half_split_repeat", F.when(F.char_length(t.text(column)) > 1, F.col("char_4")).otherwise(0.0)).withColumn("total_chars", t.count_chars(column)).drop("_r")
 
 
 def worst_rate() -> Column:
@@ -40,19 +39,19 @@ def worst_name() -> Column:
 
 def structure_profile(df: DataFrame, column: str) -> DataFrame:
     """Counts of paragraphs, sentences, headings and list items, mean and deviation of paragraph lengths."""
-    out = df.withColumn("_lengths", F.transform(t.paragraphs(column), lambda p: t.count_chars(p).cast("double")))
-    n = F.greatest(F.size("_lengths"), F.lit(1))
-    mean = F.aggregate("_lengths", F.lit(0.0), lambda a, x: a + x) / n
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    spread = lambda a, m: F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.greatest(F.size(a), F.lit(1)))
+    measure = t.let(t.paragraph_lengths(column), lambda a: t.let(total(a) / F.greatest(F.size(a), F.lit(1)), lambda m: F.struct(F.size(a).alias("n"), m.alias("mean"), spread(a, m).alias("std"))))
     return (
-        out.withColumn("paragraph_count", F.size("_lengths").cast("bigint"))
+        df.withColumn("_p", measure)
+        .withColumn("paragraph_count", F.col("_p.n").cast("bigint"))
         .withColumn("sentence_count", t.sentence_count(column))
-        .withColumn("_mean", mean)
-        .withColumn("avg_paragraph_length", F.round("_mean", 1))
-        .withColumn("paragraph_length_std", F.round(F.sqrt(F.aggregate(F.transform("_lengths", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), F.lit(0.0), lambda a, x: a + x) / n), 1))
+        .withColumn("avg_paragraph_length", F.round("_p.mean", 1))
+        .withColumn("paragraph_length_std", F.round("_p.std", 1))
         .withColumn("heading_count", t.headings(column))
         .withColumn("list_item_count", t.list_items(column))
         .withColumn("chars_per_sentence", F.round(t.count_chars(column) / F.greatest(F.col("sentence_count"), F.lit(1)), 1))
-        .drop("_lengths", "_mean")
+        .drop("_p")
     )
 
 
