@@ -26,7 +26,7 @@ from siftloom.llm.endings import SAMPLE_ROWS, EndModel
 from siftloom.llm.language import LANGUAGES, LanguageModel
 from siftloom.llm.language import SAMPLE_ROWS as LANGUAGE_ROWS
 from siftloom.llm.repetition import bounded_sample
-from siftloom.llm.textbatch import chunks
+from siftloom.functions.textbatch import chunks
 from siftloom.session import work_table
 
 #: Evidence (letters, Chinese ones as three) and nats a letter by which another language must win.

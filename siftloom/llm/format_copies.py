@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.textbatch import DIGIT, SKIP, TextBatch, chunks, mix64, prefix_hash, span_hash, tables
+from siftloom.functions.textbatch import DIGIT, SKIP, TextBatch, chunks, mix64, prefix_hash, span_hash, tables
 
 #: Operator signs, and what else is a sign between a pair of $.
 OPERATORS = "+-*/=^<>×÷±≤≥≠≈√∑"

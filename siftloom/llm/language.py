@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from siftloom.llm.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
+from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
 
 LANGUAGES = ("zh", "en", "de", "es")
 #: Hash buckets of n-grams, longest n-gram, labelled rows of the fit.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.textbatch import TextBatch, chunks, mix64
+from siftloom.functions.textbatch import TextBatch, chunks, mix64
 from siftloom.session import cut, work_table
 
 #: Characters of a piece; plain similarity of a pair; weighted similarity that candidates must have before the exact check.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
 from siftloom.llm.endings import SENTENCE_END, EndModel
-from siftloom.llm.textbatch import TextBatch, chunks
+from siftloom.functions.textbatch import TextBatch, chunks
 
 #: A peak has at least so many rows and is so many times as frequent as the mean of its neighbours within WINDOW.
 PEAK_ROWS, PEAK_TIMES, WINDOW, SHORTEST_LIMIT = 8, 6.0, 20, 40
