@@ -68,7 +68,9 @@ def spring_rank(games: DataFrame, items: DataFrame | None = None, alpha: float =
         nxt = state.agg(F.sum(F.col("r") * F.col("r") / F.col("diag"))).first()[0]
         state = state.withColumn("p", F.col("r") / F.col("diag") + (nxt / rz) * F.col("p"))
         rz = nxt
-    return state.select("item", F.col("games").cast("bigint").alias("games"), F.col("s").alias("strength"))
+    # the system leaves the common level almost free: strengths are told from their mean over the items that played
+    level = state.where("games > 0").agg(F.avg("s")).first()[0] or 0.0
+    return state.select("item", F.col("games").cast("bigint").alias("games"), F.when(F.col("games") > 0, F.col("s") - level).otherwise(0.0).alias("strength"))
 
 
 def ranking(games: DataFrame, items: DataFrame | None = None) -> DataFrame:

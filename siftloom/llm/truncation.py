@@ -42,17 +42,17 @@ _OPENERS, _CLOSERS = "（(「『“【《[{", "）)」』”】》]}"
 
 
 #: Classes of code points that are rare enough to be counted one by one.
-_QUOTE, _AMP, _ANGLE, _APOS, _SHORT_ESCAPE, _LINE_END, _CONTROL, _TWO_BYTES, _ASTRAL, _FOUR_GB = range(1, 11)
+_QUOTE, _AMP, _ANGLE, _APOS, _SHORT_ESCAPE, _LINE_END, _CONTROL, _TWO_BYTES, _ASTRAL, _FOUR_GB, _TWO_FOUR_GB = range(1, 12)
 
 
 @functools.cache
 def _classes() -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
-    out[0x2E00:0x10000] = 0
-    out[0x800:0x10000] = _FOUR_GB
-    for lo, hi in ((0x4E00, 0x9FA6), (0x3000, 0x3040), (0x2010, 0x2027), (0xFF01, 0xFF5F)):
-        out[lo:hi] = 0
-    out[0x80:0x800], out[0x10000:] = _TWO_BYTES, _ASTRAL
+    for c in range(0x80, 0x10000):
+        if not 0xD800 <= c < 0xE000:
+            four = len(chr(c).encode("gb18030")) == 4
+            out[c] = (_TWO_FOUR_GB if four else _TWO_BYTES) if c < 0x800 else _FOUR_GB if four else 0
+    out[0x10000:] = _ASTRAL
     out[:32] = _CONTROL
     for c, k in ((34, _QUOTE), (38, _AMP), (60, _ANGLE), (62, _ANGLE), (39, _APOS), (92, _SHORT_ESCAPE), (8, _SHORT_ESCAPE), (9, _SHORT_ESCAPE), (12, _SHORT_ESCAPE), (13, _SHORT_ESCAPE), (10, _LINE_END)):
         out[c] = k
@@ -68,9 +68,9 @@ def lengths(texts: pa.Array, batch: TextBatch | None = None) -> np.ndarray:
     k = cls[at]
     own = np.searchsorted(b.off, at, "right") - 1
     # empty texts share their start with the next one: searchsorted on the right gives the text that holds the place
-    count = np.bincount(own * 11 + k, minlength=m * 11).reshape(m, 11) if m else np.zeros((0, 11), np.int64)
+    count = np.bincount(own * 12 + k, minlength=m * 12).reshape(m, 12) if m else np.zeros((0, 12), np.int64)
     utf8 = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    two, astral, four = count[:, _TWO_BYTES], count[:, _ASTRAL], count[:, _FOUR_GB]
+    two, astral, four = count[:, _TWO_BYTES] + count[:, _TWO_FOUR_GB], count[:, _ASTRAL], count[:, _FOUR_GB] + count[:, _TWO_FOUR_GB]
     three = (utf8 - n - two - 3 * astral) // 2
     gb = n + two + three + astral + 2 * (astral + four)
     html = 5 * count[:, _QUOTE] + 4 * count[:, _AMP] + 3 * count[:, _ANGLE] + 5 * count[:, _APOS]
@@ -116,7 +116,7 @@ def hidden_limits(counts: DataFrame) -> DataFrame:
     usual = joined.groupBy("source", "encoding", "length", "n").agg((F.coalesce(F.sum("m"), F.lit(0)) / F.lit(2 * WINDOW)).alias("usual"))
     peaks = usual.where(F.col("n") > PEAK_TIMES * F.col("usual") + PEAK_ROWS / 2)
     # the same limit shows, weaker, in related encodings: keep the encoding that explains most rows of the source
-    best = peaks.groupBy("source").agg(F.max_by("encoding", (F.col("n") - F.col("usual")) * (1 - 0.005 * F.col("encoding"))).alias("best"))
+    best = peaks.groupBy("source").agg(F.max_by("encoding", (F.col("n") - F.col("usual")) * (1 - 0.02 * F.col("encoding"))).alias("best"))
     peaks = peaks.alias("p").join(best.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.encoding") == F.col("b.best")))
     return peaks.select("p.source", "p.encoding", "p.length", "p.n", "p.usual")
 
