@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.operators import parse
+from siftloom.operators import mathcheck, parse
 from siftloom.plans import judging, pipeline
 from siftloom.session import shared_dir, table
 from siftloom.sources import readers, writers
@@ -78,6 +78,12 @@ def rendered_steps(spark: SparkSession, d: str) -> DataFrame:
 SQL["rendered_steps"] = "SELECT row_id, md5(coalesce(array_to_string(list_transform(cot_steps, lambda s: '**步骤 ' || s.step_number || '**（' || coalesce(s.step_type, '') || '）' || chr(10) || coalesce(s.content, '') || CASE WHEN coalesce(s.formula, '') <> '' THEN chr(10) || '$$' || s.formula || '$$' ELSE '' END), chr(10) || chr(10)), '')) AS digest FROM output_items WHERE cot_steps IS NOT NULL"
 
 
+def equation_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas of steps by whether they are true, false, or no numeric equation."""
+    df = table(spark, d, "output_items").where("cot_steps is not null").select(F.explode("cot_steps.formula").alias("f"))
+    return df.select(mathcheck.holds(F.col("f")).alias("holds")).groupBy("holds").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pipeline_report(spark: SparkSession, d: str) -> DataFrame:
     """The corpus pipeline with the offline generator and judge, by level and result."""
     corpus = table(spark, d, "corpus").where("question is not null").select(F.col("row_id").alias("pos"), "id", "question", "answer")

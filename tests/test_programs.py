@@ -100,3 +100,36 @@ def test_config(tmp_path, monkeypatch):
 
 def test_every_twin_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_steps_are_verified_and_reworked(spark):
+    from siftloom.plans import steps
+
+    class Generator:
+        def ask(self, message, temperature):
+            if "坏" in message:
+                return "no json"
+            wrong = "总分" not in message
+            return json.dumps({"thinking": "想", "steps": [{"step_number": 1, "step_type": "calc", "content": "错" if wrong else "对", "formula": "1+1=2"}], "final_answer": "2"}, ensure_ascii=False)
+
+    class Judge:
+        def ask(self, message, temperature):
+            good = "错" not in message
+            return "评: " + json.dumps({"step_verifications": [{"step_number": 1, "is_correct": good}], "final_answer_correct": good, "chain_coherence": 0.9, "suggestion": "改"})
+
+    items = spark.createDataFrame([(0, "0", "一加一"), (1, "1", "坏")], "pos bigint, id string, question string")
+    got = {r.pos: r for r in steps.run(items, Generator(), Judge()).collect()}
+    assert got[0].rework_count == 1 and got[0].cot_evaluation.passed and "**最终答案：** 2" in got[0].answer and "$$1+1=2$$" in got[0].answer
+    assert got[1].cot_steps is None and got[1].cot_evaluation is None and got[1].answer == ""
+    vote = steps.self_consistency(items.where("pos = 0"), judging.TableModel({"一加一": "最终答案：2。"})).first()
+    assert (vote.best_answer, vote.confidence, vote.paths) == ("2", 1.0, 5)
+    p = steps.plan(judging.TableModel({"做\n\na": 'x {"task_type": "cot", "domain": "math", "system_prompt": "s"}'}), "做", ["a"])
+    assert (p.task_type, p.domain, p.prompts) == ("generate", "math", {"system_prompt": "s"})
+
+
+def test_equations(spark):
+    from siftloom.operators import mathcheck
+
+    cases = {"1+1=2": True, "$\\frac{6}{4} = 1.5$": True, "2^3 = 9": False, "x + 1 = 2": None, "1/0 = 1": None, "": None, None: None, "9**9**9 = 1": None, "3×4=12": True}
+    df = spark.createDataFrame(list(cases.items()), "s string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", mathcheck.holds(F.col("s")).alias("got")).collect())
