@@ -109,7 +109,7 @@ def variates() -> tuple[np.ndarray, ...]:
     return r.astype(np.float32), (1 / r).astype(np.float32), np.log(rng.gamma(2.0, 1.0, (HASHES, POOL))).astype(np.float32), rng.random((HASHES, POOL)).astype(np.float32)
 
 
-def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, block: int = 1 << 16) -> np.ndarray:
+def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, block: int = 1 << 14) -> np.ndarray:
     """samples[k, text]: the piece drawn by hash function k; a text without pieces gets its own number."""
     r, inverse, ln_c, beta = variates()
     out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 99)[None], HASHES, axis=0)
@@ -118,19 +118,20 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
     starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
     have = texts[starts]
     ln_w = np.log(weights).astype(np.float32)
-    small = (pieces & np.uint64(0xFFFFFFFF))
+    small = pieces & np.uint64(0xFFFFFFFF)
+    short = small.astype(np.uint32)
     rng = np.random.default_rng(77)
-    odd = rng.integers(0, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = np.uint64(64 - int(math.log2(POOL)))
+    odd = rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shift = np.uint32(32 - int(math.log2(POOL)))
     score = np.empty(len(pieces), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(HASHES):
             for lo in range(0, len(pieces), block):
                 hi = lo + block
-                at = ((pieces[lo:hi] * odd[k]) >> shift).astype(np.int32)
-                rk, bk = r[k].take(at), beta[k].take(at)
-                t = np.floor(ln_w[lo:hi] * inverse[k].take(at) + bk)
-                ln_a = ln_c[k].take(at) - rk * (t - bk) - rk
+                at = ((short[lo:hi] * odd[k]) >> shift).view(np.int32)
+                rk, bk = r[k].take(at, mode="clip"), beta[k].take(at, mode="clip")
+                t = np.floor(ln_w[lo:hi] * inverse[k].take(at, mode="clip") + bk)
+                ln_a = ln_c[k].take(at, mode="clip") - rk * (t - bk) - rk
                 # positive floats order like their bits; the piece itself breaks ties and is the sample
                 score[lo:hi] = ((ln_a + np.float32(200)).view(np.uint32).astype(np.uint64) << np.uint64(32)) | small[lo:hi]
             out[k, have] = np.minimum.reduceat(score, starts) & np.uint64(0xFFFFFFFF)

@@ -39,11 +39,11 @@ def comparisons(df: DataFrame) -> DataFrame:
     )
 
 
-def spring_rank(games: DataFrame, items: DataFrame | None = None, alpha: float = 1e-6, tolerance: float = 1e-9, max_steps: int = 200, cut_every: int = 8) -> DataFrame:
+def spring_rank(games: DataFrame, items: DataFrame | None = None, alpha: float = 1e-6, tolerance: float = 1e-9, max_steps: int = 200) -> DataFrame:
     """(item, games, strength) from (a, b, y); items (item) adds those without any game.
 
     Items stay a DataFrame, so their number is not bounded by the driver; only scalars of the iteration reach it.
-    The lineage is cut every cut_every steps with a checkpoint in the shared folder.
+    The lineage is cut in every step with a checkpoint in the shared folder.
     """
     way = games.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("d"))
     both = way.unionAll(way.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", (-F.col("d")).alias("d")))
