@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Code points processed at once, unless a single text is longer.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 
 SKIP, LETTER, DIGIT, CJK = 0, 1, 2, 3
 

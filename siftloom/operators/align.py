@@ -7,12 +7,15 @@ on the map side. Null ids never align.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
 from siftloom.functions import text as t
 
+#: Versions that one coverage report may have: their number is checked.
+MOST_VERSIONS = 10_000
+
 
 def keep_last(df: DataFrame, keys: list[str], pos: str, *columns: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), pos).alias("_s")).select(*keys, "_s.*")
@@ -61,15 +64,20 @@ def coverage(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
     """(model_version, covered, missing, extra, rate, first_missing) against the listed prompts (C7, C8); no prompts give rate 0."""
     ids = prompts.select("prompt_id").where("prompt_id is not null").distinct()
     have = outputs.where(F.col("model_version").isNotNull() & F.col("prompt_id").isNotNull()).select("model_version", "prompt_id").distinct()
-    versions = have.select("model_version").distinct()
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
-    # versions are few and prompts a list: each pair is looked up once
-    wanted = versions.join(F.broadcast(ids.agg(F.collect_list("prompt_id").alias("all")))).select("model_version", F.explode_outer("all").alias("prompt_id"))
-    gone = wanted.join(have, ["model_version", "prompt_id"], "left_anti").where("prompt_id is not null").groupBy("model_version").agg(F.count(F.lit(1)).alias("missing"), F.slice(F.sort_array(F.collect_list("prompt_id")), 1, 10).alias("first_missing"))
+    n = ids.count()
+    versions = [r[0] for r in have.select("model_version").distinct().limit(MOST_VERSIONS + 1).collect()]
+    if len(versions) > MOST_VERSIONS:
+        raise ValueError(f"more than {MOST_VERSIONS} versions")
+    by_prompt = have.groupBy("prompt_id").agg(F.collect_set("model_version").alias("have"))
+    every = F.array(*[F.lit(v) for v in versions]).cast("array<string>")
+    gone = ids.join(by_prompt, "prompt_id", "left").select("prompt_id", F.explode(F.array_except(every, F.coalesce("have", F.array().cast("array<string>")))).alias("model_version"))
+    first = gone
+    for part in (["model_version", F.pmod(F.xxhash64("prompt_id"), F.lit(64))], ["model_version"]):  # the first ten of 64 parts, then of all
+        first = first.withColumn("_i", F.row_number().over(Window.partitionBy(*part).orderBy("prompt_id"))).where("_i <= 10").drop("_i")
+    lists = first.groupBy("model_version").agg(F.array_join(F.sort_array(F.collect_list("prompt_id")), ",").alias("first_missing"))
     known = have.join(ids.withColumn("known", F.lit(True)), "prompt_id", "left").groupBy("model_version").agg(F.count_if("known").alias("covered"), F.count_if(F.col("known").isNull()).alias("extra"))
-    total = F.broadcast(n)
-    rows = known.join(gone, "model_version", "left").join(total)
-    return rows.select("model_version", "covered", F.coalesce("missing", F.lit(0)).alias("missing"), "extra", F.when(F.col("n") == 0, F.lit("0.0%")).otherwise(F.format_string("%.1f%%", F.col("covered") * 100.0 / F.col("n") + 1e-9)).alias("rate"), F.array_join(F.coalesce("first_missing", F.array().cast("array<string>")), ",").alias("first_missing"))
+    rate = F.lit("0.0%") if n == 0 else F.format_string("%.1f%%", F.col("covered") * 100.0 / n + 1e-9)
+    return known.join(lists, "model_version", "left").select("model_version", "covered", (F.lit(n) - F.col("covered")).alias("missing"), "extra", rate.alias("rate"), F.coalesce("first_missing", F.lit("")).alias("first_missing"))
 
 
 def missing_ids(outputs: DataFrame, prompts: DataFrame) -> DataFrame:

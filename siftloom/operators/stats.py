@@ -22,10 +22,13 @@ def basic(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, ratio: float = 0.1) -> DataFrame:
     """Mean without int(n * ratio) values at each end, at least one kept."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    cut = F.greatest(F.lit(0), F.least(F.floor(n * ratio), F.floor(n / 2) - 1))
-    return df.where(F.col(value).isNotNull()).withColumn("_r", rank).withColumn("_n", n).withColumn("_c", cut).where("_r > _c and _r <= _n - _c").groupBy(*keys).agg(F.round(F.avg(value), 4).alias("trimmed_mean"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))
+    placed = counts.withColumn("_to", upto).withColumn("_n", F.sum("c").over(Window.partitionBy(*keys)))
+    cut = F.greatest(F.lit(0), F.least(F.floor(F.col("_n") * ratio), F.floor(F.col("_n") / 2) - 1))
+    kept = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("_n") - cut) - F.greatest(F.col("_to") - F.col("c"), cut))
+    g = placed.withColumn("_k", kept).groupBy(*keys).agg(F.sum(F.col("v") * F.col("_k")).alias("_s"), F.sum("_k").alias("_k"))
+    return g.select(*keys, F.round(F.col("_s") / F.col("_k"), 4).alias("trimmed_mean"))
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, draws: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
@@ -76,9 +79,11 @@ def wilcoxon(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """
     d = df.withColumn("_d", F.round(F.col(x) - F.col(y), 9))
     some = d.where("_d != 0").withColumn("_abs", F.abs("_d"))
-    mean_rank = F.rank().over(Window.partitionBy(*keys).orderBy("_abs")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_abs")) - 1) / 2
-    ranked = some.withColumn("_rank", mean_rank)
-    w = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0.0)).alias("_up"), F.sum(F.when(F.col("_d") < 0, F.col("_rank")).otherwise(0.0)).alias("_down"))
+    # rows of equal size share their rank, so ranks are running sums over the distinct sizes
+    sizes = some.groupBy(*keys, "_abs").agg(F.count_if(F.col("_d") > 0).alias("_u"), F.count_if(F.col("_d") < 0).alias("_v"))
+    both = F.col("_u") + F.col("_v")
+    ranked = sizes.withColumn("_rank", F.sum(both).over(Window.partitionBy(*keys).orderBy("_abs")) - (both - 1) / 2)
+    w = ranked.groupBy(*keys).agg(F.sum(both).alias("n"), F.sum(F.col("_rank") * F.col("_u")).alias("_up"), F.sum(F.col("_rank") * F.col("_v")).alias("_down"))
     everyone = d.select(*keys).distinct()
     n = F.coalesce("n", F.lit(0))
     stat = F.coalesce(F.least("_up", "_down"), F.lit(0.0))
