@@ -50,7 +50,7 @@ ADDRESS_ES = re.compile(r"\b(?:Calle|Avenida|Plaza|Paseo|Camino|Ronda|Carrera|Tr
 ADDRESS_DE = re.compile(r"\b(?:(?:Am|An der|Im|Zum|Zur|Auf der|In der|Unter den) )?[A-ZÄÖÜ][\wäöüß]+(?:-[A-ZÄÖÜ][\wäöüß]+)* \d{1,4}[a-z]?, \d{5} [A-ZÄÖÜ][\wäöüß]+")
 #: Capitalised words that start sentences and are no part of a name.
 NO_NAME = "Yesterday|Today|Tomorrow|Gestern|Heute|Morgen|Ayer|Hoy|Mañana|The|This|That|When|Then|Later|Dear|Hello|From|Contact|Graded|Call|Text|Write|Send|Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Señor|Señora"
-NAME = re.compile(rf"(?<![\w\-'.])(?!(?:{NO_NAME})\b)(?:(?:[A-Z][a-zà-ÿ]+|[A-Z]\.)(?: [A-Z]\.)? [A-Z][a-zà-ÿ]{2,}|[A-Z][a-zà-ÿ]{2,}, [A-Z][a-zà-ÿ]{2,})(?![\w\-'])")
+NAME = re.compile(rf"(?<![\w\-'.])(?!(?:{NO_NAME})\b)(?:(?:[A-Z][a-zà-ÿ]+|[A-Z]\.)(?: [A-Z]\.)? [A-Z][a-zà-ÿ]{{2,}}|[A-Z][a-zà-ÿ]{{2,}}, [A-Z][a-zà-ÿ]{{2,}})(?![\w\-'])")
 NAME_ZH = re.compile(rf"(?:(?<=[由天是找请给与和向：: ，。、！？；\n(（])|^)(?:{'|'.join(FAMILY_NAMES)})[{_H}]{{1,2}}(?=同学|老师|先生|女士|教授|博士|助教|学长|学姐|在群|在此|说|问|[，。、；！？）)\s]|$)", re.M)
 _GATE = re.compile(r"\d{5}|[@＠]|[\[(（]at[\])）]", re.I)
 
