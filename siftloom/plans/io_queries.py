@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.functions import constants as k
 from siftloom.operators import mathcheck, parse
-from siftloom.plans import judging, pipeline
+from siftloom.plans import judging, pipeline, text_queries
 from siftloom.session import shared_dir, table
 from siftloom.sources import readers, writers
 
@@ -96,5 +97,11 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.evaluate_outputs(table(spark, d, "model_outputs"), table(spark, d, "prompts"))["summary"]
 
 
+_AVG = "round(avg(m) + 1e-9, 3)"
+SQL["evaluation_report"] = text_queries.RULED + f""", pr AS (SELECT DISTINCT prompt_id FROM prompts), j AS (SELECT prompt_id, model_version, rule_score FROM ruled JOIN pr USING (prompt_id)),
+agg AS (SELECT prompt_id, model_version, round(median(rule_score) + 1e-9, 1) AS m, round(stddev_pop(rule_score) + 1e-9, 3) AS s, round(stddev_pop(rule_score), 9) > 1.5 AS u FROM j GROUP BY ALL)
+SELECT model_version, count(*) AS total, {_AVG} AS mean_score, {', '.join(f'{_AVG} AS {d}' for d in k.DIMENSIONS)}, count_if(m < 2.5) AS low, count_if(m >= 2.5 AND m < 3.5) AS mid, count_if(m >= 3.5) AS high, count_if(u) AS uncertain_count, round(avg(u::INT) + 1e-9, 3) AS uncertain_rate, round(avg(s) + 1e-9, 3) AS avg_max_std FROM agg GROUP BY ALL"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "queries"}

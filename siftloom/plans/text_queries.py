@@ -24,7 +24,7 @@ P = s.profile("model_outputs", "response", "row_id, prompt_id, model_version")
 def text_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: quality of all answers by version and difficulty of the answer's text."""
     df = profile.difficulty(profile.structure_profile(profile.repetition_profile(_responses(spark, d), "response"), "response"), "response")
-    return df.groupBy("model_version", "difficulty_level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("char_4"), 4).alias("avg_char_4"), F.sum("sentence_count").alias("sentences"), F.sum("paragraph_count").alias("paragraphs"))
+    return df.groupBy("model_version", "difficulty_level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("char_4") + 1e-9, 4).alias("avg_char_4"), F.sum("sentence_count").alias("sentences"), F.sum("paragraph_count").alias("paragraphs"))
 
 
 def char_ngram_repetition(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +116,9 @@ def _difficulty_sql(c: str) -> str:
 _LEVEL = "CASE WHEN difficulty_score >= 5 THEN 'hard' WHEN difficulty_score >= 2 THEN 'medium' ELSE 'easy' END"
 
 
+SQL["text_quality_summary"] = P + f", g AS (SELECT *, {_difficulty_sql('t')} AS difficulty_score FROM full_profile) SELECT model_version, {_LEVEL} AS difficulty_level, count(*) AS n, round(avg(char_4) + 1e-9, 4) AS avg_char_4, sum(sentence_count)::BIGINT AS sentences, sum(paragraph_count)::BIGINT AS paragraphs FROM g GROUP BY ALL"
+
+
 def difficulty_levels(spark: SparkSession, d: str) -> DataFrame:
     return profile.difficulty(table(spark, d, "corpus").select("row_id", "question"), "question").select("row_id", "difficulty_score", "difficulty_level")
 
@@ -131,7 +134,7 @@ def difficulty_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["difficulty_histogram"] = f"WITH q AS (SELECT {_difficulty_sql('question')} AS difficulty_score FROM corpus), l AS (SELECT {_LEVEL} AS difficulty_level FROM q) SELECT v.difficulty_level, count(l.difficulty_level) AS n FROM (VALUES ('easy'), ('medium'), ('hard')) v(difficulty_level) LEFT JOIN l USING (difficulty_level) GROUP BY ALL"
 
-_RULE = f"""
+RULED = f"""
 WITH b AS (SELECT row_id, prompt_id, model_version, {s.text('response')} AS t, {s.compact('response')} AS c FROM model_outputs),
 q AS (SELECT *, string_split(c, '') AS ch, length(c) AS cn, {s.sentence_count('t')} AS sc FROM b),
 r AS (SELECT *, {s.rate(4)} AS rate, len({s.present('right(t, 200)', k.TEMPLATE_ENDINGS)}) AS tpl, len({s.present('t', k.ASSISTANT_PHRASES)}) AS ast FROM q),
@@ -142,7 +145,7 @@ def rule_judge_single(spark: SparkSession, d: str) -> DataFrame:
     return profile.rule_score(_responses(spark, d), "response").select("row_id", "length", "sentence_count", "rule_score")
 
 
-SQL["rule_judge_single"] = _RULE + " SELECT row_id, length, sentence_count, rule_score FROM ruled"
+SQL["rule_judge_single"] = RULED + " SELECT row_id, length, sentence_count, rule_score FROM ruled"
 
 
 def rule_judge_pairwise(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +157,7 @@ def rule_judge_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "prompt_id").select("prompt_id", "a", "b", profile.rule_winner(F.col("a"), F.col("b")).alias("winner"))
 
 
-SQL["rule_judge_pairwise"] = _RULE + """, last AS (SELECT prompt_id, model_version, arg_max(rule_score, row_id) AS rs FROM ruled WHERE model_version IS NOT NULL AND prompt_id IS NOT NULL GROUP BY ALL)
+SQL["rule_judge_pairwise"] = RULED + """, last AS (SELECT prompt_id, model_version, arg_max(rule_score, row_id) AS rs FROM ruled WHERE model_version IS NOT NULL AND prompt_id IS NOT NULL GROUP BY ALL)
 SELECT prompt_id, x.rs AS a, y.rs AS b, CASE WHEN x.rs > y.rs + 0.2::DOUBLE THEN 'A' WHEN y.rs > x.rs + 0.2::DOUBLE THEN 'B' ELSE 'tie' END AS winner FROM last x JOIN last y USING (prompt_id) WHERE x.model_version = 'harrow-1' AND y.model_version = 'harrow-2'"""
 
 
