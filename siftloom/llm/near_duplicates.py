@@ -31,6 +31,8 @@ from siftloom.session import cut, work_table
 PIECE, SIMILARITY, WEIGHTED = 3, 0.7, 0.2
 #: Buckets of the document frequencies; samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
 DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 24
+#: Bits of a 64-bit sort key that name the text within its chunk; the others are the piece, the same in every chunk.
+OWNER_BITS = 24
 #: Size of the pools of random variates of the sampling.
 POOL = 1 << 13
 #: Added to the inverse document frequency, so that pieces found everywhere keep some weight; its power: shared phrases
@@ -65,7 +67,7 @@ def piece_sets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = (h << np.uint64(21)) | c[j : j + n]
     ok = own[:n] == own[PIECE - 1 :]
     h, o = mix64(h[ok]), own[:n][ok]
-    bits = np.uint64(max(1, int(len(batch)).bit_length()))
+    bits = np.uint64(OWNER_BITS)
     packed = np.sort((o.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
     first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(packed)))
