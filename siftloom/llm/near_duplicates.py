@@ -6,7 +6,7 @@ frequencies counted over all classes in hashed buckets (a table of fixed size).
 weighted sampling draws HASHES pieces of each set; BANDS bands of ROWS samples are the keys under
 which candidates meet, split further by set size, since sets of too different sizes cannot be
 similar. Candidates are verified by weighted Jaccard similarity and, where the plain similarity is
-asked for, by the exact share of common pieces.
+asked for, by the exact share of common pieces; pairs with a common similar class are verified as well.
 
 Similar classes are expanded to their rows only for the pair form of the result. Rows without any
 letter or digit are in no pair; null counts as empty; texts of one or two letters are similar only
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from siftloom.session import cut, work_table
 #: Characters of a piece; plain similarity of a pair; weighted similarity that candidates must have before the exact check.
 PIECE, SIMILARITY, WEIGHTED = 3, 0.7, 0.2
 #: Buckets of the document frequencies; samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
-DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 24
+DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 20
 #: Bits of a 64-bit sort key that name the text within its chunk; the others are the piece, the same in every chunk.
 OWNER_BITS = 24
 #: Size of the pools of random variates of the sampling.
@@ -210,7 +211,19 @@ def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: flo
     classes = work_table(classes_of(df, key, *columns), "classes")
     count = classes.count()
     idf = idf_table(document_frequencies(classes), count)
-    pairs = cut(candidate_pairs(band_keys(classes, idf), similarity))
+    sent = df.sparkSession.sparkContext.broadcast(idf)
+    drawn = cut(candidate_pairs(band_keys(classes, idf), similarity))
+    found = cut(verified(drawn, classes, sent, similarity, weighted))
+    # bands may miss a pair whose two sides are both similar to a third class: such pairs are verified, too
+    near = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    third = near.select(F.col("a").alias("mid"), F.col("b").alias("a")).join(near.select(F.col("a").alias("mid"), "b"), "mid").where("a < b").select("a", "b").distinct()
+    known = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(third.join(known, ["a", "b"], "left_anti"))
+    return classes, found.unionAll(verified(more, classes, sent, similarity, weighted))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: float, weighted: float) -> DataFrame:
+    """(a, b, similarity, weighted) of the candidates (a, b) that are similar by both measures."""
     kind = classes.schema["rep"].dataType.simpleString()
     ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
     some = classes.select("rep", "text")
@@ -219,17 +232,16 @@ def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: flo
     else:
         some = some.join(ids, "rep", "left_semi")
     texts = pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    sent = df.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at, to in chunks(whole.column(2)):
                 b = whole.slice(at, to - at)
-                plain, heavy = similarities(b.column(2), b.column(3), sent.value)
+                plain, heavy = similarities(b.column(2), b.column(3), idf.value)
                 ok = (plain >= similarity - 1e-9) & (heavy >= weighted)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain), pa.array(heavy)], ["a", "b", "similarity", "weighted"]).filter(pa.array(ok))
 
-    return classes, texts.mapInArrow(run, f"a {kind}, b {kind}, similarity double, weighted double")
+    return texts.mapInArrow(run, f"a {kind}, b {kind}, similarity double, weighted double")
 
 
 def members(df: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
