@@ -5,8 +5,10 @@ map-side aggregation. Class texts become TF-IDF weighted sets of 3-character pie
 frequencies counted over all classes in hashed buckets (a table of fixed size). Improved consistent
 weighted sampling draws HASHES pieces of each set; BANDS bands of ROWS samples are the keys under
 which candidates meet, split further by set size, since sets of too different sizes cannot be
-similar. Candidates are verified by weighted Jaccard similarity and, where the plain similarity is
-asked for, by the exact share of common pieces; pairs with a common similar class are verified as well.
+similar. Where the shared text is frequent, weights say little about the plain similarity: every
+text has bands of unweighted samples, too, and texts of mostly frequent pieces (HOT) meet under
+all pieces of their prefix, which finds every similar pair among them. The exact share of common
+pieces alone decides; pairs with a common similar class are verified as well.
 
 Similar classes are expanded to their rows only for the pair form of the result. Rows without any
 letter or digit are in no pair; null counts as empty; texts of one or two letters are similar only
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from siftloom.functions.textbatch import TextBatch, chunks, mix64
 from siftloom.session import cut, work_table
 
-#: Characters of a piece; plain similarity of a pair; weighted similarity that candidates must have before the exact check.
-PIECE, SIMILARITY, WEIGHTED = 3, 0.7, 0.2
+#: Characters of a piece; plain similarity of a pair.
+PIECE, SIMILARITY = 3, 0.7
 #: Buckets of the document frequencies; samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
 DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 20
+#: The same of the plain samples; their bands are narrower, since texts of one template share many plain samples.
+PLAIN_HASHES, PLAIN_ROWS, PLAIN_BANDS = 64, 7, 36
 #: Bits of a 64-bit sort key that name the text within its chunk; the others are the piece, the same in every chunk.
 OWNER_BITS = 24
 #: Size of the pools of random variates of the sampling.
@@ -41,6 +45,8 @@ POOL = 1 << 13
 FLOOR_IDF, POWER_IDF = 0.05, 1.5
 #: Pieces of more than this share of all texts have weight 0 in the sampling, except in texts with fewer than so many other pieces.
 COMMON, FEW = 0.05, 16
+#: Texts with at most this share of other pieces, all of which may be edits of one side of a similar pair, are joined by prefix.
+HOT = 0.3
 #: Ids of candidates up to which the class texts are filtered by a broadcast set before they are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -141,21 +147,52 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
     return out
 
 
+def plain_samples(pieces: np.ndarray, texts: np.ndarray, count: int) -> np.ndarray:
+    """samples[k, text]: the least hash of the text's pieces under hash function k, all pieces alike."""
+    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 98)[None], PLAIN_HASHES, axis=0)
+    if not len(pieces):
+        return out
+    starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
+    have, short = texts[starts], (pieces & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    odd = np.random.default_rng(78).integers(0, 1 << 31, PLAIN_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    with np.errstate(over="ignore"):
+        for k in range(PLAIN_HASHES):
+            h = short * odd[k]
+            out[k, have] = np.minimum.reduceat((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D), starts)
+    return out
+
+
 @functools.cache
-def bands() -> list[np.ndarray]:
+def bands(hashes: int = HASHES, rows: int = ROWS, count: int = BANDS) -> list[np.ndarray]:
     """The samples that make up each band."""
     rng = np.random.default_rng(5)
-    return [rng.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)]
+    return [rng.choice(hashes, rows, replace=False) for _ in range(count)]
+
+
+def rare_pieces(pieces: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf[bucket_of(pieces)] > (-math.log(COMMON) + FLOOR_IDF) ** POWER_IDF
 
 
 def drawn_from(pieces: np.ndarray, texts: np.ndarray, idf: np.ndarray, count: int) -> np.ndarray:
     """Mask of the pieces that the sampling draws from."""
-    rare = idf[bucket_of(pieces)] > (-math.log(COMMON) + FLOOR_IDF) ** POWER_IDF
+    rare = rare_pieces(pieces, idf)
     return rare | (np.bincount(texts[rare], minlength=count) < FEW)[texts]
 
 
-def band_keys(classes: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(rep, k, pieces) for every class and band; the band is part of the key k."""
+def prefixes(pieces: np.ndarray, texts: np.ndarray, idf: np.ndarray, count: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, piece) of the rarest pieces of the HOT texts: two of them that are similar have one of these in common."""
+    size = np.bincount(texts, minlength=count)
+    hot = np.bincount(texts[rare_pieces(pieces, idf)], minlength=count) <= HOT * size
+    pieces, texts = pieces[hot[texts]], texts[hot[texts]]
+    order = np.lexsort((pieces, -idf[bucket_of(pieces)], texts))
+    pieces, texts = pieces[order], texts[order]
+    place = np.arange(len(texts)) - np.searchsorted(texts, texts)
+    kept = place <= size[texts] - np.ceil(similarity * size[texts] - 1e-9)
+    return texts[kept], pieces[kept]
+
+
+def band_keys(classes: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(rep, k, pieces) for every class and band, weighted and plain, and every prefix piece; the band is part of the key k."""
     sent = classes.sparkSession.sparkContext.broadcast(idf)
     kind = classes.schema["rep"].dataType.simpleString()
 
@@ -165,15 +202,19 @@ def band_keys(classes: DataFrame, idf: np.ndarray) -> DataFrame:
                 ids, count = b.column(0).slice(at, to - at), to - at
                 pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, count)))
                 size = np.bincount(texts, minlength=count).astype(np.int32)
+                plain = plain_samples(pieces, texts, count)
+                hot, prefix = prefixes(pieces, texts, sent.value, count, similarity)
                 keep = drawn_from(pieces, texts, sent.value, count)
                 pieces, texts, times = pieces[keep], texts[keep], times[keep]
                 drawn = samples(pieces, texts, (1 + np.log(times)) * sent.value[bucket_of(pieces)], count)
                 some = np.flatnonzero(size)
-                for band, chosen in enumerate(bands()):
-                    key = np.full(len(some), band, np.uint64)
-                    for j, x in enumerate(chosen):
-                        key = mix64(key ^ drawn[x, some], j)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(key.view(np.int64)), pa.array(size[some])], ["rep", "k", "pieces"])
+                for first, sampled, parts in ((0, drawn, bands()), (BANDS, plain, bands(PLAIN_HASHES, PLAIN_ROWS, PLAIN_BANDS))):
+                    for band, chosen in enumerate(parts, first):
+                        key = np.full(len(some), band, np.uint64)
+                        for j, x in enumerate(chosen):
+                            key = mix64(key ^ sampled[x, some], j)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(key.view(np.int64)), pa.array(size[some])], ["rep", "k", "pieces"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hot)), pa.array(mix64(prefix, BANDS + PLAIN_BANDS).view(np.int64)), pa.array(size[hot])], ["rep", "k", "pieces"])
 
     return classes.select("rep", "text").mapInArrow(run, f"rep {kind}, k bigint, pieces int")
 
@@ -206,24 +247,24 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> tuple[np.ndarray,
     return both / np.maximum(size - both, 1), least / np.maximum(total - least, 1e-9)
 
 
-def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY, weighted: float = WEIGHTED) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes (rep, n, text), pairs (a, b, similarity, weighted)) of a table."""
     classes = work_table(classes_of(df, key, *columns), "classes")
     count = classes.count()
     idf = idf_table(document_frequencies(classes), count)
     sent = df.sparkSession.sparkContext.broadcast(idf)
-    drawn = cut(candidate_pairs(band_keys(classes, idf), similarity))
-    found = cut(verified(drawn, classes, sent, similarity, weighted))
+    drawn = cut(candidate_pairs(band_keys(classes, idf, similarity), similarity))
+    found = cut(verified(drawn, classes, sent, similarity))
     # bands may miss a pair whose two sides are both similar to a third class: such pairs are verified, too
     near = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     third = near.select(F.col("a").alias("mid"), F.col("b").alias("a")).join(near.select(F.col("a").alias("mid"), "b"), "mid").where("a < b").select("a", "b").distinct()
     known = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(third.join(known, ["a", "b"], "left_anti"))
-    return classes, found.unionAll(verified(more, classes, sent, similarity, weighted))
+    return classes, found.unionAll(verified(more, classes, sent, similarity))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: float, weighted: float) -> DataFrame:
-    """(a, b, similarity, weighted) of the candidates (a, b) that are similar by both measures."""
+def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """(a, b, similarity, weighted) of the candidates (a, b) that are similar; the weighted similarity decides nothing."""
     kind = classes.schema["rep"].dataType.simpleString()
     ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
     some = classes.select("rep", "text")
@@ -238,7 +279,7 @@ def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: f
             for at, to in chunks(whole.column(2)):
                 b = whole.slice(at, to - at)
                 plain, heavy = similarities(b.column(2), b.column(3), idf.value)
-                ok = (plain >= similarity - 1e-9) & (heavy >= weighted)
+                ok = plain >= similarity - 1e-9
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain), pa.array(heavy)], ["a", "b", "similarity", "weighted"]).filter(pa.array(ok))
 
     return texts.mapInArrow(run, f"a {kind}, b {kind}, similarity double, weighted double")

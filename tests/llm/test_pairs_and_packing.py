@@ -55,6 +55,19 @@ def test_hot_class_and_skewed_key(spark):
     assert {r.n for r in classes.collect()} == {1, 200}
 
 
+@pytest.mark.parametrize("own", [10, 28])
+def test_hot_family_of_edited_texts(spark, own):
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = letters(200)
+    rows = [(i, shared + letters(own)) for i in range(60)] + [(1000 + i, letters(200)) for i in range(140)]
+    df = spark.createDataFrame(rows, "row_id int, question string")
+    got = {(r.id_a, r.id_b) for r in near_duplicates.similar_rows(df, "row_id", ["question"]).collect()}
+    text = dict(rows)
+    want = {(i, j) for i in text for j in text if i < j and plain(text[i], text[j]) >= 0.7}
+    assert got == want and len(want) == 60 * 59 // 2
+
+
 def brute_leak(document: str, item: str) -> bool:
     d, i = ("".join(c for c in x.lower() if c.isalnum()) for x in (document or "", item or ""))
     need = leaks.shortest_passage(len(i))
