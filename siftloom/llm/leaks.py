@@ -9,7 +9,7 @@ locality-sensitive hash; a passage that is shared unchanged agrees in all of the
 some with high probability. Colliding (document, item) pairs are verified exactly.
 
 The item index is sent to the executors only below INDEX_BYTES; a larger index is joined by key as
-a table. Documents never leave their task except as found pairs. Null and empty texts and items
+a table. Items too short for windows are looked for as they are or, in a join, by all their shortest passages. Documents never leave their task except as found pairs. Null and empty texts and items
 without letters hold nothing. Repeated documents and items are each reported.
 """
 
@@ -21,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.textbatch import TextBatch, chunks, mix64, prefix_hash, span_hash, window_starts
+from siftloom.session import cut
 
 #: Share of an item's letters and digits that an unbroken passage must hold.
 MIN_SHARE = 0.4
 #: Letters of an anchor's k-gram; k-grams in a run of which one is chosen.
 GRAM, ANCHOR_RUN = 5, 8
-#: Window sizes; an item uses the largest that its shortest passage holds behind any anchor. Windows longer
+#: Window sizes; an item uses the largest that its shortest passage holds behind any anchor, 0 if that passage may hold none. Windows longer
 #: than GATE are walked only where the walk over their first GATE letters already meets an item. ANCHOR_RUN is a power of two.
 SIZES, GATE = (4, 8, 16, 24, 48, 96), 24
 #: Repetitions of the bit sampling, sampled steps of each, steps of the walk as a multiple of the window.
@@ -47,7 +49,10 @@ def shortest_passage(letters: int, share: float = MIN_SHARE) -> int:
 
 
 def size_for(letters: int, share: float = MIN_SHARE) -> int:
-    room = shortest_passage(letters, share) - (ANCHOR_RUN - 1)
+    passage = shortest_passage(letters, share)
+    if passage < ANCHOR_RUN + GRAM - 1:  # no whole run of k-grams, so it may hold no anchor
+        return 0
+    room = passage - (ANCHOR_RUN - 1)
     return max([s for s in SIZES if s <= room], default=0)
 
 
@@ -260,7 +265,37 @@ def _leaks_by_join(documents: DataFrame, items: DataFrame, kind: str, share: flo
 
         return df.mapInArrow(run, f"id {id_kind}, band int, k bigint")
 
+    def passages(df: DataFrame, lengths: list[int] | None, met: Broadcast | None, id_kind: str) -> DataFrame:
+        """All passages of these lengths whose keys may be known; of items without windows (lengths is None) their shortest ones."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at, to in chunks(whole.column(1)):
+                    b = whole.slice(at, to - at)
+                    let = TextBatch.of(b.column(1)).letters()
+                    count, own, prefix = np.diff(let.off), let.owner(), prefix_hash(let.cps)
+                    need = np.array([shortest_passage(int(n), share) if n and not size_for(int(n), share) else 0 for n in count], np.int64)
+                    for length in np.unique(need[need > 0]).tolist() if lengths is None else lengths:
+                        st = window_starts(let, length)
+                        if lengths is None:
+                            st = st[need[own[st]] == length]
+                        k = span_hash(prefix, st, st + length)
+                        if met is not None:
+                            known = met.value[(k & GATE_MASK).astype(np.int64)]
+                            st, k = st[known], k[known]
+                        pairs = np.unique(np.stack([own[st], k.view(np.int64)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[:, 0])), pa.array(np.full(len(pairs), -length), pa.int32()), pa.array(pairs[:, 1])], ["id", "band", "k"])
+
+        return df.mapInArrow(run, f"id {id_kind}, band int, k bigint")
+
     left, right = windows(documents, False, kind), windows(items, True, "string")
+    short = cut(passages(items, None, None, "string"))
+    needs = sorted(-r.band for r in short.select("band").distinct().collect())
+    if needs:
+        met = np.zeros(1 << GATE_BITS, bool)
+        met[short.select(F.col("k").bitwiseAND(F.lit(int(GATE_MASK))).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
+        left = left.unionAll(passages(documents, needs, documents.sparkSession.sparkContext.broadcast(met), kind))
+        right = right.unionAll(short)
     pairs = left.withColumnRenamed("id", "d").join(right.withColumnRenamed("id", "i"), ["band", "k"]).select("d", "i").distinct()
     texts = pairs.join(documents, "d").join(items, "i").select("d", "i", "t", "q")
 

@@ -102,6 +102,23 @@ def test_short_items_are_found(spark):
     assert [(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "question").collect()] == [(1, "a")]
 
 
+@pytest.mark.parametrize("limit", [leaks.INDEX_BYTES, 0])
+def test_items_of_every_short_length_are_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(leaks, "INDEX_BYTES", limit)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(f"i{n}-{k}", text(n)) for n in range(1, 32) for k in range(6)]
+    docs = []
+    for name, q in items:
+        need = leaks.shortest_passage(len(q))
+        a = rng.randrange(len(q) - need + 1)
+        docs.append((len(docs), text(60).upper() + q[a : a + need] + text(60)))
+    d, e = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, question string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "question").collect()}
+    assert got == {(i, k) for i, t in docs for k, q in items if brute_leak(t, q)}
+    assert {(n, k) for n, (k, _) in enumerate(items)} <= got
+
+
 def test_packing_keeps_everything(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.choice([0, 5, 40, 60, 99, 100, 101, 350])) for i in range(400)] + [(1000, None), (1, "again")]
