@@ -6,8 +6,10 @@ need a whole group are percentiles, which Spark computes from (value, count) pai
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,19 +96,31 @@ def wilcoxon(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.select(*keys, "n", "statistic", F.round(F.col("z") + 1e-9, 4).alias("z"), F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant_005"))
 
 
-def log_factorial(n: Column) -> Column:
-    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(i)))
+def binomial_tail(n: int, low: int, block: int = 1 << 16) -> float:
+    """Share of the outcomes of n fair throws with at most low heads, low <= n / 2, to double precision."""
+    if n == 0:
+        return 1.0
+    largest = math.exp(math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2))
+    total, term = largest, largest
+    for top in range(low, 0, -block):
+        i = np.arange(top, max(0, top - block), -1, dtype=np.float64)
+        terms = term * np.cumprod(i / (n - i + 1))  # from one outcome to the next smaller one
+        total, term = total + float(terms.sum()), float(terms[-1])
+        if term == 0:
+            break
+    return total
 
 
 def sign_test(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, plus, minus, p_value): exact two-sided binomial test of the signs (G5); beyond 1000 differences, its normal approximation with continuity correction."""
+    """(keys, plus, minus, p_value): exact two-sided binomial test of the signs (G5), at every number of differences."""
     d = F.round(F.col(x) - F.col(y), 9)
     g = df.groupBy(*keys).agg(F.count_if(d > 0).alias("plus"), F.count_if(d < 0).alias("minus"))
-    n, low = F.col("plus") + F.col("minus"), F.least("plus", "minus")
-    tail = F.aggregate(F.sequence(F.lit(0), F.least(low, F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + F.exp(F.col("_ln") - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0))))
-    exact = F.least(F.lit(1.0), 2 * tail)
-    approx = F.least(F.lit(1.0), 2 * normal_cdf((low + 0.5 - n / 2) / F.nullif(F.sqrt(n) / 2, F.lit(0.0))))
-    return g.withColumn("_ln", log_factorial(F.least(n, F.lit(1000)))).select(*keys, "plus", "minus", F.round(F.when(n == 0, 1.0).when(n <= 1000, exact).otherwise(approx), 6).alias("p_value"))
+
+    @F.pandas_udf("double")
+    def p_value(plus: pd.Series, minus: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, 2 * binomial_tail(int(a + b), int(min(a, b)))) for a, b in zip(plus, minus, strict=True)], dtype="float64")
+
+    return g.select(*keys, "plus", "minus", F.round(p_value("plus", "minus"), 6).alias("p_value"))
 
 
 def cohens_d(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

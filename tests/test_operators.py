@@ -1,6 +1,8 @@
 """Deduplication, alignment, votes, statistics and parsing on small tables with nulls, ties and extra columns."""
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,11 @@ def test_anomalies_and_report(spark):
     empty = spark.createDataFrame([], "question string, answer string, rework_count int, evaluation struct<total_score:double,passed:boolean>")
     r = summary.run_report(empty).first()
     assert r.total_items == 0 and r.pass_rate is None
+
+
+def test_sign_test_is_exact_at_every_size(spark):
+    rows = [(g, float(i < plus), float(i >= plus)) for g, plus, n in (("small", 6, 20), ("large", 980, 2001), ("one sign", 1200, 1200)) for i in range(n)]
+    got = {r.k: r.p_value for r in stats.sign_test(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    exact = lambda n, low: min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(low + 1)), 2**n)))
+    assert got == {"small": round(exact(20, 6), 6), "large": round(exact(2001, 980), 6), "one sign": 0.0}
+    assert all(abs(2 * stats.binomial_tail(n, low) / exact(n, low) - 1) < 1e-9 for n, low in ((1001, 0), (1001, 450), (3126, 1500), (9001, 4400)))
