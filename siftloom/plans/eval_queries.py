@@ -231,8 +231,8 @@ SQL["unanimous_rate"] = s.JUDGED + f", c AS (SELECT count(DISTINCT winner) = 1 A
 
 
 def self_consistency_vote(spark: SparkSession, d: str) -> DataFrame:
-    """The versions' normalised last lines as sampled answers to one prompt."""
-    paths = _outputs(spark, d).where("prompt_id is not null").select("prompt_id", "row_id", t.normalize_answer(F.substring(t.text("response"), 1, 1)).alias("answer"))
+    """The versions' extracted, normalised answers as sampled answers to one prompt."""
+    paths = _outputs(spark, d).where("prompt_id is not null").select("prompt_id", "row_id", t.normalize_answer(t.extract_answer("response")).alias("answer"))
     return votes.self_consistency(paths, ["prompt_id"], "answer", "row_id")
 
 

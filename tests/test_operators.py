@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.operators import align, anomaly, dedup, parse, stats, summary, votes
+from siftloom.plans import eval_queries
 
 
 def grams(s):
@@ -142,3 +143,10 @@ def test_sign_test_is_exact_at_every_size(spark):
     exact = lambda n, low: min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(low + 1)), 2**n)))
     assert got == {"small": round(exact(20, 6), 6), "large": round(exact(2001, 980), 6), "one sign": 0.0}
     assert all(abs(2 * stats.binomial_tail(n, low) / exact(n, low) - 1) < 1e-9 for n, low in ((1001, 0), (1001, 450), (3126, 1500), (9001, 4400)))
+
+
+def test_self_consistency_votes_on_whole_answers(spark, tmp_path):
+    rows = [(1, "p", "答案是甲乙。"), (2, "p", "答案是甲丙。"), (3, "p", "So we count.\nFinal answer: 42"), (4, "p", "Some steps.\nfinal answer: 42"), (5, "p", None)]
+    spark.createDataFrame(rows, "row_id bigint, prompt_id string, response string").write.parquet(str(tmp_path / "model_outputs.parquet"))
+    r = eval_queries.self_consistency_vote(spark, str(tmp_path)).first()
+    assert (r.best_answer, r.confidence, r.is_consistent, r.paths) == ("42", 0.4, False, 5)
