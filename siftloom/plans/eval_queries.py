@@ -139,7 +139,7 @@ SQL["kway_merge"] = f"WITH {_LAST} SELECT x.prompt_id AS id, md5(x.response || '
 
 def numeric_first_sort(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "corpus").select(F.when(F.col("row_id") % 3 == 0, F.col("row_id").cast("string")).otherwise(F.col("id")).alias("id")).where("id is not null").distinct()
-    return ids.orderBy(*align.numeric_first("id")).limit(50)
+    return ids.orderBy(*align.numeric_first("id"))
 
 
 SQL["numeric_first_sort"] = "WITH i AS (SELECT DISTINCT CASE WHEN row_id % 3 = 0 THEN row_id::VARCHAR ELSE id END AS id FROM corpus) SELECT id FROM i WHERE id IS NOT NULL ORDER BY CASE WHEN regexp_full_match(id, '[0-9]+') THEN 0 ELSE 1 END, try_cast(id AS BIGINT), id LIMIT 50"

@@ -150,3 +150,10 @@ def test_self_consistency_votes_on_whole_answers(spark, tmp_path):
     spark.createDataFrame(rows, "row_id bigint, prompt_id string, response string").write.parquet(str(tmp_path / "model_outputs.parquet"))
     r = eval_queries.self_consistency_vote(spark, str(tmp_path)).first()
     assert (r.best_answer, r.confidence, r.is_consistent, r.paths) == ("42", 0.4, False, 5)
+
+
+def test_numeric_first_sort_keeps_every_id(spark, tmp_path):
+    rows = [(i, f"t{i:03}") for i in range(300)] + [(301, None), (302, "t001")]
+    spark.createDataFrame(rows, "row_id bigint, id string").repartition(4).write.parquet(str(tmp_path / "corpus.parquet"))
+    got = [r.id for r in eval_queries.numeric_first_sort(spark, str(tmp_path)).collect()]
+    assert got == [str(i) for i in range(0, 300, 3)] + [f"t{i:03}" for i in range(300) if i % 3]
