@@ -1,10 +1,10 @@
 """Problem 7: filling fixed-capacity containers with items of varying length.
 
-Hierarchical packing: items longer than the capacity are cut into full pieces and a rest; every
-item is routed to the tier of the smallest window (capacity, half, quarter, ...) that holds it.
-The items of the longest tier open the containers; the gaps of these long windows are filled from
-the shorter tiers, longest items first, each into the tightest gap that holds it; what is left of a
-tier opens containers of its own. Containers are then dealt to step groups so that every group
+Best-fit decreasing: items longer than the capacity are cut into full pieces and a rest; all are
+placed longest first, each into the tightest gap that holds it, else into a container of its own.
+The tier of an item, the smallest window (capacity, half, quarter, ...) that holds it, is only
+reported: every container has the one capacity of its specification, so tiers have no windows of
+their own. Containers are then dealt to step groups so that every group
 holds about the same number of tokens.
 
 Only (key, size) is shuffled. Items are packed in independent lots, whose number follows the total
@@ -60,7 +60,7 @@ def tier_of(size: int, capacity: int) -> int:
 
 
 def pack_lot(sizes: list[int], capacity: int) -> list[int]:
-    """The container of each item (none larger than the capacity), tier by tier, the tightest gap first."""
+    """The container of each item (none larger than the capacity), longest items first, the tightest gap first."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     place = [-1] * len(sizes)
     gaps: list[tuple[int, int]] = []  # (room left, container), sorted
