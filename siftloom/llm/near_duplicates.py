@@ -2,13 +2,16 @@
 
 Exact copies (equal letters and digits, lower case) are first collapsed into classes by a
 map-side aggregation. Class texts become TF-IDF weighted sets of 3-character pieces, with document
-frequencies counted over all classes in hashed buckets (a table of fixed size). Improved consistent
-weighted sampling draws HASHES pieces of each set; BANDS bands of ROWS samples are the keys under
-which candidates meet, split further by set size, since sets of too different sizes cannot be
-similar. Where the shared text is frequent, weights say little about the plain similarity: every
-text has bands of unweighted samples, too, and texts of mostly frequent pieces (HOT) meet under
-all pieces of their prefix, which finds every similar pair among them. The exact share of common
-pieces alone decides; pairs with a common similar class are verified as well.
+frequencies counted over all classes in hashed buckets (a table that grows with the classes, up to
+a bound). Improved consistent weighted sampling draws HASHES samples of each set; BANDS bands of
+ROWS samples are the keys under which candidates meet. A piece found everywhere still weighs half
+as much as the rarest, so a pair that shares only frequent text keeps a weighted similarity near
+its plain one and meets as well. Weighted Jaccard similarity is computed of every pair found; the
+exact share of common pieces alone decides.
+
+Two neighbours of one class are verified, too, where the class has at most DENSE neighbours; classes
+with more are drawn again under DENSE_BANDS narrower bands, so a family of any size costs its number
+of members and of similar pairs, never more.
 
 Similar classes are expanded to their rows only for the pair form of the result. Rows without any
 letter or digit are in no pair; null counts as empty; texts of one or two letters are similar only
@@ -27,28 +30,22 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.functions.idfilter import maybe_in
 from siftloom.functions.textbatch import TextBatch, chunks, mix64
 from siftloom.session import cut, work_table
 
 #: Characters of a piece; plain similarity of a pair.
 PIECE, SIMILARITY = 3, 0.7
-#: Buckets of the document frequencies; samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
-DF_BUCKETS, HASHES, ROWS, BANDS = 1 << 18, 40, 5, 20
-#: The same of the plain samples; their bands are narrower, since texts of one template share many plain samples.
-PLAIN_HASHES, PLAIN_ROWS, PLAIN_BANDS = 64, 7, 36
+#: Samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
+HASHES, ROWS, BANDS = 64, 7, 32
+#: Neighbours from which a class counts as dense; bands of its second drawing and samples in each.
+DENSE, DENSE_BANDS, DENSE_ROWS = 32, 64, 4
+#: Buckets of the document frequencies, as powers of two: at least, at most.
+LEAST_BUCKETS, MOST_BUCKETS = 18, 22
 #: Bits of a 64-bit sort key that name the text within its chunk; the others are the piece, the same in every chunk.
 OWNER_BITS = 24
-#: Size of the pools of random variates of the sampling.
-POOL = 1 << 13
-#: Added to the inverse document frequency, so that pieces found everywhere keep some weight; its power: shared phrases
-#: of otherwise different texts then hardly draw samples, while small edits change few of the rare pieces.
-FLOOR_IDF, POWER_IDF = 0.05, 1.5
-#: Pieces of more than this share of all texts have weight 0 in the sampling, except in texts with fewer than so many other pieces.
-COMMON, FEW = 0.05, 16
-#: Texts with at most this share of other pieces, all of which may be edits of one side of a similar pair, are joined by prefix.
-HOT = 0.3
-#: Ids of candidates up to which the class texts are filtered by a broadcast set before they are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Random variates of one sample; steps a unit of the logarithm to which weights are rounded, and their number.
+POOL, STEPS, LEVELS = 1 << 12, 24, 48
 
 
 def normal(*columns: str) -> Column:
@@ -61,241 +58,232 @@ def classes_of(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), normal(*columns).alias("text")).where("text != ''").groupBy("text").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def piece_sets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece hash, text, times) of the distinct pieces of every text, ordered by text."""
+def packed_pieces(batch: TextBatch) -> np.ndarray:
+    """Sorted (text, piece hash) words of all pieces of every text, repeated ones as often as they stand there."""
     n = len(batch.cps) - PIECE + 1
     if n <= 0:
-        empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty, empty
+        return np.zeros(0, np.uint64)
     own = batch.owner()
     c = batch.cps.astype(np.uint64)
-    h = c[:n]
-    for j in range(1, PIECE):
-        h = (h << np.uint64(21)) | c[j : j + n]
+    odd = (np.random.default_rng(4).integers(0, 1 << 63, PIECE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        h = c[:n] * odd[0]
+        for j in range(1, PIECE):
+            h += c[j : j + n] * odd[j]
     ok = own[:n] == own[PIECE - 1 :]
-    h, o = mix64(h[ok]), own[:n][ok]
-    bits = np.uint64(OWNER_BITS)
-    packed = np.sort((o.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    return np.sort((own[:n][ok].astype(np.uint64) << np.uint64(64 - OWNER_BITS)) | (h[ok] >> np.uint64(OWNER_BITS)))
+
+
+def piece_sets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece hash, text, times) of the distinct pieces of every text, ordered by text."""
+    packed = packed_pieces(batch)
     first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(packed)))
     packed = packed[first]
-    return packed << bits >> bits, (packed >> (np.uint64(64) - bits)).astype(np.int64), times
+    return packed & np.uint64((1 << (64 - OWNER_BITS)) - 1), (packed >> np.uint64(64 - OWNER_BITS)).astype(np.int64), times
 
 
-def bucket_of(pieces: np.ndarray) -> np.ndarray:
-    return (pieces & np.uint64(DF_BUCKETS - 1)).astype(np.int64)
+def bucket_of(pieces: np.ndarray, buckets: int) -> np.ndarray:
+    return (pieces & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def document_frequencies(classes: DataFrame) -> np.ndarray:
+def buckets_for(texts: int) -> int:
+    return 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, int(texts).bit_length() + 1))
+
+
+def document_frequencies(classes: DataFrame, buckets: int) -> np.ndarray:
     """Texts with a piece of each bucket, over all classes; counted by partition, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for b in batches:
             for at, to in chunks(b.column(0)):
                 pieces, _, _ = piece_sets(TextBatch.of(b.column(0).slice(at, to - at)))
-                total += np.bincount(bucket_of(pieces), minlength=DF_BUCKETS)
+                total += np.bincount(bucket_of(pieces, buckets), minlength=buckets)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], ["bucket", "n"])
 
     rows = classes.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(DF_BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
 def idf_table(df: np.ndarray, texts: int) -> np.ndarray:
-    return ((np.log((texts + 1) / (df + 1)).clip(0) + FLOOR_IDF) ** POWER_IDF).astype(np.float32)
+    """Weight of the pieces of each bucket: 1 if they stand in every text, 2 if in one only, by inverse document frequency."""
+    return (1 + np.log((texts + 1) / (df + 1)).clip(0) / math.log(texts + 2)).astype(np.float32)
 
 
 @functools.cache
-def variates() -> tuple[np.ndarray, ...]:
-    """For every hash function pools of r, 1/r, ln c and beta of the improved consistent weighted sampling."""
-    rng = np.random.default_rng(20)
-    r = rng.gamma(2.0, 1.0, (HASHES, POOL))
-    return r.astype(np.float32), (1 / r).astype(np.float32), np.log(rng.gamma(2.0, 1.0, (HASHES, POOL))).astype(np.float32), rng.random((HASHES, POOL)).astype(np.float32)
+def variates(k: int) -> np.ndarray:
+    """For one sample: the scores of improved consistent weighted sampling by (level of the weight, slot of the piece).
+
+    r and c are gamma variates, beta a uniform one; a score orders as ln a does, as an unsigned number, and depends on
+    the weight only through its rounding y, so equal scores mean the same (piece, y).
+    """
+    rng = np.random.default_rng((20, k))
+    r, ln_c, beta = rng.gamma(2.0, 1.0, POOL), np.log(rng.gamma(2.0, 1.0, POOL)), rng.random(POOL)
+    ln_w = (np.arange(LEVELS) / STEPS)[:, None]
+    ln_a = ln_c - r * (np.floor(ln_w / r + beta) - beta) - r
+    return (ln_a + 200).astype(np.float32).view(np.uint32).ravel()
 
 
-def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, block: int = 1 << 14) -> np.ndarray:
-    """samples[k, text]: the piece drawn by hash function k; a text without pieces gets its own number."""
-    r, inverse, ln_c, beta = variates()
-    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 99)[None], HASHES, axis=0)
+def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, block: int = 1 << 15) -> np.ndarray:
+    """samples[k, text]: the sample that hash function k draws; a text without pieces gets its own number."""
+    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 99).astype(np.uint32)[None], HASHES, axis=0)
     if not len(pieces):
         return out
     starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
     have = texts[starts]
-    ln_w = np.log(weights).astype(np.float32)
-    small = pieces & np.uint64(0xFFFFFFFF)
-    short = small.astype(np.uint32)
-    rng = np.random.default_rng(77)
-    odd = rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    base = (np.clip(np.rint(np.log(weights) * STEPS), 0, LEVELS - 1) * POOL).astype(np.uint32)
+    short = mix64(pieces).astype(np.uint32)
+    odd = np.random.default_rng(77).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shift = np.uint32(32 - int(math.log2(POOL)))
-    score = np.empty(len(pieces), np.uint64)
+    # blocks end with a text, so that each fits the cache and is reduced by itself
+    edges = np.append(starts, len(pieces))
+    cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(pieces), block)), len(starts)))
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
-            for lo in range(0, len(pieces), block):
-                hi = lo + block
-                at = ((short[lo:hi] * odd[k]) >> shift).view(np.int32)
-                rk, bk = r[k].take(at, mode="clip"), beta[k].take(at, mode="clip")
-                t = np.floor(ln_w[lo:hi] * inverse[k].take(at, mode="clip") + bk)
-                ln_a = ln_c[k].take(at, mode="clip") - rk * (t - bk) - rk
-                # positive floats order like their bits; the piece itself breaks ties and is the sample
-                score[lo:hi] = ((ln_a + np.float32(200)).view(np.uint32).astype(np.uint64) << np.uint64(32)) | small[lo:hi]
-            out[k, have] = np.minimum.reduceat(score, starts) & np.uint64(0xFFFFFFFF)
-    return out
-
-
-def plain_samples(pieces: np.ndarray, texts: np.ndarray, count: int) -> np.ndarray:
-    """samples[k, text]: the least hash of the text's pieces under hash function k, all pieces alike."""
-    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 98)[None], PLAIN_HASHES, axis=0)
-    if not len(pieces):
-        return out
-    starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
-    have, short = texts[starts], (pieces & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    odd = np.random.default_rng(78).integers(0, 1 << 31, PLAIN_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    with np.errstate(over="ignore"):
-        for k in range(PLAIN_HASHES):
-            h = short * odd[k]
-            out[k, have] = np.minimum.reduceat((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D), starts)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = edges[i], edges[j]
+            s, w, own, who = short[lo:hi], base[lo:hi], starts[i:j] - lo, have[i:j]
+            at = np.empty(hi - lo, np.uint32)
+            for k in range(HASHES):
+                np.multiply(s, odd[k], out=at)
+                np.right_shift(at, shift, out=at)
+                np.add(at, w, out=at)
+                out[k, who] = np.minimum.reduceat(variates(k)[at], own)
     return out
 
 
 @functools.cache
-def bands(hashes: int = HASHES, rows: int = ROWS, count: int = BANDS) -> list[np.ndarray]:
+def bands(rows: int = ROWS, count: int = BANDS) -> list[np.ndarray]:
     """The samples that make up each band."""
-    rng = np.random.default_rng(5)
-    return [rng.choice(hashes, rows, replace=False) for _ in range(count)]
-
-
-def rare_pieces(pieces: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return idf[bucket_of(pieces)] > (-math.log(COMMON) + FLOOR_IDF) ** POWER_IDF
-
-
-def drawn_from(pieces: np.ndarray, texts: np.ndarray, idf: np.ndarray, count: int) -> np.ndarray:
-    """Mask of the pieces that the sampling draws from."""
-    rare = rare_pieces(pieces, idf)
-    return rare | (np.bincount(texts[rare], minlength=count) < FEW)[texts]
-
+    rng = np.random.default_rng((5, rows))
+    return [rng.choice(HASHES, rows, replace=False) for _ in range(count)]
 
-def prefixes(pieces: np.ndarray, texts: np.ndarray, idf: np.ndarray, count: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, piece) of the rarest pieces of the HOT texts: two of them that are similar have one of these in common."""
-    size = np.bincount(texts, minlength=count)
-    hot = np.bincount(texts[rare_pieces(pieces, idf)], minlength=count) <= HOT * size
-    pieces, texts = pieces[hot[texts]], texts[hot[texts]]
-    order = np.lexsort((pieces, -idf[bucket_of(pieces)], texts))
-    pieces, texts = pieces[order], texts[order]
-    place = np.arange(len(texts)) - np.searchsorted(texts, texts)
-    kept = place <= size[texts] - np.ceil(similarity * size[texts] - 1e-9)
-    return texts[kept], pieces[kept]
 
-
-def band_keys(classes: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """(rep, k, pieces) for every class and band, weighted and plain, and every prefix piece; the band is part of the key k."""
-    sent = classes.sparkSession.sparkContext.broadcast(idf)
+def band_keys(classes: DataFrame, idf: Broadcast, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+    """(rep, k, pieces) for every class and band; the band is part of the key k."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = idf.value
         for b in batches:
             for at, to in chunks(b.column(1)):
-                ids, count = b.column(0).slice(at, to - at), to - at
-                pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, count)))
-                size = np.bincount(texts, minlength=count).astype(np.int32)
-                plain = plain_samples(pieces, texts, count)
-                hot, prefix = prefixes(pieces, texts, sent.value, count, similarity)
-                keep = drawn_from(pieces, texts, sent.value, count)
-                pieces, texts, times = pieces[keep], texts[keep], times[keep]
-                drawn = samples(pieces, texts, (1 + np.log(times)) * sent.value[bucket_of(pieces)], count)
+                ids, texts_in = b.column(0).slice(at, to - at), to - at
+                pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, texts_in)))
+                size = np.bincount(texts, minlength=texts_in).astype(np.int32)
+                drawn = samples(pieces, texts, (1 + np.log(times)) * weight[bucket_of(pieces, len(weight))], texts_in)
                 some = np.flatnonzero(size)
-                for first, sampled, parts in ((0, drawn, bands()), (BANDS, plain, bands(PLAIN_HASHES, PLAIN_ROWS, PLAIN_BANDS))):
-                    for band, chosen in enumerate(parts, first):
-                        key = np.full(len(some), band, np.uint64)
-                        for j, x in enumerate(chosen):
-                            key = mix64(key ^ sampled[x, some], j)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(key.view(np.int64)), pa.array(size[some])], ["rep", "k", "pieces"])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hot)), pa.array(mix64(prefix, BANDS + PLAIN_BANDS).view(np.int64)), pa.array(size[hot])], ["rep", "k", "pieces"])
+                own, many = ids.take(pa.array(some)), pa.array(size[some])
+                for band, chosen in enumerate(bands(rows, count)):
+                    key = np.full(len(some), band, np.uint64)
+                    for x in chosen:
+                        key = (key ^ drawn[x, some]) * np.uint64(0xD6E8FEB86659FD93)
+                        key ^= key >> np.uint64(32)
+                    yield pa.RecordBatch.from_arrays([own, pa.array(mix64(key).view(np.int64)), many], ["rep", "k", "pieces"])
 
     return classes.select("rep", "text").mapInArrow(run, f"rep {kind}, k bigint, pieces int")
 
 
 def candidate_pairs(keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) of classes that share a band key and could be similar by their sizes; a is the one with fewer pieces.
+    """Distinct (a, b), a < b, of classes that share a band key and could be similar by their sizes.
 
     The two sides of the self-join read one exchange; adaptive execution splits hot keys.
     """
     left = keys.select(F.col("rep").alias("a"), "k", F.col("pieces").alias("na"))
     right = keys.select(F.col("rep").alias("b"), "k", F.col("pieces").alias("nb"))
-    near = left.join(right, "k").where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= similarity * F.col("nb") - 1e-9))
+    near = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9))
     return near.select("a", "b").distinct()
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(plain, weighted) Jaccard similarity of each pair of normal texts."""
-    n = len(a)
-    (pa_, ta, ca), (pb, tb, cb) = piece_sets(TextBatch.of(a)), piece_sets(TextBatch.of(b))
-    wa, wb = (1 + np.log(ca)) * idf[bucket_of(pa_)], (1 + np.log(cb)) * idf[bucket_of(pb)]
-    key = np.concatenate([pa_ ^ mix64(ta, 3), pb ^ mix64(tb, 3)])
-    who, weight = np.concatenate([ta, tb]), np.concatenate([wa, wb])
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order][1:] == key[order][:-1])
-    x, y = order[same], order[same + 1]
-    both = np.bincount(who[x], minlength=n)
-    least = np.bincount(who[x], np.minimum(weight[x], weight[y]), n)
-    size = np.bincount(who, minlength=n)
-    total = np.bincount(who, weight, n)
-    return both / np.maximum(size - both, 1), least / np.maximum(total - least, 1e-9)
+def plain_similarity(a: TextBatch, b: TextBatch) -> np.ndarray:
+    """Share of common pieces of each pair of normal texts."""
+    x, y = (np.unique(packed_pieces(t)) for t in (a, b))
+    both = np.sort(np.concatenate([x, y]))
+    common = both[1:][both[1:] == both[:-1]]
+    shift = np.uint64(64 - OWNER_BITS)
+    count = lambda w: np.bincount((w >> shift).astype(np.int64), minlength=len(a))
+    common = count(common)
+    return common / np.maximum(count(x) + count(y) - common, 1)
+
+
+def weighted_similarity(a: TextBatch, b: TextBatch, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of normal texts, by the weights that the samples are drawn with."""
+    (pa_, ta, ca), (pb, tb, cb) = piece_sets(a), piece_sets(b)
+    wa, wb = (1 + np.log(ca)) * idf[bucket_of(pa_, len(idf))], (1 + np.log(cb)) * idf[bucket_of(pb, len(idf))]
+    shift = np.uint64(64 - OWNER_BITS)
+    ka, kb = (ta.astype(np.uint64) << shift) | pa_, (tb.astype(np.uint64) << shift) | pb
+    at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
+    same = np.flatnonzero(kb[at] == ka) if len(kb) else np.zeros(0, np.int64)
+    least = np.bincount(ta[same], np.minimum(wa[same], wb[at[same]]), len(a))
+    return least / np.maximum(np.bincount(ta, wa, len(a)) + np.bincount(tb, wb, len(a)) - least, 1e-9)
 
 
 def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes (rep, n, text), pairs (a, b, similarity, weighted)) of a table."""
+    """(classes (rep, n, text), pairs (a, b, similarity, weighted), a < b) of a table."""
     classes = work_table(classes_of(df, key, *columns), "classes")
     count = classes.count()
-    idf = idf_table(document_frequencies(classes), count)
-    sent = df.sparkSession.sparkContext.broadcast(idf)
-    drawn = cut(candidate_pairs(band_keys(classes, idf, similarity), similarity))
-    found = cut(verified(drawn, classes, sent, similarity))
+    idf = df.sparkSession.sparkContext.broadcast(idf_table(document_frequencies(classes, buckets_for(count)), count))
+    drawn = cut(candidate_pairs(band_keys(classes, idf), similarity))
+    found = cut(verified(drawn, classes, idf, similarity))
+    ends = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = cut(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    few = ends.join(degree.where(F.col("n") <= DENSE).select("a"), "a", "left_semi")
     # bands may miss a pair whose two sides are both similar to a third class: such pairs are verified, too
-    near = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    third = near.select(F.col("a").alias("mid"), F.col("b").alias("a")).join(near.select(F.col("a").alias("mid"), "b"), "mid").where("a < b").select("a", "b").distinct()
-    known = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(third.join(known, ["a", "b"], "left_anti"))
-    return classes, found.unionAll(verified(more, classes, sent, similarity))
+    more = few.select(F.col("a").alias("mid"), F.col("b").alias("a")).join(few.select(F.col("a").alias("mid"), "b"), "mid").where("a < b").select("a", "b")
+    dense = degree.where(F.col("n") > DENSE).select(F.col("a").alias("rep"))
+    many = dense.count()
+    if many:
+        again = maybe_in(classes, "rep", dense, many).join(dense, "rep", "left_semi")
+        more = more.unionAll(candidate_pairs(band_keys(again, idf, DENSE_ROWS, DENSE_BANDS), similarity))
+    more = cut(more.distinct().join(drawn, ["a", "b"], "left_anti"))
+    return classes, found.unionAll(verified(more, classes, idf, similarity))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """(a, b, similarity, weighted) of the candidates (a, b) that are similar; the weighted similarity decides nothing."""
+    """(a, b, similarity, weighted) of the candidates (a, b) that are similar; the weighted similarity decides nothing.
+
+    Only texts that may be in a candidate are shuffled.
+    """
     kind = classes.schema["rep"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = classes.select("rep", "text")
-    if 2 * pairs.count() <= BROADCAST_IDS:  # at most 16 bytes each
-        some = some.join(F.broadcast(ids), "rep", "left_semi")
-    else:
-        some = some.join(ids, "rep", "left_semi")
+    ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep")))
+    some = maybe_in(classes.select("rep", "text"), "rep", ids)
     texts = pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at, to in chunks(whole.column(2)):
                 b = whole.slice(at, to - at)
-                plain, heavy = similarities(b.column(2), b.column(3), idf.value)
+                plain = plain_similarity(TextBatch.of(b.column(2)), TextBatch.of(b.column(3)))
                 ok = plain >= similarity - 1e-9
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain), pa.array(heavy)], ["a", "b", "similarity", "weighted"]).filter(pa.array(ok))
+                b = b.filter(pa.array(ok))
+                heavy = weighted_similarity(TextBatch.of(b.column(2)), TextBatch.of(b.column(3)), idf.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain[ok]), pa.array(heavy)], ["a", "b", "similarity", "weighted"])
 
     return texts.mapInArrow(run, f"a {kind}, b {kind}, similarity double, weighted double")
 
 
+def copies(df: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(id, rep, n) of every row in a class of several rows; only hashes of their texts are shuffled."""
+    hashes = (F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    several = cut(classes.where("n > 1").select("rep", "n", *hashes))
+    rows = df.select(F.col(key).alias("id"), normal(*columns).alias("text")).where("text != ''").select("id", *hashes)
+    return maybe_in(rows, "h1", several.select("h1")).join(several, ["h1", "h2"]).select("id", "rep", "n")
+
+
 def members(df: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(id, rep, n) of every row in a class; only hashes of the texts are shuffled."""
-    rows = df.select(F.col(key).alias("id"), normal(*columns).alias("text")).where("text != ''").select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    return rows.join(classes.select("rep", "n", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")), ["h1", "h2"]).select("id", "rep", "n")
+    """(id, rep, n) of every row in a class."""
+    return copies(df, classes, key, columns).unionAll(classes.where("n = 1").select(F.col("rep").alias("id"), "rep", "n"))
 
 
 def similar_rows(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows of equal or similar texts."""
     classes, pairs = similar_classes(df, key, columns, similarity)
-    who = cut(members(df, classes, key, columns))
-    copies = who.where("n > 1")
-    equal = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    near = pairs.join(who.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(who.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    several = cut(copies(df, classes, key, columns))
+    equal = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    # the only row of a class bears its name
+    near = pairs.join(several.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").join(several.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     return near.unionAll(equal).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
