@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
 from siftloom.operators import mathcheck, parse
 from siftloom.plans import judging, pipeline, text_queries
-from siftloom.session import shared_dir, table
+from siftloom.session import scratch_path, table
 from siftloom.sources import readers, writers
 
 SQL: dict[str, str] = {}
@@ -18,7 +16,7 @@ SQL: dict[str, str] = {}
 
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The corpus written as JSON lines and read back."""
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     writers.write_jsonl(table(spark, d, "corpus").select("id", "question", "answer", "metadata").where("question is not null"), path)
     return readers.read_corpus(spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("question") + F.char_length("answer")).alias("chars"))
 
@@ -28,7 +26,7 @@ SQL["jsonl_roundtrip"] = "SELECT id, count(*) AS n, sum(length(question) + lengt
 
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Model outputs written as CSV with line breaks in cells and read back."""
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     writers.write_csv(table(spark, d, "model_outputs").select("row_id", F.coalesce("response", F.lit("")).alias("response")), path)
     return readers.read_csv(spark, path).select(F.col("row_id").cast("bigint").alias("row_id"), F.md5(F.coalesce("response", F.lit(""))).alias("digest"))
 
