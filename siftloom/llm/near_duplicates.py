@@ -30,16 +30,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.functions.idfilter import maybe_in
+from siftloom.functions.idfilter import maybe_in, without
 from siftloom.functions.textbatch import TextBatch, chunks, mix64
 from siftloom.session import cut, work_table
 
 #: Characters of a piece; plain similarity of a pair.
 PIECE, SIMILARITY = 3, 0.7
-#: Samples drawn; samples in a band; bands (chosen from the samples, so they overlap).
-HASHES, ROWS, BANDS = 64, 7, 32
+#: Samples drawn; samples in a band; bands (the samples are dealt to them evenly, so bands overlap).
+HASHES, ROWS, BANDS = 40, 5, 16
 #: Neighbours from which a class counts as dense; bands of its second drawing and samples in each.
 DENSE, DENSE_BANDS, DENSE_ROWS = 32, 64, 4
+#: Bins of the sketch, one bit each; bits in which the sketches of a similar pair differ at most (19 are expected at the
+#: least similarity, with a deviation of 4; 48 at a similarity of a quarter).
+BINS, MOST_BITS_APART = 128, 36
 #: Buckets of the document frequencies, as powers of two: at least, at most.
 LEAST_BUCKETS, MOST_BUCKETS = 18, 22
 #: Bits of a 64-bit sort key that name the text within its chunk; the others are the piece, the same in every chunk.
@@ -53,9 +56,25 @@ def normal(*columns: str) -> Column:
     return F.regexp_replace(F.lower(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns])), r"[^\p{L}\p{Nd}]+", "")
 
 
-def classes_of(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(rep, n, text): one row for each distinct normal text; rep is its smallest key."""
-    return df.select(F.col(key).alias("id"), normal(*columns).alias("text")).where("text != ''").groupBy("text").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+def normal_rows(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(id, text, h1, h2) of every row with any letter or digit, written once."""
+    texts = df.select(F.col(key).alias("id"), normal(*columns).alias("text"))
+    # filtered when read, since a filter before would normalise every text twice
+    return work_table(texts.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")), "normal-rows").where("text != ''")
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """(id, rep, n) of every row of normal_rows whose text stands in several; rep is the smallest id, n their number.
+
+    Texts are told apart by 128 bits of hashes, which alone are shuffled; hot texts are counted on the map side first.
+    """
+    several = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut(maybe_in(rows.select("id", "h1", "h2"), "h1", several.select("h1")).join(several, ["h1", "h2"]).select("id", "rep", "n"))
+
+
+def classes_of(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """(rep, text): one row for each distinct text."""
+    return without(rows.select(F.col("id").alias("rep"), "text"), "rep", several.where("id != rep").select(F.col("id").alias("rep")))
 
 
 def packed_pieces(batch: TextBatch) -> np.ndarray:
@@ -83,6 +102,21 @@ def piece_sets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed & np.uint64((1 << (64 - OWNER_BITS)) - 1), (packed >> np.uint64(64 - OWNER_BITS)).astype(np.int64), times
 
 
+def sketches(pieces: np.ndarray, texts: np.ndarray, count: int) -> np.ndarray:
+    """sketches[text]: BINS bits in 64-bit words, one bit of the least piece in each range of the piece hashes; 0 where a range is empty."""
+    out = np.zeros(count * BINS // 64, np.uint64)
+    if len(pieces):
+        bits = BINS.bit_length() - 1
+        place = (texts << bits) | (pieces >> np.uint64(64 - OWNER_BITS - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        at = place[first]
+        bit = (mix64(pieces[first], 6) & np.uint64(1)) << (at & 63).astype(np.uint64)
+        word = at >> 6
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out[word[starts]] = np.bitwise_or.reduceat(bit, starts)
+    return out.reshape(count, BINS // 64)
+
+
 def bucket_of(pieces: np.ndarray, buckets: int) -> np.ndarray:
     return (pieces & np.uint64(buckets - 1)).astype(np.int64)
 
@@ -144,6 +178,7 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
     # blocks end with a text, so that each fits the cache and is reduced by itself
     edges = np.append(starts, len(pieces))
     cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(pieces), block)), len(starts)))
+    pools = [variates(k) for k in range(HASHES)]
     with np.errstate(over="ignore"):
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             lo, hi = edges[i], edges[j]
@@ -153,7 +188,7 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
                 np.multiply(s, odd[k], out=at)
                 np.right_shift(at, shift, out=at)
                 np.add(at, w, out=at)
-                out[k, who] = np.minimum.reduceat(variates(k)[at], own)
+                out[k, who] = np.minimum.reduceat(pools[k].take(at, mode="clip"), own)
     return out
 
 
@@ -161,11 +196,12 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
 def bands(rows: int = ROWS, count: int = BANDS) -> list[np.ndarray]:
     """The samples that make up each band."""
     rng = np.random.default_rng((5, rows))
-    return [rng.choice(HASHES, rows, replace=False) for _ in range(count)]
+    dealt = np.concatenate([rng.permutation(HASHES)[: HASHES // rows * rows] for _ in range(-(-count * rows // (HASHES // rows * rows)))])
+    return list(dealt[: count * rows].reshape(count, rows))
 
 
 def band_keys(classes: DataFrame, idf: Broadcast, rows: int = ROWS, count: int = BANDS) -> DataFrame:
-    """(rep, k, pieces) for every class and band; the band is part of the key k."""
+    """(rep, k, s1, s2: sketch) for every class and band; the band is part of the key k."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,34 +210,35 @@ def band_keys(classes: DataFrame, idf: Broadcast, rows: int = ROWS, count: int =
             for at, to in chunks(b.column(1)):
                 ids, texts_in = b.column(0).slice(at, to - at), to - at
                 pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, texts_in)))
-                size = np.bincount(texts, minlength=texts_in).astype(np.int32)
+                some = np.flatnonzero(np.bincount(texts, minlength=texts_in))
+                sketch = [pa.array(x) for x in sketches(pieces, texts, texts_in)[some].view(np.int64).T]
                 drawn = samples(pieces, texts, (1 + np.log(times)) * weight[bucket_of(pieces, len(weight))], texts_in)
-                some = np.flatnonzero(size)
-                own, many = ids.take(pa.array(some)), pa.array(size[some])
+                own = ids.take(pa.array(some))
                 for band, chosen in enumerate(bands(rows, count)):
                     key = np.full(len(some), band, np.uint64)
                     for x in chosen:
                         key = (key ^ drawn[x, some]) * np.uint64(0xD6E8FEB86659FD93)
                         key ^= key >> np.uint64(32)
-                    yield pa.RecordBatch.from_arrays([own, pa.array(mix64(key).view(np.int64)), many], ["rep", "k", "pieces"])
+                    yield pa.RecordBatch.from_arrays([own, pa.array(mix64(key).view(np.int64)), *sketch], ["rep", "k", "s1", "s2"])
 
-    return classes.select("rep", "text").mapInArrow(run, f"rep {kind}, k bigint, pieces int")
+    return classes.select("rep", "text").mapInArrow(run, f"rep {kind}, k bigint, s1 bigint, s2 bigint")
 
 
-def candidate_pairs(keys: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a band key and could be similar by their sizes.
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a band key and whose sketches are near enough.
 
     The two sides of the self-join read one exchange; adaptive execution splits hot keys.
     """
-    left = keys.select(F.col("rep").alias("a"), "k", F.col("pieces").alias("na"))
-    right = keys.select(F.col("rep").alias("b"), "k", F.col("pieces").alias("nb"))
-    near = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9))
+    left = keys.select(F.col("rep").alias("a"), "k", F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    right = keys.select(F.col("rep").alias("b"), "k", F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    near = left.join(right, "k").where((F.col("a") < F.col("b")) & (apart <= MOST_BITS_APART))
     return near.select("a", "b").distinct()
 
 
 def plain_similarity(a: TextBatch, b: TextBatch) -> np.ndarray:
     """Share of common pieces of each pair of normal texts."""
-    x, y = (np.unique(packed_pieces(t)) for t in (a, b))
+    x, y = (w[np.append(True, w[1:] != w[:-1])] if len(w) else w for w in (packed_pieces(a), packed_pieces(b)))
     both = np.sort(np.concatenate([x, y]))
     common = both[1:][both[1:] == both[:-1]]
     shift = np.uint64(64 - OWNER_BITS)
@@ -222,12 +259,14 @@ def weighted_similarity(a: TextBatch, b: TextBatch, idf: np.ndarray) -> np.ndarr
     return least / np.maximum(np.bincount(ta, wa, len(a)) + np.bincount(tb, wb, len(a)) - least, 1e-9)
 
 
-def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes (rep, n, text), pairs (a, b, similarity, weighted), a < b) of a table."""
-    classes = work_table(classes_of(df, key, *columns), "classes")
+def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes (rep, text), copies (id, rep, n), pairs (a, b, similarity, weighted) with a < b) of a table."""
+    rows = normal_rows(df, key, *columns)
+    several = copies(rows)
+    classes = classes_of(rows, several)
     count = classes.count()
     idf = df.sparkSession.sparkContext.broadcast(idf_table(document_frequencies(classes, buckets_for(count)), count))
-    drawn = cut(candidate_pairs(band_keys(classes, idf), similarity))
+    drawn = cut(candidate_pairs(band_keys(classes, idf)))
     found = cut(verified(drawn, classes, idf, similarity))
     ends = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = cut(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
@@ -237,10 +276,10 @@ def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: flo
     dense = degree.where(F.col("n") > DENSE).select(F.col("a").alias("rep"))
     many = dense.count()
     if many:
-        again = maybe_in(classes, "rep", dense, many).join(dense, "rep", "left_semi")
-        more = more.unionAll(candidate_pairs(band_keys(again, idf, DENSE_ROWS, DENSE_BANDS), similarity))
+        again = maybe_in(classes, "rep", dense, many).join(dense, "rep")
+        more = more.unionAll(candidate_pairs(band_keys(again, idf, DENSE_ROWS, DENSE_BANDS)))
     more = cut(more.distinct().join(drawn, ["a", "b"], "left_anti"))
-    return classes, found.unionAll(verified(more, classes, idf, similarity))
+    return classes, several, found.unionAll(verified(more, classes, idf, similarity))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
@@ -266,23 +305,15 @@ def verified(pairs: DataFrame, classes: DataFrame, idf: Broadcast, similarity: f
     return texts.mapInArrow(run, f"a {kind}, b {kind}, similarity double, weighted double")
 
 
-def copies(df: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(id, rep, n) of every row in a class of several rows; only hashes of their texts are shuffled."""
-    hashes = (F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    several = cut(classes.where("n > 1").select("rep", "n", *hashes))
-    rows = df.select(F.col(key).alias("id"), normal(*columns).alias("text")).where("text != ''").select("id", *hashes)
-    return maybe_in(rows, "h1", several.select("h1")).join(several, ["h1", "h2"]).select("id", "rep", "n")
-
-
-def members(df: DataFrame, classes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def members(classes: DataFrame, several: DataFrame) -> DataFrame:
     """(id, rep, n) of every row in a class."""
-    return copies(df, classes, key, columns).unionAll(classes.where("n = 1").select(F.col("rep").alias("id"), "rep", "n"))
+    alone = without(classes.select(F.col("rep").alias("id")), "id", several.select("id"))
+    return several.unionAll(alone.select("id", F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("n")))
 
 
 def similar_rows(df: DataFrame, key: str, columns: list[str], similarity: float = SIMILARITY) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows of equal or similar texts."""
-    classes, pairs = similar_classes(df, key, columns, similarity)
-    several = cut(copies(df, classes, key, columns))
+    _, several, pairs = similar_classes(df, key, columns, similarity)
     equal = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
     # the only row of a class bears its name
     near = pairs.join(several.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").join(several.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))

@@ -41,9 +41,9 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row for each row of the corpus: its class of equal texts, and the number of other classes that are similar."""
     _start(spark)
     df = table(spark, d, "corpus")
-    classes, pairs = near_duplicates.similar_classes(df, "row_id", ["question", "answer"])
+    classes, several, pairs = near_duplicates.similar_classes(df, "row_id", ["question", "answer"])
     links = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    who = near_duplicates.members(df, classes, "row_id", ["question", "answer"])
+    who = near_duplicates.members(classes, several)
     return who.join(links, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
