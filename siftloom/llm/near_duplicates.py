@@ -10,8 +10,8 @@ its plain one and meets as well. Weighted Jaccard similarity is computed of ever
 exact share of common pieces alone decides.
 
 Two neighbours of one class are verified, too, where the class has at most DENSE neighbours; classes
-with more are drawn again under DENSE_BANDS narrower bands, so a family of any size costs its number
-of members and of similar pairs, never more.
+with more are drawn again with their neighbours under DENSE_BANDS narrower bands, so a family of any
+size costs its number of members and of similar pairs, never more.
 
 Similar classes are expanded to their rows only for the pair form of the result. Rows without any
 letter or digit are in no pair; null counts as empty; texts of one or two letters are similar only
@@ -273,7 +273,8 @@ def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: flo
     few = ends.join(degree.where(F.col("n") <= DENSE).select("a"), "a", "left_semi")
     # bands may miss a pair whose two sides are both similar to a third class: such pairs are verified, too
     more = few.select(F.col("a").alias("mid"), F.col("b").alias("a")).join(few.select(F.col("a").alias("mid"), "b"), "mid").where("a < b").select("a", "b")
-    dense = degree.where(F.col("n") > DENSE).select(F.col("a").alias("rep"))
+    # neighbours of a class with more are drawn again
+    dense = cut(ends.join(degree.where(F.col("n") > DENSE).select("a"), "a", "left_semi").select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     many = dense.count()
     if many:
         again = maybe_in(classes, "rep", dense, many).join(dense, "rep")

@@ -51,8 +51,9 @@ def test_hot_class_and_skewed_key(spark):
     df = spark.createDataFrame(rows, "row_id int, question string")
     got = near_duplicates.similar_rows(df, "row_id", ["question"])
     assert got.where("id_a < 1000").count() == 200 * 199 // 2
-    classes, _ = near_duplicates.similar_classes(df, "row_id", ["question"])
-    assert {r.n for r in classes.collect()} == {1, 200}
+    classes, several, _ = near_duplicates.similar_classes(df, "row_id", ["question"])
+    assert classes.count() == 61 and {(r.rep, r.n) for r in several.collect()} == {(0, 200)}
+    assert near_duplicates.members(classes, several).count() == 260
 
 
 @pytest.mark.parametrize("own", [10, 28])
