@@ -10,7 +10,7 @@ its plain one and meets as well. Weighted Jaccard similarity is computed of ever
 exact share of common pieces alone decides.
 
 Two neighbours of one class are verified, too, where the class has at most DENSE neighbours; classes
-with more are drawn again with their neighbours under DENSE_BANDS narrower bands, so a family of any
+with more are drawn again with their neighbours by other samples and under narrower bands, so a family of any
 size costs its number of members and of similar pairs, never more.
 
 Similar classes are expanded to their rows only for the pair form of the result. Rows without any
@@ -38,8 +38,8 @@ from siftloom.session import cut, work_table
 PIECE, SIMILARITY = 3, 0.7
 #: Samples drawn; samples in a band; bands (the samples are dealt to them evenly, so bands overlap).
 HASHES, ROWS, BANDS = 40, 5, 16
-#: Neighbours from which a class counts as dense; bands of its second drawing and samples in each.
-DENSE, DENSE_BANDS, DENSE_ROWS = 32, 64, 4
+#: Neighbours from which a class counts as dense; the same of its second drawing.
+DENSE, DENSE_HASHES, DENSE_ROWS, DENSE_BANDS = 32, 96, 4, 72
 #: Bins of the sketch, one bit each; bits in which the sketches of a similar pair differ at most (19 are expected at the
 #: least similarity, with a deviation of 4; 48 at a similarity of a quarter).
 BINS, MOST_BITS_APART = 128, 36
@@ -151,40 +151,40 @@ def idf_table(df: np.ndarray, texts: int) -> np.ndarray:
 
 
 @functools.cache
-def variates(k: int) -> np.ndarray:
+def variates(hashes: int, k: int) -> np.ndarray:
     """For one sample: the scores of improved consistent weighted sampling by (level of the weight, slot of the piece).
 
     r and c are gamma variates, beta a uniform one; a score orders as ln a does, as an unsigned number, and depends on
     the weight only through its rounding y, so equal scores mean the same (piece, y).
     """
-    rng = np.random.default_rng((20, k))
+    rng = np.random.default_rng((hashes, k))
     r, ln_c, beta = rng.gamma(2.0, 1.0, POOL), np.log(rng.gamma(2.0, 1.0, POOL)), rng.random(POOL)
     ln_w = (np.arange(LEVELS) / STEPS)[:, None]
     ln_a = ln_c - r * (np.floor(ln_w / r + beta) - beta) - r
     return (ln_a + 200).astype(np.float32).view(np.uint32).ravel()
 
 
-def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, block: int = 1 << 15) -> np.ndarray:
-    """samples[k, text]: the sample that hash function k draws; a text without pieces gets its own number."""
-    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 99).astype(np.uint32)[None], HASHES, axis=0)
+def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: int, hashes: int, block: int = 1 << 15) -> np.ndarray:
+    """samples[k, text]: the sample that hash function k draws, another for every number of hashes; a text without pieces gets its own number."""
+    out = np.repeat(mix64(np.arange(count, dtype=np.uint64), 99).astype(np.uint32)[None], hashes, axis=0)
     if not len(pieces):
         return out
     starts = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
     have = texts[starts]
     base = (np.clip(np.rint(np.log(weights) * STEPS), 0, LEVELS - 1) * POOL).astype(np.uint32)
     short = mix64(pieces).astype(np.uint32)
-    odd = np.random.default_rng(77).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    odd = np.random.default_rng((77, hashes)).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shift = np.uint32(32 - int(math.log2(POOL)))
     # blocks end with a text, so that each fits the cache and is reduced by itself
     edges = np.append(starts, len(pieces))
     cuts = np.unique(np.append(np.searchsorted(edges, np.arange(0, len(pieces), block)), len(starts)))
-    pools = [variates(k) for k in range(HASHES)]
+    pools = [variates(hashes, k) for k in range(hashes)]
     with np.errstate(over="ignore"):
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             lo, hi = edges[i], edges[j]
             s, w, own, who = short[lo:hi], base[lo:hi], starts[i:j] - lo, have[i:j]
             at = np.empty(hi - lo, np.uint32)
-            for k in range(HASHES):
+            for k in range(hashes):
                 np.multiply(s, odd[k], out=at)
                 np.right_shift(at, shift, out=at)
                 np.add(at, w, out=at)
@@ -193,14 +193,14 @@ def samples(pieces: np.ndarray, texts: np.ndarray, weights: np.ndarray, count: i
 
 
 @functools.cache
-def bands(rows: int = ROWS, count: int = BANDS) -> list[np.ndarray]:
+def bands(hashes: int, rows: int, count: int) -> list[np.ndarray]:
     """The samples that make up each band."""
     rng = np.random.default_rng((5, rows))
-    dealt = np.concatenate([rng.permutation(HASHES)[: HASHES // rows * rows] for _ in range(-(-count * rows // (HASHES // rows * rows)))])
+    dealt = np.concatenate([rng.permutation(hashes)[: hashes // rows * rows] for _ in range(-(-count * rows // (hashes // rows * rows)))])
     return list(dealt[: count * rows].reshape(count, rows))
 
 
-def band_keys(classes: DataFrame, idf: Broadcast, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+def band_keys(classes: DataFrame, idf: Broadcast, hashes: int = HASHES, rows: int = ROWS, count: int = BANDS) -> DataFrame:
     """(rep, k, s1, s2: sketch) for every class and band; the band is part of the key k."""
     kind = classes.schema["rep"].dataType.simpleString()
 
@@ -212,9 +212,9 @@ def band_keys(classes: DataFrame, idf: Broadcast, rows: int = ROWS, count: int =
                 pieces, texts, times = piece_sets(TextBatch.of(b.column(1).slice(at, texts_in)))
                 some = np.flatnonzero(np.bincount(texts, minlength=texts_in))
                 sketch = [pa.array(x) for x in sketches(pieces, texts, texts_in)[some].view(np.int64).T]
-                drawn = samples(pieces, texts, (1 + np.log(times)) * weight[bucket_of(pieces, len(weight))], texts_in)
+                drawn = samples(pieces, texts, (1 + np.log(times)) * weight[bucket_of(pieces, len(weight))], texts_in, hashes)
                 own = ids.take(pa.array(some))
-                for band, chosen in enumerate(bands(rows, count)):
+                for band, chosen in enumerate(bands(hashes, rows, count)):
                     key = np.full(len(some), band, np.uint64)
                     for x in chosen:
                         key = (key ^ drawn[x, some]) * np.uint64(0xD6E8FEB86659FD93)
@@ -278,7 +278,7 @@ def similar_classes(df: DataFrame, key: str, columns: list[str], similarity: flo
     many = dense.count()
     if many:
         again = maybe_in(classes, "rep", dense, many).join(dense, "rep")
-        more = more.unionAll(candidate_pairs(band_keys(again, idf, DENSE_ROWS, DENSE_BANDS)))
+        more = more.unionAll(candidate_pairs(band_keys(again, idf, DENSE_HASHES, DENSE_ROWS, DENSE_BANDS)))
     more = cut(more.distinct().join(drawn, ["a", "b"], "left_anti"))
     return classes, several, found.unionAll(verified(more, classes, idf, similarity))
 
