@@ -4,39 +4,49 @@ Windows of letters and digits start at winnowed anchors (the least k-gram hash o
 ANCHOR_RUN k-grams), so a passage shared by a document and an item shares an anchor, wherever it
 stands. Each window, of a size that fits the item, goes through the CGK random walk: one symbol is
 put out at every step and the place moves on or stays by a random bit of that symbol and step,
-which turns edit distance into Hamming distance. BANDS samples of BITS steps each are the keys of a
-locality-sensitive hash; a passage that is shared unchanged agrees in all of them, an edited one in
-some with high probability. Colliding (document, item) pairs are verified exactly.
-
-The item index is sent to the executors only below INDEX_BYTES; a larger index is joined by key as
-a table. Items too short for windows are looked for as they are or, in a join, by all their shortest passages. Documents never leave their task except as found pairs. Null and empty texts and items
-without letters hold nothing. Repeated documents and items are each reported.
+which turns edit distance into Hamming distance. Repetitions of BITS sampled steps each are the keys
+of a locality-sensitive hash; their number follows from the target recall (RECALL) and from how
+often sampled steps agree at the allowed share of edits, which is simulated once for every window
+size. Unchanged passages agree in every step, so without edits one repetition finds all of them.
+
+Every colliding (document, item) pair is verified exactly: the least number of edits at which some
+passage of the item, of the shortest length that counts, stands in the document. Extensions of all
+common k-grams to both sides along the furthest-reaching diagonals find it, since a passage with so
+few edits has an unchanged run of GRAM letters.
+
+Items too short for windows have all their shortest passages as keys, without edits. A bitmap of
+the known keys keeps all other windows of the documents from going any further. The index of the
+items is sent to the executors below INDEX_BYTES and joined by key as a table above; both ways use
+the same keys and the same verification. Documents never leave their task except as found pairs or,
+in the join, as candidates. Null and empty texts and items without letters hold nothing. Repeated
+documents and items are each reported.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.textbatch import TextBatch, chunks, mix64, prefix_hash, span_hash, window_starts
 from siftloom.session import cut
 
-#: Share of an item's letters and digits that an unbroken passage must hold.
-MIN_SHARE = 0.4
-#: Letters of an anchor's k-gram; k-grams in a run of which one is chosen.
+#: Share of an item's letters and digits that an unbroken passage must hold; share of a passage's letters that may be edited.
+MIN_SHARE, EDITS = 0.4, 0.1
+#: Letters of an anchor's k-gram; k-grams in a run of which one is chosen, a power of two.
 GRAM, ANCHOR_RUN = 5, 8
-#: Window sizes; an item uses the largest that its shortest passage holds behind any anchor, 0 if that passage may hold none. Windows longer
-#: than GATE are walked only where the walk over their first GATE letters already meets an item. ANCHOR_RUN is a power of two.
+#: Window sizes; an item uses the largest that its shortest passage holds behind any anchor, 0 if that passage may hold none (with edits:
+#: that fits the passage three times). Windows longer than GATE are walked only where the walk over their first GATE letters meets an
+#: item, unless edits are allowed.
 SIZES, GATE = (4, 8, 16, 24, 48, 96), 24
-#: Repetitions of the bit sampling, sampled steps of each, steps of the walk as a multiple of the window.
-BANDS, BITS, STRETCH = 2, 12, 2
+#: Sampled steps of a repetition, steps of the walk as a multiple of the window, share of edited passages that must be met, most repetitions.
+BITS, STRETCH, RECALL, MOST_BANDS = 12, 2, 0.95, 24
 #: Bits of the table that tells whether a key may be known.
 GATE_BITS = 22
 GATE_MASK = np.uint64((1 << GATE_BITS) - 1)
@@ -48,12 +58,18 @@ def shortest_passage(letters: int, share: float = MIN_SHARE) -> int:
     return max(1, math.ceil(share * letters - 1e-9))
 
 
-def size_for(letters: int, share: float = MIN_SHARE) -> int:
+def most_edits(letters: int, share: float = MIN_SHARE, edits: float = 0.0) -> int:
+    """Edits allowed in the shortest passage: so few that an unchanged run of GRAM letters remains."""
+    need = shortest_passage(letters, share)
+    return max(0, min(int(edits * need + 1e-9), (need - GRAM) // (GRAM + 1)))
+
+
+def size_for(letters: int, share: float = MIN_SHARE, edits: float = 0.0) -> int:
     passage = shortest_passage(letters, share)
     if passage < ANCHOR_RUN + GRAM - 1:  # no whole run of k-grams, so it may hold no anchor
         return 0
-    room = passage - (ANCHOR_RUN - 1)
-    return max([s for s in SIZES if s <= room], default=0)
+    room = passage // 3 if most_edits(letters, share, edits) else passage - (ANCHOR_RUN - 1)
+    return max([s for s in SIZES if s <= max(room, SIZES[0])], default=0)
 
 
 def anchors(let: TextBatch, prefix: np.ndarray) -> np.ndarray:
@@ -80,77 +96,154 @@ def anchors(let: TextBatch, prefix: np.ndarray) -> np.ndarray:
     return st[chosen]
 
 
-def sampled_steps(size: int) -> list[np.ndarray]:
+@functools.cache
+def sampled_steps(size: int, bands: int) -> list[np.ndarray]:
     rng = np.random.default_rng(size)
-    return [np.sort(rng.choice(size * STRETCH, min(BITS, size * STRETCH), replace=False)) for _ in range(BANDS)]
+    return [np.sort(rng.choice(size * STRETCH, min(BITS, size * STRETCH), replace=False)) for _ in range(bands)]
 
 
-def walk_keys(let: TextBatch, place: np.ndarray, size: int, block: int = 1 << 16) -> list[np.ndarray]:
-    """One key for each band and window that starts at place and has size letters; block: windows walked at once."""
-    wanted = sampled_steps(size)
+@functools.cache
+def moves(size: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 31, size * STRETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def walk_keys(let: TextBatch, place: np.ndarray, size: int, bands: int = 1, block: int = 1 << 16) -> list[np.ndarray]:
+    """One key for each repetition and window that starts at place and has size letters; block: windows walked at once."""
+    wanted = sampled_steps(size, bands)
     last = max(int(w[-1]) for w in wanted)
-    taken = [set(w.tolist()) for w in wanted]
-    moves = np.random.default_rng(5).integers(0, 1 << 31, size * STRETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    taken: dict[int, list[int]] = {}
+    for b, steps in enumerate(wanted):
+        for step in steps.tolist():
+            taken.setdefault(step, []).append(b)
+    go = moves(size)
     cps = np.concatenate([let.cps.astype(np.uint32), np.zeros(size * STRETCH + 1, np.uint32)])
-    out = [np.empty(len(place), np.uint64) for _ in range(BANDS)]
+    out = [np.empty(len(place), np.uint64) for _ in range(bands)]
     for lo in range(0, len(place), block):
         start = place[lo : lo + block]
         at = start.copy()
-        keys = [np.full(len(start), b + 1, np.uint64) for b in range(BANDS)]
+        keys = [np.full(len(start), b + 1, np.uint64) for b in range(bands)]
         with np.errstate(over="ignore"):
             for step in range(last + 1):
                 c = cps[at]
-                if any(step in t for t in taken):
-                    c = np.where(at - start < size, c, np.uint32(0))
-                    for b in range(BANDS):
-                        if step in taken[b]:
-                            keys[b] = (keys[b] + c) * np.uint64(0x9E3779B97F4A7C15)
-                            keys[b] ^= keys[b] >> np.uint64(29)
-                at += (c * moves[step]) >> np.uint32(31)
-        for b in range(BANDS):
+                if step in taken:
+                    seen = np.where(at - start < size, c, np.uint32(0))
+                    for b in taken[step]:
+                        keys[b] = (keys[b] + seen) * np.uint64(0x9E3779B97F4A7C15)
+                        keys[b] ^= keys[b] >> np.uint64(29)
+                at += (c * go[step]) >> np.uint32(31)
+        for b in range(bands):
             out[b][lo : lo + block] = mix64(keys[b], size)
     return out
 
 
+@functools.cache
+def agreement(size: int, edits: float, trials: int = 400) -> float:
+    """How likely all sampled steps of a repetition agree for a window edited at that rate, by seeded simulation."""
+    rng = np.random.default_rng((size, trials))
+    plain = rng.integers(97, 123, (trials, 2 * size), dtype=np.uint32)
+    other = np.zeros_like(plain)
+    for i, row in enumerate(plain):
+        out: list[int] = []
+        for c, u, v in zip(row.tolist(), rng.random(2 * size), rng.integers(97, 123, 2 * size), strict=True):
+            kind = u / edits * 3 if u < edits else 9.0
+            out += [int(v)] if kind < 1 else [] if kind < 2 else [c, int(v)] if kind < 3 else [c]
+        other[i, : len(out)] = out[: 2 * size]
+    both = []
+    for rows in (plain, other):
+        let = TextBatch(rows.ravel(), np.arange(trials + 1, dtype=np.int64) * 2 * size)
+        both.append(walk_keys(let, let.off[:-1], size, 8))
+    return float(np.mean([x == y for x, y in zip(*both, strict=True)]))
+
+
+def bands_for(size: int, edits: float, recall: float = RECALL) -> int:
+    """Repetitions that reach the recall at the allowed edits; a passage holds about two windows whose anchors are unchanged."""
+    p = 1.0 if not edits else agreement(size, edits)
+    return 1 if p >= 1 else min(MOST_BANDS, math.ceil(math.log(1 - recall) / (2 * math.log(1 - max(p, 1e-6)))))
+
+
 @dataclasses.dataclass
-class ItemIndex:
-    """Sorted keys with their items, by window size; letters of all items."""
+class Plan:
+    """What the keys of documents are made for: window sizes and short passages that any item has, and which keys are known."""
 
-    ids: list[str]
-    letters: list[str]
-    keys: dict[int, list[tuple[np.ndarray, np.ndarray]]]
-    gates: list[np.ndarray]
-    share: float
+    sizes: list[int]
+    lengths: list[int]
+    share: float = MIN_SHARE
+    edits: float = 0.0
+    known: np.ndarray | None = None
+    first: np.ndarray | None = None
 
     @classmethod
-    def of(cls, ids: list[str], questions: list[str | None], share: float = MIN_SHARE) -> "ItemIndex":
-        let = TextBatch.of(pa.array(questions, pa.large_string())).letters()
+    def of(cls, counts: np.ndarray, share: float, edits: float) -> "Plan":
+        """From the numbers of letters of all items."""
+        some = [int(n) for n in counts if n > 0]
+        sizes = {n: size_for(n, share, edits) for n in some}
+        return cls(sorted({s for s in sizes.values() if s}), sorted({shortest_passage(n, share) for n, s in sizes.items() if not s}), share, edits)
+
+    def item_keys(self, let: TextBatch, gate: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(item, key) of all windows and short passages of items; gate: the keys of the first GATE letters of longer windows instead."""
         count = np.diff(let.off)
-        letters = [let.cps[a:b].tobytes().decode("utf-32-le") for a, b in zip(let.off[:-1], let.off[1:], strict=True)]
-        sizes = np.array([size_for(int(n), share) if n else -1 for n in count], dtype=np.int64)
-        place = anchors(let, prefix_hash(let.cps))
-        own = let.owner()[place] if len(place) else place
-        keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        gates = [np.zeros(1 << GATE_BITS, bool) for _ in range(BANDS)]
-        for size in sorted({int(s) for s in sizes if s > 0}):
+        sizes = np.array([size_for(int(n), self.share, self.edits) if n else -1 for n in count], np.int64)
+        own_of, prefix = let.owner(), prefix_hash(let.cps)
+        place = anchors(let, prefix)
+        own = own_of[place]
+        who, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in self.sizes:
+            if gate and size <= GATE:
+                continue
             ok = (sizes[own] == size) & (place + size <= let.off[own + 1])
-            bands = []
-            for k in walk_keys(let, place[ok], size):
-                order = np.argsort(k, kind="stable")
-                bands.append((k[order], own[ok][order]))
-            keys[size] = bands
-            if size > GATE:
-                for gate, k in zip(gates, walk_keys(let, place[ok], GATE), strict=True):
-                    gate[(k & GATE_MASK).astype(np.int64)] = True
-        return cls(ids, letters, keys, gates, share)
+            walked = GATE if gate else size
+            for k in walk_keys(let, place[ok], walked, self.bands(walked)):
+                who.append(own[ok])
+                keys.append(k)
+        need = np.array([shortest_passage(int(n), self.share) if n else 0 for n in count], np.int64)
+        for length in [] if gate else self.lengths:
+            st = window_starts(let, length)
+            st = st[(need[own_of[st]] == length) & (sizes[own_of[st]] == 0)]
+            who.append(own_of[st])
+            keys.append(span_hash(prefix, st, st + length))
+        return np.concatenate(who), np.concatenate(keys)
+
+    def bands(self, size: int) -> int:
+        return bands_for(size, self.edits)
+
+    def knows(self, keys: np.ndarray) -> np.ndarray:
+        return np.ones(len(keys), bool) if self.known is None else self.known[(keys & GATE_MASK).astype(np.int64)]
+
+    def document_keys(self, let: TextBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document, key) arrays of the windows whose keys may be known."""
+        if not len(let.cps):
+            return
+        own_of, prefix = let.owner(), prefix_hash(let.cps)
+        place = anchors(let, prefix)
+        own, gated = own_of[place], None
+        for size in self.sizes:
+            ok = place + size <= let.off[own + 1]
+            if size > GATE and self.first is not None:
+                if gated is None:
+                    room = np.flatnonzero(place + GATE <= let.off[own + 1])
+                    (k,) = walk_keys(let, place[room], GATE)
+                    gated = np.zeros(len(place), bool)
+                    gated[room[self.first[(k & GATE_MASK).astype(np.int64)]]] = True
+                ok &= gated
+            p, o = place[ok], own[ok]
+            for k in walk_keys(let, p, size, self.bands(size)):
+                met = self.knows(k)
+                yield o[met], k[met]
+        for length in self.lengths:
+            st = window_starts(let, length)
+            k = span_hash(prefix, st, st + length)
+            met = self.knows(k)
+            yield own_of[st[met]], k[met]
+
+
+def table_of(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << GATE_BITS, bool)
+    out[(keys & GATE_MASK).astype(np.int64)] = True
+    return out
 
-    def bytes(self) -> int:
-        return sum(k.nbytes + o.nbytes for b in self.keys.values() for k, o in b) + 4 * sum(map(len, self.letters))
 
-    def tiny(self) -> list[int]:
-        """Items whose passages are too short for any window: they are looked for as they are."""
-        covered = {int(o) for b in self.keys.values() for _, own in b for o in np.unique(own)}
-        return [i for i, t in enumerate(self.letters) if t and i not in covered]
+def _words(let: TextBatch, i: int) -> str:
+    return let.cps[let.off[i] : let.off[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def holds_passage(document: str, item: str, share: float = MIN_SHARE) -> bool:
@@ -176,133 +269,152 @@ def holds_passage(document: str, item: str, share: float = MIN_SHARE) -> bool:
     return False
 
 
-def candidates(let: TextBatch, index: ItemIndex) -> np.ndarray:
-    """Distinct (text, item) index pairs that share a key."""
-    if not len(let.cps) or not index.keys:
-        return np.zeros((0, 2), np.int64)
-    place = anchors(let, prefix_hash(let.cps))
-    own = let.owner()[place]
-    found, gated = [], None
-    for size, bands in index.keys.items():
-        ok = place + size <= let.off[own + 1]
-        if size > GATE:
-            if gated is None:
-                room = np.flatnonzero(place + GATE <= let.off[own + 1])
-                keys = walk_keys(let, place[room], GATE)
-                meets = np.zeros(len(room), bool)
-                for gate, k in zip(index.gates, keys, strict=True):
-                    meets |= gate[(k & GATE_MASK).astype(np.int64)]
-                gated = np.zeros(len(place), bool)
-                gated[room[meets]] = True
-            ok &= gated
-        p, o = place[ok], own[ok]
-        for key, (known, items) in zip(walk_keys(let, p, size), bands, strict=True):
-            a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-            near = np.flatnonzero(b > a)
-            times = (b - a)[near]
-            hit = np.repeat(near, times)
-            which = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a[near], times)
-            pairs = np.unique(o[hit] * len(index.ids) + items[which])
-            found.append(pairs)
-    every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return np.stack([every // len(index.ids), every % len(index.ids)], axis=1)
-
-
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, question: str, share: float = MIN_SHARE) -> DataFrame:
-    """(key, item_key) of every document that holds an item's question, whole or as a long enough passage."""
+def reach(item: str, document: str, i: int, j: int, most: int, way: int) -> list[int]:
+    """reach[e]: how many letters of the item from place i on (way 1) or before it (way -1) match the document from j with e edits."""
+
+    def run(a: int, b: int) -> int:
+        n = 0
+        while 0 <= (x := i + way * (a + n)) < len(item) and 0 <= (y := j + way * (b + n)) < len(document) and item[x] == document[y]:
+            n += 1
+        return n
+
+    if way < 0:
+        i, j = i - 1, j - 1
+    room = len(item) - i if way > 0 else i + 1
+    far = {0: run(0, 0)}  # diagonal (item letters less document letters) -> furthest item letters
+    best = [far[0]]
+    for _ in range(most):
+        nxt: dict[int, int] = {}
+        for d, a in far.items():
+            for to, b in ((d, a + 1), (d + 1, a + 1), (d - 1, a)):  # replaced, missing from the document, added to it
+                if b <= room and b - to >= 0 and nxt.get(to, -1) < b:
+                    nxt[to] = b
+        far = {d: a + run(a, a - d) for d, a in nxt.items()}
+        best.append(max([best[-1], *far.values()]))
+    return best
+
+
+def least_edits(document: str, item: str, share: float = MIN_SHARE, edits: float = 0.0) -> int | None:
+    """The least number of edits at which the document holds a shortest passage of the item; None beyond the allowed ones."""
+    if holds_passage(document, item, share):
+        return 0
+    most, need = most_edits(len(item), share, edits), shortest_passage(len(item), share)
+    if not item or not most:
+        return None
+    grams: dict[str, list[int]] = {}
+    for i in range(len(item) - GRAM + 1):
+        grams.setdefault(item[i : i + GRAM], []).append(i)
+    best, seen = most + 1, {}
+    for j in range(len(document) - GRAM + 1):
+        for i in grams.get(document[j : j + GRAM], ()):
+            if seen.get(i - j, -1) >= j:  # within a run that is done
+                continue
+            ahead, back = reach(item, document, i, j, most, 1), reach(item, document, i, j, most, -1)
+            seen[i - j] = j + ahead[0] - GRAM
+            for e in range(min(best, most + 1)):
+                if any(ahead[x] + back[e - x] >= need for x in range(e + 1)):
+                    best = e
+                    break
+    return best if best <= most else None
+
+
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, question: str, share: float = MIN_SHARE, edits: float = 0.0) -> DataFrame:
+    """(key, item_key, edits) of every document that holds an item's question, whole or as a long enough passage, with the least edits."""
     rows = items.select(F.col(item_key).cast("string").alias("i"), F.col(question).alias("q")).where("i is not null and q is not null")
     size = rows.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()[0]
     kind = documents.schema[key].dataType.simpleString()
-    if size * 4 * (BANDS + 1) > INDEX_BYTES:
-        return _leaks_by_join(documents.select(F.col(key).alias("d"), F.col(text).alias("t")), rows, kind, share).toDF(key, item_key)
+    docs = documents.select(F.col(key).alias("d"), F.col(text).alias("t"))
+    if size * 4 * (max(bands_for(s, edits) for s in SIZES) + 1) > INDEX_BYTES:
+        return _leaks_by_join(docs, rows, kind, share, edits).toDF(key, item_key, "edits")
     got = rows.collect()
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex.of([r.i for r in got], [r.q for r in got], share))
+    let = TextBatch.of(pa.array([r.q for r in got], pa.large_string())).letters()
+    plan = Plan.of(np.diff(let.off), share, edits)
+    own, keys = plan.item_keys(let)
+    order = np.argsort(keys, kind="stable")
+    plan.known = table_of(keys)
+    plan.first = None if edits else table_of(plan.item_keys(let, gate=True)[1])
+    index = documents.sparkSession.sparkContext.broadcast((plan, keys[order], own[order], [r.i for r in got], [_words(let, i) for i in range(len(got))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        tiny = ix.tiny()
+        plan, known, owners, ids, questions = index.value
         for whole in batches:
             for at, to in chunks(whole.column(1)):
                 b = whole.slice(at, to - at)
                 let = TextBatch.of(b.column(1)).letters()
-                pairs = candidates(let, ix).tolist() + [[d, i] for d in range(len(let)) for i in tiny]
-                docs, names, last, words = [], [], -1, ""
-                for d, i in sorted(pairs):
+                met = [np.zeros(0, np.int64)]
+                for own, key_ in plan.document_keys(let):
+                    lo, hi = np.searchsorted(known, key_, "left"), np.searchsorted(known, key_, "right")
+                    times = hi - lo
+                    hit = np.repeat(np.arange(len(key_)), times)
+                    which = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+                    met.append(np.unique(own[hit] * len(ids) + owners[which]))
+                at_doc, name, least, last, words = [], [], [], -1, ""
+                for pair in np.unique(np.concatenate(met)).tolist():
+                    d, i = divmod(pair, len(ids))
                     if d != last:
-                        last, words = d, let.cps[let.off[d] : let.off[d + 1]].tobytes().decode("utf-32-le")
-                    if holds_passage(words, ix.letters[i], ix.share):
-                        docs.append(d)
-                        names.append(ix.ids[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(names, pa.string())], [key, item_key])
-
-    found = documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{item_key}` string")
-    return found.distinct() if _has_copies(items, item_key) else found
+                        last, words = d, _words(let, d)
+                    if (e := least_edits(words, questions[i], plan.share, plan.edits)) is not None:
+                        at_doc.append(d)
+                        name.append(ids[i])
+                        least.append(e)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at_doc, pa.int64())), pa.array(name, pa.string()), pa.array(least, pa.int32())], ["d", "i", "edits"])
 
+    found = docs.mapInArrow(run, f"d {kind}, i string, edits int")
+    # one item id may stand in several rows
+    return (found.groupBy("d", "i").agg(F.min("edits").alias("edits")) if len({r.i for r in got}) < len(got) else found).toDF(key, item_key, "edits")
 
-def _has_copies(items: DataFrame, item_key: str) -> bool:
-    return items.groupBy(item_key).count().where("count > 1").limit(1).count() > 0
 
+def _leaks_by_join(documents: DataFrame, items: DataFrame, kind: str, share: float, edits: float) -> DataFrame:
+    """The way for an index too large to broadcast: keys of both sides meet in a shuffle join."""
 
-def _leaks_by_join(documents: DataFrame, items: DataFrame, kind: str, share: float) -> DataFrame:
-    """The way for an index too large to broadcast: windows of both sides meet by key in a shuffle join."""
+    def letters(items: DataFrame) -> np.ndarray:
+        """Distinct numbers of letters of the items: a value for each length, whatever their number."""
 
-    def windows(df: DataFrame, of_items: bool, id_kind: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at, to in chunks(whole.column(1)):
-                    b = whole.slice(at, to - at)
-                    let = TextBatch.of(b.column(1)).letters()
-                    place = anchors(let, prefix_hash(let.cps))
-                    own = let.owner()[place] if len(place) else place
-                    sizes = np.array([size_for(int(n), share) for n in np.diff(let.off)], np.int64)
-                    for size in SIZES:
-                        ok = place + size <= let.off[own + 1]
-                        if of_items:
-                            ok &= sizes[own] == size
-                        for band, k in enumerate(walk_keys(let, place[ok], size)):
-                            pairs = np.unique(np.stack([own[ok], k.view(np.int64)], axis=1), axis=0)
-                            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[:, 0])), pa.array(np.full(len(pairs), size * BANDS + band), pa.int32()), pa.array(pairs[:, 1])], ["id", "band", "k"])
-
-        return df.mapInArrow(run, f"id {id_kind}, band int, k bigint")
-
-    def passages(df: DataFrame, lengths: list[int] | None, met: Broadcast | None, id_kind: str) -> DataFrame:
-        """All passages of these lengths whose keys may be known; of items without windows (lengths is None) their shortest ones."""
+                for at, to in chunks(whole.column(0)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.diff(TextBatch.of(whole.column(0).slice(at, to - at)).letters().off)))], ["n"])
+
+        return items.select("q").mapInArrow(run, "n bigint").distinct().toArrow().column("n").to_numpy()
 
+    plan = Plan.of(letters(items), share, edits)
+
+    def item_rows(gate: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at, to in chunks(whole.column(1)):
                     b = whole.slice(at, to - at)
-                    let = TextBatch.of(b.column(1)).letters()
-                    count, own, prefix = np.diff(let.off), let.owner(), prefix_hash(let.cps)
-                    need = np.array([shortest_passage(int(n), share) if n and not size_for(int(n), share) else 0 for n in count], np.int64)
-                    for length in np.unique(need[need > 0]).tolist() if lengths is None else lengths:
-                        st = window_starts(let, length)
-                        if lengths is None:
-                            st = st[need[own[st]] == length]
-                        k = span_hash(prefix, st, st + length)
-                        if met is not None:
-                            known = met.value[(k & GATE_MASK).astype(np.int64)]
-                            st, k = st[known], k[known]
-                        pairs = np.unique(np.stack([own[st], k.view(np.int64)], axis=1), axis=0)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[:, 0])), pa.array(np.full(len(pairs), -length), pa.int32()), pa.array(pairs[:, 1])], ["id", "band", "k"])
-
-        return df.mapInArrow(run, f"id {id_kind}, band int, k bigint")
-
-    left, right = windows(documents, False, kind), windows(items, True, "string")
-    short = cut(passages(items, None, None, "string"))
-    needs = sorted(-r.band for r in short.select("band").distinct().collect())
-    if needs:
-        met = np.zeros(1 << GATE_BITS, bool)
-        met[short.select(F.col("k").bitwiseAND(F.lit(int(GATE_MASK))).alias("g")).distinct().toArrow().column("g").to_numpy()] = True
-        left = left.unionAll(passages(documents, needs, documents.sparkSession.sparkContext.broadcast(met), kind))
-        right = right.unionAll(short)
-    pairs = left.withColumnRenamed("id", "d").join(right.withColumnRenamed("id", "i"), ["band", "k"]).select("d", "i").distinct()
+                    own, keys = plan.item_keys(TextBatch.of(b.column(1)).letters(), gate)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(keys.view(np.int64))], ["i", "k"])
+
+        return items.mapInArrow(run, "i string, k bigint").distinct()
+
+    def gate_of(rows: DataFrame) -> np.ndarray:
+        """At most 2 ** GATE_BITS numbers reach the driver."""
+        return table_of(rows.select(F.col("k").bitwiseAND(F.lit(int(GATE_MASK))).alias("g")).distinct().toArrow().column("g").to_numpy().astype(np.uint64))
+
+    right = cut(item_rows(False))
+    plan.known = gate_of(right)
+    if not edits and any(s > GATE for s in plan.sizes):
+        plan.first = gate_of(item_rows(True))
+    sent = documents.sparkSession.sparkContext.broadcast(plan)
+
+    def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, to in chunks(whole.column(1)):
+                b = whole.slice(at, to - at)
+                for own, keys in sent.value.document_keys(TextBatch.of(b.column(1)).letters()):
+                    pairs = np.unique(np.stack([own, keys.view(np.int64)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["d", "k"])
+
+    left = documents.mapInArrow(document_rows, f"d {kind}, k bigint")
+    pairs = left.join(right, "k").select("d", "i").distinct()
     texts = pairs.join(documents, "d").join(items, "i").select("d", "i", "t", "q")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sides = [TextBatch.of(b.column(c)).letters() for c in (2, 3)]
-            words = [[x.cps[p:q].tobytes().decode("utf-32-le") for p, q in zip(x.off[:-1], x.off[1:], strict=True)] for x in sides]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["d", "i"]).filter(pa.array([holds_passage(a, c, share) for a, c in zip(*words, strict=True)], pa.bool_()))
+            docs, asked = (TextBatch.of(b.column(c)).letters() for c in (2, 3))
+            least = pa.array([least_edits(_words(docs, n), _words(asked, n), share, edits) for n in range(b.num_rows)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), least], ["d", "i", "edits"]).filter(least.is_valid())
 
-    return texts.mapInArrow(check, f"d {kind}, i string").distinct()
+    return texts.mapInArrow(check, f"d {kind}, i string, edits int").groupBy("d", "i").agg(F.min("edits").alias("edits"))

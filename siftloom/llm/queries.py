@@ -146,7 +146,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
-    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question")
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question").select("doc_id", "item_id")
+
+
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a long enough passage of an item with some edits, at most a tenth of its letters, and their least number."""
+    _start(spark)
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "question", edits=leaks.EDITS)
 
 
 def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:

@@ -120,6 +120,54 @@ def test_items_of_every_short_length_are_found(spark, monkeypatch, limit):
     assert {(n, k) for n, (k, _) in enumerate(items)} <= got
 
 
+def edit_distance_inside(document: str, passage: str) -> int:
+    """Least edits between the passage and any part of the document."""
+    row = [0] * (len(document) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, d in enumerate(document, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def edited(rng: random.Random, text: str, edits: int) -> str:
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + 1] = [rng.choice("nopqrs")] if kind == 0 else [] if kind == 1 else [out[at], rng.choice("nopqrs")]
+    return "".join(out)
+
+
+def test_least_edits_equal_brute_force():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    for _ in range(60):
+        item = text(rng.randrange(40, 90))
+        need, most = leaks.shortest_passage(len(item)), leaks.most_edits(len(item), edits=0.1)
+        a = rng.randrange(len(item) - need + 1)
+        document = text(30) + edited(rng, item[a : a + need], rng.randrange(0, most + 3)) + text(30)
+        want = min(edit_distance_inside(document, item[a : a + need]) for a in range(len(item) - need + 1))
+        assert leaks.least_edits(document, item, edits=0.1) == (want if want <= most else None)
+
+
+@pytest.mark.parametrize("limit", [leaks.INDEX_BYTES, 0])
+def test_edited_passages_reach_recall(spark, monkeypatch, limit):
+    monkeypatch.setattr(leaks, "INDEX_BYTES", limit)
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(f"i{k}", text(rng.choice([60, 120, 240]))) for k in range(120)]
+    docs = []
+    for n, (_, q) in enumerate(items):
+        need = leaks.shortest_passage(len(q))
+        a = rng.randrange(len(q) - need + 1)
+        docs.append((n, text(80) + edited(rng, q[a : a + need], leaks.most_edits(len(q), edits=0.1)) + text(80)))
+    d, e = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, question string")
+    got = {(r.doc_id, r.item_id): r.edits for r in leaks.leaks(d, "doc_id", "text", e, "item_id", "question", edits=0.1).collect()}
+    want = {(n, k): x for n, t in docs for k, q in items if (x := leaks.least_edits(t, q, edits=0.1)) is not None}
+    assert got.items() <= want.items() and len(want) >= 120 and len(got) >= 0.9 * len(want)
+
+
 def test_packing_keeps_everything(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.choice([0, 5, 40, 60, 99, 100, 101, 350])) for i in range(400)] + [(1000, None), (1, "again")]
