@@ -42,7 +42,7 @@ MIN_SHARE, EDITS = 0.4, 0.1
 #: Letters of an anchor's k-gram; k-grams in a run of which one is chosen, a power of two.
 GRAM, ANCHOR_RUN = 5, 8
 #: Window sizes; an item uses the largest that its shortest passage holds behind any anchor, 0 if that passage may hold none (with edits:
-#: that fits the passage three times). Windows longer than GATE are walked only where the walk over their first GATE letters meets an
+#: that fits the passage twice). Windows longer than GATE are walked only where the walk over their first GATE letters meets an
 #: item, unless edits are allowed.
 SIZES, GATE = (4, 8, 16, 24, 48, 96), 24
 #: Sampled steps of a repetition, steps of the walk as a multiple of the window, share of edited passages that must be met, most repetitions.
@@ -68,7 +68,7 @@ def size_for(letters: int, share: float = MIN_SHARE, edits: float = 0.0) -> int:
     passage = shortest_passage(letters, share)
     if passage < ANCHOR_RUN + GRAM - 1:  # no whole run of k-grams, so it may hold no anchor
         return 0
-    room = passage // 3 if most_edits(letters, share, edits) else passage - (ANCHOR_RUN - 1)
+    room = passage // 2 if most_edits(letters, share, edits) else passage - (ANCHOR_RUN - 1)
     return max([s for s in SIZES if s <= max(room, SIZES[0])], default=0)
 
 
@@ -156,9 +156,9 @@ def agreement(size: int, edits: float, trials: int = 400) -> float:
 
 
 def bands_for(size: int, edits: float, recall: float = RECALL) -> int:
-    """Repetitions that reach the recall at the allowed edits; a passage holds about two windows whose anchors are unchanged."""
+    """Repetitions that reach the recall at the allowed edits; a passage holds more than one window whose anchor is unchanged."""
     p = 1.0 if not edits else agreement(size, edits)
-    return 1 if p >= 1 else min(MOST_BANDS, math.ceil(math.log(1 - recall) / (2 * math.log(1 - max(p, 1e-6)))))
+    return 1 if p >= 1 else min(MOST_BANDS, math.ceil(math.log(1 - recall) / (1.4 * math.log(1 - max(p, 1e-6)))))
 
 
 @dataclasses.dataclass
@@ -301,11 +301,21 @@ def least_edits(document: str, item: str, share: float = MIN_SHARE, edits: float
     most, need = most_edits(len(item), share, edits), shortest_passage(len(item), share)
     if not item or not most:
         return None
+    # a passage with so few edits has this many of its k-grams within any place it stands in (the q-gram lemma)
+    least_shared, width = need + 1 - GRAM - GRAM * most, need + most
     grams: dict[str, list[int]] = {}
     for i in range(len(item) - GRAM + 1):
         grams.setdefault(item[i : i + GRAM], []).append(i)
+    shared = np.isin(_gram_hashes(document), _gram_hashes(item))
+    run = np.concatenate(([0], np.cumsum(shared)))
+    at = np.flatnonzero(shared)
+    # k-grams in the window of that width that starts at each shared one; those of windows with enough of them are looked at
+    full = run[np.minimum(at + width, len(shared))] - run[at] >= max(least_shared, 1)
+    near = np.zeros(len(document) + width + 1, np.int64)
+    near[at[full]] += 1
+    near[at[full] + width] -= 1
     best, seen = most + 1, {}
-    for j in range(len(document) - GRAM + 1):
+    for j in np.flatnonzero(shared & (np.cumsum(near)[: len(shared)] > 0)).tolist():
         for i in grams.get(document[j : j + GRAM], ()):
             if seen.get(i - j, -1) >= j:  # within a run that is done
                 continue
@@ -318,6 +328,15 @@ def least_edits(document: str, item: str, share: float = MIN_SHARE, edits: float
     return best if best <= most else None
 
 
+def _gram_hashes(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - GRAM + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM if len(h) else 0):
+            h = (h + c[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, question: str, share: float = MIN_SHARE, edits: float = 0.0) -> DataFrame:
     """(key, item_key, edits) of every document that holds an item's question, whole or as a long enough passage, with the least edits."""
     rows = items.select(F.col(item_key).cast("string").alias("i"), F.col(question).alias("q")).where("i is not null and q is not null")
