@@ -1,30 +1,41 @@
 """Problem 7: filling fixed-capacity containers with items of varying length.
 
-Best-fit decreasing: items longer than the capacity are cut into full pieces and a rest; all are
-placed longest first, each into the tightest gap that holds it, else into a container of its own.
-The tier of an item, the smallest window (capacity, half, quarter, ...) that holds it, is only
-reported: every container has the one capacity of its specification, so tiers have no windows of
-their own. Containers are then dealt to step groups so that every group
-holds about the same number of tokens.
+Hierarchical multi-length packing. Items are routed to tiers of context sizes: the windows of tier t
+are the capacity halved t times, and an item goes to the smallest window that holds it. Tiers are
+packed one after another, the longest windows first:
+
+1. gaps of the containers of longer tiers are filled with the tier's items, the longest item that
+   fits into the tightest gap first;
+2. the items left get windows of the tier's own, one each (an item is longer than half its window;
+   the shortest tier packs several into a window, best fit first), and 2^t windows make a container;
+3. what a container's windows leave unused is one gap: the tier's next items that fit go there, and
+   the rest of the gap is left to the shorter tiers.
+
+Items longer than the capacity are cut into full pieces and a rest first. Containers are then dealt
+to step groups over the whole output: to and fro in the order of their tokens, the fullest first, so
+that every group of a specification holds about the same number of containers and of tokens.
 
 Only (key, size) is shuffled. Items are packed in independent lots, whose number follows the total
 size, so a lot is of bounded size whatever the data; each lot leaves at most about one container
-part-filled. Null and empty texts have the size of their end mark. A key that stands in several
-rows is packed for each row. Capacities must be positive.
+part-filled. The order of containers comes from counts by (lot, tokens), not from one global sort.
+Null and empty texts have the size of their end mark. A key that stands in several rows is packed
+for each row. Capacities must be positive.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Containers in a lot, halvings of the window down to the shortest tier, containers in a step group.
-LOT, TIERS, STEP = 4096, 8, 64
+from siftloom.session import work_table
+
+#: Containers in a lot, context-size tiers (the windows of each half as long as the last's), containers in a step group.
+LOT, TIERS, STEP = 1024, 6, 64
 #: Specifications packed at once: their number is checked.
 MAX_SPECS = 1000
 
@@ -51,7 +62,7 @@ def token_size(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame
 
 
 def tier_of(size: int, capacity: int) -> int:
-    """0 for items of more than half the capacity, 1 for more than a quarter, and so on."""
+    """0 for items of more than half the capacity, 1 for more than a quarter, and so on; the last tier holds all shorter ones."""
     tier = 0
     while tier < TIERS - 1 and size * 2 <= capacity:
         size *= 2
@@ -59,22 +70,79 @@ def tier_of(size: int, capacity: int) -> int:
     return tier
 
 
+class Containers:
+    """The containers opened so far: gaps holds (room left, container) in order."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.made = capacity, 0
+        self.gaps: list[tuple[int, int]] = []
+
+    def fill(self, size: int) -> int | None:
+        """The container with the tightest gap that holds size, after putting it there."""
+        at = bisect_left(self.gaps, (size, -1))
+        if at == len(self.gaps):
+            return None
+        room, c = self.gaps.pop(at)
+        if room > size:
+            insort(self.gaps, (room - size, c))
+        return c
+
+    def open(self, used: int) -> int:
+        if used < self.capacity:
+            insort(self.gaps, (self.capacity - used, self.made))
+        self.made += 1
+        return self.made - 1
+
+
+def windows_of(sizes: list[int], window: int) -> list[list[int]]:
+    """Best fit of sizes, longest first, into windows of one tier: the positions in each window."""
+    gaps: list[tuple[int, int]] = []
+    out: list[list[int]] = []
+    for i, size in enumerate(sizes):
+        at = bisect_left(gaps, (size, -1))
+        room, w = gaps.pop(at) if at < len(gaps) else (window, len(out))
+        if w == len(out):
+            out.append([])
+        out[w].append(i)
+        if room > size:
+            insort(gaps, (room - size, w))
+    return out
+
+
 def pack_lot(sizes: list[int], capacity: int) -> list[int]:
-    """The container of each item (none larger than the capacity), longest items first, the tightest gap first."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    """The container of each item (none larger than the capacity), by tiers as the module describes."""
     place = [-1] * len(sizes)
-    gaps: list[tuple[int, int]] = []  # (room left, container), sorted
-    made = 0
-    for i in order:
-        at = bisect_left(gaps, (sizes[i], -1))
-        if at < len(gaps):
-            room, c = gaps.pop(at)
-        else:
-            room, c = capacity, made
-            made += 1
-        place[i] = c
-        if room > sizes[i]:
-            insort(gaps, (room - sizes[i], c))
+    tiers: list[list[int]] = [[] for _ in range(TIERS)]
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        tiers[tier_of(sizes[i], capacity)].append(i)
+    containers = Containers(capacity)
+    for t, routed in enumerate(tiers):
+        left = []
+        for i in routed:
+            c = containers.fill(sizes[i])
+            if c is None:
+                left.append(i)
+            else:
+                place[i] = c
+        if not left:
+            continue
+        # windows of this tier, the fullest first; those that a gap swallows while containers are made up are gone
+        windows = windows_of([sizes[i] for i in left], capacity >> t)
+        used = [sum(sizes[left[j]] for j in w) for w in windows]
+        order = sorted(range(len(windows)), key=lambda w: (used[w], -w))  # the fullest last
+        loads = [used[w] for w in order]
+        while order:
+            mine, room = [], capacity
+            for _ in range(min(1 << t, len(order))):
+                mine.append(order.pop())
+                room -= loads.pop()
+            while (at := bisect_right(loads, room)) > 0:  # the gap of the windows together holds another one
+                mine.append(order.pop(at - 1))
+                room -= loads.pop(at - 1)
+            c = containers.open(capacity - room)
+            for w in mine:
+                for j in windows[w]:
+                    place[left[j]] = c
     return place
 
 
@@ -100,15 +168,24 @@ def pack(items: DataFrame, key: str, specs: DataFrame) -> DataFrame:
         lot = lot.sort_values(["id", "piece", "start"], kind="stable")
         capacity = int(lot["cap"].iloc[0])
         sizes = lot["size"].tolist()
-        place = pack_lot(sizes, capacity)
-        fill = pd.Series(sizes).groupby(place).sum().sort_values(ascending=False, kind="stable")
-        groups = max(1, -(-len(fill) // STEP))
-        deal = [i % groups if i // groups % 2 == 0 else groups - 1 - i % groups for i in range(len(fill))]  # to and fro, the fullest first
-        group = dict(zip(fill.index, deal, strict=True))
-        name = f"{int(lot['lot'].iloc[0])}-"
-        return pd.DataFrame({"spec_id": lot["spec_id"].to_numpy(), "container": [f"{name}{c}" for c in place], "step_group": [f"{name}{group[c]}" for c in place], key: lot["id"].to_numpy(), "piece": lot["piece"].to_numpy(), "start": lot["start"].to_numpy(), "size": sizes, "tier": [tier_of(s, capacity) for s in sizes]})
-
-    return rows.groupBy("spec_id", "lot").applyInPandas(run, f"spec_id string, container string, step_group string, `{key}` {kind}, piece bigint, start bigint, size bigint, tier int")
+        place = pd.Series(pack_lot(sizes, capacity))
+        used = pd.Series(sizes).groupby(place).sum().sort_index()
+        nth = used.groupby(used).cumcount()
+        return pd.DataFrame({"spec_id": lot["spec_id"].to_numpy(), "lot": lot["lot"].to_numpy(), "c": place.to_numpy(), "used": used.loc[place].to_numpy(), "nth": nth.loc[place].to_numpy(), key: lot["id"].to_numpy(), "piece": lot["piece"].to_numpy(), "start": lot["start"].to_numpy(), "size": sizes, "tier": [tier_of(s, capacity) for s in sizes]})
+
+    packed = work_table(rows.groupBy("spec_id", "lot").applyInPandas(run, f"spec_id string, lot bigint, c bigint, used bigint, nth bigint, `{key}` {kind}, piece bigint, start bigint, size bigint, tier int"), "packed")
+    # rank of a container in its specification, the fullest first: containers with more tokens, then those of earlier lots, then its own lot's
+    counts = packed.groupBy("spec_id", "used", "lot").agg((F.max("nth") + 1).alias("n"))
+    levels = counts.groupBy("spec_id", "used").agg(F.sum("n").alias("n"))
+    fuller = Window.partitionBy("spec_id").orderBy(F.desc("used")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("spec_id", "used", F.coalesce(F.sum("n").over(fuller), F.lit(0)).alias("fuller"), F.sum("n").over(Window.partitionBy("spec_id")).alias("all"))
+    earlier = Window.partitionBy("spec_id", "used").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("spec_id", "used", "lot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")).join(levels, ["spec_id", "used"])
+    ranks = ranks.select("spec_id", "used", "lot", (F.col("fuller") + F.col("earlier")).alias("rank"), F.ceil(F.col("all") / F.lit(STEP)).cast("bigint").alias("groups"))
+    at = F.col("rank") + F.col("nth")
+    turn, step = F.floor(at / F.col("groups")).cast("bigint"), F.pmod(at, F.col("groups"))
+    group = F.when(turn % 2 == 0, step).otherwise(F.col("groups") - 1 - step)
+    return packed.join(ranks, ["spec_id", "used", "lot"]).select("spec_id", F.concat_ws("-", "lot", "c").alias("container"), group.alias("step_group"), key, "piece", "start", "size", "tier")
 
 
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -191,7 +191,36 @@ def test_packing_keeps_everything(spark):
     assert packing.pack(df, "doc_id", specs.limit(0)).count() == 0
 
 
-def test_packing_is_deterministic_and_best_fit():
+def test_tiers_decide_the_packing(monkeypatch):
+    # four windows of a quarter make a container, whose gaps together hold a fifth item; best fit by size alone would do the same with one tier
     assert packing.pack_lot([60, 40, 50, 50], 100) == [0, 0, 1, 1]
     assert packing.pack_lot([], 100) == []
-    assert [packing.tier_of(s, 100) for s in (100, 51, 50, 26, 25, 1)] == [0, 0, 1, 1, 2, 6]
+    assert [packing.tier_of(s, 100) for s in (100, 51, 50, 26, 25, 1)] == [0, 0, 1, 1, 2, 5]
+    # a short item fills the gap of a long window before its own tier opens one
+    assert packing.pack_lot([20, 70, 45, 45, 10], 100) == [0, 0, 1, 1, 0]
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 101) for _ in range(300)]
+    by_tiers = packing.pack_lot(sizes, 100)
+    monkeypatch.setattr(packing, "TIERS", 1)
+    assert packing.pack_lot(sizes, 100) != by_tiers
+
+
+def test_packing_is_deterministic_and_full():
+    rng = random.Random(3)
+    sizes = [int(rng.paretovariate(0.8) * 10) % 1000 + 1 for _ in range(4000)]
+    place = packing.pack_lot(sizes, 1000)
+    assert place == packing.pack_lot(sizes, 1000)
+    load: dict = {}
+    for p, s in zip(place, sizes, strict=True):
+        load[p] = load.get(p, 0) + s
+    assert max(load.values()) <= 1000 and sum(sizes) / (1000 * len(load)) > 0.98
+
+
+def test_step_groups_are_balanced(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 16)
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, rng.randrange(1, 90)) for i in range(6000)], "doc_id int, size bigint")
+    got = packing.pack(df, "doc_id", spark.createDataFrame([("s", 100)], "spec_id string, capacity_tokens int"))
+    groups = got.groupBy("step_group").agg(F.sum("size").alias("tokens"), F.count_distinct("container").alias("n")).collect()
+    assert len(groups) > 20 and max(r.n for r in groups) - min(r.n for r in groups) <= 1
+    assert max(r.tokens for r in groups) - min(r.tokens for r in groups) <= 100  # no more than one container
