@@ -1,11 +1,16 @@
 """Problem 3: duplicates hidden by formatting differences.
 
-Texts stream through a fold table (letter case, full-width forms) and a skip rule (white space,
-invisible characters, punctuation, markup) into rolling polynomial hashes: the hash of the kept
-symbols of a span is the difference of two prefix sums, so that canonical strings are never built.
-Labelled fields (lines, one line, JSON) are hashed by field, and the fields' hashes are summed, so
-that their order and notation do not matter. Rows with equal hashes are verified against their
-group's first row by a comparison that walks both texts and skips what does not count.
+The bytes of a batch are decoded to symbols and stream through a lookup table that folds (letter
+case, full-width forms) and skips (white space, invisible characters, punctuation, markup) into
+rolling polynomial hashes: a skipped symbol adds nothing and does not move the power on, so the hash
+of a span is the difference of two running sums over the raw text and no canonical string, array of
+kept symbols included, is ever built. Labelled fields (lines, one line, JSON) are hashed by field,
+and the fields' hashes are summed, so that their order and notation do not matter.
+
+Only (key, hashes) is aggregated. Every row of a group of equal hashes is then compared with the
+group's first row by two pointers that skip in both texts what does not count; rows that differ
+after all form groups of their own, round by round, so a hash collision loses nothing. Texts are
+fetched for rows with equal hashes only.
 
 Kept signs: a point or comma directly between digits stays if it is a point; operator signs stay
 between operands (a token with a digit, a single letter, a bracket or a backslash); within a pair
@@ -23,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.functions.textbatch import DIGIT, SKIP, TextBatch, chunks, mix64, prefix_hash, span_hash, tables
+from siftloom.functions.idfilter import maybe_in, without
+from siftloom.functions.textbatch import DIGIT, MIX, SKIP, TextBatch, chunks, mix64, powers, tables
+from siftloom.session import cut, work_table
 
 #: Operator signs, and what else is a sign between a pair of $.
 OPERATORS = "+-*/=^<>×÷±≤≥≠≈√∑"
@@ -31,7 +38,8 @@ SIGNS_IN_DOLLARS = OPERATORS + "\\{}_()[]|!%&,.:;'"
 MINUS = {0x2212: "-", 0x2010: "-", 0x2011: "-", 0xFF0B: "+", 0xFF1D: "=", 0xFE63: "-"}
 QUOTES = "\"'“”„‟‘’‚‛「」『』«»＂＇`"
 
-_LABEL = r"[^\W\d_][^\n:：;；,，。.!?！？{}\"]{0,23}"
+#: A field's label: at most 48 characters without sentence marks, so that prose before a colon is no label.
+_LABEL = r"[^\W\d_][^\n:：;；,，。.!?！？{}\"]{0,47}"
 _FIELD_START = re.compile(rf"(?:^|[\n;；])[^\w\n;；]*({_LABEL}?)[^\w\n;；:：]*[:：]")
 _JSON_START = re.compile(rf"(?:^|[,，،、{{])[^\w,，،、{{]*[{re.escape(QUOTES)}]\s*({_LABEL}?)\s*[{re.escape(QUOTES)}]\s*[:：]")
 
@@ -104,8 +112,7 @@ def canonical_hash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each text, equal for texts that differ only in formatting."""
     batch = TextBatch.of(texts)
     cps, keep = kept_symbols(batch)
-    run = np.concatenate(([0], np.cumsum(keep)))
-    prefixes = [prefix_hash(cps[keep].astype(np.uint64) + np.uint64(s << 32)) for s in (1, 2)]
+    prefixes, down, run = skipping_hashes(cps, keep)
     lo, hi, who = [], [], []
     colon = (cps == ord(":")) | (cps == ord("："))
     multi = batch.sums(colon) >= 2
@@ -120,105 +127,131 @@ def canonical_hash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lo.append(spans[:, 0])
         hi.append(spans[:, 1])
         who.append(np.full(len(spans), i))
-    a, b, w = run[np.concatenate(lo)], run[np.concatenate(hi)], np.concatenate(who)
+    a, b, w = np.concatenate(lo), np.concatenate(hi), np.concatenate(who)
     out = []
     for k, p in enumerate(prefixes):
         total = np.zeros(len(batch), np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(total, w, mix64(span_hash(p, a, b), k + 1))
+            span = mix64((p[b] - p[a]) * down[run[a]] + MIX * (run[b] - run[a]).astype(np.uint64), k + 1)
+            np.add.at(total, w, span)
         out.append(total.view(np.int64))
     return out[0], out[1]
 
 
-def same_text(a: str, b: str) -> bool:
-    """Walks both texts at once, skipping what does not count; fields are matched by their symbols."""
-
-    def symbols(t: str) -> tuple[list[int], list[int]]:
-        cps, keep = kept_symbols(TextBatch.of([t]))
-        return cps, keep
+def skipping_hashes(cps: np.ndarray, keep: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(two running polynomial sums over all symbols, inverse powers, symbols kept before each place).
 
-    (ca, ka), (cb, kb) = symbols(a), symbols(b)
-    fa, fb = field_spans(a), field_spans(b)
-    if len(fa) != len(fb):
-        return False
-
-    def equal(x: tuple[int, int], y: tuple[int, int]) -> bool:
-        i, j = x[0], y[0]
-        while True:
-            while i < x[1] and not ka[i]:
-                i += 1
-            while j < y[1] and not kb[j]:
-                j += 1
-            if i >= x[1] or j >= y[1]:
-                return i >= x[1] and j >= y[1]
-            if ca[i] != cb[j]:
-                return False
-            i, j = i + 1, j + 1
-
-    left = list(fb)
-    for x in fa:
-        hit = next((y for y in left if equal(x, y)), None)
-        if hit is None:
+    A symbol's power is the number of symbols kept before it; skipped symbols add zero.
+    """
+    run = np.concatenate(([0], np.cumsum(keep)))
+    up, down = powers(int(run[-1]) + 1)
+    power = np.where(keep, up[run[:-1]], np.uint64(0))
+    sums = []
+    with np.errstate(over="ignore"):
+        for s in (1, 2):
+            sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(cps.astype(np.uint64) + np.uint64(s << 32)) * power, dtype=np.uint64))))
+    return sums, down, run
+
+
+def same_span(ca: list[int], ka: list[bool], x: tuple[int, int], cb: list[int], kb: list[bool], y: tuple[int, int]) -> bool:
+    """Two pointers walk both spans and skip what does not count."""
+    (i, a), (j, b) = x, y
+    while True:
+        while i < a and not ka[i]:
+            i += 1
+        while j < b and not kb[j]:
+            j += 1
+        if i >= a or j >= b:
+            return i >= a and j >= b
+        if ca[i] != cb[j]:
             return False
-        left.remove(hit)
-    return True
+        i, j = i + 1, j + 1
 
 
 def same_texts(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """same_text for whole batches: both sides are walked symbol by symbol; only texts with fields go one by one."""
+    """Whether each pair of texts differs only in formatting; fields are matched in any order."""
     ba, bb = TextBatch.of(a), TextBatch.of(b)
     (ca, ka), (cb, kb) = kept_symbols(ba), kept_symbols(bb)
-    ra, rb = np.concatenate(([0], np.cumsum(ka))), np.concatenate(([0], np.cumsum(kb)))
-    na, nb = ra[ba.off[1:]] - ra[ba.off[:-1]], rb[bb.off[1:]] - rb[bb.off[:-1]]
-    same = na == nb
-    sa, sb = ca[ka], cb[kb]
-    size = np.where(same, na, 0)
-    who = np.repeat(np.arange(len(same)), size)
-    step = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
-    differ = sa[ra[ba.off[:-1]][who] + step] != sb[rb[bb.off[:-1]][who] + step]
-    same &= np.bincount(who[differ], minlength=len(same)) == 0
-    colon = np.minimum(ba.sums((ca == ord(":")) | (ca == ord("："))), bb.sums((cb == ord(":")) | (cb == ord("：")))) >= 2
-    todo = np.flatnonzero(~same & colon)
-    if len(todo):
-        la, lb = a.take(pa.array(todo)).to_pylist(), b.take(pa.array(todo)).to_pylist()
-        same[todo] = [same_text(x, y) for x, y in zip(la, lb, strict=True)]
-    return same
-
-
-def hashed(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, text, h1, h2) of every non-null text."""
+    same = [False] * len(ba)
+    colons = [t.sums((c == ord(":")) | (c == ord("："))) for t, c in ((ba, ca), (bb, cb))]
+    for r in range(len(ba)):
+        (a0, a1), (b0, b1) = ba.off[r : r + 2].tolist(), bb.off[r : r + 2].tolist()
+        one, two = (ca[a0:a1].tolist(), ka[a0:a1].tolist()), (cb[b0:b1].tolist(), kb[b0:b1].tolist())
+        if same_span(*one, (0, a1 - a0), *two, (0, b1 - b0)):
+            same[r] = True
+        elif min(colons[0][r], colons[1][r]) >= 2:
+            left, fa = field_spans(b[r].as_py() or ""), field_spans(a[r].as_py() or "")
+            same[r] = len(fa) == len(left)
+            for x in fa if same[r] else ():
+                hit = next((y for y in left if same_span(*one, x, *two, y)), None)
+                if hit is None:
+                    same[r] = False
+                    break
+                left.remove(hit)
+    return np.array(same, bool)
+
+
+def same_text(a: str, b: str) -> bool:
+    return bool(same_texts(pa.array([a], pa.large_string()), pa.array([b], pa.large_string()))[0])
+
+
+def hashed(df: DataFrame, key: str, column: str, bits: int = 64) -> DataFrame:
+    """(id, h1, h2) of every non-null text, written once; bits: how much of the hashes is kept (fewer only to try collisions)."""
     kind = df.schema[key].dataType.simpleString()
+    mask = np.int64((1 << bits) - 1) if bits < 64 else np.int64(-1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to in chunks(b.column(1)):
                 part = b.slice(at, to - at)
                 h1, h2 = canonical_hash(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h1), pa.array(h2)], [key, "text", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1 & mask), pa.array(h2 & mask)], ["id", "h1", "h2"])
 
-    return df.where(F.col(column).isNotNull()).select(key, F.col(column).alias("text")).mapInArrow(run, f"`{key}` {kind}, text string, h1 bigint, h2 bigint")
+    return work_table(df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), column).mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint"), "hashes")
 
 
-def format_groups(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(first_key, copies, text) for each distinct text up to formatting; copies counts its rows."""
-    return hashed(df, key, column).groupBy("h1", "h2").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"), F.min_by("text", key).alias("text")).select("first_key", "copies", "text")
+def verified_copies(df: DataFrame, key: str, column: str, bits: int = 64) -> DataFrame:
+    """(first, id): each copy beside the first row of its group, id other than first."""
+    kind = df.schema[key].dataType.simpleString()
+    open_rows = hashed(df, key, column, bits)
+    texts = df.select(F.col(key).alias("id"), F.col(column).alias("t"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, to in chunks(whole.column(2)):
+                b = whole.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(same_texts(b.column(2), b.column(3)))], ["first", "id", "h1", "h2", "same"])
+
+    done = None
+    while True:
+        # map-side aggregation first; a hot hash then meets its few rows of groups in a join that adaptive execution splits
+        groups = open_rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        copies = cut(maybe_in(open_rows, "h1", groups.select("h1")).join(groups, ["h1", "h2"]).where("id != first").select("first", "id", "h1", "h2"))
+        firsts = copies.select(F.col("first").alias("id")).distinct()
+        some = maybe_in(texts, "id", copies.select("id").unionAll(firsts))
+        pairs = copies.join(some.withColumnRenamed("t", "text"), "id").join(some.select(F.col("id").alias("first"), F.col("t").alias("first_text")), "first")
+        judged = cut(pairs.select("first", "id", "first_text", "text", "h1", "h2").mapInArrow(run, f"first {kind}, id {kind}, h1 bigint, h2 bigint, same boolean"))
+        good = judged.where("same").select("first", "id")
+        done = good if done is None else done.unionAll(good)
+        open_rows = judged.where("not same").select("id", "h1", "h2")
+        if open_rows.isEmpty():
+            return done
 
-def format_copies(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(first_key, key): each copy beside its group's first row, verified symbol by symbol.
 
-    Groups are pre-aggregated on the map side; the join back to the rows is on the hash, whose hot values
-    adaptive execution splits, since only the small side (one row for each group with copies) is repeated.
+def format_groups(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(first_key, copies, text) for each distinct text up to formatting; copies counts its rows.
+
+    Only the rows that may be in a group of several are shuffled; all others pass straight through.
     """
-    rows = hashed(df, key, column)
-    kind = df.schema[key].dataType.simpleString()
-    groups = rows.groupBy("h1", "h2").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"), F.min_by("text", key).alias("first_text"))
-    groups = groups.where("copies > 1").drop("copies")
-    pairs = rows.join(groups, ["h1", "h2"]).where(F.col(key) != F.col("first_key")).select("first_key", key, "first_text", "text")
+    copies = verified_copies(df, key, column)
+    counts = cut(copies.groupBy("first").agg((F.count(F.lit(1)) + 1).alias("copies")))
+    texts = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("text"))
+    ids = cut(copies.select("id").unionAll(counts.select(F.col("first").alias("id"))))
+    alone = without(texts, "id", ids).select(F.col("id").alias("first_key"), F.lit(1).cast("bigint").alias("copies"), "text")
+    several = maybe_in(texts, "id", ids).join(counts.withColumnRenamed("first", "id"), "id").select(F.col("id").alias("first_key"), "copies", "text")
+    return alone.unionAll(several)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = same_texts(b.column(2), b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["first_key", key]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(run, f"first_key {kind}, `{key}` {kind}")
+def format_copies(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(first_key, key): each copy beside its group's first row, verified symbol by symbol."""
+    return verified_copies(df, key, column).toDF("first_key", key)

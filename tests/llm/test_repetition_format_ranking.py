@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftloom.functions.textbatch import TextBatch
 from siftloom.llm import format_copies, ranking, repetition
 
 
@@ -69,6 +70,21 @@ def test_copies_by_hash_and_by_comparison(spark):
             assert format_copies.same_text(a, b) == (home[i] == home[j]), (a, b)
 
 
+def test_hash_collisions_lose_nothing(spark):
+    texts = ["Alpha one", "alpha  ONE!", "Beta two", "beta two.", "gamma", "BETA, two", "delta: 1\nepsilon: 2", "Epsilon：2；Delta：1", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, question string")
+    got = {(r.first, r.id) for r in format_copies.verified_copies(df, "row_id", "question", bits=1).collect()}
+    assert got == {(0, 1), (2, 3), (2, 5), (6, 7)}
+
+
+def test_hashes_skip_without_a_canonical_array():
+    cps, keep = format_copies.kept_symbols(TextBatch.of(["a ; b", "A,b", "ab"]))
+    (one, _), down, run = format_copies.skipping_hashes(cps, keep)
+    assert len(one) == len(cps) + 1 and run[-1] == 6
+    h1, h2 = format_copies.canonical_hash(pa.array(["a . b", "A,b", "ab", "ba"], pa.large_string()))
+    assert h1[0] == h1[1] == h1[2] != h1[3] and h2[0] == h2[2] != h2[3]
+
+
 def test_ranking_solves_the_system(spark):
     rng = random.Random(8)
     names = [f"m{i}" for i in range(7)]
