@@ -11,16 +11,18 @@ PLACEHOLDERS = frozenset("empty null none nil nan na undefined blank todo tbd 
 REFUSALS = (
     r"我(?:们|目前|现在|暂时|也|并|还|实在|恐怕)*(?:不能|无法|没法|不便|不会|没有办法|没有权限|不方便|不可以)(?!直接|脱离)[^，。！？\n]{0,24}?(?:提供|回答|作答|讨论|谈论|处理|协助|帮助|给出答案|回应|解答)",
     r"(?:无法|不能|不便)(?:回答|解答|回应)(?:关于|这|该|您|此)",
-    r"(?:请求|要求|问题)我?只能(?:婉拒|拒绝)", r"超出了?我的(?:能力|知识|职责)范围", r"请?恕我(?:跳过|不便|不能|无法|拒绝)", r"恕不(?:作答|回答)", r"拒绝回答", r"我(?:必须|只能|需要)(?:拒绝|婉拒)",
+    r"(?:请求|要求|问题)我?只能(?:婉拒|拒绝)", r"超出了?我的(?:能力|知识|职责)范围", r"请?恕我(?:跳过|不便|不能|无法|拒绝)", r"恕不(?:作答|回答)", r"帮不上[^，。！？\n]{0,24}忙", r"拒绝回答", r"我(?:必须|只能|需要)(?:拒绝|婉拒)",
     r"\b(?:can(?:'|’)?t|cannot|can not|won(?:'|’)t|will not|am not able to|(?:'|’)m not able to|am unable to|(?:'|’)m unable to|could not|do not have permission to) (?:help|answer|provide|assist|discuss|respond|comment|share|talk|comply|address)\b",
-    r"\b(?:must|have to|need to) (?:decline|refuse)", r"\boutside (?:of )?what i can\b", r"\bbeyond (?:what i can|my (?:scope|abilit))", r"\bi (?:decline|refuse) to\b", r"\bnot something i can\b",
+    r"\b(?:must|have to|need to) (?:decline|refuse)", r"\boutside (?:of )?what i can\b", r"\bbeyond (?:what i can|my (?:scope|abilit))", r"\bi (?:decline|refuse) to\b", r"\b(?:won(?:'|’)t|will not) be (?:answering|discussing|responding)\b", r"\bha(?:ve|d) to turn down\b", r"\bno (?:response|answer) [^.!?\n]{0,80}can be given\b", r"\bhave no way to (?:help|answer|provide|discuss|address)\b", r"\bnot something i can\b",
     r"\bno puedo (?:responder|ayudar|hablar|tratar|dar|contestar|ofrecer|comentar)", r"\bdebo (?:rechazar|declinar)", r"\bno me es posible\b", r"\bno estoy autorizad", r"\bqueda fuera de (?:mi|lo que)", r"\bprefiero no\b", r"\bno podr[ée] (?:responder|ayudar)",
     r"\bkann ich [^.!?\n]{0,60}(?:nichts sagen|nicht (?:beantworten|helfen|behandeln))", r"\bdarf ich [^.!?\n]{0,60}nicht beantworten", r"\bmuss ich [^.!?\n]{0,60}ablehnen", r"\bich kann [^.!?\n]{0,60}(?:nicht (?:beantworten|helfen|behandeln)|nichts sagen)", r"\bnicht in der lage\b", r"\bliegt außerhalb\b",
 )
 _REFUSAL = re.compile("|".join(REFUSALS), re.I)
-#: A refusal is no longer than this (CJK texts; others), since what follows it would be an answer.
+#: Texts from which the refusal model is fitted are refusals only up to this length (CJK texts; others), since what follows may answer.
 REFUSAL_CJK, REFUSAL_OTHER = 110, 300
 _SENTENCE = re.compile(r"[^。！？.!?\n]+[。！？.!?]*\s*")
+#: The label of an option, before a term that answers by naming it.
+_OPTION = re.compile(r"^\s*[(（]?[A-Ha-h][.、)）:：]\s*(?=\S)")
 _SPOKEN = re.compile(r"[，。！？；,;!?…：:]|\.\s|\.$")
 
 
@@ -34,13 +36,14 @@ def letters(text: str) -> str:
 
 def is_empty(text: str | None) -> bool:
     """Null, blank, or only a placeholder."""
-    if text is None or len(text) < 40 and (not (t := letters(text)) or t in PLACEHOLDERS):
+    if text is None or not any(c.isalnum() for c in text):
         return True
-    return len(text) >= 40 and not any(c.isalnum() for c in text)
+    # a placeholder may stand in any amount of white space and marks, but the letters are few
+    return sum(map(len, text.split())) < 80 and letters(text) in PLACEHOLDERS
 
 
-def is_refusal(text: str) -> bool:
-    """A phrase that declines, early in a text too short to answer anyway."""
+def seed_refusal(text: str) -> bool:
+    """A phrase that declines, early in a text too short to answer anyway: labels the rows that the refusal model is fitted on."""
     if len(text) > REFUSAL_OTHER:
         return False
     m = _REFUSAL.search(text)
@@ -53,6 +56,7 @@ def is_refusal(text: str) -> bool:
 
 def short_answer(text: str) -> bool:
     """A number, formula, letter or term: one line without sentence marks."""
+    text = _OPTION.sub("", text, count=1)
     if "\n" in text or len(text) > 60 or _SPOKEN.search(text.strip(" .。")):
         return False
     cjk = sum("㐀" <= c <= "鿿" for c in text)

@@ -2,9 +2,10 @@
 
 The languages of prompt and response are compared by their posteriors under a character n-gram
 naive Bayes model; the end-of-text n-gram likelihood flags truncation (see truncation.breaks_off).
-Empty, refusing and copying answers follow the rules in defect_rules.
+Refusals are told by a naive Bayes model of their own (refusals.py); empty and copying answers follow
+the rules in defect_rules. The languages are those of the labels.
 
-Both models are fitted on bounded samples (language.SAMPLE_ROWS, endings.SAMPLE_ROWS); every row is
+All models are fitted on bounded samples (language.SAMPLE_ROWS, endings.SAMPLE_ROWS, refusals.SAMPLE_ROWS); every row is
 judged over its whole text. Null answers are empty; a null question leaves only what the answer
 alone shows. Repeated rows are judged alike. Extra columns are ignored.
 """
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from siftloom.llm import defect_rules as rules
 from siftloom.llm import truncation
 from siftloom.llm.endings import SAMPLE_ROWS, EndModel
-from siftloom.llm.language import LANGUAGES, LanguageModel
+from siftloom.llm.language import LanguageModel
 from siftloom.llm.language import SAMPLE_ROWS as LANGUAGE_ROWS
+from siftloom.llm.refusals import SAMPLE_ROWS as REFUSAL_ROWS
+from siftloom.llm.refusals import SHORT, RefusalModel
 from siftloom.llm.repetition import bounded_sample
 from siftloom.functions.textbatch import chunks
 from siftloom.session import work_table
@@ -33,14 +36,22 @@ from siftloom.session import work_table
 LEAST_LETTERS, LEAST_NATS = 28, 0.25
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "wrong_language")
 
-#: How a prompt asks for a language.
-_ASKS = {
-    "en": r"英文|英语|\bin english\b|\bauf englisch\b|\ben inglés\b",
-    "de": r"德文|德语|\bin german\b|\bauf deutsch\b|\ben alemán\b",
-    "es": r"西班牙文|西班牙语|\bin spanish\b|\bauf spanisch\b|\ben español\b",
-    "zh": r"中文|汉语|\bin chinese\b|\bauf chinesisch\b|\ben chino\b",
+#: Names of languages, by which a prompt asks for one.
+NAMES = {
+    "en": "英文 英语 English Englisch inglés anglais inglese inglês",
+    "de": "德文 德语 German Deutsch alemán allemand tedesco alemão",
+    "es": "西班牙文 西班牙语 西语 Spanish Castilian Spanisch español castellano espagnol spagnolo espanhol",
+    "zh": "中文 汉语 普通话 国语 华语 Chinese Mandarin Chinesisch Mandarín chino chinois cinese chinês",
+    "fr": "法文 法语 French Französisch francés français francese francês",
+    "it": "意大利文 意大利语 Italian Italienisch italiano italien",
+    "pt": "葡萄牙文 葡萄牙语 Portuguese Portugiesisch portugués português portugais portoghese",
+    "ru": "俄文 俄语 Russian Russisch ruso russe russo",
+    "ja": "日文 日语 Japanese Japanisch japonés japonais giapponese japonês",
+    "ko": "韩文 韩语 Korean Koreanisch coreano coréen",
+    "ar": "阿拉伯文 阿拉伯语 Arabic Arabisch árabe arabe arabo",
+    "nl": "荷兰文 荷兰语 Dutch Niederländisch neerlandés néerlandais olandese",
 }
-_ASKED = {k: re.compile(v, re.I) for k, v in _ASKS.items()}
+_ASKED = {k: re.compile("|".join(n if n[0] > "\u3000" else rf"\b{n}\b" for n in v.split()), re.I) for k, v in NAMES.items()}
 _NO_LANGUAGE = re.compile(r"```.*?(?:```|$)|\$[^$\n]*\$|\\[A-Za-z]+|https?://\S+", re.S)
 
 
@@ -52,6 +63,15 @@ def end_model(parts: list[tuple[DataFrame, str, str]]) -> EndModel:
     return EndModel(texts)
 
 
+def refusal_model(parts: list[tuple[DataFrame, str, str]]) -> RefusalModel:
+    """Fitted on a bounded sample of (table, key, column) parts: short texts, which refusals mostly are, and texts of any length."""
+    texts: list[str] = []
+    for df, key, column in parts:
+        texts += bounded_sample(df.where(F.char_length(column) <= SHORT), key, column, REFUSAL_ROWS // len(parts))
+        texts += bounded_sample(df.where(F.char_length(column) > SHORT), key, column, SAMPLE_ROWS // 2 // len(parts))
+    return RefusalModel(texts)
+
+
 def language_model(labelled: DataFrame, key: str, text: str, label: str) -> LanguageModel:
     """Fitted on a bounded sample of labelled texts, chosen by a hash of the key."""
     n = labelled.count()
@@ -64,7 +84,7 @@ def language_model(labelled: DataFrame, key: str, text: str, label: str) -> Lang
 
 def limits_by_source(df: DataFrame, column: str, source: str) -> DataFrame:
     """(source, limits: "encoding:length" pairs), written once so that its size is known to the planner."""
-    peaks = truncation.hidden_limits(truncation.length_counts(df, column, source))
+    peaks = truncation.hidden_limits(truncation.length_table(df, column, source))
     return work_table(peaks.groupBy("source").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.concat_ws(":", "encoding", "length")))).alias("limits")), "limits")
 
 
@@ -88,7 +108,8 @@ def wrong_language(questions: list[str | None], answers: list[str | None], model
     sure = (logs[rows, best] - logs[rows, own] >= LEAST_NATS * np.maximum(weight, 1)) & (weight >= LEAST_LETTERS) & (evidence >= LEAST_LETTERS // 2)
     sure &= best != own
     for i in np.flatnonzero(sure):
-        sure[i] = not _ASKED[LANGUAGES[best[i]]].search(questions[i])
+        asks = _ASKED.get(model.languages[best[i]])
+        sure[i] = asks is None or not asks.search(questions[i])
     return sure
 
 
@@ -109,8 +130,11 @@ def near_limits(answers: pa.Array, limits: list[str | None]) -> np.ndarray:
     return out
 
 
-def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None) -> DataFrame:
-    """(key, defects array) from (key, question, answer, source); truncated is left out for copies, refusals and empty answers."""
+def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None, refusals: Broadcast | None = None) -> DataFrame:
+    """(key, defects array) from (key, question, answer, source); truncated is left out for copies, refusals and empty answers.
+
+    Without a model of refusals only phrases that certainly decline count.
+    """
     kind = pairs.schema[key].dataType.simpleString()
     rows = pairs.select(key, "question", "answer", F.col("source").cast("string").alias("source"))
     if limits is None:
@@ -126,6 +150,7 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
                 b = whole.slice(at, to - at)
                 questions, answers, limit = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
                 at_limit = near_limits(b.column(2), limit)
+                refuses = refusals.value.refuse(b.column(2)) if refusals else np.zeros(len(answers), bool)
                 wrong = wrong_language(questions, answers, lang) if lang else np.zeros(len(answers), bool)
                 out = []
                 for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
@@ -136,7 +161,7 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
                     copied = rules.copies_question(a, q) or bool(rules.COPY_MARK.search(a))
                     if copied and q:
                         found = ["copied_question"]
-                    elif rules.is_refusal(a):
+                    elif rules.seed_refusal(a) or (refuses[i] and not rules.short_answer(a)):
                         found.append("refusal")
                     elif not copied:
                         if truncation.breaks_off(a, model, bool(at_limit[i])):

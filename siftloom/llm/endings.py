@@ -16,7 +16,7 @@ from collections import Counter, defaultdict
 
 #: Sample rows the model is fitted on; share of them that must hold a word or character pair for it to be common.
 SAMPLE_ROWS, COMMON_WORD, COMMON_PAIR = 4000, 0.004, 0.01
-#: Lengths of contexts, times a context must have been seen, characters of a text's end that are tokenised.
+#: Lengths of contexts, times a context must have been seen, characters of a text's end that are tokenised first (more if its last clause is longer).
 CONTEXTS, MIN_SEEN, TAIL_CHARS = (1, 2, 3, 4, 6, 8, 11), 4, 160
 #: Share of boundaries from which an entry may end, by size of the context (4: also longer ones); contexts seen less often are rare.
 LEAST_SHARE, RARE = {1: 0.15, 2: 0.05, 3: 0.03, 4: 0.01}, 60
@@ -88,12 +88,17 @@ class EndModel:
 
     def after(self, text: str) -> tuple[int, int, int, int]:
         """(times seen, before a boundary, before a clause mark, size of the context) at the text's end; 99 stands for the clause context."""
-        tokens = self.tokens(text[-TAIL_CHARS:])
-        while tokens and tokens[-1] == "\n":
-            tokens.pop()
-        start = len(tokens)
-        while start and not (tokens[start - 1] in BOUNDARY or tokens[start - 1] in CLAUSE or tokens[start - 1] in COLON or tokens[start - 1] == "\n"):
-            start -= 1
+        chars = TAIL_CHARS
+        while True:
+            tokens = self.tokens(text[-chars:])
+            while tokens and tokens[-1] == "\n":
+                tokens.pop()
+            start = len(tokens)
+            while start and not (tokens[start - 1] in BOUNDARY or tokens[start - 1] in CLAUSE or tokens[start - 1] in COLON or tokens[start - 1] == "\n"):
+                start -= 1
+            if chars >= len(text) or start and len(tokens) > max(CONTEXTS) + 1:
+                break
+            chars *= 4
         if len(tokens) - 1 - start >= 2 and (hit := self.seen.get(("clause", *tokens[start : start + 2], *tokens[-2:], min(tokens[start:].count("E"), 4)))):
             return *hit, 99
         for k in reversed(CONTEXTS):

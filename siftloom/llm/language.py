@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
 from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
 
-LANGUAGES = ("zh", "en", "de", "es")
 #: Hash buckets of n-grams, longest n-gram, labelled rows of the fit.
 BUCKETS, LONGEST, SAMPLE_ROWS = 1 << 16, 3, 2500
+#: Labelled rows that make a language, as a number and as a share of all, so that odd labels make none.
+LEAST_ROWS, LEAST_PART = 5, 0.01
 
 
 def normal_label(label: str | None) -> str | None:
-    """"zh-CN" and "EN" count as zh and en; anything unknown as none."""
-    low = (label or "").lower().split("-")[0].split("_")[0]
-    return low if low in LANGUAGES else None
+    """"zh-CN" and "EN" count as zh and en; blank ones, and those that say there is none, as none."""
+    low = (label or "").strip().lower().split("-")[0].split("_")[0]
+    return None if low in ("", "und", "unknown", "none", "null", "mul", "zxx") else low
 
 
 def gram_buckets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +52,14 @@ def gram_buckets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """weights[bucket, language]: log-probability of an n-gram; all languages have the same prior."""
+    """languages: those of the labels; weights[bucket, language]: log-probability of an n-gram; all have the same prior."""
 
     def __init__(self, texts: list[str], labels: list[str | None]):
-        counts = np.full((BUCKETS, len(LANGUAGES)), 0.2)
-        known = [(t, LANGUAGES.index(y)) for t, y in zip(texts, map(normal_label, labels), strict=True) if y]
+        named = [(t, y) for t, y in zip(texts, map(normal_label, labels), strict=True) if y]
+        often = Counter(y for _, y in named)
+        self.languages = sorted(y for y, n in often.items() if n >= max(LEAST_ROWS, LEAST_PART * len(named)))
+        counts = np.full((BUCKETS, max(len(self.languages), 1)), 0.2)
+        known = [(t, self.languages.index(y)) for t, y in named if y in self.languages]
         if known:
             bucket, who = gram_buckets(TextBatch.of([t for t, _ in known]))
             np.add.at(counts, (bucket, np.array([y for _, y in known])[who]), 1)
@@ -63,6 +69,6 @@ class LanguageModel:
         """(log-likelihoods by language, weight of the evidence: letters, a Chinese character as three)."""
         batch = TextBatch.of(texts)
         bucket, who = gram_buckets(batch)
-        logs = np.stack([np.bincount(who, self.weights[bucket, k], len(batch)) for k in range(len(LANGUAGES))], axis=1)
+        logs = np.stack([np.bincount(who, self.weights[bucket, k], len(batch)) for k in range(self.weights.shape[1])], axis=1)
         kind = tables()[1][batch.cps]
         return logs, batch.sums((kind != SKIP) & (kind != DIGIT)) + 2 * batch.sums(kind == CJK)

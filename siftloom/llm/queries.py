@@ -87,11 +87,12 @@ def _pairs(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, source, truncated) of every text."""
     _start(spark)
-    ends = defects.broadcast(spark, defects.end_model([(table(spark, d, t), "row_id", c) for t, c in TEXTS]))
+    known = [(table(spark, d, t), "row_id", c) for t, c in TEXTS]
+    ends, refusals = defects.broadcast(spark, defects.end_model(known)), defects.broadcast(spark, defects.refusal_model(known))
     parts = []
     for t, c in TEXTS:
         limits = defects.limits_by_source(table(spark, d, t), c, "source")
-        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, None).select(F.lit(t).alias("table_name"), "row_id", F.array_contains("defects", "truncated").alias("truncated")))
+        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, None, refusals).select(F.lit(t).alias("table_name"), "row_id", F.array_contains("defects", "truncated").alias("truncated")))
     return parts[0].unionAll(parts[1])
 
 
@@ -111,19 +112,20 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
     from siftloom.llm import truncation
 
     _start(spark)
-    parts = [truncation.hidden_limits(truncation.length_counts(table(spark, d, t), c, "source")).withColumn("table_name", F.lit(t)) for t, c in TEXTS]
+    parts = [truncation.hidden_limits(truncation.length_table(table(spark, d, t), c, "source")).withColumn("table_name", F.lit(t)) for t, c in TEXTS]
     names = F.array(*[F.lit(e) for e in truncation.ENCODINGS])
     return parts[0].unionAll(parts[1]).select("table_name", "source", F.element_at(names, F.col("encoding") + 1).alias("encoding"), "length", "n", F.round("usual", 4).alias("usual"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
-    ends = defects.broadcast(spark, defects.end_model([(table(spark, d, "corpus"), "row_id", "answer"), (table(spark, d, "model_outputs"), "row_id", "response")]))
+    known = [(table(spark, d, "corpus"), "row_id", "answer"), (table(spark, d, "model_outputs"), "row_id", "response")]
+    ends, refusals = defects.broadcast(spark, defects.end_model(known)), defects.broadcast(spark, defects.refusal_model(known))
     languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "doc_id", "text", "lang"))
     parts = []
     for t, c in (("corpus", "answer"), ("model_outputs", "response")):
         limits = defects.limits_by_source(table(spark, d, t), c, "source")
-        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, languages).select(F.lit(t).alias("table_name"), "row_id", F.explode("defects").alias("defect")))
+        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, languages, refusals).select(F.lit(t).alias("table_name"), "row_id", F.explode("defects").alias("defect")))
     return parts[0].unionAll(parts[1])
 
 

@@ -1,11 +1,12 @@
 """Problem 5: text cut off by field limits or mid-transfer.
 
-Hidden storage limits show as peaks: the length of every text is recomputed under alternative
-encodings (code points, UTF-8 bytes, UTF-16 units, GB 18030 bytes), with HTML entities, JSON
-escapes and CRLF line ends, and counted by source. A length that far more texts of a source have
-than its neighbouring lengths is a limit of that source. Endings are then inspected: open code
-blocks, formulas and brackets, broken characters and ellipses, and the end-of-text likelihood of
-endings.EndModel; at a hidden limit, any ending without a closing mark counts as cut.
+Hidden storage limits come first: the length of every text is recomputed under alternative encodings
+(code points, UTF-8 bytes, UTF-16 units, GB 18030 bytes), with HTML entities, JSON escapes and CRLF
+line ends, and counted by source. A length that far more texts of a source have than its
+neighbouring lengths is a limit of that source, in whichever encodings they show. The endings of the
+rows at a limit are inspected next: any that does not close is cut. Everywhere else the ending is
+judged by itself: open code blocks, formulas and brackets, broken characters and ellipses, and the
+end-of-text likelihood of endings.EndModel.
 
 Null, blank and placeholder texts are no cases, nor are short answers, refusals and copies of the
 question. Every row is judged for itself, so repeated rows agree. Sources may be null; they count
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
 from siftloom.llm.endings import SENTENCE_END, EndModel
 from siftloom.functions.textbatch import TextBatch, chunks
+from siftloom.session import cut, work_table
 
 #: A peak has at least so many rows and is so many times as frequent as the mean of its neighbours within WINDOW.
 PEAK_ROWS, PEAK_TIMES, WINDOW, SHORTEST_LIMIT = 8, 6.0, 20, 40
@@ -34,6 +36,7 @@ PEAK_ROWS, PEAK_TIMES, WINDOW, SHORTEST_LIMIT = 8, 6.0, 20, 40
 ENCODINGS = ("chars", "utf8", "utf16", "gb18030", "html_chars", "html_utf8", "json_chars", "json_utf8", "json_ascii", "crlf_chars", "crlf_utf8")
 
 _CLOSED = re.compile(r"(?:[。！？!?｡]|(?<!\d)\.|\d\.(?=$))[\s”’\"'」』*）)]*$")
+_ASIDE = re.compile(r"[。！？!?.]\s*[（(][^（()）\n]*[)）]\s*$")
 _FORMULA_LINE = re.compile(r"^[\w\s^*/+\-().{}\\,|]*=\s*[\w^*/+\-().{}\\, ]*[\w})]$|^\\(?:frac|sum|int|sqrt|prod|lim)[^㐀-鿿]*[)}\d]$")
 _FINAL_LINE = re.compile(r"^\W*(?:最终答案|答案|final answer|respuesta final|endergebnis|antwort|answer)\W*[:：]\W*\w+", re.I)
 _ELLIPSIS = re.compile(r"(?:\[?(?:\.{3,}|…+|。{3,})\]?|�+)\s*$")
@@ -83,42 +86,38 @@ def lengths(texts: pa.Array, batch: TextBatch | None = None) -> np.ndarray:
     return np.stack([n, utf8, n + astral, gb, n + html, utf8 + html, n + json, utf8 + json, n + json + ascii_, n + line, utf8 + line], axis=1)
 
 
-def length_counts(df: DataFrame, column: str, source: str) -> DataFrame:
-    """(source, encoding, length, rows): counted in Python by batch before anything is shuffled."""
+def length_table(df: DataFrame, column: str, source: str) -> DataFrame:
+    """(source, lengths: one for each of ENCODINGS) of every non-null text; the texts are read once, then only this is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = b.column(0).dictionary_encode()
-            names, code = codes.dictionary, pc.fill_null(codes.indices, len(codes.dictionary)).to_numpy(zero_copy_only=False)
             for at, to in chunks(b.column(1)):
                 part = lengths(b.column(1).slice(at, to - at))
-                out = [[], [], [], []]
-                for e in range(len(ENCODINGS)):
-                    key, rows = np.unique(code[at:to].astype(np.int64) << 40 | part[:, e], return_counts=True)
-                    out[0].append(key >> 40)
-                    out[1].append(np.full(len(key), e))
-                    out[2].append(key & ((1 << 40) - 1))
-                    out[3].append(rows)
-                k = np.concatenate(out[0])
-                name = names.take(pa.array(np.where(k < len(names), k, 0), mask=k >= len(names))) if len(names) else pa.nulls(len(k), pa.string())
-                yield pa.RecordBatch.from_arrays([name.cast(pa.string()), *(pa.array(np.concatenate(x), t) for x, t in zip(out[1:], (pa.int32(), pa.int64(), pa.int64()), strict=True))], ["source", "encoding", "length", "n"])
-
-    counts = df.select(F.col(source).cast("string").alias("source"), F.col(column).alias("text")).where("text is not null").mapInArrow(run, "source string, encoding int, length bigint, n bigint")
-    return counts.groupBy("source", "encoding", "length").agg(F.sum("n").alias("n"))
-
-
-def hidden_limits(counts: DataFrame) -> DataFrame:
-    """(source, encoding, length, n, usual) of the peaks; the neighbours come from an equi-join on length buckets."""
-    c = counts.where(F.col("length") >= SHORTEST_LIMIT - WINDOW)
-    peak = c.where((F.col("n") >= PEAK_ROWS) & (F.col("length") >= SHORTEST_LIMIT))
-    near = c.select(F.coalesce("source", F.lit("\0")).alias("s"), F.col("encoding").alias("e"), F.col("length").alias("l"), F.col("n").alias("m"), F.explode(F.array(*[F.floor(F.col("length") / WINDOW) + k for k in (-1, 0, 1)])).alias("bucket"))
-    joined = peak.join(near, (F.coalesce("source", F.lit("\0")) == F.col("s")) & (F.col("encoding") == F.col("e")) & (F.floor(F.col("length") / WINDOW) == F.col("bucket")) & (F.abs(F.col("length") - F.col("l")) <= WINDOW) & (F.col("length") != F.col("l")), "left")
-    usual = joined.groupBy("source", "encoding", "length", "n").agg((F.coalesce(F.sum("m"), F.lit(0)) / F.lit(2 * WINDOW)).alias("usual"))
-    peaks = usual.where(F.col("n") > PEAK_TIMES * F.col("usual") + PEAK_ROWS / 2)
-    # the same limit shows, weaker, in related encodings: keep the encoding that explains most rows of the source
-    best = peaks.groupBy("source").agg(F.max_by("encoding", (F.col("n") - F.col("usual")) * (1 - 0.02 * F.col("encoding"))).alias("best"))
-    peaks = peaks.alias("p").join(best.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.encoding") == F.col("b.best")))
-    return peaks.select("p.source", "p.encoding", "p.length", "p.n", "p.usual")
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), len(ENCODINGS)).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), rows], ["source", "lengths"])
+
+    rows = df.select(F.col(source).cast("string").alias("source"), F.col(column).alias("text")).where("text is not null")
+    return work_table(rows.mapInArrow(run, "source string, lengths array<bigint>"), "lengths")
+
+
+def hidden_limits(table: DataFrame) -> DataFrame:
+    """(source, encoding, length, n, usual) of the hidden limits: peaks of the lengths of a source under any encoding.
+
+    The same limit shows, weaker, in related encodings: every row is explained by the strongest peak it stands at, and a
+    peak stays if the rows that no stronger one explains are still a peak. So one source may have several limits.
+    """
+    counts = table.select("source", F.posexplode("lengths").alias("encoding", "length")).groupBy("source", "encoding", "length").agg(F.count(F.lit(1)).alias("n"))
+    near = Window.partitionBy("source", "encoding").orderBy("length").rangeBetween(-WINDOW, WINDOW)
+    usual = counts.withColumn("usual", (F.sum("n").over(near) - F.col("n")) / F.lit(2 * WINDOW))
+    stands = (F.col("n") >= PEAK_ROWS) & (F.col("n") > PEAK_TIMES * F.col("usual") + PEAK_ROWS / 2)
+    peaks = cut(usual.where(stands & (F.col("length") >= SHORTEST_LIMIT)))
+    weight = (F.col("n") - F.col("usual")) * (1 - 0.02 * F.col("encoding"))
+    lists = peaks.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(weight.alias("weight"), "encoding", "length")), asc=False).alias("peaks"))
+    at = table.join(F.broadcast(lists.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    first = F.get(F.filter("peaks", lambda p: F.element_at("lengths", p["encoding"] + 1) == p["length"]), 0)
+    own = at.select("source", first.alias("p")).where("p is not null").groupBy("source", F.col("p.encoding").alias("encoding"), F.col("p.length").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    own = own.alias("o").join(peaks.drop("n").alias("p"), F.col("o.source").eqNullSafe(F.col("p.source")) & (F.col("o.encoding") == F.col("p.encoding")) & (F.col("o.length") == F.col("p.length")))
+    return own.select("o.source", "o.encoding", "o.length", "o.n", "p.usual").where(stands)
 
 
 def open_bracket(line: str) -> bool:
@@ -152,6 +151,8 @@ def breaks_off(text: str, model: EndModel, at_limit: bool = False) -> bool:
     prose = t if not fences else re.sub(r"```.*?```", " ", t, flags=re.S)
     if prose.count("$") % 2:
         return True
+    if _ASIDE.search(t):
+        return False
     if _CLOSED.search(t):
         if t[-1] == "." and len(t) > 1 and t[-2].isdigit():
             return not model.may_end(t[:-1])

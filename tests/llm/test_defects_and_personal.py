@@ -11,6 +11,7 @@ from siftloom.llm import defect_rules as rules
 from siftloom.llm import defects, personal, truncation
 from siftloom.llm.endings import EndModel
 from siftloom.llm.language import LanguageModel
+from siftloom.llm.refusals import RefusalModel
 
 SENTENCES = ["因此，光照强度受温度影响较明显，这一点常被忽视。", "首先，可以用矩阵来估计温度区间，详见表{}。", "The heat of the plate depends on the light, which is easy to miss.", "First, we can use the matrix to estimate the range, as table {} shows.", "要点如下：\n- 矩阵：光照强度受温度影响较明显\n- 温度：可以用矩阵来估计温度区间\n以上。"]
 
@@ -42,10 +43,52 @@ def test_lengths_under_encodings():
 def test_hidden_limits(spark):
     rows = [("s", "字" * min(n, 120)) for n in range(50, 180)] + [("t", "x" * n) for n in range(50, 250)] + [(None, None)]
     df = spark.createDataFrame(rows, "source string, text string")
-    got = truncation.hidden_limits(truncation.length_counts(df, "text", "source")).collect()
+    got = truncation.hidden_limits(truncation.length_table(df, "text", "source")).collect()
     assert {(r.source, r.length) for r in got} == {("s", 120)} or {(r.source, truncation.ENCODINGS[r.encoding]) for r in got} == {("s", "chars")}
 
 
+def test_limits_of_one_source_in_two_encodings(spark):
+    rows = [("s", "x" * min(n, 120)) for n in range(50, 220)] + [("s", "字" * (n % 70 + 10) + "x" * (256 - 3 * (n % 70 + 10))) for n in range(140)]
+    df = spark.createDataFrame(rows, "source string, text string")
+    got = {(truncation.ENCODINGS[r.encoding], r.length) for r in truncation.hidden_limits(truncation.length_table(df, "text", "source")).collect()}
+    assert got == {("chars", 120), ("utf8", 256)}
+
+
+def test_limits_decide_where_endings_do_not(spark, ends):
+    # every text ends as a full list entry may end; only their common length shows that they were cut
+    tail = "要点如下：\n- 矩阵：光照强度受温度影响较明显"
+    rows = [(i, "q", ("甲" * 60 + "。")[: 90 - len(tail)].rjust(90 - len(tail), "乙") + tail, "cutter") for i in range(40)]
+    rows += [(100 + i, "q", "丙" * i + "。" + tail, "whole") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id int, question string, answer string, source string")
+    limits = defects.limits_by_source(df, "answer", "source")
+    found = {r.row_id for r in defects.judge(df, "row_id", limits, defects.broadcast(spark, ends), None).where("array_contains(defects, 'truncated')").collect()}
+    without = {r.row_id for r in defects.judge(df, "row_id", None, defects.broadcast(spark, ends), None).where("array_contains(defects, 'truncated')").collect()}
+    assert found == set(range(40)) and not without
+
+
+def test_refusal_model_finds_other_words_and_long_refusals():
+    fills = [f"{a}{b}" for a in ("kavo", "lumi", "tres", "bon", "zeph", "quor") for b in ("lin", "dra", "mox", "tia", "rus")]
+    yes = [f"I'm sorry, but I cannot help with the {f} matrix. Please ask a teacher who knows the {g} lattice." for f in fills for g in fills[:3]]
+    no = [f"The {f} matrix depends on the {g} lattice, which is easy to miss. First, one can use it to sort the range." for f in fills for g in fills]
+    no += [f"Sorry to keep you waiting, here is the full answer. The {f} matrix depends on the {g} lattice." for f in fills for g in fills[:3]]
+    model = RefusalModel(yes + no)
+    asked = ["This is nothing for me, sorry. Please ask a teacher who knows the garodin lattice.", " ".join(yes[:9]), no[0], no[-1], yes[0] + " " + " ".join(no[:9]), "", None]
+    assert model.refuse(pa.array(asked, pa.large_string())).tolist() == [True, True, False, False, False, False, False]
+
+
+def test_languages_come_from_the_labels():
+    model = LanguageModel(["la chaleur de la plaque dépend de la lumière"] * 20 + ["the heat of the plate depends on the light"] * 20 + ["odd"], ["fr"] * 20 + ["en-GB"] * 20 + ["xx"])
+    assert model.languages == ["en", "fr"]
+    q = ["the heat of the plate and the light of it", "the heat of the plate, please answer in French"]
+    a = ["la lumière de la plaque dépend de la chaleur de la plaque"] * 2
+    assert defects.wrong_language(q, a, model).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("text", ["A. 辰淳序列", "B. wepun cipher", "(C) 珑玄序列"])
+def test_options_are_answers(ends, text):
+    assert not truncation.breaks_off(text, ends)
+
+
 @pytest.mark.parametrize(("text", "empty"), [(None, True), (" ​", True), ("[]", True), ("<empty>", True), ("（空）", True), ("N/A", True), ("0", False), ("无", False), ("x", False), ("。" * 50, True)])
 def test_empty(text, empty):
     assert rules.is_empty(text) is empty
@@ -59,7 +102,7 @@ def test_empty(text, empty):
     ],
 )
 def test_refusals(text, refusal):
-    assert rules.is_refusal(text) is refusal
+    assert rules.seed_refusal(text) is refusal
 
 
 def test_pairs_end_to_end(spark, ends):
