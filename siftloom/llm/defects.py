@@ -27,7 +27,7 @@ from siftloom.llm.endings import SAMPLE_ROWS, EndModel
 from siftloom.llm.language import LanguageModel
 from siftloom.llm.language import SAMPLE_ROWS as LANGUAGE_ROWS
 from siftloom.llm.refusals import SAMPLE_ROWS as REFUSAL_ROWS
-from siftloom.llm.refusals import SHORT, RefusalModel
+from siftloom.llm.refusals import LONG_ROWS, SHORT, RefusalModel
 from siftloom.llm.repetition import bounded_sample
 from siftloom.functions.textbatch import chunks
 from siftloom.session import work_table
@@ -68,7 +68,7 @@ def refusal_model(parts: list[tuple[DataFrame, str, str]]) -> RefusalModel:
     texts: list[str] = []
     for df, key, column in parts:
         texts += bounded_sample(df.where(F.char_length(column) <= SHORT), key, column, REFUSAL_ROWS // len(parts))
-        texts += bounded_sample(df.where(F.char_length(column) > SHORT), key, column, SAMPLE_ROWS // 2 // len(parts))
+        texts += bounded_sample(df.where(F.char_length(column) > SHORT), key, column, LONG_ROWS // len(parts))
     return RefusalModel(texts)
 
 

@@ -17,8 +17,8 @@ from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tab
 
 #: Hash buckets, lengths of n-grams, rows of the background that stand against one observation, largest evidence of one n-gram in nats.
 BUCKETS, GRAMS, PRIOR, MOST = 1 << 17, (3, 6), 2.0, 2.0
-#: Short texts of the sample, characters of one at most.
-SAMPLE_ROWS, SHORT = 16_000, 300
+#: Short texts of the sample, characters of one at most, longer texts of the sample, texts fitted at once.
+SAMPLE_ROWS, SHORT, LONG_ROWS, BLOCK = 8_000, 300, 1_000, 500
 #: Evidence from which a text is a refusal, in nats a letter (a Chinese character counts twice), and refusals that the sample must hold for a fit.
 LEAST, FEWEST = 0.12, 8
 
@@ -57,11 +57,13 @@ class RefusalModel:
         self.evidence = np.zeros(BUCKETS, np.float32)
         if seed.sum() < FEWEST or seed.all():
             return
-        bucket, who = grams_of(TextBatch.of(pa.array(texts, pa.large_string())))
-        pairs = np.unique(who * BUCKETS + bucket)  # a text counts once for each of its n-grams
-        who, bucket = pairs // BUCKETS, pairs % BUCKETS
-        yes = np.bincount(bucket[seed[who]], minlength=BUCKETS)
-        no = np.bincount(bucket[~seed[who]], minlength=BUCKETS)
+        yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for at in range(0, len(texts), BLOCK):
+            bucket, who = grams_of(TextBatch.of(pa.array(texts[at : at + BLOCK], pa.large_string())))
+            pairs = np.unique(who * BUCKETS + bucket)  # a text counts once for each of its n-grams
+            who, bucket = seed[at + pairs // BUCKETS], pairs % BUCKETS
+            yes += np.bincount(bucket[who], minlength=BUCKETS)
+            no += np.bincount(bucket[~who], minlength=BUCKETS)
         part = (yes.sum() + 1) / (yes.sum() + no.sum() + 2)
         share = (yes + PRIOR * part) / (yes + no + PRIOR)  # n-grams that are hardly seen stay at the background
         self.evidence = np.clip(np.log(share / part) - np.log((1 - share) / (1 - part)), -MOST, MOST).astype(np.float32)
