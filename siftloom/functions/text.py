@@ -24,6 +24,25 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def one_decimal(c: Column) -> Column:
+    """A number with one decimal as C and Python print it: by its exact binary value, ties to even.
+
+    Ten times the value is a sum of two exact products; what that sum loses decides where it seems a tie.
+    """
+    number = F.coalesce(c.cast("double"), F.lit(0.0))
+
+    def digits(x: Column) -> Column:
+        a, b = F.abs(x) * 8, F.abs(x) * 2
+        total = a + b
+        lost = (a - (total - (total - a))) + (b - (total - a))
+        tie = total - F.floor(total) - 0.5
+        up = (tie > 0) | ((tie == 0) & ((lost > 0) | ((lost == 0) & (F.floor(total) % 2 == 1))))
+        n = F.floor(total) + up.cast("bigint")
+        return F.concat(F.when((x < 0), "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    return let(number, digits)
+
+
 def strip(c: Column) -> Column:
     """Trimmed on both sides by Python's white space."""
     return F.regexp_replace(c, f"^{k.WS_JAVA}+|{k.WS_JAVA}+$(?!\\n)", "")
@@ -123,17 +142,23 @@ def list_items(c: Column | str) -> Column:
     return line_count(c, f"^{k.WS_JAVA}*[-*]{k.WS_JAVA}") + line_count(c, f"^{k.WS_JAVA}*\\p{{Nd}}+[.、]{k.WS_JAVA}")
 
 
-def smart_truncate(c: Column | str, most: int, marker: str = "\n…\n") -> Column:
-    """Head (60 %) and tail (30 %) of a text longer than most characters."""
-    t = text(c)
-    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, int(most * 0.6)), F.lit(marker), F.right(t, F.lit(int(most * 0.3)))))
+#: The marks of what a cut leaves out.
+OMITTED = ("\n\n[...此处省略约 ", " 字，预分析报告包含全文统计数据...]\n\n")
+CUT_OUT = "\n\n[…中间省略…]\n\n"
+
+
+def smart_truncate(c: Column | str, most: int) -> Column:
+    """Head (60 %) and tail (30 %) of a text longer than most characters, with the number of those left out."""
+    t, head, tail = text(c), int(most * 0.6), int(most * 0.3)
+    left_out = (F.char_length(t) - (head + tail)).cast("string")
+    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, head), F.lit(OMITTED[0]), left_out, F.lit(OMITTED[1]), F.right(t, F.lit(tail)) if tail else t))
 
 
-def hard_truncate(c: Column | str, most: int, marker: str = "\n…\n") -> Column:
-    """Head (65 %) and what is left but 80 as tail; without room for a tail a plain cut."""
-    t, head = text(c), int(most * 0.65)
+def hard_truncate(c: Column | str, most: int) -> Column:
+    """Head (65 %) and what is left but 80 as tail; without room for a tail a plain cut, with room for none the whole text again."""
+    t, head = text(c), most * 65 // 100
     tail = most - head - 80
-    cut = F.substring(t, 1, most) if tail < 0 else F.concat(F.substring(t, 1, head), F.lit(marker), F.right(t, F.lit(tail)) if tail else F.lit(""))
+    cut = F.substring(t, 1, most) if tail < 0 else F.concat(F.substring(t, 1, head), F.lit(CUT_OUT), F.right(t, F.lit(tail)) if tail else t)
     return F.when(F.char_length(t) <= most, t).otherwise(cut)
 
 

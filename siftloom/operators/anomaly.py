@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,16 @@ from siftloom.operators import stats
 
 
 def output_anomalies(df: DataFrame, keys: list[str], column: str, threshold: float = 0.3, low: float = 5, high: float = 95) -> DataFrame:
-    """Rows with anomaly_types empty_response, length_outlier, high_repetition (I24); bounds by group of keys."""
+    """Rows with anomaly_types empty_response, length_outlier, high_repetition (I24); bounds by group of keys, where a null key is a group, too."""
     sized = df.withColumn("length", t.count_chars(column)).withColumn("_rate", t.char_repetition(column, 4))
-    bounds = stats.nearest_rank_bounds(sized, keys, "length", low, high) if keys else stats.nearest_rank_bounds(sized.withColumn("_all", F.lit(1)), ["_all"], "length", low, high)
-    joined = sized.join(bounds, keys) if keys else sized.withColumn("_all", F.lit(1)).join(bounds, "_all").drop("_all")
+    bounds = stats.nearest_rank_bounds(sized, keys, "length", low, high)
+    # one row for each group of keys, a single one without keys
+    if keys:
+        theirs = bounds.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "low_value", "high_value")
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+        joined = sized.join(theirs, reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(keys))])
+    else:
+        joined = sized.join(F.broadcast(bounds))
     kinds = F.array_compact(
         F.array(
             F.when(F.col("length") == 0, "empty_response"),

@@ -69,20 +69,26 @@ def full_profile(df: DataFrame, column: str) -> DataFrame:
     return style_profile(structure_profile(repetition_profile(df, column), column), column)
 
 
-def analysis_text(df: DataFrame, column: str) -> DataFrame:
-    """The profile as lines for a judge's prompt (I13); needs the columns of full_profile."""
+def analysis_text(df: DataFrame, column: str, label: str = "", most: int | None = None) -> DataFrame:
+    """The profile as lines for a judge's prompt (I13); needs the columns of full_profile.
+
+    label names the answer; texts of more than most characters are shown cut and get a notice.
+    """
+    listed = lambda c: F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
+    notice = F.concat(F.lit("- [注意] 原文较长("), F.col("total_chars"), F.lit("字)，已截断展示，以下统计数据基于全文"))
     percent = lambda c: F.format_string("%.2f%%", c * 100)
     lines = F.concat_ws(
         "\n",
-        F.lit("## 规则预分析报告"),
+        F.lit("## 规则预分析报告" + (f"（回答 {label}）" if label else "")),
+        F.when(F.char_length(t.text(column)) > most, notice) if most else F.lit(None),
         F.concat(F.lit("- 总字数: "), F.col("total_chars")),
         F.concat(F.lit("- 最高 n-gram 重复率: "), worst_name(), F.lit(" = "), percent(worst_rate())),
         F.concat(F.lit("- 前后半段重复率: "), percent(F.col("half_split_repeat"))),
         F.concat(F.lit("- 段落数 "), F.col("paragraph_count"), F.lit(", 句子数 "), F.col("sentence_count"), F.lit(", 平均段落长度 "), F.format_string("%.1f", F.col("avg_paragraph_length")), F.lit(" 字")),
         F.when(F.col("heading_count") > 0, F.concat(F.lit("- Markdown 标题 "), F.col("heading_count"), F.lit(" 个"))),
         F.when(F.col("list_item_count") > 0, F.concat(F.lit("- 列表项 "), F.col("list_item_count"), F.lit(" 个"))),
-        F.when(F.col("template_ending_count") > 0, F.concat(F.lit("- [警告] 模板化结尾: "), F.array_join("template_endings", "、"))),
-        F.when(F.col("assistant_phrase_count") > 0, F.concat(F.lit("- [警告] 助手化用语: "), F.array_join("assistant_phrases", "、"))),
+        F.when(F.col("template_ending_count") > 0, F.concat(F.lit("- [警告] 模板化结尾: "), listed("template_endings"))),
+        F.when(F.col("assistant_phrase_count") > 0, F.concat(F.lit("- [警告] 助手化用语: "), listed("assistant_phrases"))),
     )
     return df.withColumn("analysis", lines)
 

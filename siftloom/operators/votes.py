@@ -118,11 +118,16 @@ def weighted_total(dimensions: Column | str) -> Column:
 
 
 def double_score(df: DataFrame, a: str, b: str, arbiter: str | None = None, gap: float = 2.0) -> DataFrame:
-    """Adds merged_total, merged_passed, merged_suggestion of two evaluations.
+    """Adds merged_total, merged_passed, merged_dimensions, merged_suggestion of two evaluations.
 
     More than gap apart, the arbiter alone counts (null without one); else the mean, passed only by both, and the
-    first suggestion unless it says none.
+    first suggestion unless it says none. Dimensions pair by position up to the shorter list, scores averaged to one
+    decimal, the first reason unless it is blank; if none pair, the first evaluation's stay.
     """
+    one, two = F.col(f"{a}.dimensions"), F.col(f"{b}.dimensions")
+    both = F.least(F.size(F.coalesce(one, F.array().cast(df.schema[a].dataType["dimensions"].dataType))), F.size(F.coalesce(two, F.array().cast(df.schema[b].dataType["dimensions"].dataType))))
+    pair = lambda x, y: F.struct(x["dimension"].alias("dimension"), F.round((F.coalesce(x["score"], F.lit(0.0)) + F.coalesce(y["score"], F.lit(0.0))) / 2 + NUDGE, 1).alias("score"), F.when(F.coalesce(x["reason"], F.lit("")) != "", x["reason"]).otherwise(y["reason"]).alias("reason"))
+    merged = F.when(both > 0, F.zip_with(F.slice(one, F.lit(1), both), F.slice(two, F.lit(1), both), pair)).otherwise(one)
     apart = F.abs(F.col(f"{a}.total_score") - F.col(f"{b}.total_score")) > gap
     third = lambda f: F.col(f"{arbiter}.{f}") if arbiter else F.lit(None)
     none = F.coalesce(F.col(f"{a}.suggestion"), F.lit("")).isin("", k.NO_SUGGESTION)
@@ -130,6 +135,7 @@ def double_score(df: DataFrame, a: str, b: str, arbiter: str | None = None, gap:
         {
             "merged_total": F.when(apart, third("total_score")).otherwise(F.round((F.col(f"{a}.total_score") + F.col(f"{b}.total_score")) / 2, 2)),
             "merged_passed": F.when(apart, third("passed")).otherwise(F.col(f"{a}.passed") & F.col(f"{b}.passed")),
+            "merged_dimensions": F.when(apart, third("dimensions")).otherwise(merged),
             "merged_suggestion": F.when(apart, third("suggestion")).when(none, F.col(f"{b}.suggestion")).otherwise(F.col(f"{a}.suggestion")),
         }
     )

@@ -142,7 +142,7 @@ def numeric_first_sort(spark: SparkSession, d: str) -> DataFrame:
     return ids.orderBy(*align.numeric_first("id"))
 
 
-SQL["numeric_first_sort"] = "WITH i AS (SELECT DISTINCT CASE WHEN row_id % 3 = 0 THEN row_id::VARCHAR ELSE id END AS id FROM corpus) SELECT id FROM i WHERE id IS NOT NULL ORDER BY CASE WHEN regexp_full_match(id, '[0-9]+') THEN 0 ELSE 1 END, try_cast(id AS BIGINT), id LIMIT 50"
+SQL["numeric_first_sort"] = "WITH i AS (SELECT DISTINCT CASE WHEN row_id % 3 = 0 THEN row_id::VARCHAR ELSE id END AS id FROM corpus) SELECT id FROM i WHERE id IS NOT NULL"
 
 
 def ab_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -236,17 +236,50 @@ def self_consistency_vote(spark: SparkSession, d: str) -> DataFrame:
     return votes.self_consistency(paths, ["prompt_id"], "answer", "row_id")
 
 
-SQL["self_consistency_vote"] = f"WITH p AS (SELECT prompt_id, row_id, lower(regexp_replace(left({s.text('response')}, 1), '[。，、；：！？]|{s.WS}', '', 'g')) AS answer FROM model_outputs WHERE prompt_id IS NOT NULL), v AS (SELECT prompt_id, answer, count(*) AS n, min(row_id) AS first FROM p GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY prompt_id) AS total, row_number() OVER (PARTITION BY prompt_id ORDER BY n DESC, first) AS rn FROM v) SELECT prompt_id, answer AS best_answer, round(n::DOUBLE / total + 1e-9, 2) AS confidence, n::DOUBLE / total >= 0.6::DOUBLE AS is_consistent, total::BIGINT AS paths FROM r WHERE rn = 1"
+def _extracted(c: str) -> str:
+    """The answer that a text gives, by the twin of extract_answer."""
+    own = lambda p: s.strip(f"regexp_extract({s.text(c)}, '(?s){p}', 1)")
+    found = ", ".join(f"CASE WHEN regexp_matches({s.text(c)}, '(?s){p}') THEN {own(p)} END" for p in (p.replace(k.WS_JAVA, s.WS) for p in t.ANSWER_PATTERNS))
+    return f"coalesce({found}, {s.strip(f'list_extract(string_split({s.strip(s.text(c))}, chr(10)), -1)')})"
+
+
+SQL["self_consistency_vote"] = f"WITH p AS (SELECT prompt_id, row_id, lower(regexp_replace({_extracted('response')}, '[。，、；：！？]|{s.WS}', '', 'g')) AS answer FROM model_outputs WHERE prompt_id IS NOT NULL), v AS (SELECT prompt_id, answer, count(*) AS n, min(row_id) AS first FROM p GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY prompt_id) AS total, row_number() OVER (PARTITION BY prompt_id ORDER BY n DESC, first) AS rn FROM v) SELECT prompt_id, answer AS best_answer, round(n::DOUBLE / total + 1e-9, 2) AS confidence, n::DOUBLE / total >= 0.6::DOUBLE AS is_consistent, total::BIGINT AS paths FROM r WHERE rn = 1"
 
 
 def double_score_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The first and last evaluation of an id as its two scores."""
+    """The first and last evaluation of an id as its two scores, the highest scored one as the arbiter's."""
     items = table(spark, d, "output_items").where("id is not null and evaluation is not null")
-    two = items.groupBy("id").agg(F.min_by("evaluation", "row_id").alias("a"), F.max_by("evaluation", "row_id").alias("b"))
-    return votes.double_score(two, "a", "b").select("id", "merged_total", "merged_passed", "merged_suggestion")
+    three = items.groupBy("id").agg(F.min_by("evaluation", "row_id").alias("a"), F.max_by("evaluation", "row_id").alias("b"), F.max_by("evaluation", F.struct(F.coalesce("evaluation.total_score", F.lit(-1.0)), "row_id")).alias("c"))
+    dims = F.array_join(F.transform("merged_dimensions", lambda x: F.concat(F.coalesce(x["dimension"], F.lit("")), F.lit("="), F.format_string("%.1f", x["score"]))), ";")
+    return votes.double_score(three, "a", "b", "c").select("id", "merged_total", "merged_passed", "merged_suggestion", dims.alias("merged_dimensions"))
+
+
+_APART = "abs(a.total_score - b.total_score) > 2.0::DOUBLE"
+SQL["double_score_merge"] = f"""WITH i AS (SELECT id, arg_min(evaluation, row_id) AS a, arg_max(evaluation, row_id) AS b, arg_max(evaluation, [coalesce(evaluation.total_score, -1.0::DOUBLE), row_id::DOUBLE]) AS c FROM output_items WHERE id IS NOT NULL AND evaluation IS NOT NULL GROUP BY id),
+z AS (SELECT *, least(len(coalesce(a.dimensions, [])), len(coalesce(b.dimensions, []))) AS n FROM i)
+SELECT id, CASE WHEN {_APART} THEN c.total_score ELSE round((a.total_score + b.total_score) / 2, 2) END AS merged_total, CASE WHEN {_APART} THEN c.passed ELSE a.passed AND b.passed END AS merged_passed,
+ CASE WHEN {_APART} THEN c.suggestion WHEN coalesce(a.suggestion, '') IN ('', '无') THEN b.suggestion ELSE a.suggestion END AS merged_suggestion,
+ CASE WHEN {_APART} THEN array_to_string(list_transform(c.dimensions, lambda x: coalesce(x.dimension, '') || '=' || printf('%.1f', x.score)), ';') WHEN n = 0 THEN array_to_string(list_transform(a.dimensions, lambda x: coalesce(x.dimension, '') || '=' || printf('%.1f', x.score)), ';')
+ ELSE array_to_string(list_transform(range(1, n + 1), lambda j: coalesce(a.dimensions[j].dimension, '') || '=' || printf('%.1f', round((coalesce(a.dimensions[j].score, 0) + coalesce(b.dimensions[j].score, 0)) / 2 + 1e-9, 1))), ';') END AS merged_dimensions FROM z"""
+
+
+def blind_ab(spark: SparkSession, d: str) -> DataFrame:
+    """The first and last judgement of a pair as the two calls of a blind comparison, where it has several."""
+    from siftloom.plans import judging
+
+    calls = table(spark, d, "pairwise_results").where("winner in ('A', 'B', 'tie') and prompt_id is not null and model_a is not null and model_b is not null").groupBy(*KEYS)
+    call = F.struct("winner", "scores_a", "scores_b")
+    two = calls.agg(F.min_by(call, "row_id").alias("x"), F.max_by(call, "row_id").alias("y"), (F.count(F.lit(1)) > 1).alias("swapped"))
+    both = two.select(*KEYS, "swapped", "x.*", F.col("y.winner").alias("winner_2"), F.col("y.scores_a").alias("scores_a_2"), F.col("y.scores_b").alias("scores_b_2"))
+    return judging.blind_results(both).select(*KEYS, "winner", "consistency", F.col("scores_a.format").alias("a_format"), F.col("scores_b.naturalness").alias("b_naturalness"))
 
 
-SQL["double_score_merge"] = "WITH i AS (SELECT id, arg_min(evaluation, row_id) AS a, arg_max(evaluation, row_id) AS b FROM output_items WHERE id IS NOT NULL AND evaluation IS NOT NULL GROUP BY id) SELECT id, CASE WHEN abs(a.total_score - b.total_score) > 2.0::DOUBLE THEN NULL ELSE round((a.total_score + b.total_score) / 2, 2) END AS merged_total, CASE WHEN abs(a.total_score - b.total_score) > 2.0::DOUBLE THEN NULL ELSE a.passed AND b.passed END AS merged_passed, CASE WHEN abs(a.total_score - b.total_score) > 2.0::DOUBLE THEN NULL WHEN coalesce(a.suggestion, '') IN ('', '无') THEN b.suggestion ELSE a.suggestion END AS merged_suggestion FROM i"
+SQL["blind_ab"] = """WITH g AS (SELECT prompt_id, model_a, model_b, arg_min(struct_pack(w := winner, a := scores_a, b := scores_b), row_id) AS x, arg_max(struct_pack(w := winner, a := scores_a, b := scores_b), row_id) AS y, count(*) > 1 AS two
+  FROM pairwise_results WHERE winner IN ('A', 'B', 'tie') AND prompt_id IS NOT NULL AND model_a IS NOT NULL AND model_b IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, CASE y.w WHEN 'A' THEN 'B' WHEN 'B' THEN 'A' ELSE 'tie' END AS back FROM g)
+SELECT prompt_id, model_a, model_b, CASE WHEN two AND x.w <> back THEN 'tie' ELSE x.w END AS winner, CASE WHEN NOT two THEN NULL WHEN x.w = back THEN 'consistent' ELSE 'position_bias_detected' END AS consistency,
+ CASE WHEN two AND x.w <> back THEN round((coalesce(x.a.format, 0) + coalesce(y.b.format, 0)) / 2 + 1e-9, 1) ELSE x.a.format END AS a_format,
+ CASE WHEN two AND x.w <> back THEN round((coalesce(x.b.naturalness, 0) + coalesce(y.a.naturalness, 0)) / 2 + 1e-9, 1) ELSE x.b.naturalness END AS b_naturalness FROM s"""
 
 
 def weighted_totals(spark: SparkSession, d: str) -> DataFrame:

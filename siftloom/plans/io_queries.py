@@ -63,18 +63,43 @@ SQL["extracted_qa"] = "SELECT row_id, id, md5(question) AS digest, length(coales
 
 
 def rendered_items(spark: SparkSession, d: str) -> DataFrame:
-    return writers.rendered(table(spark, d, "output_items").select("id", "question", "answer")).select(F.md5("value").alias("digest"))
+    return writers.rendered(table(spark, d, "output_items").select("id", "question", "answer", "evaluation", "rework_count")).select(F.md5("value").alias("digest"))
 
 
-SQL["rendered_items"] = "SELECT md5('【' || coalesce(id, '') || '】' || chr(10) || '问题: ' || coalesce(question, '') || chr(10) || '答案: ' || coalesce(answer, '') || chr(10) || repeat('-', 40)) AS digest FROM output_items"
+_N = "chr(10)"
+SQL["rendered_items"] = f"""SELECT md5(repeat('=', 60) || {_N} || '[' || coalesce(id, '') || ']' || {_N} || {_N} || '【问题】' || {_N} || coalesce(question, '') || {_N} || {_N} || '【回答】' || {_N} || coalesce(answer, '') || {_N}
+ || CASE WHEN evaluation IS NOT NULL THEN {_N} || '【评分】' || printf('%.1f', coalesce(evaluation.total_score, 0.0::DOUBLE)) || '/10 (' || CASE WHEN evaluation.passed THEN '通过' ELSE '未通过' END || ')' || {_N}
+   || coalesce(array_to_string(list_transform(evaluation.dimensions, lambda x: '  - ' || coalesce(x.dimension, '') || ': ' || printf('%.1f', coalesce(x.score, 0.0::DOUBLE)) || ' — ' || coalesce(x.reason, '') || {_N}), ''), '')
+   || CASE WHEN coalesce(evaluation.suggestion, '') NOT IN ('', '无') THEN '【建议】' || evaluation.suggestion || {_N} ELSE '' END ELSE '' END
+ || CASE WHEN coalesce(rework_count, 0) > 0 THEN '【重写次数】' || rework_count || {_N} ELSE '' END) AS digest FROM output_items"""
 
 
 def rendered_steps(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "output_items").where("cot_steps is not null")
-    return df.select("row_id", F.md5(parse.render_steps(F.lit(""), F.col("cot_steps"), F.lit(""))).alias("digest"))
+    return df.select("row_id", F.md5(parse.render_steps(F.col("question"), F.col("cot_steps"), F.col("answer"))).alias("digest"))
 
 
-SQL["rendered_steps"] = "SELECT row_id, md5(coalesce(array_to_string(list_transform(cot_steps, lambda s: '**步骤 ' || s.step_number || '**（' || coalesce(s.step_type, '') || '）' || chr(10) || coalesce(s.content, '') || CASE WHEN coalesce(s.formula, '') <> '' THEN chr(10) || '$$' || s.formula || '$$' ELSE '' END), chr(10) || chr(10)), '')) AS digest FROM output_items WHERE cot_steps IS NOT NULL"
+SQL["rendered_steps"] = f"""SELECT row_id, md5('<think>' || {_N} || coalesce(question, '') || {_N} || '</think>' || {_N} || {_N}
+ || coalesce(array_to_string(list_transform(cot_steps, lambda s: '**Step ' || s.step_number || CASE WHEN coalesce(s.step_type, '') <> '' THEN ' [' || s.step_type || ']' ELSE '' END || '**' || {_N} || coalesce(s.content, '') || {_N}
+   || CASE WHEN coalesce(s.formula, '') <> '' THEN '$$' || {_N} || s.formula || {_N} || '$$' || {_N} ELSE '' END || {_N}), ''), '') || '**最终答案：** ' || coalesce(answer, '')) AS digest FROM output_items WHERE cot_steps IS NOT NULL"""
+
+
+def rework_feedback(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "output_items").where("cot_evaluation is not null").select("row_id", parse.render_feedback("cot_evaluation").alias("feedback"))
+
+
+SQL["rework_feedback"] = f"""SELECT row_id, concat_ws({_N}, CASE WHEN NOT coalesce(cot_evaluation.final_answer_correct, false) THEN '最终答案不正确，需要修正。' END, '推理链连贯性评分: ' || coalesce(cot_evaluation.chain_coherence, 0.0::DOUBLE)::VARCHAR || '/10',
+ CASE WHEN coalesce(cot_evaluation.suggestion, '') <> '' THEN '总体建议: ' || cot_evaluation.suggestion END) AS feedback FROM output_items WHERE cot_evaluation IS NOT NULL"""
+
+
+def judge_message(spark: SparkSession, d: str) -> DataFrame:
+    """The message of a format-quality judge, with question and answer as two candidates."""
+    df = table(spark, d, "corpus")
+    return df.select("row_id", F.md5(parse.user_message(F.col("question"), F.array(F.col("answer"), F.col("question")), 240)).alias("digest"))
+
+
+_CUT = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '（空回答）' WHEN length({c}) <= 240 THEN {c} ELSE left({c}, 156) || {_N} || {_N} || '[…中间省略…]' || {_N} || {_N} || right({c}, 4) END"
+SQL["judge_message"] = f"SELECT row_id, md5('## 题目（Instruction）' || {_N} || coalesce(question, '') || {_N} || {_N} || '## 候选回答' || {_N} || '### C1' || {_N} || {_CUT('answer')} || {_N} || {_N} || '### C2' || {_N} || {_CUT('question')} || {_N}) AS digest FROM corpus"
 
 
 def equation_checks(spark: SparkSession, d: str) -> DataFrame:

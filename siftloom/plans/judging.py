@@ -14,15 +14,19 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftloom.functions import constants as k
-from siftloom.operators import parse, profile
+from siftloom.operators import parse, profile, votes
 from siftloom.session import work_table
 
 
+#: Columns that a call adds.
+ADDED = ("reply", "error", "prompt_chars", "completion_chars", "seconds")
+
+
 class Model(Protocol):
     def ask(self, message: str, temperature: float) -> str: ...
 
@@ -44,26 +48,27 @@ class TableModel:
         return self.replies[message]
 
 
-def _ask(model: Model, message: str, temperature: float, attempts: int, pause: float) -> tuple[str | None, str | None]:
+def _ask(model: Model, message: str, temperature: float, attempts: int, pause: float) -> tuple[str | None, str | None, float]:
+    start = time.monotonic()
     for attempt in range(attempts):
         try:
-            return model.ask(message, temperature), None
+            return model.ask(message, temperature), None, time.monotonic() - start
         except Exception as e:  # noqa: BLE001  the error becomes a column
             if attempt == attempts - 1:
-                return None, f"{type(e).__name__}: {e}"[:300]
+                return None, f"{type(e).__name__}: {e}"[:300], time.monotonic() - start
             time.sleep(pause * 2**attempt)
-    return None, "no attempt"
+    return None, "no attempt", 0.0
 
 
 def call(df: DataFrame, model: Model, message: str = "message", temperature: str = "temperature", pool: int = 4, attempts: int = 3, pause: float = 2.0, table: str = "replies") -> DataFrame:
-    """Adds reply and error (L1, L11, L12) and stores the rows; pool: calls at once in each task."""
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    """Adds reply, error, prompt_chars, completion_chars and seconds (L1, L11, L12, F20) and stores the rows; pool: calls at once in each task."""
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()), T.StructField("prompt_chars", T.LongType()), T.StructField("completion_chars", T.LongType()), T.StructField("seconds", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(pool) as workers:
             for f in frames:
                 got = list(workers.map(lambda x: _ask(model, x[0], x[1], attempts, pause), zip(f[message], f[temperature], strict=True)))
-                yield f.assign(reply=[g[0] for g in got], error=[g[1] for g in got])
+                yield f.assign(reply=[g[0] for g in got], error=[g[1] for g in got], prompt_chars=[len(m or "") for m in f[message]], completion_chars=[len(g[0] or "") for g in got], seconds=[g[2] for g in got])
 
     return work_table(df.mapInPandas(run, schema), table)
 
@@ -98,9 +103,33 @@ def blind_pairs(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("swapped", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(2)) == 1)
 
 
-def blind_decision(first: str, second: str):
-    """The winner of both calls if they agree, else tie."""
-    return F.when(F.col(first) == F.col(second), F.col(first)).otherwise("tie")
+def swapped_back(winner: str) -> Column:
+    """The real winner of a call that saw the answers exchanged: anything but A or B is a tie."""
+    return F.when(F.col(winner) == "A", "B").when(F.col(winner) == "B", "A").otherwise("tie")
+
+
+def blind_results(df: DataFrame) -> DataFrame:
+    """Settles two calls on one pair (L10): winner, scores_a, scores_b of the first, winner_2, scores_a_2, scores_b_2 of the second.
+
+    swapped rows had a second call that saw the answers exchanged. If both name the same winner after swapping back, the
+    first result stays (consistency consistent); else it is a tie with the mean scores of both calls, rounded to one
+    decimal (position_bias_detected). Rows without a second call pass through; their consistency is null.
+    """
+    real = swapped_back("winner_2")
+    asked = F.coalesce("swapped", F.lit(False))
+    same = F.coalesce("winner", F.lit("tie")) == real
+    bias = asked & ~same
+    score = lambda s, d: F.coalesce(F.col(f"{s}.{d}"), F.lit(0.0))
+    mean = lambda own, other: F.struct(*[F.round((score(own, d) + score(other, d)) / 2 + votes.NUDGE, 1).alias(d) for d in k.DIMENSIONS])
+    return df.withColumns(
+        {
+            "consistency": F.when(asked & same, "consistent").when(bias, "position_bias_detected"),
+            "winner": F.when(bias, "tie").otherwise(F.col("winner")),
+            "scores_a": F.when(bias, mean("scores_a", "scores_b_2")).otherwise(F.col("scores_a")),
+            "scores_b": F.when(bias, mean("scores_b", "scores_a_2")).otherwise(F.col("scores_b")),
+            "position_swapped": bias,
+        }
+    ).drop("winner_2", "scores_a_2", "scores_b_2")
 
 
 def augmented(items: DataFrame, variants: DataFrame) -> DataFrame:

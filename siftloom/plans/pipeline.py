@@ -56,7 +56,7 @@ def run(corpus: DataFrame, generator: judging.Model, config: PipelineConfig | No
     columns = ["pos", "id", "question", "answer"]
     items = prepare(corpus, config).select(*columns, *(["difficulty_level"] if config.grade else []))
     first = items.withColumn("message", F.col("question")).withColumn("temperature", F.lit(config.temperature))
-    state = judging.call(first, generator, table="generated").withColumn("answer", F.coalesce("reply", t.text("answer"))).drop("message", "temperature", "reply", "error").withColumn("rework_count", F.lit(0))
+    state = judging.call(first, generator, table="generated").withColumn("answer", F.coalesce("reply", t.text("answer"))).drop("message", "temperature", *judging.ADDED).withColumn("rework_count", F.lit(0))
     for number in range(1, config.max_rework + 1):
         state = work_table(evaluate(state, config.pass_threshold), f"judged-{number}")
         failed = state.where("evaluation is not null and not evaluation.passed")
@@ -78,7 +78,7 @@ def evaluate_outputs(outputs: DataFrame, prompts: DataFrame) -> dict[str, DataFr
         "results": results,
         "summary": summary.single_summary(results, ["model_version"]),
         "versions": summary.version_table(results),
-        "anomalies": anomaly.output_anomalies(outputs, [], "response"),
+        "anomalies": anomaly.output_anomalies(outputs, ["model_version"], "response"),
         "long_answers": summary.class_distribution(profile.long_answer_classes(profiled)),
         "lengths": stats.basic(outputs.withColumn("length", F.char_length("response").cast("double")), ["model_version"], "length"),
     }

@@ -56,15 +56,18 @@ SQL["style_profile"] = P + " SELECT row_id, array_to_string(te, '|') AS template
 
 
 def analysis_text(spark: SparkSession, d: str) -> DataFrame:
-    return profile.analysis_text(profile.full_profile(_responses(spark, d), "response"), "response").select("row_id", "analysis")
+    return profile.analysis_text(profile.full_profile(_responses(spark, d), "response"), "response", label="A", most=400).select("row_id", "analysis")
 
 
-SQL["analysis_text"] = P + """ SELECT row_id, concat_ws(chr(10), '## 规则预分析报告', '- 总字数: ' || total_chars,
+_QUOTE = "''"
+_LISTED = lambda c: f"'[{_QUOTE}' || array_to_string({c}, '{_QUOTE}, {_QUOTE}') || '{_QUOTE}]'"
+SQL["analysis_text"] = P + f""" SELECT row_id, concat_ws(chr(10), '## 规则预分析报告（回答 A）',
+  CASE WHEN length(t) > 400 THEN '- [注意] 原文较长(' || total_chars || '字)，已截断展示，以下统计数据基于全文' END, '- 总字数: ' || total_chars,
   '- 最高 n-gram 重复率: ' || CASE WHEN char_3 = worst THEN 'char_3gram' WHEN char_4 = worst THEN 'char_4gram' ELSE 'char_5gram' END || ' = ' || printf('%.2f%%', worst * 100),
   '- 前后半段重复率: ' || printf('%.2f%%', half_split_repeat * 100),
   '- 段落数 ' || paragraph_count || ', 句子数 ' || sentence_count || ', 平均段落长度 ' || printf('%.1f', avg_paragraph_length) || ' 字',
   CASE WHEN heading_count > 0 THEN '- Markdown 标题 ' || heading_count || ' 个' END, CASE WHEN list_item_count > 0 THEN '- 列表项 ' || list_item_count || ' 个' END,
-  CASE WHEN len(te) > 0 THEN '- [警告] 模板化结尾: ' || array_to_string(te, '、') END, CASE WHEN len(ap) > 0 THEN '- [警告] 助手化用语: ' || array_to_string(ap, '、') END) AS analysis FROM full_profile"""
+  CASE WHEN len(te) > 0 THEN '- [警告] 模板化结尾: ' || {_LISTED('te')} END, CASE WHEN len(ap) > 0 THEN '- [警告] 助手化用语: ' || {_LISTED('ap')} END) AS analysis FROM full_profile"""
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +89,8 @@ def smart_truncate(spark: SparkSession, d: str) -> DataFrame:
     return _responses(spark, d).select("row_id", t.smart_truncate("response", 200).alias("cut"), t.hard_truncate("response", 240).alias("hard_cut"))
 
 
-SQL["smart_truncate"] = f"""SELECT row_id, CASE WHEN length({s.text('response')}) <= 200 THEN {s.text('response')} ELSE left(response, 120) || chr(10) || '…' || chr(10) || right(response, 60) END AS cut,
- CASE WHEN length({s.text('response')}) <= 240 THEN {s.text('response')} ELSE left(response, 156) || chr(10) || '…' || chr(10) || right(response, 4) END AS hard_cut FROM model_outputs"""
+SQL["smart_truncate"] = f"""SELECT row_id, CASE WHEN length({s.text('response')}) <= 200 THEN {s.text('response')} ELSE left(response, 120) || chr(10) || chr(10) || '[...此处省略约 ' || (length(response) - 180) || ' 字，预分析报告包含全文统计数据...]' || chr(10) || chr(10) || right(response, 60) END AS cut,
+ CASE WHEN length({s.text('response')}) <= 240 THEN {s.text('response')} ELSE left(response, 156) || chr(10) || chr(10) || '[…中间省略…]' || chr(10) || chr(10) || right(response, 4) END AS hard_cut FROM model_outputs"""
 
 
 def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +104,7 @@ def extract_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "output_items").select("row_id", t.extract_answer("answer").alias("extracted"))
 
 
-_PATTERNS = ["【答案】(.+?)【/答案】", f"最终答案[是为：:]{s.WS}*(.+?)(?:\\n|$)", f"[Aa]nswer[：:]{s.WS}*(.+?)(?:\\n|$)", f"因此[，,]{s.WS}*(.+?)(?:\\n|$)", f"所以[，,]{s.WS}*(.+?)(?:\\n|$)"]
+_PATTERNS = [p.replace(k.WS_JAVA, s.WS) for p in t.ANSWER_PATTERNS]
 SQL["extract_answer"] = "SELECT row_id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches({s.text('answer')}, '(?s){p}') THEN {s.strip(f'''regexp_extract({s.text('answer')}, '(?s){p}', 1)''')} END" for p in _PATTERNS) + f", {s.strip(f'''list_extract(string_split({s.strip(s.text('answer'))}, chr(10)), -1)''')}) AS extracted FROM output_items"
 
 
@@ -246,19 +249,19 @@ SQL["dedup_report"] = _SETS + _GREEDY + ", st AS (SELECT CASE WHEN f.row_id IS N
 
 
 def output_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.output_anomalies(_responses(spark, d), [], "response").select("row_id", "length", F.array_join("anomaly_types", "|").alias("anomaly_types"), "repeat_rate")
+    return anomaly.output_anomalies(_responses(spark, d), ["model_version"], "response").select("row_id", "length", F.array_join("anomaly_types", "|").alias("anomaly_types"), "repeat_rate")
 
 
 _ANOMALY = f"""
-WITH b AS (SELECT row_id, {s.compact('response')} AS c FROM model_outputs), q AS (SELECT row_id, string_split(c, '') AS ch, length(c) AS cn FROM b),
-r AS (SELECT row_id, cn, {s.rate(4)} AS rate FROM q), o AS (SELECT cn, row_number() OVER (ORDER BY cn) - 1 AS i, count(*) OVER () AS n FROM r),
-lim AS (SELECT min(cn) FILTER (i = floor(n * 5 / 100)) AS lo, min(cn) FILTER (i = floor(least(n * 95 / 100, n - 1))) AS hi FROM o),
-a AS (SELECT row_id, cn AS length, rate, list_filter([CASE WHEN cn = 0 THEN 'empty_response' END, CASE WHEN cn < lo OR cn > hi THEN 'length_outlier' END, CASE WHEN rate > 0.3::DOUBLE THEN 'high_repetition' END], lambda x: x IS NOT NULL) AS types FROM r, lim)"""
+WITH b AS (SELECT row_id, model_version, {s.compact('response')} AS c FROM model_outputs), q AS (SELECT row_id, model_version, string_split(c, '') AS ch, length(c) AS cn FROM b),
+r AS (SELECT row_id, model_version, cn, {s.rate(4)} AS rate FROM q), o AS (SELECT model_version, cn, row_number() OVER (PARTITION BY model_version ORDER BY cn) - 1 AS i, count(*) OVER (PARTITION BY model_version) AS n FROM r),
+lim AS (SELECT model_version, min(cn) FILTER (i = floor(n * 5 / 100)) AS lo, min(cn) FILTER (i = floor(least(n * 95 / 100, n - 1))) AS hi FROM o GROUP BY model_version),
+a AS (SELECT row_id, cn AS length, rate, list_filter([CASE WHEN cn = 0 THEN 'empty_response' END, CASE WHEN cn < lo OR cn > hi THEN 'length_outlier' END, CASE WHEN rate > 0.3::DOUBLE THEN 'high_repetition' END], lambda x: x IS NOT NULL) AS types FROM r JOIN lim ON r.model_version IS NOT DISTINCT FROM lim.model_version)"""
 SQL["output_anomalies"] = _ANOMALY + " SELECT row_id, length, array_to_string(types, '|') AS anomaly_types, round(rate, 4) AS repeat_rate FROM a WHERE len(types) > 0"
 
 
 def anomaly_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.type_distribution(anomaly.output_anomalies(_responses(spark, d), [], "response"))
+    return anomaly.type_distribution(anomaly.output_anomalies(_responses(spark, d), ["model_version"], "response"))
 
 
 SQL["anomaly_distribution"] = _ANOMALY + ", u AS (SELECT unnest(types) AS type FROM a) SELECT type, count(*) AS n FROM u GROUP BY ALL"
@@ -272,7 +275,7 @@ def extraction_prompt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(parse.extraction_prompt("text")).alias("digest"))
 
 
-SQL["extraction_prompt"] = "SELECT doc_id, md5(CASE WHEN length(coalesce(text, '')) > 15000 THEN left(text, 15000) || chr(10) || '（以下内容已截断）' ELSE coalesce(text, '') END) AS digest FROM documents"
+SQL["extraction_prompt"] = f"SELECT doc_id, md5('{parse.EXTRACTION[0]}' || CASE WHEN length({s.text('text')}) > 15000 THEN left(text, 15000) || chr(10) || '... (文本已截断)' ELSE {s.text('text')} END || chr(10)) AS digest FROM documents"
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 Formats are chosen by suffix. Everything is a Spark scan with an explicit schema; only office files
 go through a small unzip-and-parse function over binaryFile rows. Line numbers come from the scan
-itself (file path and row index within a split cannot give them), by zipWithIndex over the text.
+itself, counted by file block.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,18 @@ FORMATS = {".jsonl": "jsonl", ".json": "jsonl", ".txt": "txt", ".docx": "docx",
 CORPUS = T.StructType([T.StructField("id", T.StringType()), T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
 
+#: Columns that a workbook may have: their number is checked.
+MOST_COLUMNS = 16_384
+
+
+def load_file(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus file by its suffix (A2): rows (pos, id, question, answer, metadata) of JSON lines, or (path, text) of text and DOCX files."""
+    kind = detect_format(path)
+    if kind in ("txt", "docx"):
+        return (read_whole_text if kind == "txt" else read_docx)(spark, path)
+    return read_corpus(spark, path) if kind == "jsonl" else read_raw(spark, path)
+
+
 def detect_format(path: str) -> str:
     """The format by suffix (A1)."""
     try:
@@ -35,18 +47,38 @@ def detect_format(path: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) with the 0-based physical line number; blank lines keep their number but drop out."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "pos bigint, line string").where(t.compact("line") != "")
+    """(pos, line) with the 0-based physical line number over all files in the order of their names; blank lines drop out.
+
+    Lines are counted by file block; a block's offset is the sum over the blocks before it, joined back by broadcast: a row
+    for each block of the input, so its size is that of the input by the block size.
+    """
+    block = ["_file", "_start"]
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*block, "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(offsets), block)
+    return placed.select((F.col("_before") + F.col("_at") - F.col("_first")).alias("pos"), "line").where(t.compact("line") != "")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line) of the lines that a lenient read leaves out: no JSON object with a question."""
+    return numbered_lines(spark, path).where(F.from_json("line", CORPUS)["question"].isNull())
 
 
-def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, strict: bool = True, fields: dict[str, str] | None = None) -> DataFrame:
     """(pos, id, question, answer, metadata) of JSON lines.
 
     A missing id is the line number, a missing answer empty. A line that is no object with a question stops a strict
-    read and drops out of a lenient one.
+    read and drops out of a lenient one (bad_lines shows it). fields maps id, question and answer to the names they have
+    in the file.
     """
-    rows = numbered_lines(spark, path).select("pos", F.from_json("line", CORPUS).alias("r"), "line")
+    names = {n: (fields or {}).get(n, n) for n in ("id", "question", "answer")}
+    parsed = F.from_json("line", CORPUS)
+    if fields:
+        theirs = F.from_json("line", T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(names.values())]))
+        parsed = F.struct(*[theirs[names[n]].alias(n) for n in names], parsed["metadata"].alias("metadata"))
+    rows = numbered_lines(spark, path).select("pos", parsed.alias("r"), "line")
     good = F.col("r.question").isNotNull()
     if strict:
         rows = rows.withColumn("r", F.when(good, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("no question in line "), F.col("pos").cast("string")))))
@@ -150,7 +182,9 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         return read_json(spark, path)
     if kind == "xlsx":
         fields = read_xlsx(spark, path)
-        names = sorted({n for r in fields.select(F.map_keys("fields").alias("k")).distinct().limit(1000).collect() for n in r.k})
+        names = sorted(r.n for r in fields.select(F.explode(F.map_keys("fields")).alias("n")).distinct().limit(MOST_COLUMNS + 1).collect())
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns in {path}")
         return fields.select(*[F.col("fields")[n].alias(n) for n in names])
     raise ValueError(f"no table in {path}")
 

@@ -29,11 +29,20 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def rendered(df: DataFrame) -> DataFrame:
-    """(value): each item as text: id, question, answer, score and suggestion if it was evaluated."""
-    e = "evaluation" in df.columns
-    score = F.when(F.col("evaluation").isNotNull(), F.concat(F.lit("评分: "), F.format_string("%.2f", F.col("evaluation.total_score")), F.when(F.col("evaluation.passed"), F.lit(" 通过")).otherwise(F.lit(" 未通过")))) if e else F.lit(None)
-    hint = F.when(~F.coalesce(F.col("evaluation.suggestion"), F.lit("")).isin("", k.NO_SUGGESTION), F.concat(F.lit("建议: "), F.col("evaluation.suggestion"))) if e else F.lit(None)
-    return df.select(F.concat_ws("\n", F.concat(F.lit("【"), F.coalesce("id", F.lit("")), F.lit("】")), F.concat(F.lit("问题: "), t.text("question")), F.concat(F.lit("答案: "), t.text("answer")), score, hint, F.lit("-" * 40)).alias("value"))
+    """(value): each item as text (B3): rule, id, question, answer, then score, dimensions and suggestion if it was evaluated, and reworks."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    parts = [F.lit("=" * 60 + "\n["), empty(F.col("id").cast("string")), F.lit("]\n\n【问题】\n"), t.text("question"), F.lit("\n\n【回答】\n"), t.text("answer"), F.lit("\n")]
+    if "evaluation" in df.columns:
+        e = F.col("evaluation")
+        one = lambda d: F.concat(F.lit("  - "), empty(d["dimension"]), F.lit(": "), t.one_decimal(d["score"]), F.lit(" — "), empty(d["reason"]), F.lit("\n"))
+        fields = {f.name for f in df.schema["evaluation"].dataType.fields}
+        lines = F.array_join(F.coalesce(F.transform(e["dimensions"], one), F.array().cast("array<string>")), "") if "dimensions" in fields else F.lit("")
+        hint = F.when(~empty(e["suggestion"]).isin("", k.NO_SUGGESTION), F.concat(F.lit("【建议】"), e["suggestion"], F.lit("\n"))).otherwise("")
+        score = F.concat(F.lit("\n【评分】"), t.one_decimal(e["total_score"]), F.lit("/10 ("), F.when(e["passed"], "通过").otherwise("未通过"), F.lit(")\n"), lines, hint)
+        parts.append(F.when(e.isNotNull(), score).otherwise(""))
+    if "rework_count" in df.columns:
+        parts.append(F.when(F.coalesce("rework_count", F.lit(0)) > 0, F.concat(F.lit("【重写次数】"), F.col("rework_count").cast("string"), F.lit("\n"))).otherwise(""))
+    return df.select(F.concat(*parts).alias("value"))
 
 
 def write_txt(df: DataFrame, path: str) -> None:

@@ -157,3 +157,37 @@ def test_numeric_first_sort_keeps_every_id(spark, tmp_path):
     spark.createDataFrame(rows, "row_id bigint, id string").repartition(4).write.parquet(str(tmp_path / "corpus.parquet"))
     got = [r.id for r in eval_queries.numeric_first_sort(spark, str(tmp_path)).collect()]
     assert got == [str(i) for i in range(0, 300, 3)] + [f"t{i:03}" for i in range(300) if i % 3]
+
+
+def test_rendered_steps_feedback_and_message(spark):
+    from siftloom.operators import parse
+
+    df = spark.sql("select array(named_struct('step_number', 1, 'step_type', '计算', 'content', 'c1', 'formula', 'x=1'), named_struct('step_number', 2, 'step_type', cast(null as string), 'content', 'c2', 'formula', '')) as s, named_struct('final_answer_correct', false, 'chain_coherence', 7.5D, 'suggestion', '再查') as e, array(named_struct('step_number', 2, 'is_correct', false, 'error_type', '算术', 'explanation', '错了', 'suggested_fix', '改成 3'), named_struct('step_number', 3, 'is_correct', true, 'error_type', '', 'explanation', '', 'suggested_fix', '')) as v")
+    r = df.select(parse.render_steps(F.lit("想"), F.col("s"), F.lit("1")).alias("a"), parse.render_feedback("e", "v").alias("f"), parse.user_message(F.lit("题"), F.array(F.lit("答"), F.lit(None).cast("string"))).alias("m")).first()
+    assert r.a == "<think>\n想\n</think>\n\n**Step 1 [计算]**\nc1\n$$\nx=1\n$$\n\n**Step 2**\nc2\n\n**最终答案：** 1"
+    assert r.f == "Step 2 错误 [算术]: 错了\n  建议修正: 改成 3\n最终答案不正确，需要修正。\n推理链连贯性评分: 7.5/10\n总体建议: 再查"
+    assert r.m == "## 题目（Instruction）\n题\n\n## 候选回答\n### C1\n答\n\n### C2\n（空回答）\n"
+
+
+def test_blind_results_swap_back(spark):
+    from siftloom.functions import constants as k
+    from siftloom.plans import judging
+
+    score = lambda x: "named_struct(" + ", ".join(f"'{d}', {x}D" for d in k.DIMENSIONS) + ")"
+    rows = " union all ".join(f"select {i} as i, '{w}' as winner, {score(4.0)} as scores_a, {score(2.0)} as scores_b, {s} as swapped, '{w2}' as winner_2, {score(3.0)} as scores_a_2, {score(1.0)} as scores_b_2" for i, w, s, w2 in ((1, "A", "true", "B"), (2, "A", "true", "A"), (3, "B", "false", "B"), (4, "tie", "true", "odd")))
+    got = {r.i: (r.winner, r.consistency, r.scores_a.format, r.scores_b.format, r.position_swapped) for r in judging.blind_results(spark.sql(rows)).collect()}
+    assert got == {1: ("A", "consistent", 4.0, 2.0, False), 2: ("tie", "position_bias_detected", 2.5, 2.5, True), 3: ("B", None, 4.0, 2.0, False), 4: ("tie", "consistent", 4.0, 2.0, False)}
+
+
+def test_line_numbers_over_several_files(spark, tmp_path):
+    from siftloom.sources import readers
+
+    for name, n in (("b", 3), ("a", 5000), ("c", 2)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"question": "{name}{i}"}}' if i != 1 else " " for i in range(n)) + "\n", encoding="utf-8")
+    got = {r.question: r.pos for r in readers.read_corpus(spark, str(tmp_path)).collect()}
+    assert got["a0"] == 0 and got["a4999"] == 4999 and got["b0"] == 5000 and got["b2"] == 5002 and got["c0"] == 5003 and len(got) == 5002
+    mapped = tmp_path / "m"
+    mapped.mkdir()
+    (mapped / "x.jsonl").write_text('{"q": "ask", "a": "say", "key": 7}\nbroken\n', encoding="utf-8")
+    fields = {"id": "key", "question": "q", "answer": "a"}
+    assert [(r.id, r.question, r.answer) for r in readers.read_corpus(spark, str(mapped), strict=False, fields=fields).collect()] == [("7", "ask", "say")]

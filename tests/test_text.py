@@ -68,7 +68,7 @@ def test_phrases_and_truncation(spark):
     df = spark.createDataFrame([("总之，您好。" + "x" * 300,), ("x" * 300 + "总之",), (None,)], "s string")
     r = df.select(t.template_endings("s").alias("e"), t.assistant_phrases("s").alias("a"), F.length(t.smart_truncate("s", 100)).alias("n"), F.length(t.hard_truncate("s", 100)).alias("m")).collect()
     assert r[0].e == [] and r[1].e == ["总之"] and r[2].e == []
-    assert r[0].a == ["您好"] and r[0].n == 60 + 3 + 30 and r[0].m == 100 and r[2].n == 0
+    assert r[0].a == ["您好"] and r[0].n == 60 + len("\n\n[...此处省略约 216 字，预分析报告包含全文统计数据...]\n\n") + 30 and r[0].m == 100 and r[2].n == 0
 
 
 def test_answers(spark):
@@ -90,3 +90,18 @@ def test_rule_judge_floor_and_empty_table(spark):
     r = profile.rule_score(df, "s").collect()
     assert r[0].rule_score == 2.5 and r[1].rule_score == 3.5
     assert profile.long_answer_classes(profile.full_profile(df.limit(0), "s")).count() == 0
+
+
+def test_cuts_say_what_they_leave_out(spark):
+    df = spark.createDataFrame([("a" * 100 + "b" * 100,), ("short",), (None,)], "s string").withColumn("w", F.concat("s", "s"))
+    r = df.select(t.smart_truncate("s", 100).alias("x"), t.hard_truncate("s", 240 - 60).alias("y"), t.hard_truncate("w", 240).alias("v"), t.hard_truncate("s", 60).alias("z")).collect()
+    assert r[0].x == "a" * 60 + "\n\n[...此处省略约 110 字，预分析报告包含全文统计数据...]\n\n" + "b" * 30
+    assert r[0].y == "a" * 100 + "b" * 80  # no room for a tail
+    assert r[0].v == "a" * 100 + "b" * 56 + "\n\n[…中间省略…]\n\n" + "b" * 4
+    assert r[0].z == "a" * 60 and r[1].x == r[1].y == "short" and r[2].x == r[2].y == ""
+
+
+def test_one_decimal_prints_the_binary_value(spark):
+    values = [8.25, 8.35, 8.75, 0.05, 0.15, 2.675, 9.95, 10.0, 0.0, 7.449999, 99.949999999, -1.25, 8.45]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    assert [r.s for r in df.select(t.one_decimal(F.col("x")).alias("s")).collect()] == [f"{v:.1f}" for v in values] + ["0.0"]
