@@ -27,7 +27,7 @@ def test_office_files(spark, tmp_path):
     df = spark.createDataFrame([("1", "问？", "答 & <b>\n二")], "id string, question string, answer string")
     writers.write_docx(df, str(tmp_path / "a.docx"))
     text = readers.read_docx(spark, str(tmp_path / "a.docx")).first().text
-    assert "问题: 问？" in text and "答 & <b>" in text
+    assert "【问题】\n问？" in text and "答 & <b>" in text
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
         ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>id</t></si><si><t>文</t></si></sst>")
