@@ -54,7 +54,7 @@ def generate_steps(items: DataFrame, generator: judging.Model, temperature: floa
     got = judging.call(asked, generator, table=table).withColumn("_r", F.from_json(parse.lenient_json("reply"), STEPS))
     out = got.withColumn("cot_steps", F.col("_r.steps")).withColumn("final_answer", F.coalesce("_r.final_answer", F.lit("")))
     rendered = parse.render_steps(F.col("_r.thinking"), F.col("cot_steps"), F.col("final_answer"))
-    return out.withColumn("answer", F.when(F.col("cot_steps").isNotNull(), rendered).otherwise(F.lit(""))).drop("_r", "reply", "error", "message", "temperature")
+    return out.withColumn("answer", F.when(F.col("cot_steps").isNotNull(), rendered).otherwise(F.lit(""))).drop("_r", "message", "temperature", *judging.ADDED)
 
 
 def verify_steps(items: DataFrame, judge: judging.Model, threshold: float = 7.0, table: str = "verified") -> DataFrame:
