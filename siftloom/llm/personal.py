@@ -32,11 +32,13 @@ LABELS = ("none", "email", "phone", "id_number", "address", "person")
 SAMPLE_ROWS, FEATURES, EPOCHS, ROUNDS, CONTEXT = 6000, 1 << 15, 12, 6, 26
 
 _H = "一-鿿"
-#: Family names in Chinese (two-character ones first) that a name may begin with.
+#: Family names in Chinese (two-character ones first) that a name may begin with. Names that begin with a
+#: character of everyday words (关 单 包 成 and the like) are candidates only behind a label.
 FAMILY_NAMES = (
     "欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 令狐 慕容 闻人 夏侯 轩辕 长孙 宇文 司徒 独孤 南宫 "
     "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗 梁 宋 郑 谢 韩 唐 冯 于 董 萧 程 曹 袁 邓 许 傅 沈 曾 彭 吕 苏 卢 蒋 蔡 贾 丁 魏 薛 叶 阎 余 潘 杜 戴 夏 钟 汪 田 任 姜 范 方 石 姚 谭 廖 邹 熊 金 陆 郝 孔 白 崔 康 毛 邱 秦 江 史 顾 侯 邵 孟 龙 万 段 雷 钱 汤 尹 黎 易 常 武 乔 贺 赖 龚 文 "
-    "柏 柳 岳 郁 褚 靳 邬 芮 储 裘 缪 羿 邴 汲 慕 宓 蔺 糜 璩 逄 邰 麴 訾"
+    "柏 柳 岳 郁 褚 靳 邬 芮 储 裘 缪 羿 邴 汲 慕 宓 蔺 糜 璩 逄 邰 麴 訾 "
+    "洪 施 严 樊 牛 温 季 俞 章 鲁 葛 韦 毕 聂 陶 欧 焦 柴 庞 颜 庄 辛 祝 左 涂 谷 祁 舒 耿 牟 卜 路 詹 苗 凌 费 纪 童 曲 阳 裴 席 卫 屈 鲍 覃 霍 翁 甘 景 宁 闵 辜 吉 饶 刁 瞿 戚 丘 滕 晋 苑 邢 臧 畅 苟 艾 娄 桂 晏 隋 卓 蒲 冉 荆 敖"
 ).split()
 
 _AT = r"(?:@|＠|\s?\[at\]\s?|\s?\(at\)\s?|\s?（at）\s?)"
@@ -49,9 +51,18 @@ ADDRESS_EN = re.compile(rf"(?:(?:Flat|Apt|Unit|Suite) \w+, )?\b\d{{1,5}}[A-Z]? (
 ADDRESS_ES = re.compile(r"\b(?:Calle|Avenida|Plaza|Paseo|Camino|Ronda|Carrera|Travesía|Rambla)(?: (?:de|del|la|las|los|el))* [A-ZÁÉÍÓÚÑ][\wáéíóúñ]+(?: [A-ZÁÉÍÓÚÑ][\wáéíóúñ]+)?,? \d{1,5}(?:, (?:\d+\.?[ºª°] ?\w*|bajo ?\w*|ático ?\w*))?(?:, \d{5})?(?:,? [A-ZÁÉÍÓÚÑ][\wáéíóúñ]+)?")
 ADDRESS_DE = re.compile(r"\b(?:(?:Am|An der|Im|Zum|Zur|Auf der|In der|Unter den) )?[A-ZÄÖÜ][\wäöüß]+(?:-[A-ZÄÖÜ][\wäöüß]+)* \d{1,4}[a-z]?, \d{5} [A-ZÄÖÜ][\wäöüß]+")
 #: Capitalised words that start sentences and are no part of a name.
-NO_NAME = "Yesterday|Today|Tomorrow|Gestern|Heute|Morgen|Ayer|Hoy|Mañana|The|This|That|When|Then|Later|Dear|Hello|From|Contact|Graded|Call|Text|Write|Send|Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Señor|Señora"
-NAME = re.compile(rf"(?<![\w\-'.])(?!(?:{NO_NAME})\b)(?:(?:[A-Z][a-zà-ÿ]+|[A-Z]\.)(?: [A-Z]\.)? [A-Z][a-zà-ÿ]{{2,}}|[A-Z][a-zà-ÿ]{{2,}}, [A-Z][a-zà-ÿ]{{2,}})(?![\w\-'])")
+NO_NAME = "Korrigiert|Geschrieben|Verfasst|Geprüft|Corregido|Escrito|Revisado|Written|Checked|Yesterday|Today|Tomorrow|Gestern|Heute|Morgen|Ayer|Hoy|Mañana|The|This|That|When|Then|Later|Dear|Hello|From|Contact|Graded|Call|Text|Write|Send|Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Señor|Señora"
+_U, _L = "A-ZÀ-ÖØ-ÞĀ-Ž", "a-zß-öø-ÿā-ž"
+#: A part of a name: plain, hyphenated, with an apostrophe (O'Brien) or an inner capital (McDonald); particles between parts.
+_PART = rf"[{_U}](?:['’][{_U}])?[{_L}]+(?:[{_U}][{_L}]+)?(?:-[{_U}][{_L}]+)*"
+_PARTICLE = r"(?:(?:de|del|la|las|los|van|von|der|den|di|da|dos|y|zu|ten) )*"
+NAME = re.compile(rf"(?<![\w\-'.])(?!(?:{NO_NAME})\b)(?:(?:{_PART}|[{_U}]\.)(?: [{_U}]\.)? {_PARTICLE}{_PART}(?:(?: {_PARTICLE}){_PART})?|{_PART}, {_PART})(?![\w\-'])")
 NAME_ZH = re.compile(rf"(?:(?<=[由天是找请给与和向：: ，。、！？；\n(（])|^)(?:{'|'.join(FAMILY_NAMES)})[{_H}]{{1,2}}(?=同学|老师|先生|女士|教授|博士|助教|学长|学姐|在群|在此|说|问|[，。、；！？）)\s]|$)", re.M)
+#: Labels of a person in Chinese, behind which any two to four characters may be a name.
+_LABEL_ZH = "联系人|批改人|负责人|收件人|姓名|作者"
+NAME_LABELLED = re.compile(rf"(?:{_LABEL_ZH})[：: ]+([{_H}]{{2,4}})(?![{_H}])")
+#: Documents of the sample in which a text must stand without any label, and never with one, to count as a common word.
+COMMON_WORD = 3
 _GATE = re.compile(r"\d{5}|[@＠]|[\[(（]at[\])）]", re.I)
 
 #: Context that labels a candidate on its own: (pattern kind, text before, text after, label).
@@ -97,6 +108,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if all(b <= x or a >= y for x, y, _ in found):
             found.append((a, b, "number"))
     add(NAME, "name")
+    for m in NAME_LABELLED.finditer(text):
+        a, b = m.span(1)
+        if all(b <= x or a >= y for x, y, _ in found):
+            found.append((a, b, "name_zh"))
     add(NAME_ZH, "name_zh")
     return sorted(found)
 
@@ -153,34 +168,71 @@ def similar(x: str, y: str) -> bool:
 
 
 class SkipChain:
-    """weights[feature, label]; chain[label, label]; skip: gain of equal labels at both ends of a skip edge."""
+    """weights[feature, label]; chain[label, label]; skip: gain of equal labels at both ends of a skip edge.
+
+    All three are fitted together by pseudo-likelihood, given the labels of a candidate's neighbours along both kinds of edge.
+    """
 
     def __init__(self, documents: list[str]):
         rng = np.random.default_rng(3)
         self.weights = np.zeros((FEATURES, len(LABELS)))
-        self.chain, self.skip = np.zeros((len(LABELS), len(LABELS))), 1.5
+        self.chain, self.skip = np.zeros((len(LABELS), len(LABELS))), 1.0
         rows = []
-        for t in documents:
-            nodes = candidates(t)
-            labels = [seed_label(t, *c) for c in nodes]
+        found = [candidates(t) for t in documents]
+        seeds = [[seed_label(t, *c) for c in nodes] for t, nodes in zip(documents, found, strict=True)]
+        common = self.common_words(documents, found, seeds)
+        for t, nodes, labels in zip(documents, found, seeds, strict=True):
+            labels = [y or ("none" if c[2] == "name_zh" and t[c[0] : c[1]] in common else None) for c, y in zip(nodes, labels, strict=True)]
+            similar_to: dict[int, list[int]] = {}
+            for i, j in self.skips(t, nodes):
+                for x, y in ((i, j), (j, i)):
+                    if labels[y] is not None:
+                        similar_to.setdefault(x, []).append(LABELS.index(labels[y]))
             ids = [self.ids(features(t, *c)) for c in nodes]
             for i, y in enumerate(labels):
                 if y is not None:
                     prev = LABELS.index(labels[i - 1]) if i and labels[i - 1] is not None else -1
-                    rows.append((ids[i], LABELS.index(y), prev))
+                    rows.append((ids[i], LABELS.index(y), prev, similar_to.get(i, ())))
         for epoch in range(EPOCHS):
             rate = 0.3 / (1 + epoch)
             for j in rng.permutation(len(rows)):
-                x, y, prev = rows[j]
+                x, y, prev, near = rows[j]
                 s = self.weights[x].sum(0) + (self.chain[prev] if prev >= 0 else 0)
+                for z in near:
+                    s[z] += self.skip
                 p = np.exp(s - s.max())
                 p /= p.sum()
                 p[y] -= 1
                 self.weights[x] -= rate * p
                 if prev >= 0:
                     self.chain[prev] -= 0.1 * rate * p
+                for z in near:
+                    self.skip -= 0.1 * rate * p[z]
         self.weights = self.weights.astype(np.float32)
 
+    @staticmethod
+    def common_words(documents: list[str], found: list[list[tuple[int, int, str]]], seeds: list[list[str | None]]) -> set[str]:
+        """Texts of Chinese candidates that stand in several documents without a label and never with one: words, not names."""
+        bare: dict[str, int] = {}
+        named: set[str] = set()
+        for t, nodes, labels in zip(documents, found, seeds, strict=True):
+            mine = [(t[a:b], y) for (a, b, kind), y in zip(nodes, labels, strict=True) if kind == "name_zh"]
+            named.update(x for x, y in mine if y)
+            for x in {x for x, y in mine if not y}:
+                bare[x] = bare.get(x, 0) + 1
+        return {x for x, n in bare.items() if n >= COMMON_WORD and x not in named}
+
+    @staticmethod
+    def skips(text: str, nodes: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+        """Skip edges: each candidate is joined to the last similar one, so edges stay linear."""
+        out: list[tuple[int, int]] = []
+        groups: dict[str, int] = {}
+        for i, (a, b, kind) in enumerate(nodes):
+            keys = {text[a:b]} | (set(re.findall(r"[^\W\d_]{4,}", text[a:b])) if kind == "name" else set())
+            out += [(j, i) for j in sorted({groups[k] for k in keys if k in groups}) if j < i - 1 or similar(text[nodes[j][0] : nodes[j][1]], text[a:b])]
+            groups.update(dict.fromkeys(keys, i))
+        return out
+
     @staticmethod
     def ids(names: list[str]) -> list[int]:
         return [zlib.crc32(n.encode()) % FEATURES for n in names]
@@ -192,6 +244,10 @@ class SkipChain:
 
     def label(self, text: str) -> list[tuple[str, str]]:
         """(kind, found) of every place that is personal information, in order."""
+        return [(k, text[a:b]) for a, b, k in self.spans(text)]
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of every place that is personal information, in order; each place has a label of its own."""
         nodes = candidates(text)
         if not nodes:
             return []
@@ -199,21 +255,9 @@ class SkipChain:
         n = len(nodes)
         edges = [(i, i + 1, self.chain) for i in range(n - 1)]
         same = np.eye(len(LABELS)) * self.skip
-        groups: dict[str, int] = {}
-        for i, (a, b, kind) in enumerate(nodes):  # each candidate is joined to the last similar one, so edges stay linear
-            keys = {text[a:b]} | (set(re.findall(r"[^\W\d_]{4,}", text[a:b])) if kind == "name" else set())
-            for j in {groups[k] for k in keys if k in groups}:
-                if j < i - 1 or similar(text[nodes[j][0] : nodes[j][1]], text[a:b]):
-                    edges.append((j, i, same))
-            groups.update(dict.fromkeys(keys, i))
+        edges += [(j, i, same) for j, i in self.skips(text, nodes)]
         best = self._belief(node, edges).argmax(1)
-        return [(LABELS[y], text[a:b]) for (a, b, _), y in zip(nodes, best, strict=True) if y]
-
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of what label finds."""
-        found = set(self.label(text))
-        kinds = {t: k for k, t in found}
-        return [(a, b, kinds[text[a:b]]) for a, b, _ in candidates(text) if text[a:b] in kinds]
+        return [(a, b, LABELS[y]) for (a, b, _), y in zip(nodes, best, strict=True) if y]
 
     @staticmethod
     def _belief(node: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:

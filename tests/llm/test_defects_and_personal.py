@@ -154,3 +154,18 @@ def test_personal_table(spark, field):
     assert got == {(i, *x) for i, (_, w) in enumerate(DOCS) for x in w} | {(98, *x) for x in DOCS[0][1]}
     r = {x.doc_id: x for x in personal.redacted(df, "doc_id", "text", sent).collect()}
     assert r[0].text.startswith("联系电话：[PHONE]。订单编号") and r[99].text is None and r[98].places == 2
+
+
+@pytest.mark.parametrize("name", ["Jürgen Özdemir", "Hans-Peter Müller", "Sean O'Brien", "Ian McDonald", "María García López", "Ludwig van Beethoven", "Müller, Anna-Lena"])
+def test_names_of_many_forms_are_candidates(name):
+    text = f"Contact person: {name}, thanks. Korrigiert von {name}."
+    assert [text[a:b] for a, b, k in personal.candidates(text) if k == "name"] == [name, name]
+
+
+def test_field_is_fitted_and_labels_places():
+    texts = [f"联系人：洪建{c}。今天天气好，谢谢。批改人：洪建{c}。\n步骤一。" for c in "国华民强军明亮光宇航"] + [f"电话：1541375325{i}。编号：20231375325{i}，谢谢。" for i in range(10)]
+    field = personal.SkipChain(texts * 4)
+    assert field.skip != 1.0
+    text = "联系人：洪建国。\n后来，洪建国说好，谢谢。"
+    assert [(text[a:b], k) for a, b, k in field.spans(text)] == [("洪建国", "person")] * 2
+    assert field.spans("") == [] and personal.SkipChain([]).label("联系人：洪建国") is not None
