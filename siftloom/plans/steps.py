@@ -66,7 +66,7 @@ def verify_steps(items: DataFrame, judge: judging.Model, threshold: float = 7.0,
     scored = votes.step_stats(flat, "cot_steps", "_checks", threshold)
     value = F.struct(
         F.size("cot_steps").alias("total_steps"), "correct_steps", "first_error_step", "step_accuracy", F.coalesce("overall_score", F.col("step_accuracy") * 10).alias("overall_score"), F.col("step_passed").alias("passed"),
-        F.coalesce("_r.chain_coherence", F.lit(0.0)).alias("chain_coherence"), F.coalesce("final_answer_correct", F.lit(False)).alias("final_answer_correct"), t.text("_r.suggestion").alias("suggestion"),
+        F.coalesce("_r.chain_coherence", F.lit(0.0)).alias("chain_coherence"), F.coalesce("final_answer_correct", F.lit(False)).alias("final_answer_correct"), t.text("_r.suggestion").alias("suggestion"), F.col("_checks").alias("step_verifications"),
     )
     judged = scored.select("pos", F.when(F.col("_r").isNotNull(), value).alias("cot_evaluation"))
     return items.drop("cot_evaluation").join(judged, "pos", "left")
@@ -80,7 +80,7 @@ def run(items: DataFrame, generator: judging.Model, judge: judging.Model, max_re
         failed = state.where("cot_evaluation is not null and not cot_evaluation.passed and cot_steps is not null")
         if number == max_rework or failed.limit(1).count() == 0:
             break
-        again = generate_steps(failed.withColumn("message", F.concat("question", F.lit("\n\n"), parse.render_feedback("cot_evaluation"))), generator, table=f"steps-rework-{number}").where("cot_steps is not null")
+        again = generate_steps(failed.withColumn("message", F.concat("question", F.lit("\n\n"), parse.render_feedback("cot_evaluation", "cot_evaluation.step_verifications"))), generator, table=f"steps-rework-{number}").where("cot_steps is not null")
         new = again.select("pos", F.struct("answer", "cot_steps", "final_answer").alias("_n"))
         pick = lambda c: F.coalesce(f"_n.{c}", c).alias(c)
         kept = [c for c in state.columns if c not in ("answer", "cot_steps", "final_answer", "rework_count", "cot_evaluation")]

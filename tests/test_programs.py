@@ -109,17 +109,17 @@ def test_steps_are_verified_and_reworked(spark):
         def ask(self, message, temperature):
             if "坏" in message:
                 return "no json"
-            wrong = "总分" not in message
+            wrong = "Step 1 错误 [算术]: 加错了" not in message
             return json.dumps({"thinking": "想", "steps": [{"step_number": 1, "step_type": "calc", "content": "错" if wrong else "对", "formula": "1+1=2"}], "final_answer": "2"}, ensure_ascii=False)
 
     class Judge:
         def ask(self, message, temperature):
             good = "错" not in message
-            return "评: " + json.dumps({"step_verifications": [{"step_number": 1, "is_correct": good}], "final_answer_correct": good, "chain_coherence": 0.9, "suggestion": "改"})
+            return "评: " + json.dumps({"step_verifications": [{"step_number": 1, "is_correct": good, "error_type": "算术", "explanation": "加错了"}], "final_answer_correct": good, "chain_coherence": 0.9, "suggestion": "改"})
 
     items = spark.createDataFrame([(0, "0", "一加一"), (1, "1", "坏")], "pos bigint, id string, question string")
     got = {r.pos: r for r in steps.run(items, Generator(), Judge()).collect()}
-    assert got[0].rework_count == 1 and got[0].cot_evaluation.passed and "**最终答案：** 2" in got[0].answer and "$$1+1=2$$" in got[0].answer
+    assert got[0].rework_count == 1 and got[0].cot_evaluation.passed and "**最终答案：** 2" in got[0].answer and "$$\n1+1=2\n$$" in got[0].answer
     assert got[1].cot_steps is None and got[1].cot_evaluation is None and got[1].answer == ""
     vote = steps.self_consistency(items.where("pos = 0"), judging.TableModel({"一加一": "最终答案：2。"})).first()
     assert (vote.best_answer, vote.confidence, vote.paths) == ("2", 1.0, 5)
