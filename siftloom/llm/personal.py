@@ -57,7 +57,8 @@ _U, _L = "A-ZÀ-ÖØ-ÞĀ-Ž", "a-zß-öø-ÿā-ž"
 _PART = rf"[{_U}](?:['’][{_U}])?[{_L}]+(?:[{_U}][{_L}]+)?(?:-[{_U}][{_L}]+)*"
 _PARTICLE = r"(?:(?:de|del|la|las|los|van|von|der|den|di|da|dos|y|zu|ten) )*"
 NAME = re.compile(rf"(?<![\w\-'.])(?!(?:{NO_NAME})\b)(?:(?:{_PART}|[{_U}]\.)(?: [{_U}]\.)? {_PARTICLE}{_PART}(?:(?: {_PARTICLE}){_PART})?|{_PART}, {_PART})(?![\w\-'])")
-NAME_ZH = re.compile(rf"(?:(?<=[由天是找请给与和向：: ，。、！？；\n(（])|^)(?:{'|'.join(FAMILY_NAMES)})[{_H}]{{1,2}}(?=同学|老师|先生|女士|教授|博士|助教|学长|学姐|在群|在此|说|问|[，。、；！？）)\s]|$)", re.M)
+_FAMILY = rf"(?:{'|'.join(n for n in FAMILY_NAMES if len(n) > 1)}|[{''.join(n for n in FAMILY_NAMES if len(n) == 1)}])"
+NAME_ZH = re.compile(rf"(?:(?<=[由天是找请给与和向：: ，。、！？；\n(（])|^){_FAMILY}[{_H}]{{1,2}}(?=同学|老师|先生|女士|教授|博士|助教|学长|学姐|在群|在此|说|问|[，。、；！？）)\s]|$)", re.M)
 #: Labels of a person in Chinese, behind which any two to four characters may be a name.
 _LABEL_ZH = "联系人|批改人|负责人|收件人|姓名|作者"
 NAME_LABELLED = re.compile(rf"(?:{_LABEL_ZH})[：: ]+([{_H}]{{2,4}})(?![{_H}])")
