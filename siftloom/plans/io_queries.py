@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
 from siftloom.operators import mathcheck, parse
-from siftloom.plans import judging, pipeline, text_queries
+from siftloom.plans import evaluation, judging, pipeline, text_queries
 from siftloom.session import scratch_path, table
 from siftloom.sources import readers, writers
 
@@ -102,6 +102,15 @@ _CUT = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '（空回答）' WHEN
 SQL["judge_message"] = f"SELECT row_id, md5('## 题目（Instruction）' || {_N} || coalesce(question, '') || {_N} || {_N} || '## 候选回答' || {_N} || '### C1' || {_N} || {_CUT('answer')} || {_N} || {_N} || '### C2' || {_N} || {_CUT('question')} || {_N}) AS digest FROM corpus"
 
 
+def regex_pairs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs read back from texts that label question and answer, one pair a text."""
+    df = table(spark, d, "corpus").where("question is not null and answer is not null").select("row_id", F.concat(F.lit("问题："), F.md5("question"), F.lit("\n答案："), F.md5("answer"), F.lit("\n")).alias("text"))
+    return parse.regex_pairs(df, "row_id", "text").select("row_id", "id", "question", "answer")
+
+
+SQL["regex_pairs_roundtrip"] = "SELECT row_id, '1' AS id, md5(question) AS question, md5(answer) AS answer FROM corpus WHERE question IS NOT NULL AND answer IS NOT NULL"
+
+
 def equation_checks(spark: SparkSession, d: str) -> DataFrame:
     """Formulas of steps by whether they are true, false, or no numeric equation."""
     df = table(spark, d, "output_items").where("cot_steps is not null").select(F.explode("cot_steps.formula").alias("f"))
@@ -120,6 +129,38 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.evaluate_outputs(table(spark, d, "model_outputs"), table(spark, d, "prompts"))["summary"]
 
 
+def pairwise_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Pairwise evaluation of two versions over three rounds by the offline judge."""
+    got = evaluation.judge_pairs(table(spark, d, "model_outputs"), table(spark, d, "prompts"), "harrow-1", "harrow-2", judging.LengthJudge())["results"]
+    return got.select("prompt_id", "winner", "agreement", "num_rounds", "a_format", "b_naturalness", "position_swaps")
+
+
+SQL["pairwise_evaluation"] = """WITH last AS (SELECT prompt_id, model_version, length(coalesce(arg_max_null(response, row_id), '')) AS n FROM model_outputs WHERE prompt_id IS NOT NULL AND model_version IS NOT NULL GROUP BY ALL)
+SELECT x.prompt_id, CASE WHEN x.n > y.n THEN 'A' WHEN y.n > x.n THEN 'B' ELSE 'tie' END AS winner, 1.0::DOUBLE AS agreement, 3 AS num_rounds, (1 + x.n % 5)::DOUBLE AS a_format, (1 + y.n % 5)::DOUBLE AS b_naturalness, 1 AS position_swaps
+FROM last x JOIN last y USING (prompt_id) WHERE x.model_version = 'harrow-1' AND y.model_version = 'harrow-2'"""
+
+
+def answer_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Single evaluation of all answers over three rounds by the offline judge."""
+    got = evaluation.judge_answers(table(spark, d, "model_outputs"), table(spark, d, "prompts"), judging.LengthJudge())["results"]
+    return got.select("prompt_id", "model_version", "format", "num_rounds", "uncertain")
+
+
+SQL["answer_evaluation"] = """WITH pr AS (SELECT DISTINCT prompt_id FROM prompts), j AS (SELECT prompt_id, model_version, (1 + length(coalesce(response, '')) % 5)::DOUBLE AS x FROM model_outputs JOIN pr USING (prompt_id))
+SELECT prompt_id, model_version, round(median(x) + 1e-9, 1) AS format, 3 * count(*) AS num_rounds, round(stddev_pop(x), 9) > 1.5 AS uncertain FROM j GROUP BY ALL"""
+
+
+def scored_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus rows scored by two calls of the offline judge, an arbiter where they differ too much."""
+    items = table(spark, d, "corpus").select(F.col("row_id").alias("pos"), "question", "answer")
+    e = F.col("evaluation")
+    return evaluation.score_twice(items, judging.LengthJudge()).select(F.col("pos").alias("row_id"), e["total_score"].alias("total_score"), e["passed"].alias("passed"), e["suggestion"].alias("suggestion"))
+
+
+SQL["scored_twice"] = """WITH c AS (SELECT row_id, (length(coalesce(answer, '')) % 10)::DOUBLE AS a, (length(coalesce(question, '')) % 4)::DOUBLE AS x FROM corpus)
+SELECT row_id, CASE WHEN x > 2 THEN 5.0::DOUBLE ELSE round(a + x / 2, 2) END AS total_score, CASE WHEN x > 2 THEN false ELSE a >= 7 END AS passed, CASE WHEN x > 2 THEN '仲裁' ELSE '无' END AS suggestion FROM c"""
+
+
 _AVG = "round(avg(m) + 1e-9, 3)"
 SQL["evaluation_report"] = text_queries.RULED + f""", pr AS (SELECT DISTINCT prompt_id FROM prompts), j AS (SELECT prompt_id, model_version, rule_score FROM ruled JOIN pr USING (prompt_id)),
 agg AS (SELECT prompt_id, model_version, round(median(rule_score) + 1e-9, 1) AS m, round(stddev_pop(rule_score) + 1e-9, 3) AS s, round(stddev_pop(rule_score), 9) > 1.5 AS u FROM j GROUP BY ALL)

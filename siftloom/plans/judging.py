@@ -8,6 +8,7 @@ of a later stage.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -38,6 +39,20 @@ class EchoGenerator:
         return f"解答：{message.strip()[:200]}\n{k.FINAL_ANSWER_MARK} {len(message)}"
 
 
+class LengthJudge:
+    """Offline judge of pairs and of single items: longer answers win, scores follow lengths (no model is called)."""
+
+    def ask(self, message: str, temperature: float) -> str:
+        if "## 评审 A 评分" in message:
+            return json.dumps({"total_score": 5.0, "suggestion": "仲裁"}, ensure_ascii=False)
+        if "\n\n## 回答 B\n" in message:
+            a, b = (len(x) for x in message.split("\n\n## 回答 A\n", 1)[1].split("\n\n## 回答 B\n", 1))
+            return "结论：" + json.dumps({"winner": "A" if a > b else "B" if b > a else "tie", "scores_a": dict.fromkeys(k.DIMENSIONS, float(1 + a % 5)), "scores_b": dict.fromkeys(k.DIMENSIONS, float(1 + b % 5))})
+        question, answer = (len(x) for x in message.split("## 问题\n", 1)[1].split("\n\n## 回答\n", 1))
+        extra = question % 4 if temperature > 0.3 else 0
+        return json.dumps({"total_score": float(answer % 10 + extra), "suggestion": "无" if temperature > 0.3 else "", "scores": dict.fromkeys(k.DIMENSIONS, float(1 + answer % 5))}, ensure_ascii=False)
+
+
 class TableModel:
     """Replies looked up by message, for recorded runs and tests."""
 
