@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.functions import constants as k
-from siftloom.operators import mathcheck, parse
+from siftloom.functions import text as t
+from siftloom.operators import align, anomaly, mathcheck, parse, votes
 from siftloom.plans import evaluation, judging, pipeline, text_queries
 from siftloom.session import scratch_path, table
 from siftloom.sources import readers, writers
@@ -111,6 +112,63 @@ def regex_pairs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 SQL["regex_pairs_roundtrip"] = "SELECT row_id, '1' AS id, md5(question) AS question, md5(answer) AS answer FROM corpus WHERE question IS NOT NULL AND answer IS NOT NULL"
 
 
+def loaded_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """One version's answers as its file would give them; the other fields go to metadata."""
+    rows = table(spark, d, "model_outputs").where("model_version = 'harrow-1'").select("prompt_id", "response", F.col("row_id").alias("serial"))
+    got = readers.load_outputs(rows, "harrow-1")
+    return got.select("prompt_id", "model_version", F.md5("response").alias("digest"), F.col("metadata")["serial"].cast("bigint").alias("serial"))
+
+
+SQL["loaded_outputs"] = "SELECT prompt_id, model_version, md5(coalesce(response, '')) AS digest, row_id AS serial FROM model_outputs WHERE model_version = 'harrow-1'"
+
+
+def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with alternative field names brought to one form."""
+    got = align.coalesce_rows(table(spark, d, "corpus").select("id", "question", "answer"))
+    return got.select("id", F.md5("instruction").alias("instruction"), F.md5(F.get("predictions", F.lit(0))).alias("prediction"), "subset")
+
+
+_FILLED = lambda c: f"coalesce(nullif({text_queries.s.strip(text_queries.s.text(c))}, ''), '')"
+SQL["candidate_rows"] = f"SELECT {_FILLED('id')} AS id, md5({_FILLED('question')}) AS instruction, md5({_FILLED('answer')}) AS prediction, '' AS subset FROM corpus"
+
+
+def flat_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Nested scores as columns of their own."""
+    flat = parse.flatten(table(spark, d, "pairwise_results").select("row_id", "scores_a", "scores_b"))
+    return flat.select("row_id", *[F.col(f"`scores_{s}.{x}`").alias(f"{s}_{x}") for s in "ab" for x in k.DIMENSIONS])
+
+
+SQL["flat_scores"] = "SELECT row_id, " + ", ".join(f"scores_{s}.{x} AS {s}_{x}" for s in "ab" for x in k.DIMENSIONS) + " FROM pairwise_results"
+
+
+def anomaly_sheet(spark: SparkSession, d: str) -> DataFrame:
+    flags = anomaly.output_anomalies(table(spark, d, "model_outputs").select("prompt_id", "model_version", "response"), ["model_version"], "response").select("prompt_id", "anomaly_types", "length")
+    return writers.anomaly_sheet(flags)
+
+
+SQL["anomaly_sheet"] = text_queries.SQL["output_anomalies"].split(" SELECT row_id, length")[0] + " SELECT o.prompt_id, array_to_string(types, '; ') AS anomaly_types, '{\"length\":' || length || '}' AS details FROM a JOIN model_outputs o USING (row_id) WHERE len(types) > 0"
+
+
+def augmented_items(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus rows with two variants each, as an augmenting call would give them."""
+    items = table(spark, d, "corpus").where("id is not null").select("id", "question", "answer")
+    variants = items.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("position"), F.concat(F.lit("变体 "), t.text("question")).alias("question"), F.lit("rewrite").alias("strategy"))
+    return judging.augmented(items, variants).groupBy("id", "source_id", "strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["augmented_items"] = "WITH i AS (SELECT id FROM corpus WHERE id IS NOT NULL), a AS (SELECT id, NULL AS source_id, NULL AS strategy FROM i UNION ALL SELECT id || '_aug_' || p, id, 'rewrite' FROM i, (VALUES (1), (2)) v(p)) SELECT id, source_id::VARCHAR AS source_id, strategy::VARCHAR AS strategy, count(*) AS n FROM a GROUP BY ALL"
+
+
+def step_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Step statistics where every second step is taken as wrong."""
+    df = table(spark, d, "output_items").where("cot_steps is not null").select("row_id", "cot_steps", F.transform("cot_steps", lambda x: F.struct(x["step_number"].alias("step_number"), (x["step_number"] % 2 == 1).alias("is_correct"))).alias("checks"), F.lit(True).alias("final_answer_correct"))
+    return votes.step_stats(df, "cot_steps", "checks").select("row_id", "correct_steps", "first_error_step", "step_accuracy", "step_passed")
+
+
+SQL["step_checks"] = """WITH s AS (SELECT row_id, len(cot_steps) AS n, len(list_filter(cot_steps, lambda x: x.step_number % 2 = 1)) AS c, list_extract(list_transform(list_filter(cot_steps, lambda x: x.step_number % 2 <> 1), lambda x: x.step_number), 1) AS f FROM output_items WHERE cot_steps IS NOT NULL)
+SELECT row_id, c AS correct_steps, f AS first_error_step, round(CASE WHEN n = 0 THEN 0 ELSE c::DOUBLE / n END, 4) AS step_accuracy, CASE WHEN n = 0 THEN 0 ELSE c::DOUBLE / n END * 10 >= 7 AS step_passed FROM s"""
+
+
 def equation_checks(spark: SparkSession, d: str) -> DataFrame:
     """Formulas of steps by whether they are true, false, or no numeric equation."""
     df = table(spark, d, "output_items").where("cot_steps is not null").select(F.explode("cot_steps.formula").alias("f"))
