@@ -8,14 +8,21 @@ the greedy rule is resolved in rounds over the records that have any neighbour a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import text as t
+from siftloom.functions.idfilter import maybe_in
 from siftloom.session import cut
 
 SIMILARITY, GRAM = 0.85, 3
+#: Hash buckets of the document frequencies, a power of two: bounds what is sent to the executors.
+BUCKETS = 1 << 20
 #: Rounds of the greedy rule after which it gives up; each round settles every record whose earlier neighbours are settled.
 MAX_ROUNDS = 500
 
@@ -41,22 +48,58 @@ def gram_set(column: str) -> Column:
     return F.when(F.char_length(plain) < GRAM, F.array(plain)).otherwise(F.array_distinct(t.grams(F.split(plain, ""), GRAM)))
 
 
+def piece_frequencies(sets: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Texts with a piece of each hash bucket, counted by partition, then summed: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) & (buckets - 1), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    rows = sets.select("pieces").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, threshold: float, buckets: int = BUCKETS) -> DataFrame:
+    """(pos, n, g): the first n - ceil(t n) + 1 pieces of each set, rarest first, without those that no other text has.
+
+    Order and cut happen within the row, by the broadcast table of frequencies, so only prefixes are shuffled.
+    """
+    known = sets.sparkSession.sparkContext.broadcast(piece_frequencies(sets, buckets))
+    kind = sets.schema["pos"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            g = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(len(n)), n)
+            often = known.value[g & (buckets - 1)]
+            order = np.lexsort((g, often, own))
+            g, often = g[order], often[order]
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            kept = np.flatnonzero((place < n[own] - np.ceil(threshold * n[own] - 1e-9) + 1) & (often > 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own[kept])), pa.array(n[own[kept]], pa.int32()), pa.array(g[kept])], ["pos", "n", "g"])
+
+    return sets.select("pos", "pieces").mapInArrow(run, f"pos {kind}, n int, g bigint")
+
+
 def similar_pairs(df: DataFrame, pos: str, column: str, threshold: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) with a < b of all pairs at or above the threshold (E4), exactly.
 
-    Pieces are hashed to 64 bits, ordered by document frequency; two similar sets share a piece among the first
-    |A| - ceil(t |A|) + 1 of each. Candidates carry their sets' sizes for the length filter.
+    Pieces are hashed to 64 bits and ordered by document frequency (of their bucket, then by hash: any order that all sets
+    share will do); two similar sets share a piece among the first |A| - ceil(t |A|) + 1 of each. Candidates carry their
+    sets' sizes for the length filter. Only the sets of candidates are shuffled for the exact comparison.
     """
-    sets = cut(df.select(F.col(pos).alias("pos"), F.transform(gram_set(column), lambda g: F.xxhash64(g)).alias("pieces")).withColumn("n", F.size("pieces")))
-    long = sets.select("pos", "n", F.explode("pieces").alias("g"))
-    counts = long.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = long.join(counts, "g").where("df > 1").groupBy("pos", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    # pieces of one text only are the rarest of all and meet nobody: they take the first places of the prefix
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("o"))
-    heads = ranked.select("pos", "n", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("s")).select("pos", "n", F.col("s.g").alias("g"))
+    sets = cut(df.select(F.col(pos).alias("pos"), F.transform(gram_set(column), lambda g: F.xxhash64(g)).alias("pieces")))
+    heads = prefixes(sets, threshold)
     a, b = heads.toDF("a", "na", "g"), heads.toDF("b", "nb", "g")
-    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    both = near.join(sets.select(F.col("pos").alias("a"), F.col("pieces").alias("pa")), "a").join(sets.select(F.col("pos").alias("b"), F.col("pieces").alias("pb")), "b")
+    near = cut(a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct())
+    some = maybe_in(sets, "pos", near.select(F.col("a").alias("pos")).unionAll(near.select(F.col("b").alias("pos"))))
+    both = near.join(some.select(F.col("pos").alias("a"), F.col("pieces").alias("pa")), "a").join(some.select(F.col("pos").alias("b"), F.col("pieces").alias("pb")), "b")
     common = F.size(F.array_intersect("pa", "pb"))
     return both.select("a", "b", (common / (F.size("pa") + F.size("pb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
 
