@@ -177,5 +177,17 @@ def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit() and callable(f)}
 
 
+_LETTERS = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+#: The plain definition where SQL can say it over whole tables: documents that hold a passage of an item.
+SQL = {
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_LETTERS('text')} AS t FROM documents), i AS (SELECT item_id, {_LETTERS('question')} AS q FROM eval_items),
+p AS (SELECT item_id, q, greatest(1, ceil(0.4::DOUBLE * length(q) - 1e-9))::INT AS need FROM i WHERE q <> ''),
+s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(q) - need + 2), lambda a: q[a : a + need - 1])) AS passage FROM p)
+SELECT DISTINCT doc_id, item_id FROM d JOIN s ON contains(d.t, s.passage)""",
+}
+SQL["p8_leaked_items"] = f"WITH f AS ({SQL['p8_found']}) SELECT item_id, count(*) AS documents FROM f GROUP BY item_id"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
