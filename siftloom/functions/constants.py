@@ -35,3 +35,6 @@ FORMAT_SHEET = {"response_mode": "回答模式20", "structural_completeness": "
 #: Issue and diagnosis names of the long-answer report.
 ISSUES = {"repetition": "重复内容过多", "template": "模板化结尾严重", "assistant": "助手化用语过多", "structure": "结构质量差"}
 DIAGNOSES = {"both": "严重模板化+助手化", "template": "模板化倾向", "assistant": "助手化倾向", "normal": "风格正常"}
+
+#: Names of the answer evaluation's dimensions in reports, in the order of DIMENSIONS.
+DIMENSION_LABELS = dict(zip(DIMENSIONS, ["格式排版", "内容结构", "重复冗余", "信息质量", "语言自然度", "任务完成度"], strict=True))

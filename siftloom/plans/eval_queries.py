@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftloom.functions import constants as k
 from siftloom.functions import text as t
 from siftloom.operators import align, anomaly, profile, stats, summary, votes
+from siftloom.plans import report
 from siftloom.plans import sql as s
 from siftloom.session import table
 
@@ -332,6 +333,27 @@ def version_table(spark: SparkSession, d: str) -> DataFrame:
 SQL["version_table"] = s.JUDGED + f", {s.SINGLES} SELECT model_version, count(*) AS total, round(avg({_M6}) + 1e-9, 3) AS mean, {', '.join(f'round(avg({x}) + 1e-9, 3) AS {x}' for x in k.DIMENSIONS)} FROM single_rounds GROUP BY model_version"
 
 
+def win_rate_bars(spark: SparkSession, d: str) -> DataFrame:
+    return report.win_rates(_rounds(spark, d), ["model_a", "model_b"])
+
+
+SQL["win_rate_bars"] = s.JUDGED + f", {s.PLURALITY}, w AS (SELECT model_a, model_b, count_if(winner = 'A')::DOUBLE / count(*) AS a, count_if(winner = 'B')::DOUBLE / count(*) AS b, count_if(winner = 'tie')::DOUBLE / count(*) AS t FROM plural GROUP BY ALL) SELECT model_a, model_b, unnest(['Baseline 胜', 'Candidate 胜', '平局']) AS outcome, unnest([round(a, 6), round(b, 6), round(t, 6)]) AS rate FROM w"
+
+
+def radar_data(spark: SparkSession, d: str) -> DataFrame:
+    return report.radar(_singles(spark, d))
+
+
+SQL["radar_data"] = s.JUDGED + f", {s.SINGLES}, v AS (SELECT model_version, {', '.join(f'round(avg({x}) + 1e-9, 3) AS {x}' for x in k.DIMENSIONS)} FROM single_rounds GROUP BY model_version) " + " UNION ALL ".join(f"SELECT model_version, '{x}' AS dimension, '{label}' AS label, {x} AS value FROM v" for x, label in k.DIMENSION_LABELS.items())
+
+
+def quality_pie(spark: SparkSession, d: str) -> DataFrame:
+    return report.quality_pie(_singles(spark, d))
+
+
+SQL["quality_pie"] = s.JUDGED + f", {s.SINGLES}, m AS (SELECT model_version, round(({' + '.join(k.DIMENSIONS)}) / 6, 9) AS mm FROM single_rounds), g AS (SELECT model_version, count_if(mm < 2.5) AS lo, count_if(mm >= 2.5 AND mm < 3.5) AS mi, count_if(mm >= 3.5) AS hi FROM m GROUP BY ALL) SELECT model_version, unnest(['low', 'mid', 'high']) AS bucket, unnest([lo, mi, hi]) AS n FROM g"
+
+
 def dimension_diff(spark: SparkSession, d: str) -> DataFrame:
     return summary.dimension_diff(_rounds(spark, d), ["model_a", "model_b"])
 

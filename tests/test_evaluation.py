@@ -49,3 +49,16 @@ def test_id_filter_keeps_all_that_match(spark):
     assert len(rest) == 20_001 - len(want) and not want & set(rest) and None in rest
     assert maybe_in(df, "id", ids.limit(0)).count() == 0 and without(df, "id", ids.limit(0)).count() == 20_001
     assert bits_for(0) == 16 and bits_for(10**12) == 26
+
+
+def test_report_sections(spark):
+    from siftloom.functions import constants as k
+    from siftloom.plans import report
+
+    sides = ", ".join(f"{v}D as {s}_{d}" for s, v in (("a", 3.0), ("b", 3.5)) for d in k.DIMENSIONS)
+    pairs = spark.sql(f"select 'p' as prompt_id, 'x' as model_a, 'y' as model_b, 'A' as winner, 1.0D as agreement, 3L as num_rounds, {sides}")
+    prompts = spark.createDataFrame([("p", "t", "c|d")], "prompt_id string, text string, category string")
+    single = spark.sql("select 'p' as prompt_id, 'x' as model_version, " + ", ".join(f"4.0D as {d}" for d in k.DIMENSIONS) + ", 2L as num_rounds, 0.5D as max_std, false as uncertain")
+    text = report.markdown({"mode": "both"}, report.pairwise_sections(pairs, prompts, ["model_a", "model_b"]), report.single_sections(single))
+    for line in ("## 评测配置", "| x | y | Baseline 胜 | 100.0% |", "| x | y | 总计 | 1 条 |", "| x | y | 格式排版 | 3.000 | 3.500 | +0.500 ↑ |", "| c\\|d | 1 | 1 | 0 | 0 |", "| x | 1 | 4.000 | 0.0% | 0.500 |", "| x | 语言自然度 | 4.000 |", "| x | 0 | 0 | 1 |"):
+        assert line in text, (line, text)

@@ -88,10 +88,10 @@ def test_streaming(spark, tmp_path):
 
 
 def test_config(tmp_path, monkeypatch):
-    (tmp_path / "c.yaml").write_text("mode: pairwise\njudge:\n  rounds: 5\n")
+    (tmp_path / "c.yaml").write_text("project:\n  name: x\neval:\n  modes: [pairwise]\nconsistency:\n  num_rounds: 5\nanomaly:\n  length_percentile: [10, 90]\n")
     monkeypatch.setenv("SIFTLOOM_JUDGE__TEMPERATURE", "0.5")
     c = config.load(str(tmp_path / "c.yaml"), {"anomaly.low_percent": 1})
-    assert (c.mode, c.judge.rounds, c.judge.temperature, c.anomaly.low_percent) == ("pairwise", 5, 0.5, 1)
+    assert (c.name, c.modes, c.consistency.num_rounds, c.judge.temperature, c.anomaly.low_percent, c.anomaly.high_percent, c.report.formats) == ("x", ["pairwise"], 5, 0.5, 1, 90, ["markdown", "csv"])
     with pytest.raises(KeyError):
         config.load(overrides={"nothing": 1})
     with pytest.raises(FileNotFoundError):
