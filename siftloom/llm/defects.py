@@ -55,21 +55,12 @@ _ASKED = {k: re.compile("|".join(n if n[0] > "\u3000" else rf"\b{n}\b" for n in
 _NO_LANGUAGE = re.compile(r"```.*?(?:```|$)|\$[^$\n]*\$|\\[A-Za-z]+|https?://\S+", re.S)
 
 
-def end_model(parts: list[tuple[DataFrame, str, str]]) -> EndModel:
-    """Fitted on a bounded sample of (table, key, column) parts."""
-    texts: list[str] = []
-    for df, key, column in parts:
-        texts += bounded_sample(df, key, column, SAMPLE_ROWS // len(parts))
-    return EndModel(texts)
-
-
-def refusal_model(parts: list[tuple[DataFrame, str, str]]) -> RefusalModel:
-    """Fitted on a bounded sample of (table, key, column) parts: short texts, which refusals mostly are, and texts of any length."""
-    texts: list[str] = []
-    for df, key, column in parts:
-        texts += bounded_sample(df.where(F.char_length(column) <= SHORT), key, column, REFUSAL_ROWS // len(parts))
-        texts += bounded_sample(df.where(F.char_length(column) > SHORT), key, column, LONG_ROWS // len(parts))
-    return RefusalModel(texts)
+def models(parts: list[tuple[DataFrame, str, str]]) -> tuple[EndModel, RefusalModel]:
+    """The models of endings and of refusals, fitted on one bounded sample of (table, key, column) parts."""
+    texts: list[list[str]] = [bounded_sample(df, key, column, REFUSAL_ROWS // len(parts)) for df, key, column in parts]
+    ends = [t for part in texts for t in part[: SAMPLE_ROWS // len(parts)]]
+    every = [t for part in texts for t in part]
+    return EndModel(ends), RefusalModel([t for t in every if len(t) <= SHORT] + [t for t in every if len(t) > SHORT][:LONG_ROWS])
 
 
 def language_model(labelled: DataFrame, key: str, text: str, label: str) -> LanguageModel:

@@ -12,7 +12,7 @@ the last token of a sample text does not count, since that text may itself be cu
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 #: Sample rows the model is fitted on; share of them that must hold a word or character pair for it to be common.
 SAMPLE_ROWS, COMMON_WORD, COMMON_PAIR = 4000, 0.004, 0.01
@@ -39,7 +39,7 @@ class EndModel:
             df.update({t[i : i + 2] for i in range(len(t) - 1) if "㐀" <= t[i] <= "鿿" and "㐀" <= t[i + 1] <= "鿿"})
         n = max(1, len(texts))
         self.common = {w for w, c in df.items() if c >= max(3, (COMMON_PAIR if len(w) == 2 and w[0] >= "㐀" else COMMON_WORD) * n)}
-        seen: defaultdict = defaultdict(lambda: [0, 0, 0])
+        seen: dict[tuple, int] = {}  # times seen, before a boundary and before a clause mark, 21 bits each
         for t in texts:
             tokens = self.tokens(t)
             start = rare = 0
@@ -56,13 +56,12 @@ class EndModel:
                 keys = [tuple(tokens[i - k + 1 : i + 1]) for k in CONTEXTS if i - k + 1 >= 0]
                 if i - start >= 2:
                     keys.append(("clause", *tokens[start : start + 2], *tokens[i - 1 : i + 1], min(rare, 4)))
+                add = 1 | end << 21 | clause << 42
                 for key in keys:
-                    s = seen[key]
-                    s[0] += 1
-                    s[1] += end
-                    s[2] += clause
-        top = sorted(((c, k) for k, c in seen.items() if c[0] >= MIN_SEEN), key=lambda x: (-x[0][0], x[1]))[:MAX_CONTEXTS]
-        self.seen = {k: tuple(c) for c, k in top}
+                    seen[key] = seen.get(key, 0) + add
+        low = (1 << 21) - 1
+        top = sorted(((c & low, c >> 21 & low, c >> 42, k) for k, c in seen.items() if c & low >= MIN_SEEN), key=lambda x: (-x[0], x[3]))[:MAX_CONTEXTS]
+        self.seen = {k: (n, ends, marks) for n, ends, marks, k in top}
 
     def tokens(self, text: str) -> list[str]:
         raw = TOKEN.findall(text)

@@ -88,7 +88,7 @@ def _p5(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, source, truncated) of every text."""
     _start(spark)
     known = [(table(spark, d, t), "row_id", c) for t, c in TEXTS]
-    ends, refusals = defects.broadcast(spark, defects.end_model(known)), defects.broadcast(spark, defects.refusal_model(known))
+    ends, refusals = (defects.broadcast(spark, m) for m in defects.models(known))
     parts = []
     for t, c in TEXTS:
         limits = defects.limits_by_source(table(spark, d, t), c, "source")
@@ -120,7 +120,7 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
     known = [(table(spark, d, "corpus"), "row_id", "answer"), (table(spark, d, "model_outputs"), "row_id", "response")]
-    ends, refusals = defects.broadcast(spark, defects.end_model(known)), defects.broadcast(spark, defects.refusal_model(known))
+    ends, refusals = (defects.broadcast(spark, m) for m in defects.models(known))
     languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "doc_id", "text", "lang"))
     parts = []
     for t, c in (("corpus", "answer"), ("model_outputs", "response")):

@@ -17,8 +17,8 @@ from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tab
 
 #: Hash buckets, lengths of n-grams, rows of the background that stand against one observation, largest evidence of one n-gram in nats.
 BUCKETS, GRAMS, PRIOR, MOST = 1 << 17, (3, 6), 2.0, 2.0
-#: Short texts of the sample, characters of one at most, longer texts of the sample, texts fitted at once.
-SAMPLE_ROWS, SHORT, LONG_ROWS, BLOCK = 8_000, 300, 1_000, 500
+#: Texts of the sample, characters of a short one at most, longer texts that are used, texts fitted at once.
+SAMPLE_ROWS, SHORT, LONG_ROWS, BLOCK = 9_000, 300, 1_000, 500
 #: Evidence from which a text is a refusal, in nats a letter (a Chinese character counts twice), and refusals that the sample must hold for a fit.
 LEAST, FEWEST = 0.12, 8
 
