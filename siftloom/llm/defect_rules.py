@@ -18,6 +18,12 @@ REFUSALS = (
     r"\bkann ich [^.!?\n]{0,60}(?:nichts sagen|nicht (?:beantworten|helfen|behandeln))", r"\bdarf ich [^.!?\n]{0,60}nicht beantworten", r"\bmuss ich [^.!?\n]{0,60}ablehnen", r"\bich kann [^.!?\n]{0,60}(?:nicht (?:beantworten|helfen|behandeln)|nichts sagen)", r"\bnicht in der lage\b", r"\bliegt außerhalb\b",
 )
 _REFUSAL = re.compile("|".join(REFUSALS), re.I)
+#: What a text with one of these phrases must hold in lower case; spares most texts the expressions.
+_DECLINES = (
+    "不能", "无法", "没法", "不便", "不会", "没有办法", "没有权限", "不方便", "不可以", "只能", "超出", "恕", "帮不上", "拒",
+    "can't", "can’t", "cannot", "can not", "won't", "won’t", "will not", "not able to", "unable to", "could not", "permission to", "decline", "refuse", "what i can", "beyond", "turn down", "can be given", "no way to", "not something i can",
+    "no puedo", "debo ", "no me es posible", "no estoy autorizad", "queda fuera", "prefiero no", "no podr", "kann ich", "darf ich", "muss ich", "ich kann", "nicht in der lage", "liegt außerhalb",
+)
 #: Texts from which the refusal model is fitted are refusals only up to this length (CJK texts; others), since what follows may answer.
 REFUSAL_CJK, REFUSAL_OTHER = 110, 300
 _SENTENCE = re.compile(r"[^。！？.!?\n]+[。！？.!?]*\s*")
@@ -46,6 +52,9 @@ def seed_refusal(text: str) -> bool:
     """A phrase that declines, early in a text too short to answer anyway: labels the rows that the refusal model is fitted on."""
     if len(text) > REFUSAL_OTHER:
         return False
+    low = text.lower().replace("ſ", "s").replace("ı", "i").replace("\u0307", "")  # letters that an expression without case takes for s and i
+    if not any(x in low for x in _DECLINES):
+        return False
     m = _REFUSAL.search(text)
     if not m:
         return False

@@ -5,13 +5,14 @@ naive Bayes model; the end-of-text n-gram likelihood flags truncation (see trunc
 Refusals are told by a naive Bayes model of their own (refusals.py); empty and copying answers follow
 the rules in defect_rules. The languages are those of the labels.
 
-All models are fitted on bounded samples (language.SAMPLE_ROWS, endings.SAMPLE_ROWS, refusals.SAMPLE_ROWS); every row is
-judged over its whole text. Null answers are empty; a null question leaves only what the answer
+The models of endings and refusals are fitted on all texts, from counts that the executors add up, that of languages on a
+bounded sample (language.SAMPLE_ROWS); every row is judged over its whole text. Null answers are empty; a null question leaves only what the answer
 alone shows. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
 from siftloom.llm import truncation
-from siftloom.llm.endings import SAMPLE_ROWS, EndModel
-from siftloom.llm.language import LanguageModel
+from siftloom.llm.endings import Endings, EndModel, Tally, answered, least_texts, pieces, words_of
 from siftloom.llm.language import SAMPLE_ROWS as LANGUAGE_ROWS
-from siftloom.llm.refusals import SAMPLE_ROWS as REFUSAL_ROWS
-from siftloom.llm.refusals import LONG_ROWS, SHORT, RefusalModel
-from siftloom.llm.repetition import bounded_sample
-from siftloom.functions.textbatch import chunks
+from siftloom.llm.language import LanguageModel
+from siftloom.llm.refusals import BUCKETS, RefusalModel, counts_of
+from siftloom.functions.textbatch import TextBatch, chunks
 from siftloom.session import work_table
 
 #: Evidence (letters, Chinese ones as three) and nats a letter by which another language must win.
@@ -55,12 +54,42 @@ _ASKED = {k: re.compile("|".join(n if n[0] > "\u3000" else rf"\b{n}\b" for n in
 _NO_LANGUAGE = re.compile(r"```.*?(?:```|$)|\$[^$\n]*\$|\\[A-Za-z]+|https?://\S+", re.S)
 
 
-def models(parts: list[tuple[DataFrame, str, str]]) -> tuple[EndModel, RefusalModel]:
-    """The models of endings and of refusals, fitted on one bounded sample of (table, key, column) parts."""
-    texts: list[list[str]] = [bounded_sample(df, key, column, REFUSAL_ROWS // len(parts)) for df, key, column in parts]
-    ends = [t for part in texts for t in part[: SAMPLE_ROWS // len(parts)]]
-    every = [t for part in texts for t in part]
-    return EndModel(ends), RefusalModel([t for t in every if len(t) <= SHORT] + [t for t in every if len(t) > SHORT][:LONG_ROWS])
+#: What is counted over all texts: words_of; buckets of n-grams in other texts and in refusals; numbers of these texts.
+_WORDS, _OTHER, _REFUSAL, _TEXTS = range(4)
+
+
+def models(parts: list[tuple[DataFrame, str]]) -> tuple[Endings, RefusalModel, int]:
+    """The common words of endings, the model of refusals, and the number of texts; from all non-null texts of (table, column) parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams, n = Tally(), np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+
+        def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "k", "n"])
+
+        for b in batches:
+            for part in pieces(b.column(0)):
+                if full := words.add(*words_of(TextBatch.of(part))):
+                    yield rows(_WORDS, *full)
+                for total, more in zip((grams, n), counts_of(part), strict=True):
+                    total += more
+        yield rows(_WORDS, *words.take())
+        for kind, total in ((_OTHER, grams[0]), (_REFUSAL, grams[1]), (_TEXTS, n)):
+            some = np.flatnonzero(total)
+            yield rows(kind, some, total[some])
+
+    every = [df.select(F.col(c).alias("text")).where("text is not null").mapInArrow(run, "kind int, k bigint, n bigint") for df, c in parts]
+    counted = work_table(functools.reduce(DataFrame.unionAll, every).groupBy("kind", "k").agg(F.sum("n").alias("n")), "words")
+    texts = np.zeros(2, np.int64)
+    for r in counted.where(F.col("kind") == _TEXTS).collect():
+        texts[r.k] = r.n
+    word, pair = least_texts(int(texts.sum()))
+    got = counted.where((F.col("kind") != _WORDS) | (F.col("n") >= F.when(F.col("k") % 2 == 1, pair).otherwise(word))).toArrow()
+    kind, k, n = (got[c].to_numpy() for c in ("kind", "k", "n"))
+    grams = np.zeros((2, BUCKETS), np.int64)
+    for row, x in enumerate((_OTHER, _REFUSAL)):
+        grams[row, k[kind == x]] = n[kind == x]
+    return Endings(k[kind == _WORDS]), RefusalModel.of_counts(grams, texts), int(texts.sum())
 
 
 def language_model(labelled: DataFrame, key: str, text: str, label: str) -> LanguageModel:
@@ -121,11 +150,19 @@ def near_limits(answers: pa.Array, limits: list[str | None]) -> np.ndarray:
     return out
 
 
-def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None, refusals: Broadcast | None = None) -> DataFrame:
-    """(key, defects array) from (key, question, answer, source); truncated is left out for copies, refusals and empty answers.
+class _Asked:
+    """Takes the place of EndModel: notes the endings that depend on it."""
 
-    Without a model of refusals only phrases that certainly decline count.
-    """
+    def __init__(self):
+        self.texts: list[str] = []
+
+    def may_end(self, text: str) -> bool:
+        self.texts.append(text)
+        return True
+
+
+def _judged(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None, refusals: Broadcast | None) -> DataFrame:
+    """(key, defects array, asked): asked has the contexts of an ending that only their counts decide; truncated if it may not end."""
     kind = pairs.schema[key].dataType.simpleString()
     rows = pairs.select(key, "question", "answer", F.col("source").cast("string").alias("source"))
     if limits is None:
@@ -143,7 +180,7 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
                 at_limit = near_limits(b.column(2), limit)
                 refuses = refusals.value.refuse(b.column(2)) if refusals else np.zeros(len(answers), bool)
                 wrong = wrong_language(questions, answers, lang) if lang else np.zeros(len(answers), bool)
-                out = []
+                out, open_rows, noted = [], [], _Asked()
                 for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
                     if rules.is_empty(a):
                         out.append(["empty"])
@@ -155,14 +192,49 @@ def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast,
                     elif rules.seed_refusal(a) or (refuses[i] and not rules.short_answer(a)):
                         found.append("refusal")
                     elif not copied:
-                        if truncation.breaks_off(a, model, bool(at_limit[i])):
+                        if truncation.breaks_off(a, noted, bool(at_limit[i])):
                             found.append("truncated")
+                        elif len(noted.texts) > len(open_rows):
+                            open_rows.append(i)
                     out.append(found)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [key, "defects"])
+                asked: list[list[int] | None] = [None] * len(out)
+                contexts = model.asked(noted.texts)
+                if isinstance(model, EndModel):
+                    for i, may in zip(open_rows, model.may_ends(contexts), strict=True):
+                        if not may:
+                            out[i].append("truncated")
+                else:
+                    for i, x in zip(open_rows, contexts.view(np.int64).tolist(), strict=True):
+                        asked[i] = x
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string())), pa.array(asked, pa.list_(pa.int64()))], [key, "defects", "asked"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, defects array<string>, asked array<bigint>")
+
+
+def judge(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcast, languages: Broadcast | None, refusals: Broadcast | None = None) -> DataFrame:
+    """(key, defects array) from (key, question, answer, source); truncated is left out for copies, refusals and empty answers.
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, defects array<string>")
+    ends: a fitted EndModel. Without a model of refusals only phrases that certainly decline count.
+    """
+    return _judged(pairs, key, limits, ends, languages, refusals).select(key, "defects")
+
+
+def judge_tables(parts: list[tuple[str, DataFrame, DataFrame | None]], key: str, known: list[tuple[DataFrame, str]], languages: Broadcast | None) -> DataFrame:
+    """(table_name, key, defects array) of the (name, pairs, limits) parts, as judge; all models but the languages' are fitted on all texts of the (table, column) parts in known.
+
+    Rows are judged once; those whose ending only counts decide wait for the counts of the contexts they ask for.
+    """
+    endings, refusals, texts = models(known)
+    spark = parts[0][1].sparkSession
+    ends, declines = broadcast(spark, endings), broadcast(spark, refusals)
+    every = [_judged(pairs, key, limits, ends, languages, declines).select(F.lit(name).alias("table_name"), key, "defects", "asked") for name, pairs, limits in parts]
+    rows = work_table(functools.reduce(DataFrame.unionAll, every), "judged")
+    waiting = rows.where("asked is not null")
+    late = waiting.join(answered(known, waiting, endings, texts), "asked")
+    late = late.select("table_name", key, F.when(F.col("may_end"), F.col("defects")).otherwise(F.concat("defects", F.array(F.lit("truncated")))).alias("defects"))
+    return rows.where("asked is null").drop("asked").unionAll(late)
 
 
 def broadcast(spark: SparkSession, model: object) -> Broadcast:
-    """Models are of bounded size: endings.MAX_CONTEXTS contexts, language.BUCKETS weights."""
+    """Models are of bounded size: common words, language.BUCKETS and refusals.BUCKETS weights."""
     return spark.sparkContext.broadcast(model)

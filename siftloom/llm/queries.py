@@ -87,13 +87,9 @@ def _pairs(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     """(table_name, row_id, source, truncated) of every text."""
     _start(spark)
-    known = [(table(spark, d, t), "row_id", c) for t, c in TEXTS]
-    ends, refusals = (defects.broadcast(spark, m) for m in defects.models(known))
-    parts = []
-    for t, c in TEXTS:
-        limits = defects.limits_by_source(table(spark, d, t), c, "source")
-        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, None, refusals).select(F.lit(t).alias("table_name"), "row_id", F.array_contains("defects", "truncated").alias("truncated")))
-    return parts[0].unionAll(parts[1])
+    known = [(table(spark, d, t), c) for t, c in TEXTS]
+    parts = [(t, _pairs(spark, d, t), defects.limits_by_source(table(spark, d, t), c, "source")) for t, c in TEXTS]
+    return defects.judge_tables(parts, "row_id", known, None).select("table_name", "row_id", F.array_contains("defects", "truncated").alias("truncated"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,14 +115,11 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
-    known = [(table(spark, d, "corpus"), "row_id", "answer"), (table(spark, d, "model_outputs"), "row_id", "response")]
-    ends, refusals = (defects.broadcast(spark, m) for m in defects.models(known))
+    texts = (("corpus", "answer"), ("model_outputs", "response"))
+    known = [(table(spark, d, t), c) for t, c in texts]
     languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "doc_id", "text", "lang"))
-    parts = []
-    for t, c in (("corpus", "answer"), ("model_outputs", "response")):
-        limits = defects.limits_by_source(table(spark, d, t), c, "source")
-        parts.append(defects.judge(_pairs(spark, d, t), "row_id", limits, ends, languages, refusals).select(F.lit(t).alias("table_name"), "row_id", F.explode("defects").alias("defect")))
-    return parts[0].unionAll(parts[1])
+    parts = [(t, _pairs(spark, d, t), defects.limits_by_source(table(spark, d, t), c, "source")) for t, c in texts]
+    return defects.judge_tables(parts, "row_id", known, languages).select("table_name", "row_id", F.explode("defects").alias("defect"))
 
 
 def p6_by_type(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """A fitted model of refusals: which texts decline to answer and give none.
 
-Naive Bayes over character n-grams with two classes, refusals and other answers. The rows it is fitted on
-come from a bounded sample, labelled by phrases that certainly decline (defect_rules.seed_refusal); what else
-such texts say (whom to ask instead, why not, an apology) becomes evidence too, so refusals in other words are
+Naive Bayes over character n-grams with two classes, refusals and other answers. It is fitted on all texts,
+labelled by phrases that certainly decline (defect_rules.seed_refusal), from counts by bucket; what else such texts say (whom to ask instead, why not, an apology) becomes evidence too, so refusals in other words are
 found. The evidence is summed over the whole text: a refusal of any length stays one, while an answer after an
 apology or a "cannot" outweighs it.
 """
@@ -13,13 +12,12 @@ import numpy as np
 import pyarrow as pa
 
 from siftloom.llm import defect_rules as rules
+from siftloom.llm.endings import pieces
 from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
 
 #: Hash buckets, lengths of n-grams, rows of the background that stand against one observation, largest evidence of one n-gram in nats.
 BUCKETS, GRAMS, PRIOR, MOST = 1 << 17, (3, 6), 2.0, 2.0
-#: Texts of the sample, characters of a short one at most, longer texts that are used, texts fitted at once.
-SAMPLE_ROWS, SHORT, LONG_ROWS, BLOCK = 9_000, 300, 1_000, 500
-#: Evidence from which a text is a refusal, in nats a letter (a Chinese character counts twice), and refusals that the sample must hold for a fit.
+#: Evidence from which a text is a refusal, in nats a letter (a Chinese character counts twice), and refusals that the texts must hold for a fit.
 LEAST, FEWEST = 0.12, 8
 
 
@@ -49,21 +47,38 @@ def grams_of(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(who)
 
 
+def counts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """By class (other texts, refusals): texts that hold an n-gram of each bucket, and the number of texts."""
+    seed = np.array([rules.seed_refusal(t or "") for t in texts.to_pylist()], bool)
+    bucket, who = grams_of(TextBatch.of(texts))
+    pairs = np.sort((who * BUCKETS + bucket).astype(np.uint32 if len(seed) * BUCKETS <= 1 << 32 else np.uint64))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs  # a text counts once for each of its n-grams
+    cell = (pairs & (BUCKETS - 1)) + BUCKETS * seed[pairs // BUCKETS].astype(np.int64)
+    return np.bincount(cell, minlength=2 * BUCKETS).reshape(2, BUCKETS), np.bincount(seed.astype(int), minlength=2)
+
+
 class RefusalModel:
     """evidence[bucket]: log odds of an n-gram in refusals against other texts, 0 where it tells nothing."""
 
     def __init__(self, texts: list[str]):
-        seed = np.array([rules.seed_refusal(t) for t in texts], bool)
+        grams, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for part in pieces(pa.array(texts, pa.large_string())):
+            for total, more in zip((grams, n), counts_of(part), strict=True):
+                total += more
+        self.fit(grams, n)
+
+    @classmethod
+    def of_counts(cls, grams: np.ndarray, n: np.ndarray) -> "RefusalModel":
+        out = cls.__new__(cls)
+        out.fit(grams, n)
+        return out
+
+    def fit(self, grams: np.ndarray, n: np.ndarray) -> None:
+        """From the sums of counts_of."""
         self.evidence = np.zeros(BUCKETS, np.float32)
-        if seed.sum() < FEWEST or seed.all():
+        if n[1] < FEWEST or not n[0]:
             return
-        yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for at in range(0, len(texts), BLOCK):
-            bucket, who = grams_of(TextBatch.of(pa.array(texts[at : at + BLOCK], pa.large_string())))
-            pairs = np.unique(who * BUCKETS + bucket)  # a text counts once for each of its n-grams
-            who, bucket = seed[at + pairs // BUCKETS], pairs % BUCKETS
-            yes += np.bincount(bucket[who], minlength=BUCKETS)
-            no += np.bincount(bucket[~who], minlength=BUCKETS)
+        no, yes = grams.astype(float)
         part = (yes.sum() + 1) / (yes.sum() + no.sum() + 2)
         share = (yes + PRIOR * part) / (yes + no + PRIOR)  # n-grams that are hardly seen stay at the background
         self.evidence = np.clip(np.log(share / part) - np.log((1 - share) / (1 - part)), -MOST, MOST).astype(np.float32)

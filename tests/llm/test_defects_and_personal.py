@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
-from siftloom.llm import defects, personal, truncation
+from siftloom.llm import defects, personal, queries, truncation
 from siftloom.llm.endings import EndModel
 from siftloom.llm.language import LanguageModel
 from siftloom.llm.refusals import RefusalModel
@@ -66,6 +66,33 @@ def test_limits_decide_where_endings_do_not(spark, ends):
     assert found == set(range(40)) and not without
 
 
+LIST = "要点如下：\n- 矩阵：光照强度受温度影响较明显\n- 温度：可以用矩阵来估计温度区间\n以上。\n"
+
+
+def test_endings_are_learned_from_every_text(spark, tmp_path):
+    # only texts of more than 20,000 characters show where such entries end
+    rows = [(i, None, LIST * 450, None) for i in range(12)] + [(20, None, LIST[:23], None), (21, None, LIST[:18], None), (22, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, question string, answer string, source string")
+    df.write.parquet(f"{tmp_path}/output_items.parquet")
+    df.where("false").selectExpr("row_id", "'' prompt_id", "answer response", "source").write.parquet(f"{tmp_path}/model_outputs.parquet")
+    df.where("false").selectExpr("'' prompt_id", "answer text").write.parquet(f"{tmp_path}/prompts.parquet")
+    assert LIST[:23].endswith("较明显") and [r.row_id for r in queries.p5_found(spark, str(tmp_path)).collect()] == [21]
+
+
+def test_tables_are_judged_as_by_a_model_of_all_texts(spark):
+    lines = [(SENTENCES * 2)[i % 5 : i % 5 + 3] for i in range(300)]
+    texts = ["\n".join(x).format(*[i] * 3) + "\n- " + SENTENCES[i % 2].format(i)[: 6 + i % 17] for i, x in enumerate(lines)]
+    texts += ["抱歉，我无法回答关于甲的问题。"] * 9 + ["这个问题请去问老师。", "", None, texts[0]]
+    df = spark.createDataFrame([(i // 2, "q", t, None) for i, t in enumerate(texts)], "row_id int, question string, answer string, source string")
+    known = [t for t in texts if t is not None]
+    ends, declines = (defects.broadcast(spark, m) for m in (EndModel(known), RefusalModel(known)))
+    want = sorted((r.row_id, tuple(r.defects)) for r in defects.judge(df, "row_id", None, ends, None, declines).collect())
+    got = sorted((r.row_id, tuple(r.defects)) for r in defects.judge_tables([("t", df, None)], "row_id", [(df, "answer")], None).collect())
+    assert got == want and 20 < sum("truncated" in x for _, x in want) < 290
+    words, fitted, n = defects.models([(df.where("row_id < 100"), "answer"), (df.where("row_id >= 100"), "answer")])
+    assert n == len(known) and (fitted.evidence == declines.value.evidence).all() and (words.pairs == ends.value.pairs).all() and len(words.words) == len(ends.value.words)
+
+
 def test_refusal_model_finds_other_words_and_long_refusals():
     fills = [f"{a}{b}" for a in ("kavo", "lumi", "tres", "bon", "zeph", "quor") for b in ("lin", "dra", "mox", "tia", "rus")]
     yes = [f"I'm sorry, but I cannot help with the {f} matrix. Please ask a teacher who knows the {g} lattice." for f in fills for g in fills[:3]]
