@@ -5,8 +5,8 @@ naive Bayes model; the end-of-text n-gram likelihood flags truncation (see trunc
 Refusals are told by a naive Bayes model of their own (refusals.py); empty and copying answers follow
 the rules in defect_rules. The languages are those of the labels.
 
-The models of endings and refusals are fitted on all texts, from counts that the executors add up, that of languages on a
-bounded sample (language.SAMPLE_ROWS); every row is judged over its whole text. Null answers are empty; a null question leaves only what the answer
+All models are fitted on all rows of their tables, from counts that the executors add up; every row is judged over its
+whole text. Null answers are empty; a null question leaves only what the answer
 alone shows. Repeated rows are judged alike. Extra columns are ignored.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from siftloom.llm import defect_rules as rules
 from siftloom.llm import truncation
 from siftloom.llm.endings import Endings, EndModel, Tally, answered, least_texts, pieces, words_of
-from siftloom.llm.language import SAMPLE_ROWS as LANGUAGE_ROWS
-from siftloom.llm.language import LanguageModel
+from siftloom.llm.language import BUCKETS as LANGUAGE_BUCKETS
+from siftloom.llm.language import LanguageModel, cells_of, languages_of, normal_label
 from siftloom.llm.refusals import BUCKETS, RefusalModel, counts_of
 from siftloom.functions.textbatch import TextBatch, chunks
 from siftloom.session import work_table
@@ -92,14 +93,32 @@ def models(parts: list[tuple[DataFrame, str]]) -> tuple[Endings, RefusalModel, i
     return Endings(k[kind == _WORDS]), RefusalModel.of_counts(grams, texts), int(texts.sum())
 
 
-def language_model(labelled: DataFrame, key: str, text: str, label: str) -> LanguageModel:
-    """Fitted on a bounded sample of labelled texts, chosen by a hash of the key."""
-    n = labelled.count()
-    take = labelled.select(F.col(text).alias("t"), F.col(label).alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h")).where("t is not null and y is not null")
-    if n > LANGUAGE_ROWS:
-        take = take.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * 1.3 * LANGUAGE_ROWS / n))
-    rows = take.orderBy("h").limit(LANGUAGE_ROWS).collect()
-    return LanguageModel([r.t for r in rows], [r.y for r in rows])
+def language_model(labelled: DataFrame, text: str, label: str) -> LanguageModel:
+    """Fitted on all labelled texts; their n-grams are counted by bucket and language."""
+    rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null")
+    named: Counter = Counter()
+    for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect():
+        if y := normal_label(r.y):
+            named[y] += r.n
+    languages = languages_of(named)
+    at, many = {y: i for i, y in enumerate(languages)}, len(languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LANGUAGE_BUCKETS * many, np.int64)
+        for b in batches:
+            own = np.array([at.get(normal_label(y), -1) for y in b.column(1).to_pylist()], np.int64)
+            known = b.column(0).filter(pa.array(own >= 0))
+            own = own[own >= 0]
+            for a, z in chunks(known):
+                total += cells_of(known.slice(a, z - a), own[a:z], many)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["k", "n"])
+
+    cells = np.zeros(LANGUAGE_BUCKETS * many, np.int64)
+    if many:
+        got = rows.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        cells[got["k"].to_numpy()] = got["n"].to_numpy()
+    return LanguageModel.of_counts(languages, cells)
 
 
 def limits_by_source(df: DataFrame, column: str, source: str) -> DataFrame:

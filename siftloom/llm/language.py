@@ -1,4 +1,4 @@
-"""Character n-gram naive Bayes for the language of a text, fitted on a bounded labelled sample, scored by whole batches."""
+"""Character n-gram naive Bayes for the language of a text, fitted on all labelled texts, scored by whole batches."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 
 from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
 
-#: Hash buckets of n-grams, longest n-gram, labelled rows of the fit.
-BUCKETS, LONGEST, SAMPLE_ROWS = 1 << 16, 3, 2500
+#: Hash buckets of n-grams, longest n-gram.
+BUCKETS, LONGEST = 1 << 16, 3
 #: Labelled rows that make a language, as a number and as a share of all, so that odd labels make none.
 LEAST_ROWS, LEAST_PART = 5, 0.01
 
@@ -51,18 +51,38 @@ def gram_buckets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(who)
 
 
+def languages_of(rows: dict[str, int]) -> list[str]:
+    """The normal labels that make a language, by their numbers of labelled rows; at most 1 / LEAST_PART."""
+    return sorted(y for y, n in rows.items() if n >= max(LEAST_ROWS, LEAST_PART * sum(rows.values())))
+
+
+def cells_of(texts: pa.Array, language: np.ndarray, languages: int) -> np.ndarray:
+    """How often an n-gram of a bucket stands in texts of a language, at bucket * languages + language."""
+    bucket, who = gram_buckets(TextBatch.of(texts))
+    return np.bincount(bucket * languages + language[who], minlength=BUCKETS * languages)
+
+
 class LanguageModel:
     """languages: those of the labels; weights[bucket, language]: log-probability of an n-gram; all have the same prior."""
 
     def __init__(self, texts: list[str], labels: list[str | None]):
         named = [(t, y) for t, y in zip(texts, map(normal_label, labels), strict=True) if y]
-        often = Counter(y for _, y in named)
-        self.languages = sorted(y for y, n in often.items() if n >= max(LEAST_ROWS, LEAST_PART * len(named)))
-        counts = np.full((BUCKETS, max(len(self.languages), 1)), 0.2)
-        known = [(t, self.languages.index(y)) for t, y in named if y in self.languages]
-        if known:
-            bucket, who = gram_buckets(TextBatch.of([t for t, _ in known]))
-            np.add.at(counts, (bucket, np.array([y for _, y in known])[who]), 1)
+        languages = languages_of(Counter(y for _, y in named))
+        known = [(t, languages.index(y)) for t, y in named if y in languages]
+        self.fit(languages, cells_of(pa.array([t for t, _ in known], pa.large_string()), np.array([y for _, y in known], np.int64), len(languages)) if known else np.zeros(0, np.int64))
+
+    @classmethod
+    def of_counts(cls, languages: list[str], cells: np.ndarray) -> "LanguageModel":
+        out = cls.__new__(cls)
+        out.fit(languages, cells)
+        return out
+
+    def fit(self, languages: list[str], cells: np.ndarray) -> None:
+        """From the sums of cells_of."""
+        self.languages = languages
+        counts = np.full((BUCKETS, max(len(languages), 1)), 0.2)
+        if languages:
+            counts += cells.reshape(BUCKETS, -1)
         self.weights = np.log(counts / counts.sum(0)).astype(np.float32)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

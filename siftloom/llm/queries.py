@@ -117,7 +117,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     _start(spark)
     texts = (("corpus", "answer"), ("model_outputs", "response"))
     known = [(table(spark, d, t), c) for t, c in texts]
-    languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "doc_id", "text", "lang"))
+    languages = defects.broadcast(spark, defects.language_model(table(spark, d, "documents"), "text", "lang"))
     parts = [(t, _pairs(spark, d, t), defects.limits_by_source(table(spark, d, t), c, "source")) for t, c in texts]
     return defects.judge_tables(parts, "row_id", known, languages).select("table_name", "row_id", F.explode("defects").alias("defect"))
 

@@ -111,6 +111,16 @@ def test_languages_come_from_the_labels():
     assert defects.wrong_language(q, a, model).tolist() == [True, False]
 
 
+def test_language_model_counts_every_labelled_text(spark):
+    rows = [(f"the heat of plate {i} depends on the light{'s' * (i % 7)}", ("en", "EN-gb", " en_US ")[i % 3]) for i in range(2600)] + [(f"la chaleur de la plaque {i} dépend de la lumière", "fr") for i in range(600)]
+    rows += [("odd", "xx"), (None, "en"), ("no label", None), ("none", "und"), ("", "fr")]
+    got = defects.language_model(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    named = [(t, y) for t, y in rows if t is not None and y is not None]
+    want = LanguageModel([t for t, _ in named], [y for _, y in named])
+    assert got.languages == want.languages == ["en", "fr"] and (got.weights == want.weights).all()
+    assert defects.language_model(spark.createDataFrame([], "text string, lang string"), "text", "lang").languages == []
+
+
 @pytest.mark.parametrize("text", ["A. 辰淳序列", "B. wepun cipher", "(C) 珑玄序列"])
 def test_options_are_answers(ends, text):
     assert not truncation.breaks_off(text, ends)
