@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Texts that stand for nothing, as letters and digits in lower case.
 PLACEHOLDERS = frozenset("empty null none nil nan na undefined blank todo tbd 空 暂无 无内容 空白 待补充 未填写 vacío leer".split())
 
@@ -24,6 +29,12 @@ _DECLINES = (
     "can't", "can’t", "cannot", "can not", "won't", "won’t", "will not", "not able to", "unable to", "could not", "permission to", "decline", "refuse", "what i can", "beyond", "turn down", "can be given", "no way to", "not something i can",
     "no puedo", "debo ", "no me es posible", "no estoy autorizad", "queda fuera", "prefiero no", "no podr", "kann ich", "darf ich", "muss ich", "ich kann", "nicht in der lage", "liegt außerhalb",
 )
+#: The same for whole arrays, in the syntax of Arrow: first the phrases (and a lone dot above, which seed_refusal drops),
+#: then the expressions without their conditions on what surrounds them. All that seed_refusal finds pass both.
+_MAY_DECLINE = tuple(
+    "|".join(x).replace("i", "[iıİ]").replace("ß", "[ßẞ]")
+    for x in ([re.escape(x) for x in (*_DECLINES, "\u0307")], [re.sub(r"\\b|\(\?![^)]*\)", "", x) for x in REFUSALS])
+)
 #: Texts from which the refusal model is fitted are refusals only up to this length (CJK texts; others), since what follows may answer.
 REFUSAL_CJK, REFUSAL_OTHER = 110, 300
 _SENTENCE = re.compile(r"[^。！？.!?\n]+[。！？.!?]*\s*")
@@ -36,16 +47,19 @@ _SPOKEN = re.compile(r"[，。！？；,;!?…：:]|\.\s|\.$")
 COPY_MARK = re.compile(r"[（(]\s*(?:以上为题目|以上是题目|原题|题目如上|end of (?:the )?question|fin de la pregunta|ende der frage)\s*[）)]\s*$", re.I)
 
 
+_NO_LETTERS = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+    return _NO_LETTERS.sub("", text.lower())
 
 
 def is_empty(text: str | None) -> bool:
     """Null, blank, or only a placeholder."""
     if text is None or not any(c.isalnum() for c in text):
         return True
-    # a placeholder may stand in any amount of white space and marks, but the letters are few
-    return sum(map(len, text.split())) < 80 and letters(text) in PLACEHOLDERS
+    # a placeholder may stand in any amount of white space and marks, but the letters are few; mostly the first ones are too many already
+    return sum(map(len, text[:200].split())) < 80 and sum(map(len, text.split())) < 80 and letters(text) in PLACEHOLDERS
 
 
 def seed_refusal(text: str) -> bool:
@@ -63,6 +77,16 @@ def seed_refusal(text: str) -> bool:
     return len(text) <= limit and len(_SENTENCE.findall(text[: m.start()])) <= 2
 
 
+def seed_refusals(texts: pa.Array) -> np.ndarray:
+    """seed_refusal of every text, null ones being none; only short texts that may decline are looked at one by one."""
+    out = np.zeros(len(texts), bool)
+    may = np.flatnonzero(pc.fill_null(pc.less_equal(pc.utf8_length(texts), REFUSAL_OTHER), False).to_numpy(zero_copy_only=False))
+    for wide in _MAY_DECLINE:
+        may = may[pc.match_substring_regex(texts.take(pa.array(may)), wide, ignore_case=True).to_numpy(zero_copy_only=False)]
+    out[may] = [seed_refusal(t) for t in texts.take(pa.array(may)).to_pylist()]
+    return out
+
+
 def short_answer(text: str) -> bool:
     """A number, formula, letter or term: one line without sentence marks."""
     text = _OPTION.sub("", text, count=1)
@@ -74,18 +98,26 @@ def short_answer(text: str) -> bool:
 
 def _long_copy(answer: str, question: str) -> bool:
     """Whether an answer much longer than the question could still be a copy: only if most of it is no letter."""
-    return sum(map(str.isalnum, answer)) <= 1.3 * len(question) + 12
+    most = 1.3 * len(question) + 12
+    return len(_NO_LETTERS.sub("", answer[: 2 * int(most)])) <= most and len(_NO_LETTERS.sub("", answer)) <= most
+
+
+@functools.lru_cache(1024)
+def _asked(question: str) -> tuple[str, frozenset[str]]:
+    """The letters of a question and their 4-letter pieces; the same question often stands in many rows."""
+    q = letters(question)
+    return q, frozenset(q[i : i + 4] for i in range(len(q) - 3))
 
 
 def copies_question(answer: str, question: str | None) -> bool:
     """Hardly more than the question again: most of the answer's 4-letter pieces are the question's, and most of the question is there."""
     if not question or len(answer) > 3 * len(question) + 60 and not _long_copy(answer, question):
         return False
-    a, q = letters(answer), letters(question)
+    a, (q, gq) = letters(answer), _asked(question)
     if not q or not a or len(a) > 1.3 * len(q) + 12 or len(a) < 0.5 * len(q):
         return False
     if a == q:
         return True
-    ga, gq = {a[i : i + 4] for i in range(len(a) - 3)}, {q[i : i + 4] for i in range(len(q) - 3)}
+    ga = {a[i : i + 4] for i in range(len(a) - 3)}
     both = len(ga & gq)
     return both >= 0.75 * len(ga) and both >= 0.5 * len(gq)

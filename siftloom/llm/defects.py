@@ -70,9 +70,10 @@ def models(parts: list[tuple[DataFrame, str]]) -> tuple[Endings, RefusalModel, i
 
         for b in batches:
             for part in pieces(b.column(0)):
-                if full := words.add(*words_of(TextBatch.of(part))):
+                batch = TextBatch.of(part)
+                if full := words.add(*words_of(batch)):
                     yield rows(_WORDS, *full)
-                for total, more in zip((grams, n), counts_of(part), strict=True):
+                for total, more in zip((grams, n), counts_of(part, batch), strict=True):
                     total += more
         yield rows(_WORDS, *words.take())
         for kind, total in ((_OTHER, grams[0]), (_REFUSAL, grams[1]), (_TEXTS, n)):
@@ -152,11 +153,11 @@ def wrong_language(questions: list[str | None], answers: list[str | None], model
     return sure
 
 
-def near_limits(answers: pa.Array, limits: list[str | None]) -> np.ndarray:
+def near_limits(answers: pa.Array, limits: list[str | None], batch: TextBatch | None = None) -> np.ndarray:
     """Which answers have exactly a length that is a hidden limit of their source."""
     out = np.zeros(len(limits), bool)
     if any(limits):
-        lengths = truncation.lengths(answers)
+        lengths = truncation.lengths(answers, batch)
         groups: dict[str, list[int]] = {}
         for i, x in enumerate(limits):
             if x:
@@ -196,8 +197,10 @@ def _judged(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcas
             for at, to in chunks(whole.column(2)):
                 b = whole.slice(at, to - at)
                 questions, answers, limit = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-                at_limit = near_limits(b.column(2), limit)
-                refuses = refusals.value.refuse(b.column(2)) if refusals else np.zeros(len(answers), bool)
+                batch = TextBatch.of(b.column(2))
+                at_limit = near_limits(b.column(2), limit, batch)
+                declines = rules.seed_refusals(b.column(2))
+                refuses = refusals.value.refuse(b.column(2), batch) if refusals else np.zeros(len(answers), bool)
                 wrong = wrong_language(questions, answers, lang) if lang else np.zeros(len(answers), bool)
                 out, open_rows, noted = [], [], _Asked()
                 for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
@@ -208,7 +211,7 @@ def _judged(pairs: DataFrame, key: str, limits: DataFrame | None, ends: Broadcas
                     copied = rules.copies_question(a, q) or bool(rules.COPY_MARK.search(a))
                     if copied and q:
                         found = ["copied_question"]
-                    elif rules.seed_refusal(a) or (refuses[i] and not rules.short_answer(a)):
+                    elif declines[i] or (refuses[i] and not rules.short_answer(a)):
                         found.append("refusal")
                     elif not copied:
                         if truncation.breaks_off(a, noted, bool(at_limit[i])):

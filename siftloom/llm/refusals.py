@@ -8,12 +8,14 @@ apology or a "cannot" outweighs it.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
 from siftloom.llm import defect_rules as rules
 from siftloom.llm.endings import pieces
-from siftloom.functions.textbatch import CJK, DIGIT, SKIP, TextBatch, mix64, tables
+from siftloom.functions.textbatch import CJK, DIGIT, MIX, SKIP, TextBatch, mix64, tables
 
 #: Hash buckets, lengths of n-grams, rows of the background that stand against one observation, largest evidence of one n-gram in nats.
 BUCKETS, GRAMS, PRIOR, MOST = 1 << 17, (3, 6), 2.0, 2.0
@@ -21,36 +23,48 @@ BUCKETS, GRAMS, PRIOR, MOST = 1 << 17, (3, 6), 2.0, 2.0
 LEAST, FEWEST = 0.12, 8
 
 
+@functools.cache
+def _symbols() -> np.ndarray:
+    """code point -> folded letter, 48 for a digit, 32 for all else."""
+    fold, kinds = tables()
+    kind = kinds[fold]
+    return np.where(kind == SKIP, 32, np.where(kind == DIGIT, 48, fold)).astype(np.uint32)
+
+
 def grams_of(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of all n-grams over folded letters; digits are one symbol, all else one separator."""
-    fold, kinds = tables()
-    cps = fold[batch.cps]
-    kind = kinds[cps]
-    cps = np.where(kind == SKIP, 32, np.where(kind == DIGIT, 48, cps))
-    own = batch.owner()
-    first = np.ones(len(cps), bool)
-    if len(cps):
-        first[1:] = (cps[1:] != 32) | (cps[:-1] != 32) | (own[1:] != own[:-1])
-    cps, own = cps[first].astype(np.uint64), own[first]
+    cps = _symbols()[batch.cps]
+    gap = cps == 32
+    keep = np.ones(len(cps), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    keep[batch.off[:-1][np.diff(batch.off) > 0]] = True
+    short = TextBatch(cps, batch.off).kept(keep)
+    cps, size = short.cps.astype(np.uint64), np.diff(short.off)
     out, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    h, done = cps, 1
     for n in GRAMS:
         m = len(cps) - n + 1
         if m <= 0:
-            continue
-        h = cps[:m].copy()
-        with np.errstate(over="ignore"):
-            for j in range(1, n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + cps[j : j + m]
-        ok = own[:m] == own[n - 1 :]
-        out.append((mix64(h[ok], n) & np.uint64(BUCKETS - 1)).astype(np.int64))
-        who.append(own[:m][ok])
+            break
+        while done < n:  # a hash of twice the length is joined from two
+            step = done if 2 * done <= n else 1
+            longer = h[: len(cps) - done - step + 1] * np.uint64(pow(int(MIX), step, 1 << 64))
+            longer += (h if step == done else cps)[done : done + len(longer)]
+            h, done = longer, done + step
+        inside = np.ones(len(cps), bool)
+        for j in range(1, n):  # the last n - 1 places of a text begin none
+            inside[np.maximum(short.off[1:] - j, short.off[:-1])[size > 0]] = False
+        bucket = mix64(h[inside[:m]], n)
+        bucket &= np.uint64(BUCKETS - 1)
+        out.append(bucket.view(np.int64))
+        who.append(np.repeat(np.arange(len(size)), np.maximum(size - n + 1, 0)))
     return np.concatenate(out), np.concatenate(who)
 
 
-def counts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(texts: pa.Array, batch: TextBatch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """By class (other texts, refusals): texts that hold an n-gram of each bucket, and the number of texts."""
-    seed = np.array([rules.seed_refusal(t or "") for t in texts.to_pylist()], bool)
-    bucket, who = grams_of(TextBatch.of(texts))
+    seed = rules.seed_refusals(texts)
+    bucket, who = grams_of(batch or TextBatch.of(texts))
     pairs = np.sort((who * BUCKETS + bucket).astype(np.uint32 if len(seed) * BUCKETS <= 1 << 32 else np.uint64))
     pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs  # a text counts once for each of its n-grams
     cell = (pairs & (BUCKETS - 1)) + BUCKETS * seed[pairs // BUCKETS].astype(np.int64)
@@ -83,9 +97,9 @@ class RefusalModel:
         share = (yes + PRIOR * part) / (yes + no + PRIOR)  # n-grams that are hardly seen stay at the background
         self.evidence = np.clip(np.log(share / part) - np.log((1 - share) / (1 - part)), -MOST, MOST).astype(np.float32)
 
-    def refuse(self, texts: pa.Array) -> np.ndarray:
+    def refuse(self, texts: pa.Array, batch: TextBatch | None = None) -> np.ndarray:
         """Which texts are refusals: by all their n-grams, and by the distinct ones, too, so that no repetition makes one."""
-        batch = TextBatch.of(texts)
+        batch = batch or TextBatch.of(texts)
         kind = tables()[1][batch.cps]
         size = batch.sums((kind != SKIP) & (kind != DIGIT)) + batch.sums(kind == CJK)
         bucket, who = grams_of(batch)

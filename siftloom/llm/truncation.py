@@ -39,7 +39,9 @@ _CLOSED = re.compile(r"(?:[。！？!?｡]|(?<!\d)\.|\d\.(?=$))[\s”’\"'」
 _ASIDE = re.compile(r"[。！？!?.]\s*[（(][^（()）\n]*[)）]\s*$")
 _FORMULA_LINE = re.compile(r"^[\w\s^*/+\-().{}\\,|]*=\s*[\w^*/+\-().{}\\, ]*[\w})]$|^\\(?:frac|sum|int|sqrt|prod|lim)[^㐀-鿿]*[)}\d]$")
 _FINAL_LINE = re.compile(r"^\W*(?:最终答案|答案|final answer|respuesta final|endergebnis|antwort|answer)\W*[:：]\W*\w+", re.I)
+_CLOSERS_AFTER, _MARKS = "”’\"'」』*）)", "。！？!?｡."
 _ELLIPSIS = re.compile(r"(?:\[?(?:\.{3,}|…+|。{3,})\]?|�+)\s*$")
+_ELLIPSES = tuple(x + y for x in ("...", "…", "。。。") for y in ("", "]")) + ("�",)
 _ENTRY = re.compile(r"^\s*(?:[-*•·+]\s|[(（]?\d{1,4}[.、)）:：]|第\s*\d+\s*[步点条项][:：，,]?|(?:step|schritt|paso|punkt|point|punto)\s+\d+\s*[:.])", re.I)
 _OPENERS, _CLOSERS = "（(「『“【《[{", "）)」』”】》]}"
 
@@ -131,6 +133,11 @@ def open_bracket(line: str) -> bool:
     return depth > 0
 
 
+def _closes(t: str) -> bool:
+    """Whether a text without white space at its end closes a sentence; the expression is only asked where marks follow one."""
+    return t[-1] in _MARKS or t[-1] in _CLOSERS_AFTER and _CLOSED.search(t) is not None
+
+
 def breaks_off(text: str, model: EndModel, at_limit: bool = False) -> bool:
     """Whether the text stops before its end; blank texts and short answers do not."""
     t = text.rstrip()
@@ -142,7 +149,7 @@ def breaks_off(text: str, model: EndModel, at_limit: bool = False) -> bool:
     if t.endswith("```"):
         return False
     line = t[t.rfind("\n") + 1 :]
-    cut = _ELLIPSIS.search(t)
+    cut = _ELLIPSIS.search(t) if t.endswith(_ELLIPSES) else None
     if cut:
         rest = t[: cut.start()].rstrip()
         if not any(c.isalnum() for c in rest) or rest[-1:] in SENTENCE_END + "?!":
@@ -151,9 +158,9 @@ def breaks_off(text: str, model: EndModel, at_limit: bool = False) -> bool:
     prose = t if not fences else re.sub(r"```.*?```", " ", t, flags=re.S)
     if prose.count("$") % 2:
         return True
-    if _ASIDE.search(t):
+    if t[-1] in ")）" and _ASIDE.search(t):
         return False
-    if _CLOSED.search(t):
+    if _closes(t):
         if t[-1] == "." and len(t) > 1 and t[-2].isdigit():
             return not model.may_end(t[:-1])
         return False

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
-from siftloom.llm import defects, personal, queries, truncation
+from siftloom.llm import defects, personal, queries, refusals, truncation
 from siftloom.llm.endings import EndModel
 from siftloom.llm.language import LanguageModel
 from siftloom.llm.refusals import RefusalModel
@@ -142,6 +142,38 @@ def test_refusals(text, refusal):
     assert rules.seed_refusal(text) is refusal
 
 
+def test_refusals_of_an_array_ask_the_expressions_of_few_texts(monkeypatch):
+    texts = [None, "", "ICH KANN dazu nichts sagen.", "I am outſide of what I can", "NOT SOMETHİNG I can do", "not somethıng ı can do", "lİegt AUSSERHALB", "das liegt außerhalb", "can\u0307't help, I refuse to", "我无法回答。", "我不能直接回答。", "cannot stay", "x" * 301 + "我无法回答。", "我无法回答。" + "x" * 300]
+    want = [rules.seed_refusal(t or "") for t in texts]
+    asked = []
+    monkeypatch.setattr(rules, "seed_refusal", lambda t, judge=rules.seed_refusal: asked.append(t) or judge(t))
+    plain = ["The heat cannot be told from the light.", "这里不会有什么变化。"] * 200
+    counts = refusals.counts_of(pa.array(texts[2:] + plain, pa.large_string()))[1]
+    assert counts.tolist() == [len(texts) - 2 + 400 - sum(want), sum(want)] and sum(want) >= 6 and len(asked) < len(texts)
+    for kind in (pa.string(), pa.large_string()):
+        assert rules.seed_refusals(pa.array(["a", *texts, "b"], kind).slice(1, len(texts))).tolist() == want
+
+
+def test_endings_search_whole_texts_only_after_marks(ends, monkeypatch):
+    class Seen:
+        def __init__(self, regex):
+            self.regex, self.texts = regex, []
+
+        def search(self, text):
+            self.texts.append(text)
+            return self.regex.search(text)
+
+    tails = ["", ".", "3.", "3.）", "。」 )", "…", "...", "。。。]", "[…]", "..]", "�", "�]", "。（甲）", "。(甲\n)", "a", "甲）", "。*", "!", "｡", "\"'", ".]", "……”"]
+    closed = [bool(truncation._CLOSED.search("甲乙" + t)) for t in tails]
+    assert [truncation._closes("甲乙" + t) for t in tails] == closed
+    whole = {n: Seen(getattr(truncation, n)) for n in ("_ELLIPSIS", "_ASIDE", "_CLOSED")}
+    for n, seen in whole.items():
+        monkeypatch.setattr(truncation, n, seen)
+    assert not truncation.breaks_off("The heat depends on the light. " * 30, ends) and truncation.breaks_off("The heat depends on the light. " * 30 + "The", ends)
+    assert not any(seen.texts for seen in whole.values())
+    assert truncation.breaks_off("先看…", ends) and not truncation.breaks_off("甲。（乙）", ends) and all(whole[n].texts for n in ("_ELLIPSIS", "_ASIDE"))
+
+
 def test_pairs_end_to_end(spark, ends):
     lang = LanguageModel(["因此光照强度受温度影响，可以用矩阵来估计。"] * 30 + ["The heat of the plate depends on the light of the sun and the matrix."] * 30, ["zh-CN"] * 30 + ["EN"] * 30)
     q = "什么是光照强度？请结合矩阵说明它与温度的关系，并举例。"
