@@ -94,6 +94,23 @@ class TextBatch:
         fold, kind = tables()
         return TextBatch(fold[self.cps], self.off).kept(kind[self.cps] != SKIP)
 
+    def squeezed(self, gap: int) -> "TextBatch":
+        """Neighbouring gaps of a text are one."""
+        empty = self.cps == gap
+        keep = np.ones(len(self.cps), bool)
+        keep[1:] = ~(empty[1:] & empty[:-1])
+        keep[self.off[:-1][np.diff(self.off) > 0]] = True
+        return self.kept(keep)
+
+    def begins(self, size: int) -> np.ndarray:
+        """For each place but the last size - 1 of all, whether a window of that size lies within the place's text."""
+        some = self.off[:-1] < self.off[1:]
+        start, end = self.off[:-1][some], self.off[1:][some]
+        out = np.ones(len(self.cps), bool)
+        for j in range(1, size):  # the last size - 1 places of a text begin none
+            out[np.maximum(end - j, start)] = False
+        return out[: len(self.cps) - size + 1]
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum of one value per code point, by text."""
         run = np.concatenate(([0], np.cumsum(values)))

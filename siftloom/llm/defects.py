@@ -128,20 +128,24 @@ def limits_by_source(df: DataFrame, column: str, source: str) -> DataFrame:
     return work_table(peaks.groupBy("source").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.concat_ws(":", "encoding", "length")))).alias("limits")), "limits")
 
 
+def _without_code(text: str) -> str:
+    return _NO_LANGUAGE.sub(" ", text) if "`" in text or "$" in text or "\\" in text or "http" in text else text
+
+
 def _spoken(answer: str, question: str | None) -> str:
     """The part of an answer that has a language of its own: no code, formulas, nor the question said again first."""
     if question and len(question) > 8 and answer.lstrip().startswith(question.strip()):
         answer = answer.lstrip()[len(question.strip()) :]
-    return _NO_LANGUAGE.sub(" ", answer) if "`" in answer or "$" in answer or "\\" in answer or "http" in answer else answer
+    return _without_code(answer)
 
 
 def wrong_language(questions: list[str | None], answers: list[str | None], model: LanguageModel) -> np.ndarray:
     """Answers whose most likely language is neither the question's nor one that the question asks for."""
     said = [_spoken(a, q) if a and q else "" for a, q in zip(answers, questions, strict=True)]
-    distinct: dict[str, int] = {}
-    at = np.array([distinct.setdefault(_NO_LANGUAGE.sub(" ", q) if q else "", len(distinct)) for q in questions], dtype=np.int64)
+    distinct: dict[str | None, int] = {}
+    at = np.array([distinct.setdefault(q, len(distinct)) for q in questions], dtype=np.int64)
     logs, weight = model.scores(pa.array(said, pa.large_string()))
-    asked, evidence = model.scores(pa.array(list(distinct), pa.large_string()))
+    asked, evidence = model.scores(pa.array([_without_code(q or "") for q in distinct], pa.large_string()))
     asked, evidence = asked[at], evidence[at]
     best, own = logs.argmax(1), asked.argmax(1)
     rows = np.arange(len(said))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -21,33 +22,34 @@ def normal_label(label: str | None) -> str | None:
     return None if low in ("", "und", "unknown", "none", "null", "mul", "zxx") else low
 
 
+@functools.cache
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """(code point -> folded letter, 32 for all else; code point -> bucket of a single letter)."""
+    fold, kind = tables()
+    k = kind[fold]
+    return np.where((k != SKIP) & (k != DIGIT), fold, 32).astype(np.uint32), _buckets(np.arange(len(fold), dtype=np.uint64), 1)
+
+
+def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    out = mix64(h, n)
+    out &= np.uint64(BUCKETS - 1)
+    return out.view(np.int64)
+
+
 def gram_buckets(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of all n-grams of letters; other symbols are one separator, digits none at all."""
-    fold, kind = tables()
-    cps = fold[batch.cps]
-    k = kind[cps]
-    letter = (k != SKIP) & (k != DIGIT)
-    cps = np.where(letter, cps, 32)
-    first = np.ones(len(cps), bool)
-    own = batch.owner()
-    if len(cps):
-        first[1:] = (cps[1:] != 32) | (cps[:-1] != 32) | (own[1:] != own[:-1])
-    cps, own, letter = cps[first].astype(np.uint64), own[first], letter[first]
-    out, who = [], []
-    for n in range(1, LONGEST + 1):
+    symbols, single = _symbols()
+    short = TextBatch(symbols[batch.cps], batch.off).squeezed(32)
+    letter, size, rows = short.cps != 32, np.diff(short.off), np.arange(len(short))
+    out, who = [single[short.cps[letter]]], [np.repeat(rows, short.sums(letter))]
+    cps = h = short.cps.astype(np.uint64)
+    for n in range(2, LONGEST + 1):
         if len(cps) < n:
             break
-        m = len(cps) - n + 1
-        h = cps[:m].copy()
-        ok = letter[:m].copy()
-        for j in range(1, n):
-            h = (h << np.uint64(21)) | cps[j : j + m]
-            ok |= letter[j : j + m]
-        ok &= own[:m] == own[n - 1 :]
-        out.append((mix64(h[ok], n) & np.uint64(BUCKETS - 1)).astype(np.int64))
-        who.append(own[:m][ok])
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = h[:-1] << np.uint64(21)
+        h |= cps[n - 1 :]
+        out.append(_buckets(h[short.begins(n)], n))  # no two separators stand together, so each holds a letter
+        who.append(np.repeat(rows, np.maximum(size - n + 1, 0)))
     return np.concatenate(out), np.concatenate(who)
 
 
@@ -89,6 +91,6 @@ class LanguageModel:
         """(log-likelihoods by language, weight of the evidence: letters, a Chinese character as three)."""
         batch = TextBatch.of(texts)
         bucket, who = gram_buckets(batch)
-        logs = np.stack([np.bincount(who, self.weights[bucket, k], len(batch)) for k in range(self.weights.shape[1])], axis=1)
+        logs = np.stack([np.bincount(who, w[bucket], len(batch)) for w in np.ascontiguousarray(self.weights.T)], axis=1)
         kind = tables()[1][batch.cps]
         return logs, batch.sums((kind != SKIP) & (kind != DIGIT)) + 2 * batch.sums(kind == CJK)

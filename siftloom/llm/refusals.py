@@ -33,28 +33,19 @@ def _symbols() -> np.ndarray:
 
 def grams_of(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of all n-grams over folded letters; digits are one symbol, all else one separator."""
-    cps = _symbols()[batch.cps]
-    gap = cps == 32
-    keep = np.ones(len(cps), bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    keep[batch.off[:-1][np.diff(batch.off) > 0]] = True
-    short = TextBatch(cps, batch.off).kept(keep)
+    short = TextBatch(_symbols()[batch.cps], batch.off).squeezed(32)
     cps, size = short.cps.astype(np.uint64), np.diff(short.off)
     out, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     h, done = cps, 1
     for n in GRAMS:
-        m = len(cps) - n + 1
-        if m <= 0:
+        if len(cps) < n:
             break
         while done < n:  # a hash of twice the length is joined from two
             step = done if 2 * done <= n else 1
             longer = h[: len(cps) - done - step + 1] * np.uint64(pow(int(MIX), step, 1 << 64))
             longer += (h if step == done else cps)[done : done + len(longer)]
             h, done = longer, done + step
-        inside = np.ones(len(cps), bool)
-        for j in range(1, n):  # the last n - 1 places of a text begin none
-            inside[np.maximum(short.off[1:] - j, short.off[:-1])[size > 0]] = False
-        bucket = mix64(h[inside[:m]], n)
+        bucket = mix64(h[short.begins(n)], n)
         bucket &= np.uint64(BUCKETS - 1)
         out.append(bucket.view(np.int64))
         who.append(np.repeat(np.arange(len(size)), np.maximum(size - n + 1, 0)))

@@ -3,12 +3,13 @@
 import html
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftloom.llm import defect_rules as rules
-from siftloom.llm import defects, personal, queries, refusals, truncation
+from siftloom.llm import defects, language, personal, queries, refusals, truncation
 from siftloom.llm.endings import EndModel
 from siftloom.llm.language import LanguageModel
 from siftloom.llm.refusals import RefusalModel
@@ -121,6 +122,42 @@ def test_language_model_counts_every_labelled_text(spark):
     assert defects.language_model(spark.createDataFrame([], "text string, lang string"), "text", "lang").languages == []
 
 
+def test_questions_are_cleaned_once_and_only_if_they_hold_code(monkeypatch):
+    class Seen:
+        def __init__(self, regex):
+            self.regex, self.texts = regex, []
+
+        def sub(self, by, text):
+            self.texts.append(text)
+            return self.regex.sub(by, text)
+
+    seen = Seen(defects._NO_LANGUAGE)
+    monkeypatch.setattr(defects, "_NO_LANGUAGE", seen)
+    model = LanguageModel(["la chaleur de la plaque dépend de la lumière"] * 20 + ["the heat of the plate depends on the light"] * 20, ["fr"] * 20 + ["en"] * 20)
+    q = ["the heat of the plate and the light of it", "la chaleur ```the heat of the plate depends on the light of the plate``` de la plaque", None, ""]
+    a = ["la lumière de la plaque dépend de la chaleur de la plaque"] * 4
+    assert defects.wrong_language(q * 5, a * 5, model).tolist() == [True, False, False, False] * 5
+    assert seen.texts == [q[1]]
+
+
+def test_language_grams_by_their_definition():
+    texts = ["", "a", "7", "a7b", " é  Ab-c ", "无 法x", "", "--", "x"]
+    fold, kind = language.tables()
+    want = []
+    for i, t in enumerate(texts):
+        cps = [int(fold[ord(c)]) for c in t]
+        cps = [c if kind[c] not in (language.SKIP, language.DIGIT) else 32 for c in cps]
+        cps = [c for j, c in enumerate(cps) if c != 32 or j == 0 or cps[j - 1] != 32]
+        for n in range(1, language.LONGEST + 1):
+            for g in (cps[j : j + n] for j in range(len(cps) - n + 1)):
+                if set(g) != {32}:
+                    h = np.array([sum(c << 21 * (n - 1 - j) for j, c in enumerate(g)) & (1 << 64) - 1], np.uint64)
+                    want.append((i, int(language.mix64(h, n)[0]) % language.BUCKETS))
+    bucket, who = language.gram_buckets(language.TextBatch.of(texts))
+    assert sorted(zip(who.tolist(), bucket.tolist(), strict=True)) == sorted(want)
+    assert [len(x) for x in language.gram_buckets(language.TextBatch.of([]))] == [0, 0]
+
+
 @pytest.mark.parametrize("text", ["A. 辰淳序列", "B. wepun cipher", "(C) 珑玄序列"])
 def test_options_are_answers(ends, text):
     assert not truncation.breaks_off(text, ends)
