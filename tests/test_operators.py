@@ -4,9 +4,11 @@ import math
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftloom import session
 from siftloom.operators import align, anomaly, dedup, parse, stats, summary, votes
 from siftloom.plans import eval_queries
 
@@ -60,6 +62,50 @@ def test_similar_pairs_are_exact(spark):
     assert got == want
 
 
+@pytest.fixture
+def stored(monkeypatch):
+    """(columns, rows) of every table that deduplication stores."""
+    seen = []
+
+    def noting(keep):
+        def run(df, *name):
+            out = keep(df, *name)
+            seen.append((out.columns, out.count()))
+            return out
+
+        return run
+
+    for name, keep in (("cut", session.cut), ("work_table", session.work_table)):
+        monkeypatch.setattr(dedup, name, noting(keep), raising=False)
+    return seen
+
+
+def templated(rng, count=300):
+    """Texts of one length that share a rare phrase and nothing else, two near copies among them."""
+    letter = lambda: chr(0x4E00 + rng.randrange(20000))
+    phrase = "".join(chr(0xAC00 + i) for i in range(6))
+    texts = ["".join(letter() for _ in range(54)) + phrase for _ in range(count)]
+    return [*texts, texts[3][:-8] + "zz" + phrase, texts[5][:-7] + "z" + phrase]
+
+
+def test_similar_pairs_of_a_shared_phrase_stay_in_the_join(spark, stored):
+    texts = templated(random.Random(4))
+    got = {(r.a, r.b) for r in dedup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "pos bigint, q string"), "pos", "q").collect()}
+    assert got == {(3, 300), (5, 301)}
+    assert sum(n for c, n in stored if {"a", "b"} <= set(c)) <= 10
+
+
+def test_pieces_of_odd_texts():
+    texts = ["", "a", "ab", "aba", "ababab", "\U0001f600b\U0001f600b\U0001f600", None, "\uffff\uffff\uffff\uffff", "a\0\0"]
+    own, g, n = dedup.pieces(pa.array(texts))
+    assert list(n) == [len(grams(t)) for t in texts] and len(own) == len(g) == sum(n)
+    name = {}
+    for k, t in enumerate(texts):
+        name.setdefault(frozenset(g[own == k].tolist()), set()).add(frozenset(grams(t)))
+    assert all(len(v) == 1 for v in name.values()) and len(name) == len({frozenset(grams(t)) for t in texts})
+    assert len(dedup.pieces(pa.array([], pa.string()))[0]) == 0
+
+
 @pytest.fixture(scope="module")
 def outputs(spark):
     return spark.createDataFrame([(1, "p1", "a", "old"), (2, "p1", "a", "new"), (3, "p1", "b", "cand"), (4, "p2", "a", None), (5, "p2", "b", ""), (6, "p3", "a", "x"), (7, None, "a", "y"), (8, "p9", None, "z")], "row_id int, prompt_id string, model_version string, response string")
