@@ -198,7 +198,7 @@ def greedy_removed(pairs: DataFrame) -> DataFrame:
 def dedup_status(df: DataFrame, pos: str, column: str, threshold: float = SIMILARITY) -> DataFrame:
     """(pos, status): keep, exact_dup or near_dup for every record (E5)."""
     exact = exact_status(df, pos, column).select(F.col(pos).alias("pos"), "first_pos", F.col(column).alias("text"))
-    firsts = cut(exact.where("pos = first_pos").select("pos", "text"))
+    firsts = exact.where("pos = first_pos").select("pos", "text")
     removed = greedy_removed(similar_pairs(firsts, "pos", "text", threshold)).withColumn("near", F.lit(True))
     return exact.join(removed, "pos", "left").select("pos", F.when(F.col("pos") != F.col("first_pos"), "exact_dup").when(F.col("near"), "near_dup").otherwise("keep").alias("status"))
 

@@ -88,6 +88,15 @@ def templated(rng, count=300):
     return [*texts, texts[3][:-8] + "zz" + phrase, texts[5][:-7] + "z" + phrase]
 
 
+def test_dedup_stores_no_candidates_and_texts_once(spark, stored):
+    texts = templated(random.Random(3))
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "pos bigint, q string")
+    got = {r.pos: r.status for r in dedup.dedup_status(df, "pos", "q").collect()}
+    assert {p: s for p, s in got.items() if s != "keep"} == {300: "near_dup", 301: "near_dup", 302: "exact_dup"}
+    assert max(n for _, n in stored) <= len(texts)
+    assert sum(bool({"text", "plain", "pieces"} & set(c)) for c, _ in stored) == 1
+
+
 def test_similar_pairs_of_a_shared_phrase_stay_in_the_join(spark, stored):
     texts = templated(random.Random(4))
     got = {(r.a, r.b) for r in dedup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "pos bigint, q string"), "pos", "q").collect()}
