@@ -10,11 +10,14 @@ rule is resolved over the records that have any neighbour at all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from siftloom.functions import text as t
 from siftloom.functions.idfilter import maybe_in
@@ -26,8 +29,8 @@ SIMILARITY, GRAM = 0.85, 3
 BUCKETS, BLOCK = 1 << 22, 1 << 16
 #: Bits of a code point, and what stands for the letters that a text shorter than a piece lacks: no code point.
 POINT_BITS, NO_POINT = 21, 0x1FFFFF
-#: Rounds of the greedy rule after which it gives up; each round settles every record whose earlier neighbours are settled.
-MAX_ROUNDS = 500
+#: Open pairs that the driver settles by itself.
+FEW_PAIRS = 1 << 17
 
 
 def exact_status(df: DataFrame, pos: str, column: str) -> DataFrame:
@@ -183,16 +186,30 @@ def similar_pairs(df: DataFrame, pos: str, column: str, threshold: float = SIMIL
     return similarity(both).where(F.col("similarity") >= threshold)
 
 
-def greedy_removed(pairs: DataFrame) -> DataFrame:
-    """(pos): the records that the greedy rule drops, given all similar pairs (a, b) with a < b."""
-    edges = cut(pairs.select("a", "b"))
-    state = cut(edges.select(F.col("a").alias("pos")).unionAll(edges.select(F.col("b").alias("pos"))).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(MAX_ROUNDS):
-        if state.where("kept is null").limit(1).count() == 0:
-            return state.where("not kept").select("pos")
-        earlier = edges.join(state.select(F.col("pos").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("pos")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("any_kept"), F.bool_and(~F.coalesce("ka", F.lit(True))).alias("all_removed"))
-        state = cut(state.join(earlier, "pos", "left").select("pos", F.coalesce("kept", F.when(F.coalesce("any_kept", F.lit(False)), False).when(F.coalesce("all_removed", F.lit(True)), True)).alias("kept")))
-    raise RuntimeError("the greedy rule did not settle")
+def settled(pairs: pa.Table) -> list:
+    """The positions that the greedy rule drops, given all pairs (a, b) with a < b, from the earliest b on."""
+    gone: set = set()
+    for b, a in sorted(zip(pairs.column("b").to_pylist(), pairs.column("a").to_pylist(), strict=True)):
+        if a not in gone:
+            gone.add(b)
+    return list(gone)
+
+
+def greedy_removed(pairs: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """(pos): the records that the greedy rule drops, given all similar pairs (a, b) with a < b.
+
+    Each round keeps the records without an open earlier neighbour, drops their neighbours and leaves the pairs of others
+    open, until few are left; the earliest open record is settled in each, so there is an end.
+    """
+    kind = pairs.schema["a"].dataType
+    left, removed = cut(pairs.select("a", "b")), []
+    while left.limit(few + 1).count() > few:
+        firsts = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = cut(left.join(firsts, "a", "left_semi").select(F.col("b").alias("pos")).distinct())
+        left = cut(left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b"))
+        removed.append(gone)
+    rest = pa.table({"pos": pa.array(settled(left.toArrow()), to_arrow_type(kind))})
+    return reduce(DataFrame.unionAll, removed, pairs.sparkSession.createDataFrame(rest, StructType([StructField("pos", kind)])))
 
 
 def dedup_status(df: DataFrame, pos: str, column: str, threshold: float = SIMILARITY) -> DataFrame:

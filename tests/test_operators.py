@@ -115,6 +115,23 @@ def test_pieces_of_odd_texts():
     assert len(dedup.pieces(pa.array([], pa.string()))[0]) == 0
 
 
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_greedy_rule_of_many_pairs(spark, few):
+    rng = random.Random(few)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
+    want = set()
+    for b in range(60):
+        if any(y == b and x not in want for x, y in pairs):
+            want.add(b)
+    got = [r.pos for r in dedup.greedy_removed(spark.createDataFrame(sorted(pairs), "a int, b int"), few).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_greedy_rule_of_a_long_chain(spark):
+    chain = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted(r.pos for r in dedup.greedy_removed(chain).collect()) == list(range(1, 2001, 2))
+
+
 @pytest.fixture(scope="module")
 def outputs(spark):
     return spark.createDataFrame([(1, "p1", "a", "old"), (2, "p1", "a", "new"), (3, "p1", "b", "cand"), (4, "p2", "a", None), (5, "p2", "b", ""), (6, "p3", "a", "x"), (7, None, "a", "y"), (8, "p9", None, "z")], "row_id int, prompt_id string, model_version string, response string")
