@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions.constants import DIMENSIONS
 from siftloom.plans import catalogue, config, judging, pipeline
+from siftloom.session import work_table
 from siftloom.sources import readers, writers
 from siftloom.streaming import ingest
 
@@ -58,6 +59,31 @@ def test_pipeline_reworks_and_survives_errors(spark):
     assert got[2].answer == "" and got[2].evaluation is None
 
 
+def test_pipeline_stores_answers_once_and_moves_no_passed_rows(spark, monkeypatch):
+    class Model:
+        def ask(self, message, temperature):
+            return "好" if "易" in message or "改" in message else "短"
+
+    def evaluate(items, threshold):
+        return items.withColumn("evaluation", F.struct(F.col("answer").startswith("好").alias("passed"), F.lit("改").alias("suggestion")))
+
+    seen, plans = {}, {}
+
+    def noting(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        seen[name] = work_table(df, name)
+        return seen[name]
+
+    for module in (pipeline, judging):
+        monkeypatch.setattr(module, "work_table", noting)
+    corpus = spark.createDataFrame([(i, str(i), f"{'易' if i % 4 else '难'}{chr(0x4E00 + i) * 3}", "旧") for i in range(12)], "pos bigint, id string, question string, answer string")
+    got = pipeline.run(corpus, Model(), evaluate=evaluate)
+    assert {(r.pos, r.rework_count) for r in got.collect()} == {(i, int(i % 4 == 0)) for i in range(12)} and all(r.evaluation.passed for r in got.collect())
+    assert seen["rework-1"].count() == 3
+    assert not {"message", "reply"} & {c for df in seen.values() for c in df.columns}
+    assert "Join" not in plans["judged-2"]
+
+
 def test_model_boundary(spark):
     df = spark.createDataFrame([("a",), ("b",)], "message string").withColumn("temperature", F.lit(0.0))
     got = {r.message: (r.reply, r.error) for r in judging.call(df, judging.TableModel({"a": "x"}), attempts=1).collect()}
